@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the scoring workers.
 
-Counting. A task hashes the words of its texts (48 bits) and counts n-grams in flushes of FLUSH tokens. Each flush goes
+Counting. A task hashes the words of its texts (48 bits for raw counts, the upper 40 in n-grams) and counts n-grams in flushes of FLUSH tokens. Each flush goes
 out as one binary row per hash range (part), sorted n-grams with their counts. A group task merges a part, writes it as
 a sorted array of 64-bit n-gram hashes with a count array, and passes on what the lower order needs: for each suffix
 the number of its different left neighbours (the adjusted counts), for each context its total and its numbers of
@@ -40,6 +40,7 @@ PART_BYTES = 32 << 20
 FOLDS, HELD_OUT = 10, 0
 CACHE = 400_000
 MASK = (1 << 48) - 1
+NARROW = 8  # n-grams hold the upper 40 bits of a word's hash, raw counts all 48
 ROWS = "kind string, part int, blob binary"
 
 
@@ -51,7 +52,7 @@ class WordHashes(dict):
 
         if len(self) > CACHE:
             self.clear()
-        self[word] = value = max(1, xxh64_intdigest(word, 7) & MASK)
+        self[word] = value = max(1 << NARROW, xxh64_intdigest(word, 7) & MASK)
         return value
 
 
@@ -181,7 +182,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
     size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     bits = max(0, ceil(log2(max(1, size / PART_BYTES))))
     model = NgramModel(local_folder(spark, "ngrams"), order, bits)
-    folder, word_shift, key_shift = model.folder, 48 - bits, 64 - bits
+    folder, word_shift, narrow_shift, key_shift = model.folder, 48 - bits, 40 - bits, 64 - bits
 
     def count(batches: Iterator) -> Iterator:
         import numpy as np
@@ -193,9 +194,9 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             nonlocal held, lengths, n
             tokens, sizes = np.concatenate(held), np.concatenate(lengths)
             held, lengths, n = [], [], 0
-            columns = grams(tokens, sizes, order)
+            columns = grams(tokens >> np.uint64(NARROW), sizes, order)
             keys, at, (counts,) = _add_up(mix(columns), [np.ones(len(tokens), dtype=np.int64)])
-            rows = list(_parted(f"g{order}", keys, [c[at] for c in columns], counts, key_shift, 6))
+            rows = list(_parted(f"g{order}", keys, [c[at] for c in columns], counts, key_shift, 5))
             words, _, (counts,) = _add_up(tokens, [np.ones(len(tokens), dtype=np.int64)])
             rows += _parted("u", words, [words], counts, word_shift, 6)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["kind", "part", "blob"])
@@ -232,7 +233,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
                 _save(folder, f"{kind}-{part}.values", values.astype("<f4"))
                 return pd.DataFrame(rows, columns=["kind", "part", "blob"])
             width = 1 if kind == "u" else int(kind[1:])
-            unpacked = [_unpack(b, 6) for b in group["blob"]]
+            unpacked = [_unpack(b, 6 if kind == "u" else 5) for b in group["blob"]]
             columns = [np.concatenate([u[0][i] for u in unpacked]) for i in range(width)]
             counts = np.concatenate([u[1] for u in unpacked])
             del unpacked
@@ -246,14 +247,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
                 flags = [counts, *((counts == c).astype(np.int64) for c in (1, 2)), (counts >= 3).astype(np.int64)]
                 context = columns[0] if width == 2 else mix(columns[:-1])
                 ckeys, _, sums = _add_up(context, flags)
-                shift = word_shift if width == 2 else key_shift
+                shift = narrow_shift if width == 2 else key_shift
                 once = sums[0] == 1
                 rows += _parted(f"c{width}", ckeys[once], [ckeys[once]], sums[0][once], shift, 8)
                 full = [ckeys[~once], *[s[~once].astype(np.uint64) for s in sums]]
                 rows += _parted(f"c{width}", full[0], full, np.ones(len(full[0]), dtype=np.int64), shift, 8)
                 suffix = columns[1] if width == 2 else mix(columns[1:])
                 skeys, first, (n,) = _add_up(suffix, [np.ones(len(suffix), dtype=np.int64)])
-                rows += _parted(f"g{width - 1}", skeys, [c[first] for c in columns[1:]], n, shift, 6)
+                rows += _parted(f"g{width - 1}", skeys, [c[first] for c in columns[1:]], n, shift, 5)
             return pd.DataFrame(rows, columns=["kind", "part", "blob"])
 
         return run
@@ -310,8 +311,8 @@ class Scorer:
     def __init__(self, model: NgramModel):
         self.model, self.hashes = model, WordHashes()
         self.raw = Arrays(model, "u", 48, "<u4")
-        self.counts = {k: Arrays(model, f"g{k}", 48 if k == 1 else 64, "<u4") for k in range(1, model.order + 1)}
-        self.contexts = {k: Arrays(model, f"c{k}", 48 if k == 2 else 64, "<f4") for k in range(2, model.order + 1)}
+        self.counts = {k: Arrays(model, f"g{k}", 40 if k == 1 else 64, "<u4") for k in range(1, model.order + 1)}
+        self.contexts = {k: Arrays(model, f"c{k}", 40 if k == 2 else 64, "<f4") for k in range(2, model.order + 1)}
 
     def probabilities(self, columns: list[Any]) -> Any:
         """Model probability of the last word of each n-gram given those before it."""
@@ -339,7 +340,7 @@ class Scorer:
         doc = np.repeat(np.arange(len(texts)), lengths)
         c = self.raw.find(tokens, 1)[:, 0]
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        score = np.log10(self.probabilities(grams(tokens, lengths, m.order)))
+        score = np.log10(self.probabilities(grams(tokens >> np.uint64(NARROW), lengths, m.order)))
         sums = [np.bincount(doc, weights=w, minlength=len(texts)) for w in (c > 0, base, score)]
         return lengths, sums[0].astype(np.int64), sums[1], sums[2]
 
