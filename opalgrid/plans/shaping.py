@@ -1 +1,553 @@
-"""To come."""
+"""Queries of text functions, table shaping, sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opalgrid.catalog import CATALOG
+from opalgrid.functions import text as tx
+from opalgrid.operators import tables as tb
+from opalgrid.plans.dialect import table
+from opalgrid.plans.registry import register
+from opalgrid.sources import text as src
+
+ID18 = "CASE WHEN o_orderkey % 3 = 0 THEN '006' || lpad(CAST(o_orderkey AS VARCHAR), 15, '0') WHEN o_orderkey % 3 = 1 THEN '000' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE 'abcdefghijklmno' END"
+
+
+def ids(spark, d):
+    k = F.col("o_orderkey")
+    six, zero = F.concat(F.lit("006"), F.lpad(k.cast("string"), 15, "0")), F.concat(F.lit("000"), F.lpad(k.cast("string"), 12, "0"))
+    return table(spark, d, "orders").select("o_orderkey", F.when(k % 3 == 0, six).when(k % 3 == 1, zero).otherwise("abcdefghijklmno").alias("rid"))
+
+
+@register("fn_is_record_id", f"SELECT o_orderkey, regexp_matches(r, '^[a-zA-Z0-9]{{15,18}}$') AND regexp_matches(r, '[0-9]') AND NOT starts_with(r, '000') AS ok FROM (SELECT o_orderkey, {ID18} AS r FROM orders)")
+def fn_is_record_id(spark, d):
+    return ids(spark, d).select("o_orderkey", tx.is_record_id(F.col("rid")).alias("ok"))
+
+
+@register("fn_cell_to_string", "SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE regexp_replace(printf('%.10f', p_retailprice), '\\.?0+$', '') END AS price, '[Part]' AS record, coalesce(nullif(p_brand, 'Brand#11'), '') AS brand FROM part")
+def fn_cell_to_string(spark, d):
+    rows = table(spark, d, "part").withColumn("record", F.struct("p_name")).withColumn("b", F.nullif(F.col("p_brand"), F.lit("Brand#11")))
+    return rows.select("p_partkey", tx.cell_text(F.col("p_retailprice"), "double").alias("price"), tx.cell_text(F.col("record"), "record", "Part").alias("record"), tx.cell_text(F.col("b"), "string").alias("brand"))
+
+
+URL_SQL = "'/services/data/v66.0/' || CASE WHEN event_id % 2 = 0 THEN 'query/01g' || event_id || '?x=1' ELSE 'sobjects/Account/001' || lpad(CAST(event_id AS VARCHAR), 15, '0') || '?cache=0.1' END"
+
+
+def call_urls(spark, d):
+    k = F.col("event_id")
+    odd = F.concat(F.lit("sobjects/Account/001"), F.lpad(k.cast("string"), 15, "0"), F.lit("?cache=0.1"))
+    return table(spark, d, "events").withColumn("url", F.concat(F.lit("/services/data/v66.0/"), F.when(k % 2 == 0, F.concat(F.lit("query/01g"), k.cast("string"), F.lit("?x=1"))).otherwise(odd)))
+
+
+@register("fn_simplify_url", f"SELECT event_id, regexp_replace(regexp_replace(split_part({URL_SQL}, '?', 1), '(/query/).*$', '\\1'), '[a-zA-Z0-9]{{18}}', '{{id}}', 'g') AS url FROM events")
+def fn_simplify_url(spark, d):
+    return call_urls(spark, d).select("event_id", tx.simplify_url(F.col("url")).alias("url"))
+
+
+@register("fn_humanize", "SELECT regexp_replace(replace(p_type, ' ', ''), '([A-Z])', ' \\1', 'g') AS name FROM part")
+def fn_humanize(spark, d):
+    return table(spark, d, "part").select(tx.humanize(F.replace("p_type", F.lit(" "))).alias("name"))
+
+
+def _duration_sql() -> str:
+    left, parts = "m", []
+    for name, size in tx.UNITS:
+        parts.append(f"CASE WHEN {left} // {size} > 0 THEN ({left} // {size}) || ' {name}' || CASE WHEN {left} // {size} > 1 THEN 's' ELSE '' END END")
+        left = f"({left} % {size})"
+    return f"SELECT o_orderkey, CASE WHEN v < 1 THEN 'Less than a minute' ELSE concat_ws(' ', {', '.join(parts)}) END AS words FROM (SELECT o_orderkey, v, CAST(floor(v + 0.5) AS BIGINT) AS m FROM (SELECT o_orderkey, o_orderkey * 7.5::DOUBLE - 7.0 AS v FROM orders))"
+
+
+@register("fn_format_duration", _duration_sql())
+def fn_format_duration(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", tx.format_duration(F.col("o_orderkey") * 7.5 - 7.0).alias("words"))
+
+
+@register("fn_format_bytes")
+def fn_format_bytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.format_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"))
+
+
+ACTION_SQL = "CASE event_type WHEN 'click' THEN 'Aura/' || event_id WHEN 'view' THEN 'VF:Page:' || event_id WHEN 'error' THEN 'CODE_UNIT_STARTED' WHEN 'signup' THEN NULL ELSE 'Batch' END"
+
+
+def operations(spark, d):
+    k, t = F.col("event_id").cast("string"), F.col("event_type")
+    return table(spark, d, "events").withColumn("op", F.when(t == "click", F.concat(F.lit("Aura/"), k)).when(t == "view", F.concat(F.lit("VF:Page:"), k)).when(t == "error", "CODE_UNIT_STARTED").when(t == "signup", F.lit(None)).otherwise("Batch"))
+
+
+@register("fn_parse_action", f"SELECT event_id, CASE WHEN coalesce(o, '') IN ('', 'CODE_UNIT_STARTED') THEN '-' WHEN len(regexp_split_to_array(o, '[/:]')) > 1 THEN regexp_split_to_array(o, '[/:]')[1] || ' · ' || regexp_split_to_array(o, '[/:]')[2] ELSE o END AS action FROM (SELECT event_id, {ACTION_SQL} AS o FROM events)")
+def fn_parse_action(spark, d):
+    return operations(spark, d).select("event_id", tx.parse_action(F.col("op")).alias("action"))
+
+
+def log_bodies(spark, d):
+    """Log bodies of four kinds made from the events."""
+    k = F.col("event_id").cast("string")
+    head = F.concat(F.lit("64.0 APEX_CODE,FINEST\n09:00:00.0 (1)|EXECUTION_STARTED\n09:00:00.1 (2)|CODE_UNIT_STARTED|[EXTERNAL]|"))
+    kind = F.col("event_id") % 4
+    tail = (
+        F.when(kind == 0, F.concat(F.lit("apex://Ctl"), k, F.lit("/ACTION$run"))).when(kind == 1, F.concat(F.lit("01p|Svc"), k, F.lit(".call(String)")))
+        .when(kind == 2, F.concat(F.lit("01q|AccTrg on Account trigger event BeforeInsert|__sfdc_trigger/AccTrg"))).otherwise("nothing")
+    )
+    flow = F.when(kind == 3, F.concat(F.lit("\n09:00:00.2 (3)|FLOW_START_INTERVIEW_BEGIN|Flow_"), k)).otherwise("")
+    return table(spark, d, "events").select("event_id", F.concat(head, tail, flow, F.lit("\n09:00:00.9 (9)|USER_DEBUG|[1]|DEBUG|value "), F.col("event_type")).alias("body"), "event_type")
+
+
+@register("fn_derive_action", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Ctl' || event_id || '.run' WHEN 1 THEN 'Svc' || event_id || '.call' WHEN 2 THEN 'Trigger · AccTrg (BeforeInsert)' ELSE 'Flow · Flow_' || event_id END AS action FROM events")
+def fn_derive_action(spark, d):
+    return log_bodies(spark, d).select("event_id", tx.derive_action(F.col("body"), F.lit("Api")).alias("action"))
+
+
+@register("fn_local_time", "SELECT event_id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M:%S') || ' -0500' AS local FROM events")
+def fn_local_time(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.000+0000'")
+    good = text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}\+\d{4}$")
+    at = F.convert_timezone(F.lit("UTC"), F.lit("-05:00"), F.to_timestamp_ntz(F.substring(text, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
+    return table(spark, d, "events").select("event_id", F.when(good, F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(" -0500"))).alias("local"))
+
+
+@register("fn_api_name", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_type, '[^a-zA-Z0-9]', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS name FROM part")
+def fn_api_name(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.api_name(F.col("p_type")).alias("name"))
+
+
+@register("fn_api_name_pascal", "SELECT p_partkey, replace(p_type, ' ', '') AS name FROM part")
+def fn_api_name_pascal(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.api_name(F.col("p_type"), pascal=True).alias("name"))
+
+
+@register("fn_convert_value", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 2 THEN 'string' WHEN 3 THEN 'number' ELSE 'string' END AS kind, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN '1.50' WHEN 3 THEN '1.5' ELSE '007' END AS value FROM part")
+def fn_convert_value(spark, d):
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("", "TRUE", "1.50", "1.5", "007")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    typed = tx.convert_value(raw)
+    return table(spark, d, "part").select("p_partkey", typed["kind"].alias("kind"), typed["text"].alias("value"))
+
+
+@register("fn_set_nested", "SELECT c_custkey, c_name AS owner_name FROM customer")
+def fn_set_nested(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.struct(F.struct(F.lit(None).cast("string").alias("name")).alias("owner")).alias("r"))
+    rows = rows.join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").withColumn("r", F.col("r").withField("owner.name", F.col("c_name")))
+    return rows.select("c_custkey", F.col("r.owner.name").alias("owner_name"))
+
+
+@register("fn_guess_column", "SELECT 'customer.C_NAME' AS header, 'c_name' AS guess UNION ALL SELECT ' o_orderkey ', 'o_orderkey' UNION ALL SELECT 'x.unknown', 'x.unknown'")
+def fn_guess_column(spark, d):
+    known = [(o, f.name) for o in ("customer", "orders") for f in table(spark, d, o).schema]
+    names = spark.createDataFrame(known, "object string, field string")
+    heads = spark.createDataFrame([("customer.C_NAME",), (" o_orderkey ",), ("x.unknown",)], "header string")
+    fits = (F.lower(F.substring_index("header", ".", 1)) == F.col("object")) & (F.lower(F.substring_index("header", ".", -1)) == F.col("field"))
+    return heads.join(F.broadcast(names), fits & F.contains("header", F.lit(".")), "left").select("header", F.coalesce("field", F.trim("header")).alias("guess"))
+
+
+@register("fn_column_valid", "SELECT n, regexp_matches(n, '^[a-zA-Z_][\\w.\\-]*(:[\\w]+:[\\w]+)?$') AS ok FROM (VALUES ('Name'), ('Na*me'), ('Rel:Type:Ext'), ('a:b'), ('Owner.Name'), ('_x')) t(n)")
+def fn_column_valid(spark, d):
+    names = spark.createDataFrame([(x,) for x in ("Name", "Na*me", "Rel:Type:Ext", "a:b", "Owner.Name", "_x")], "n string")
+    return names.select("n", F.col("n").rlike(r"^[a-zA-Z_][\w.\-]*(:\w+:\w+)?$").alias("ok"))
+
+
+@register("fn_field_type_desc", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'string (' || length(c_name) || ')' ELSE 'currency (16, 2)' END || CASE WHEN c_custkey % 3 = 0 THEN ' required' ELSE '' END AS descr FROM customer")
+def fn_field_type_desc(spark, d):
+    k = F.col("c_custkey")
+    size = F.when(k % 2 == 0, F.concat(F.lit("string ("), F.length("c_name").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("currency ("), (F.lit(18) - 2).cast("string"), F.lit(", 2)")))
+    return table(spark, d, "customer").select("c_custkey", F.concat(size, F.when(k % 3 == 0, " required").otherwise("")).alias("descr"))
+
+
+@register("fn_record_label", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), c_name, CAST(c_custkey AS VARCHAR)) AS label, concat_ws(' | ', nullif(c_mktsegment, 'BUILDING'), c_name) AS meta FROM customer")
+def fn_record_label(spark, d):
+    seg = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(seg, "c_name", F.col("c_custkey").cast("string")).alias("label"), F.concat_ws(" | ", seg, "c_name").alias("meta"))
+
+
+@register("fn_escape_like", r"SELECT p_partkey, replace(replace(replace(p_brand || '_%\', '\', '\\'), '%', '\%'), '_', '\_') AS escaped FROM part")
+def fn_escape_like(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.regexp_replace(F.concat("p_brand", F.lit("_%\\")), r"([\\%_])", r"\\$1").alias("escaped"))
+
+
+@register("fn_url_record_id", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '001' || lpad(CAST(page_id AS VARCHAR), 15, '0') WHEN page_id % 3 = 1 THEN '006' || lpad(CAST(page_id AS VARCHAR), 12, '0') ELSE NULL END AS rid FROM pages")
+def fn_url_record_id(spark, d):
+    k = F.col("page_id")
+    a = F.concat(F.lit("https://x.example.com/lightning/r/Account/001"), F.lpad(k.cast("string"), 15, "0"), F.lit("/view"))
+    b = F.concat(F.lit("https://x.example.com/edit?a=1&id=006"), F.lpad(k.cast("string"), 12, "0"), F.lit("#top"))
+    return table(spark, d, "pages").select("page_id", tx.url_record_id(F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(F.col("url"))).alias("rid"))
+
+
+@register("fn_url_sobject", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Account' END AS object FROM pages")
+def fn_url_sobject(spark, d):
+    url = F.when(F.col("page_id") % 2 == 0, F.lit("https://x.example.com/lightning/o/Account/list?filterName=All")).otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", tx.url_object(url).alias("object"))
+
+
+@register("fn_channel_label", "SELECT event_id, replace(event_type, '_', ' ') || ' x' AS label FROM events")
+def fn_channel_label(spark, d):
+    return table(spark, d, "events").select("event_id", tx.channel_label(F.concat("event_type", F.lit("_x__e"))).alias("label"))
+
+
+@register("fn_api_version", "SELECT n_nationkey, CAST((240 + 2 * n_nationkey) // 2 - 64 AS INTEGER) AS version FROM nation")
+def fn_api_version(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", tx.api_version(F.concat((F.col("n_nationkey") * 2 + 240).cast("string"), F.lit(".5.1"))).alias("version"))
+
+
+@register("fn_dev_name", "SELECT r_name AS name FROM region")
+def fn_dev_name(spark, d):
+    return table(spark, d, "region").select(tx.developer_name(F.concat(F.lit("ns__"), "r_name", F.lit("__c"))).alias("name"))
+
+
+@register("fn_display_name", "SELECT o_orderkey, 'order ' || o_orderkey || ' (' || o_orderstatus || ', v' || CAST(o_orderkey % 7 AS VARCHAR) || ')' AS name FROM orders")
+def fn_display_name(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.format_string("order %d (%s, v%d)", "o_orderkey", "o_orderstatus", F.col("o_orderkey") % 7).alias("name"))
+
+
+@register("fn_headers_parse", "SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS usr, CAST(2 AS BIGINT) AS n FROM events")
+def fn_headers_parse(spark, d):
+    text = F.concat(F.lit("X-Kind: "), "event_type", F.lit("\nbroken\nX-User:"), F.col("user_id").cast("string"))
+    m = tx.headers_map(text)
+    return table(spark, d, "events").select("event_id", m["X-Kind"].alias("kind"), m["X-User"].alias("usr"), F.size(m).cast("long").alias("n"))
+
+
+@register("fn_extract_json", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+def fn_extract_json(spark, d):
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))).when(k == 1, F.concat(F.lit("Sure. "), "props", F.lit(" Done."))).otherwise("no json here")
+    return table(spark, d, "events").select("event_id", F.get_json_object(tx.extract_json(text), "$.k").cast("long").alias("k"))
+
+
+@register("fn_extract_tag", "SELECT n_name AS q FROM nation")
+def fn_extract_tag(spark, d):
+    return table(spark, d, "nation").select(tx.extract_tag(F.concat(F.lit("x <soql>"), "n_name", F.lit("</soql> y")), "soql").alias("q"))
+
+
+@register("fn_plural", "SELECT o_custkey, count(*) || ' order' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS words FROM orders GROUP BY o_custkey")
+def fn_plural(spark, d):
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("o_custkey", F.concat(F.col("n").cast("string"), F.lit(" order"), tx.plural(F.col("n"))).alias("words"))
+
+
+@register("fn_severity_map", "SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'warning' ELSE 'info' END AS severity FROM events")
+def fn_severity_map(spark, d):
+    t = F.col("event_type")
+    raw = F.when(t == "error", "Critical").when(t == "view", "WARNING").when(t == "click", "information").otherwise(t)
+    return table(spark, d, "events").select("event_id", tx.severity(raw).alias("severity"))
+
+
+@register("fn_base64", "SELECT c_custkey, base64(c_name::BLOB) AS packed, c_name AS unpacked FROM customer")
+def fn_base64(spark, d):
+    packed = F.base64(F.col("c_name").cast("binary"))
+    return table(spark, d, "customer").select("c_custkey", packed.alias("packed"), F.unbase64(packed).cast("string").alias("unpacked"))
+
+
+@register("fn_ttl_valid", "SELECT event_id, TIMESTAMP '2024-01-20' - ts < CASE WHEN event_id % 2 = 0 THEN INTERVAL 48 HOUR ELSE INTERVAL 168 HOUR END AS valid FROM events WHERE ts < '2024-01-20'")
+def fn_ttl_valid(spark, d):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    rows = table(spark, d, "events").filter("ts < timestamp_ntz'2024-01-20 00:00:00'")
+    return rows.select("event_id", tx.ttl_valid(F.col("ts").cast("timestamp"), F.when(F.col("event_id") % 2 == 0, 48), now).alias("valid"))
+
+
+@register("fn_fault_msg", "SELECT p_partkey, 'E' || p_partkey || ': bad [p_name, p_size], W: odd' AS msg FROM part")
+def fn_fault_msg(spark, d):
+    e = F.array(
+        F.struct(F.concat(F.lit("E"), F.col("p_partkey").cast("string")).alias("code"), F.lit("bad").alias("message"), F.array(F.lit("p_name"), F.lit("p_size")).alias("fields")),
+        F.struct(F.lit("W").alias("code"), F.lit("odd").alias("message"), F.array().cast("array<string>").alias("fields")),
+    )
+    return table(spark, d, "part").select("p_partkey", tx.fault_message(e).alias("msg"))
+
+
+@register("fn_random_value", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS sound FROM part")
+def fn_random_value(spark, d):
+    """Seeded values by field type: a number below 100 and a word of the domain."""
+    number, word = F.floor(F.rand(7) * 100), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.floor(F.rand(8) * 3) + 1).cast("int"))
+    return table(spark, d, "part").select(number.alias("x"), word.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("x").between(0, 99) & F.col("w").isin("a", "b", "c")).cast("long").alias("sound"))
+
+
+@register("fn_initials", "SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda x: x[1]), '') AS letters FROM part")
+def fn_initials(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.initials(F.col("p_type")).alias("letters"))
+
+
+@register("fn_linear_color", "SELECT p_partkey, CASE WHEN p_size - 10 <= 0 THEN '' ELSE printf('rgb(%d, %d, %d)', CAST(round(46 + s * 148) AS INTEGER), CAST(round(132 - s * 75) AS INTEGER), CAST(round(74 - s * 22) AS INTEGER)) END AS color FROM (SELECT p_partkey, p_size, (least(greatest(p_size - 10, 1), 50) - 1) / 49.0::DOUBLE AS s FROM part)")
+def fn_linear_color(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.linear_color(F.col("p_size") - 10).alias("color"))
+
+
+def nested_orders(spark, d):
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey, "left")
+    return rows.select("o_orderkey", F.struct(F.col("c_name").alias("name"), F.struct(F.col("c_mktsegment").alias("segment")).alias("market")).alias("customer"), "o_orderstatus")
+
+
+FLAT = "FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
+
+
+@register("tbl_flatten_records", f"SELECT o_orderkey, '[customer]' AS customer, c_name AS \"customer.name\", '[market]' AS \"customer.market\", c_mktsegment AS \"customer.market.segment\", o_orderstatus {FLAT}")
+def tbl_flatten_records(spark, d):
+    return tb.flatten_records(nested_orders(spark, d))
+
+
+@register("tbl_props_flatten", f"SELECT o_orderkey, c_name AS \"customer.name\", c_mktsegment AS \"customer.market.segment\", o_orderstatus {FLAT}")
+def tbl_props_flatten(spark, d):
+    return tb.flatten_records(nested_orders(spark, d), parents=False)
+
+
+@register("tbl_hide_relations", "SELECT o_orderkey, o_orderstatus FROM orders")
+def tbl_hide_relations(spark, d):
+    return tb.hide_relations(nested_orders(spark, d))
+
+
+@register("tbl_filter_any", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel') OR contains(lower(p_type), 'steel')")
+def tbl_filter_any(spark, d):
+    return tb.filter_any(table(spark, d, "part"), "STEEL").select("p_partkey")
+
+
+@register("tbl_filter_cols", "SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#2')")
+def tbl_filter_cols(spark, d):
+    return tb.filter_any(table(spark, d, "part"), "#2", ["p_brand", "no_such_column"]).select("p_partkey")
+
+
+@register("tbl_multi_term_filter", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'o') AND contains(lower(p_type), 'e') AND contains(lower(p_brand), '1')")
+def tbl_multi_term_filter(spark, d):
+    return tb.filter_terms(table(spark, d, "part"), {"p_type": "O E", "p_brand": "1"}).select("p_partkey")
+
+
+@register("tbl_multi_term_all", "SELECT p_partkey FROM part WHERE (contains(lower(p_type), 'e') OR contains(lower(p_brand), 'e')) AND (contains(lower(p_type), '#1') OR contains(lower(p_brand), '#1'))")
+def tbl_multi_term_all(spark, d):
+    return tb.filter_all_terms(table(spark, d, "part"), "e #1", ["p_type", "p_brand"]).select("p_partkey")
+
+
+@register("tbl_available_columns", "SELECT DISTINCT event_type AS name FROM events")
+def tbl_available_columns(spark, d):
+    return tb.available_columns(table(spark, d, "events").select(F.create_map("event_type", "value").alias("m")), "m")
+
+
+@register("tbl_csv_parse", "SELECT CAST(n_nationkey AS VARCHAR) AS key, CAST(i AS INTEGER) AS row, CASE WHEN i = 0 THEN 'a|b' ELSE n_name || ',1|y\"z' END AS cells FROM nation, (VALUES (0), (1)) t(i)")
+def tbl_csv_parse(spark, d):
+    text = F.concat(F.lit('a,b\n"'), "n_name", F.lit(',1","y""z"\n'))
+    rows = src.parse_csv_text(table(spark, d, "nation").select("n_nationkey", text.alias("t")), "n_nationkey", "t")
+    return rows.select("key", "row", F.array_join("cells", "|").alias("cells"))
+
+
+@register("tbl_json_to_tables", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def tbl_json_to_tables(spark, d):
+    """The child table of an order document, with its parents' columns."""
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))).alias("items"))
+    docs = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.struct(F.col("o_orderkey").alias("key"), "items").alias("doc"))
+    child = tb.json_tables(docs)["@.items.*"]
+    return child.agg(F.count(F.lit(1)).alias("n"), F.sum("`@.key`").alias("keys"), F.sum("`@.items.*.line`").alias("lines"))
+
+
+@register("tbl_resource_links", f"SELECT event_id, {URL_SQL} AS link FROM events")
+def tbl_resource_links(spark, d):
+    docs = call_urls(spark, d).select(F.struct("event_id", F.struct("url", "event_type").alias("ref")).alias("doc"))
+    leaves = tb.json_tables(docs)["@"]
+    return leaves.filter(F.col("`@.ref.url`").startswith("/services/data/")).select(F.col("`@.event_id`").alias("event_id"), F.col("`@.ref.url`").alias("link"))
+
+
+@register("tbl_layout_flatten", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS item, CAST(l_linenumber AS INTEGER) AS value FROM lineitem WHERE l_returnflag <> 'zz'")
+def tbl_layout_flatten(spark, d):
+    part = F.struct(F.col("l_linenumber").alias("value"), F.lit("Field").alias("type"))
+    sections = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array(F.sort_array(F.collect_list(part))).alias("rows"))
+    each = sections.select("l_orderkey", F.posexplode("rows").alias("row", "items")).select("l_orderkey", "row", F.posexplode("items").alias("item", "c"))
+    return each.filter("c.type = 'Field'").select("l_orderkey", "item", F.col("c.value").alias("value"))
+
+
+@register("tbl_remove_nulls", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '{\"k\":' || o_orderkey || '}' ELSE '{\"k\":' || o_orderkey || ',\"s\":\"' || o_orderstatus || '\"}' END AS doc FROM orders")
+def tbl_remove_nulls(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("s"))).alias("doc"))
+
+
+@register("tbl_limits_unpivot", "SELECT name, CAST(mx AS BIGINT) AS mx, CAST(remaining AS BIGINT) AS remaining FROM (VALUES ('DailyApiRequests', 10000, 1000), ('FileStorageMB', 200, 250), ('Zero', 0, 0)) t(name, mx, remaining)")
+def tbl_limits_unpivot(spark, d):
+    return limits(spark)
+
+
+def limits(spark):
+    text = '{"DailyApiRequests":{"Max":10000,"Remaining":1000},"FileStorageMB":{"Max":200,"Remaining":250},"Zero":{"Max":0,"Remaining":0}}'
+    m = F.from_json(F.lit(text), "map<string,struct<Max:bigint,Remaining:bigint>>")
+    return spark.range(1).select(F.explode(m).alias("name", "v")).select("name", F.col("v.Max").alias("mx"), F.col("v.Remaining").alias("remaining"))
+
+
+@register("tbl_log_grep", "SELECT event_id, 'x' AS hit FROM events WHERE event_type IN ('error', 'view')")
+def tbl_log_grep(spark, d):
+    """Lines that hold any of the patterns, in their case."""
+    wanted = [p.strip() for p in " value error | value view|".split("|") if p.strip()]
+    lines = log_bodies(spark, d).select("event_id", F.explode(F.split("body", "\n")).alias("line"))
+    hit = F.lit(False)
+    for p in wanted:
+        hit = hit | F.contains("line", F.lit(p))
+    return lines.filter(hit).select("event_id", F.lit("x").alias("hit"))
+
+
+@register("tbl_log_search", "SELECT event_id FROM events WHERE event_id % 5 = 0 OR event_type = 'purchase'")
+def tbl_log_search(spark, d):
+    rows = log_bodies(spark, d).withColumn("body", F.when(F.col("event_id") % 5 != 0, F.col("body")))
+    return rows.filter(F.col("body").isNull() | F.contains(F.lower("body"), F.lit("value purchase"))).select("event_id")
+
+
+@register("tbl_log_users", "SELECT DISTINCT user_id, coalesce(c_name, CAST(user_id AS VARCHAR)) AS name FROM events LEFT JOIN customer ON user_id = c_custkey AND c_custkey % 2 = 0")
+def tbl_log_users(spark, d):
+    users = table(spark, d, "events").select("user_id").distinct()
+    named = table(spark, d, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return users.join(named, "user_id", "left").select("user_id", F.coalesce("c_name", F.col("user_id").cast("string")).alias("name")).orderBy("name")
+
+
+@register("tbl_user_search", "SELECT c_custkey FROM customer WHERE (c_name ILIKE '%1%' OR c_mktsegment ILIKE '%1%') AND c_acctbal > 0 ORDER BY c_acctbal DESC, c_custkey LIMIT 100")
+def tbl_user_search(spark, d):
+    rows = table(spark, d, "customer").filter((F.col("c_name").ilike("%1%") | F.col("c_mktsegment").ilike("%1%")) & (F.col("c_acctbal") > 0))
+    return rows.orderBy(F.desc("c_acctbal"), "c_custkey").limit(100).select("c_custkey")
+
+
+@register("tbl_field_import", "SELECT n_nationkey AS line, CASE WHEN n_nationkey % 5 = 0 THEN 'line ' || n_nationkey || ': unknown type Blob' END AS error FROM nation")
+def tbl_field_import(spark, d):
+    kind = F.when(F.col("n_nationkey") % 5 == 0, "Blob").otherwise("Text")
+    bad = ~kind.isin("Text", "Number", "Checkbox", "Date", "Picklist")
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("line"), F.when(bad, F.concat(F.lit("line "), F.col("n_nationkey").cast("string"), F.lit(": unknown type "), kind)).alias("error"))
+
+
+@register("tbl_field_def", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Number' ELSE 'Text' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 18 + 2 END AS precision, CASE WHEN p_partkey % 2 = 1 THEN 255 END AS length FROM part")
+def tbl_field_def(spark, d):
+    even = F.col("p_partkey") % 2 == 0
+    f = F.struct(F.when(even, "Number").otherwise("Text").alias("type"), F.when(even, F.lit(18) + 2).alias("precision"), F.when(~even, F.lit(255)).alias("length"))
+    return table(spark, d, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.*")
+
+
+@register("tbl_field_search", "SELECT p_partkey FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_name ILIKE '%green%') AND p_brand NOT ILIKE '%5'")
+def tbl_field_search(spark, d):
+    part = table(spark, d, "part")
+    labels = part.filter(F.col("p_name").ilike("%green%")).select("p_type")
+    return part.filter(~F.col("p_brand").ilike("%5")).join(labels, "p_type", "left_semi").select("p_partkey")
+
+
+@register("tbl_component_list", "SELECT CASE WHEN starts_with(lower(p_type), 'small') THEN 'Settings' ELSE p_brand END AS kind, count(DISTINCT p_name) AS members FROM part WHERE p_size > 5 GROUP BY 1")
+def tbl_component_list(spark, d):
+    kind = F.when(F.lower("p_type").startswith("small"), "Settings").otherwise(F.col("p_brand"))
+    return table(spark, d, "part").filter("p_size > 5").groupBy(kind.alias("kind")).agg(F.size(F.collect_set("p_name")).cast("long").alias("members"))
+
+
+@register("tbl_managed_filter", "SELECT p_partkey FROM part WHERE nullif(p_brand, 'Brand#11') IS NULL")
+def tbl_managed_filter(spark, d):
+    return table(spark, d, "part").filter(F.nullif(F.col("p_brand"), F.lit("Brand#11")).isNull()).select("p_partkey")
+
+
+@register("tbl_fullname", "SELECT p_partkey, p_brand || '.' || p_name AS full_name FROM part")
+def tbl_fullname(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(".", "p_brand", "p_name").alias("full_name"))
+
+
+@register("tbl_catalog_delta", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE c_name END AS name FROM customer")
+def tbl_catalog_delta(spark, d):
+    cache = table(spark, d, "customer").filter("c_custkey % 4 <> 0 OR c_custkey % 3 <> 0").select("c_custkey", F.col("c_name").alias("old"))
+    delta = table(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.upper("c_name").alias("new"))
+    return cache.join(delta, "c_custkey", "full_outer").select("c_custkey", F.coalesce("new", "old").alias("name"))
+
+
+@register("tbl_ttl_cache", "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 0")
+def tbl_ttl_cache(spark, d):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    rows = table(spark, d, "nation").withColumn("written", F.when(F.col("n_nationkey") % 2 == 0, F.lit("2024-01-19 00:00:00")).otherwise(F.lit("2023-12-01 00:00:00")).cast("timestamp"))
+    return rows.filter(tx.ttl_valid(F.col("written"), F.lit(None).cast("int"), now)).select("n_nationkey", "n_name")
+
+
+@register("tbl_metric_query", "SELECT event_type, round(sum(value), 4) AS total FROM events WHERE ts > TIMESTAMP '2024-01-28' - INTERVAL 24 HOUR AND ts <= '2024-01-28' GROUP BY event_type")
+def tbl_metric_query(spark, d):
+    rows = table(spark, d, "events").filter("ts > timestamp_ntz'2024-01-28 00:00:00' - INTERVAL 24 HOURS AND ts <= timestamp_ntz'2024-01-28 00:00:00'")
+    return rows.groupBy("event_type").agg(F.round(F.sum("value"), 4).alias("total"))
+
+
+@register("sink_csv", "SELECT '\"' || n_nationkey || '\",\"' || replace(n_name, '\"', '\"\"') || '\",\"' || coalesce(CAST(nullif(n_regionkey, 1) AS VARCHAR), '') || '\"' AS line FROM nation")
+def sink_csv(spark, d):
+    return tb.csv_text(table(spark, d, "nation").select("n_nationkey", "n_name", F.nullif(F.col("n_regionkey"), F.lit(1)).alias("r")))
+
+
+@register("sink_tsv", "SELECT '\"' || r_regionkey || '\"' || chr(9) || '\"' || r_name || '\"' AS line FROM region")
+def sink_tsv(spark, d):
+    return tb.csv_text(table(spark, d, "region"), "\t")
+
+
+@register("sink_json", "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS doc FROM region")
+def sink_json(spark, d):
+    return table(spark, d, "region").select(F.to_json(F.struct("r_regionkey", "r_name")).alias("doc"))
+
+
+@register("sink_csv_bom", "SELECT chr(65279) || string_agg('\"' || r_name || '\"', chr(13) || chr(10) ORDER BY r_name) AS text FROM region")
+def sink_csv_bom(spark, d):
+    lines = tb.csv_text(table(spark, d, "region").select("r_name"))
+    return lines.agg(F.concat(F.lit("\ufeff"), F.array_join(F.array_sort(F.collect_list("line")), "\r\n")).alias("text"))
+
+
+@register("sink_table_tsv", "SELECT p_partkey || chr(9) || p_brand AS line FROM part")
+def sink_table_tsv(spark, d):
+    return tb.csv_text(table(spark, d, "part").select("p_partkey", "p_brand"), "\t", quoted=False)
+
+
+@register("sink_violations_csv", "SELECT '\"' || event_type || '\",\"' || CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END || '\",\"' || count(*) || '\"' AS line FROM events GROUP BY event_type")
+def sink_violations_csv(spark, d):
+    rows = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return tb.csv_text(rows.select("event_type", tx.severity(F.col("event_type")).alias("s"), "n"))
+
+
+@register("sink_manifest", """SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<Package xmlns="http://soap.sforce.com/2006/04/metadata">' || chr(10) || string_agg('    <types>' || chr(10) || m || '        <name>' || k || '</name>' || chr(10) || '    </types>' || chr(10), '' ORDER BY k) || '    <version>62.0</version>' || chr(10) || '</Package>' AS xml FROM (SELECT r_name AS k, string_agg('        <members>' || n_name || '</members>' || chr(10), '' ORDER BY n_name) AS m FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)""")
+def sink_manifest(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    return tb.manifest(n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name"), "r_name", "n_name")
+
+
+@register("src_manifest_parse", "SELECT r_name AS kind, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def src_manifest_parse(spark, d):
+    return src.manifest_members(sink_manifest(spark, d), "xml").select("kind", F.array_join("members", ",").alias("members"))
+
+
+@register("src_csv", "SELECT n_nationkey, n_name FROM nation")
+def src_csv(spark, d):
+    line = tb.csv_text(table(spark, d, "nation").select("n_nationkey", "n_name"))
+    return line.select(F.from_csv("line", "n_nationkey int, n_name string", {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
+
+
+@register("src_tsv_excel", "SELECT r_regionkey, r_name FROM region")
+def src_tsv_excel(spark, d):
+    line = tb.csv_text(table(spark, d, "region"), "\t")
+    return line.select(F.from_csv("line", "r_regionkey int, r_name string", {"sep": "\t", "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+
+
+@register("src_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def src_json(spark, d):
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+SAMPLES = ('{"a":1}', "[1, 2]", "a\tb", "a,b", "word", "{broken, json")
+SAMPLE_ROWS = ", ".join(f"('{s}')" for s in SAMPLES).replace("\t", "' || chr(9) || '")
+
+
+@register("src_format_sniff", f"SELECT t, CASE t WHEN '{SAMPLES[0]}' THEN 'json' WHEN '{SAMPLES[1]}' THEN 'json' WHEN 'word' THEN '' WHEN 'a,b' THEN 'csv' WHEN '{SAMPLES[5]}' THEN 'csv' ELSE 'excel' END AS format FROM (VALUES {SAMPLE_ROWS}) s(t)")
+def src_format_sniff(spark, d):
+    return spark.createDataFrame([(s,) for s in SAMPLES], "t string").select("t", src.sniff_format(F.col("t")).alias("format"))
+
+
+@register("src_separator_detect", "SELECT n, s FROM (VALUES (1, ';'), (2, ','), (3, chr(9)), (4, '|'), (5, ',')) t(n, s)")
+def src_separator_detect(spark, d):
+    rows = [(1, "a;b;c,d"), (2, "a,b;c"), (3, "\n a\tb\tc;d"), (4, "x|y"), (5, "none")]
+    return spark.createDataFrame(rows, "n int, t string").select("n", src.detect_separator(F.col("t")).alias("s"))
+
+
+@register("src_content_type", "SELECT n, k FROM (VALUES (1, 'json'), (2, 'xml'), (3, 'csv'), (4, 'text'), (5, 'log')) t(n, k)")
+def src_content_type(spark, d):
+    rows = [(1, "application/json", "/x", "{}"), (2, "text/xml", "/x", "<a/>"), (3, "text/csv", "/x", "a,b"), (4, "application/json", "/x", "oops"), (5, "text/plain", "/tooling/ApexLog/07L/Body", "x")]
+    return spark.createDataFrame(rows, "n int, t string, u string, b string").select("n", src.content_kind(F.col("t"), F.col("u"), F.col("b")).alias("k"))
+
+
+@register("src_xml_parse", "SELECT n_nationkey AS key, n_name AS name, CAST(2 AS BIGINT) AS tags FROM nation")
+def src_xml_parse(spark, d):
+    xml = F.concat(F.lit("<row><key>"), F.col("n_nationkey").cast("string"), F.lit("</key><name>"), "n_name", F.lit("</name><tag>a</tag><tag>b</tag></row>"))
+    rows = src.parse_xml(table(spark, d, "nation").select(xml.alias("x")), "x", "key int, name string, tag array<string>")
+    return rows.select("record.key", "record.name", F.size("record.tag").cast("long").alias("tags"))
+
+
+@register("src_event_log_file", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def src_event_log_file(spark, d):
+    """A CSV blob held in a row, exploded to its records."""
+    blob = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(F.concat_ws(",", "o_orderkey", "o_orderstatus")), "\n").alias("blob"))
+    each = blob.select("o_custkey", F.explode(F.split("blob", "\n")).alias("line")).select("o_custkey", F.from_csv("line", "k bigint, s string").alias("r"))
+    return each.filter("r.k is not null").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("catalog_rows", "SELECT 'data' AS namespace, 'region' AS name, '0r0' AS key_prefix")
+def catalog_rows(spark, d):
+    return CATALOG.rows(spark).filter("name = 'region'").select("namespace", "name", "key_prefix")
