@@ -1 +1,128 @@
-"""To come."""
+"""Queries of graphs, rules and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from opalgrid.operators import graph as gr
+from opalgrid.plans.dialect import table
+from opalgrid.plans.registry import register
+
+N = F.count(F.lit(1))
+EDGES = (
+    "SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey < 75 UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey < 75 AND p_partkey % 7 <> 0 "
+    "UNION ALL SELECT p_partkey, p_partkey + 60 FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 90 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 40 = 3 AND p_partkey < 150"
+)
+WALK = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM w JOIN e ON e.a = w.node)"
+
+
+def edges(spark, d):
+    """A tree with gaps, fault edges 60 ahead, and edges back to the root."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"))
+    tree = p.filter("a < 75").select("a", (F.col("a") * 2).alias("b")).unionByName(p.filter("a < 75 AND a % 7 <> 0").select("a", (F.col("a") * 2 + 1).alias("b")))
+    faults = p.filter("a % 10 = 0 AND a < 90").select("a", (F.col("a") + 60).alias("b"))
+    return tree.unionByName(faults).unionByName(p.filter("a % 40 = 3 AND a < 150").select("a", F.lit(1).cast("long").alias("b")))
+
+
+def starts(spark, *nodes: int):
+    return spark.createDataFrame([(n,) for n in nodes], "node long")
+
+
+DEPTH = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node WHERE w.depth < 40), n AS (SELECT node, min(depth) AS depth FROM w GROUP BY node)"
+
+
+@register("graph_transitive_out", DEPTH + " SELECT e.a, e.b, CAST(x.depth + 1 AS INTEGER) AS depth, y.depth < x.depth + 1 AS repeated FROM e JOIN n x ON x.node = e.a JOIN n y ON y.node = e.b")
+def graph_transitive_out(spark, d):
+    return gr.dependencies(edges(spark, d), starts(spark, 1))
+
+
+@register("graph_referenced_by", f"SELECT a, b, 1 AS depth, true AS repeated FROM ({EDGES}) WHERE b IN (8, 57)")
+def graph_referenced_by(spark, d):
+    return gr.referenced_by(edges(spark, d), starts(spark, 8, 57))
+
+
+@register("graph_synth_edges", "SELECT p_partkey AS a, 'lookup' AS kind, p_brand AS b FROM part WHERE p_size > 40 UNION ALL SELECT p_partkey, 'value set', p_type FROM part WHERE p_size < 5")
+def graph_synth_edges(spark, d):
+    p = table(spark, d, "part")
+    lookups = p.filter("p_size > 40").select(F.col("p_partkey").alias("a"), F.lit("lookup").alias("kind"), F.col("p_brand").alias("b"))
+    return lookups.unionByName(p.filter("p_size < 5").select(F.col("p_partkey").alias("a"), F.lit("value set").alias("kind"), F.col("p_type").alias("b")))
+
+
+@register("graph_reachable", f"{WALK} SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey < 150 AND p_partkey NOT IN (SELECT node FROM w)")
+def graph_reachable(spark, d):
+    """Elements that nothing reaches from the start."""
+    met = gr.closure(edges(spark, d), starts(spark, 1)).select("node")
+    return table(spark, d, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("node")).join(met, "node", "left_anti")
+
+
+@register("graph_in_loop", "WITH RECURSIVE w AS (SELECT 5::BIGINT AS node UNION SELECT w.node * 2 + i FROM w, (VALUES (0), (5)) t(i) WHERE w.node * 2 + i < 100) SELECT node FROM w JOIN part ON p_partkey = node WHERE p_size % 2 = 0")
+def graph_in_loop(spark, d):
+    """Statements inside a loop: what its next edge reaches before the loop's end."""
+    p = table(spark, d, "part")
+    inside = p.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("a"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 5)).alias("b")).filter("b < 100")
+    met = gr.closure(inside, starts(spark, 5)).select("node")
+    return met.join(p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("node")), "node")
+
+
+@register("graph_cyclomatic", "SELECT p_brand AS flow, CAST(1 + sum(CASE p_size % 3 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN p_size % 4 + 1 ELSE 1 END WHEN 1 THEN 1 ELSE 0 END) AS BIGINT) AS complexity FROM part GROUP BY p_brand HAVING complexity > 25")
+def graph_cyclomatic(spark, d):
+    s = F.col("p_size")
+    nodes = table(spark, d, "part").select(F.col("p_brand").alias("flow"), F.when(s % 3 == 0, "decision").when(s % 3 == 1, "loop").otherwise("assignment").alias("kind"), F.when(s % 2 == 0, s % 4).alias("rules"))
+    return gr.cyclomatic(nodes, "flow").filter("complexity > 25")
+
+
+@register("graph_fault_path", f"{WALK}, v AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM v JOIN e ON e.a = v.node WHERE e.b <> e.a + 60) SELECT node FROM w WHERE node NOT IN (SELECT node FROM v)")
+def graph_fault_path(spark, d):
+    """Reachable, but not without the fault edges."""
+    every = edges(spark, d)
+    normal = gr.closure(every.filter("b <> a + 60"), starts(spark, 1)).select("node")
+    return gr.closure(every, starts(spark, 1)).select("node").join(normal, "node", "left_anti")
+
+
+@register("rule_threshold_cmp", "SELECT p_partkey, p_size FROM part WHERE NOT p_size >= 25")
+def rule_threshold_cmp(spark, d):
+    """A rule ``>= 25`` is violated by its negation."""
+    ops = {">=": F.col("p_size") >= 25, "<": F.col("p_size") < 25}
+    return table(spark, d, "part").filter(~ops[">="]).select("p_partkey", "p_size")
+
+
+@register("rule_regex_name", "SELECT p_partkey FROM part WHERE NOT regexp_full_match(p_type, '[A-Za-z0-9]+ [A-Z]+ [A-T]+')")
+def rule_regex_name(spark, d):
+    return table(spark, d, "part").filter(~F.col("p_type").rlike("^[A-Za-z0-9]+ [A-Z]+ [A-T]+$")).select("p_partkey")
+
+
+#: What a hardcoded id, address and secret look like.
+PATTERNS = {"HardcodedId": r"\b[a-zA-Z0-9]{5}0[a-zA-Z0-9]{9}(?:[a-zA-Z0-9]{3})?\b", "HardcodedUrl": r"https?://", "HardcodedSecret": r'(?i)\b(?:token|secret|api_key)\s*=\s*"[0-9a-f]{20,}"'}
+
+
+@register("rule_hardcoded", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PATTERNS.items()))
+def rule_hardcoded(spark, d):
+    """One scan: the rules that each text breaks."""
+    broken = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in PATTERNS.items()]))
+    return table(spark, d, "documents").select("doc_id", F.explode(broken).alias("rule"))
+
+
+@register("rule_result_flatten", "SELECT p_brand AS flow, coalesce(CASE WHEN p_size > 45 THEN p_name END, '(flow)') AS element, count(*) AS n FROM part GROUP BY 1, 2")
+def rule_result_flatten(spark, d):
+    rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.when(F.col("p_size") > 45, F.col("p_name")).alias("element"))).alias("details"))
+    each = rows.select(F.col("p_brand").alias("flow"), F.explode_outer("details").alias("x"))
+    return each.groupBy("flow", F.coalesce("x.element", F.lit("(flow)")).alias("element")).agg(N.alias("n"))
+
+
+@register("rule_unused_variable", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+def rule_unused_variable(spark, d):
+    used = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
+    return table(spark, d, "nation").join(used, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
+
+
+@register("rule_supported_type", "SELECT event_id, CASE event_type WHEN 'click' THEN value > 50 WHEN 'view' THEN true ELSE false END AS supported FROM events")
+def rule_supported_type(spark, d):
+    t = F.col("event_type")
+    return table(spark, d, "events").select("event_id", F.when(t == "click", F.col("value") > 50).when(t == "view", True).otherwise(False).alias("supported"))
+
+
+@register("sink_dep_report", f"SELECT kind, n, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT p_brand AS kind, count(*) OVER (PARTITION BY p_brand) AS n, p_type || ' x' || count(*) OVER (PARTITION BY p_brand, p_type) AS line, row_number() OVER (PARTITION BY p_brand, p_type) AS k FROM part) WHERE k = 1 GROUP BY kind, n")
+def sink_dep_report(spark, d):
+    per = table(spark, d, "part").groupBy("p_brand", "p_type").agg(N.alias("m"))
+    line = F.concat("p_type", F.lit(" x"), F.col("m").cast("string"))
+    return per.groupBy(F.col("p_brand").alias("kind")).agg(F.sum("m").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

@@ -1 +1,103 @@
-"""To come."""
+"""Queries over event streams, each run to the end of what is available."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import functions as F
+
+from opalgrid.plans.dialect import table
+from opalgrid.plans.registry import register
+from opalgrid.streaming import events as st
+
+N = F.count(F.lit(1))
+
+
+def stream(spark, d, **how):
+    """The events table as a stream: its folder is watched for event files alone."""
+    schema = table(spark, d, "events").schema
+    return st.subscribe(spark, f"{d}/events.parquet*", schema, **how)
+
+
+SUBSCRIBE = "SELECT event_id, '/event/' || event_type AS channel FROM events"
+
+
+@register("stream_subscribe", SUBSCRIBE)
+@register("src_stream", SUBSCRIBE)
+def stream_subscribe(spark, d):
+    return st.drained(stream(spark, d).select("event_id", F.concat(F.lit("/event/"), "event_type").alias("channel")))
+
+
+@register("stream_replay", "SELECT event_id FROM events WHERE event_id > 500")
+def stream_replay(spark, d):
+    return st.drained(stream(spark, d, replay=500).select("event_id"))
+
+
+@register("stream_dedup", "SELECT event_id, event_type FROM events")
+def stream_dedup(spark, d):
+    twice = stream(spark, d).withColumn("event_id", F.explode(F.array("event_id", "event_id")))
+    return st.drained(st.without_repeats(twice).select("event_id", "event_type"))
+
+
+@register("stream_newest_first", "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 100")
+def stream_newest_first(spark, d):
+    return st.drained(stream(spark, d).select("event_id", "ts")).orderBy(F.desc("ts"), "event_id").limit(100).select("event_id")
+
+
+@register("stream_filter", "SELECT event_id FROM events WHERE contains(lower(event_type || props), 'err') OR contains(props, '\"k\":7}') OR contains(props, '\"k\": 7}')")
+def stream_filter(spark, d):
+    rows = stream(spark, d).select("event_id", "event_type", "props")
+    few = rows.select("event_id", "event_type", F.regexp_replace("props", " ", "").alias("props"))
+    return st.drained(few.filter(F.contains(F.lower(F.to_json(F.struct("event_type", "props"))), F.lit("err")) | F.contains("props", F.lit('"k":7}'))).select("event_id"))
+
+
+@register("stream_channel_list", "SELECT 'All Change Events' AS label, 0 AS place UNION ALL SELECT DISTINCT event_type, 1 FROM events")
+def stream_channel_list(spark, d):
+    head = spark.range(1).select(F.lit("All Change Events").alias("label"), F.lit(0).alias("place"))
+    return head.unionByName(table(spark, d, "events").select(F.col("event_type").alias("label"), F.lit(1).alias("place")).distinct())
+
+
+GENERATED = "SELECT 'c_name,c_acctbal,c_mktsegment' AS fields, count(*) AS n FROM nation"
+
+
+@register("stream_generate", GENERATED)
+@register("sink_publish", GENERATED)
+def stream_generate(spark, d):
+    """Seeded payloads for the settable fields of an object, appended to a stream's folder and read back."""
+    settable = [f for f in table(spark, d, "customer").schema.fields if f.name not in ("c_custkey", "c_nationkey")]
+    values = [(F.concat(F.lit("v"), F.floor(F.rand(3) * 1000).cast("string")) if f.dataType.simpleString() == "string" else F.round(F.rand(4) * 100, 2)).alias(f.name) for f in settable]
+    folder = tempfile.mkdtemp(prefix="opalgrid-publish-") if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/publish-{spark.sparkContext.applicationId}"
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("replay_id"), F.struct(*values).alias("payload"))
+    rows.write.mode("overwrite").parquet(folder)
+    back = spark.read.parquet(folder)
+    return back.agg(N.alias("n")).select(F.lit(",".join(f.name for f in settable)).alias("fields"), "n")
+
+
+@register("stream_running_stats", "SELECT event_type, count(*) AS total, round(sum(value), 4) AS spent FROM events GROUP BY event_type")
+def stream_running_stats(spark, d):
+    rows = stream(spark, d).groupBy("event_type").agg(N.alias("total"), F.sum("value").alias("spent"))
+    return st.drained(rows, "complete").select("event_type", "total", F.round("spent", 4).alias("spent"))
+
+
+@register("stream_error_ring", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 10")
+def stream_error_ring(spark, d):
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="opalgrid-ring-")
+    folder = f"{base.rstrip('/')}/ring-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    errors = stream(spark, d).filter("event_type = 'error'").select("event_id", "ts")
+    query = errors.writeStream.foreachBatch(st.ring(folder, 10, "ts", "event_id")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = max(p["batchId"] for p in query.recentProgress)
+    return spark.read.schema(errors.schema).parquet(f"{folder}/{last}").select("event_id")
+
+
+@register("stream_window_limits", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_window_limits(spark, d):
+    timed = stream(spark, d).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
+    rows = st.drained(timed.groupBy(F.window("t", "1 day"), "event_type").agg(N.alias("n")), "complete")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@register("stream_poll", "SELECT count(*) AS n, true AS done FROM events")
+def stream_poll(spark, d):
+    rows = st.drained(stream(spark, d).select("event_id"))
+    return rows.agg(N.alias("n")).withColumn("done", F.lit(True))
