@@ -141,7 +141,7 @@ def mix_sources(
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mix itself: each document's row as often as it was taken, with its columns unchanged."""
     copies = mix_sources(docs, id_col=id_col, **how).filter("copies > 0")
-    copies = copies.select(F.col(id_col).alias("_mixed"), "copies").dropDuplicates(["_mixed"])
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("_mixed")))
-    times = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("_copy")
+    copies = copies.select(F.col(id_col).alias("__mixed"), F.col("copies").alias("__copies")).dropDuplicates(["__mixed"])
+    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("__mixed")))
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("__copy")

@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col
         rows.sort(key=lambda r: r[0])
         yield pd.DataFrame({"weights": [ftrl([r[1:] for r in rows]).tobytes()]})
 
-    return bytes(sample.repartition(1).mapInPandas(learn, "weights binary").first()["weights"])
+    row = sample.repartition(1).mapInPandas(learn, "weights binary").first()
+    return bytes(row["weights"]) if row else bytes(4 << BITS)
 
 
 def scorer(weights: bytes) -> Callable[[Column], Column]:
