@@ -45,12 +45,20 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def _places(h1: Any, h2: Any, level: int, bits: int, hashes: int) -> Any:
-    """Bit positions, one row per hash, by double hashing that differs from level to level."""
+    """Bit positions, one row per hash: double hashing of two hashes that are mixed anew for every level, so that keys
+    that collide on one level do not on the next."""
     import numpy as np
 
+    def mixed(h: Any, salt: int) -> Any:
+        h = h + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
     with np.errstate(over="ignore"):
-        step = (h2 | np.uint64(1)) * np.uint64(2 * level + 1)
-        return np.array([(h1 + (step + np.uint64(level)) * np.uint64(i + 1)) % np.uint64(bits) for i in range(hashes)])
+        both = mixed(h1, 2 * level) ^ h2
+        first, step = mixed(both, 2 * level + 1) >> np.uint64(1), mixed(both, 2 * level + 2) >> np.uint64(1)
+        return np.array([(first + step * np.uint64(i)) % np.uint64(bits) for i in range(hashes)])
 
 
 def _passes(filter_bits: Any, places: Any) -> Any:
