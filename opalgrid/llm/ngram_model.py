@@ -101,7 +101,7 @@ def _add_up(keys: Any, values: list[Any]) -> tuple[Any, Any, list[Any]]:
     """Distinct keys ascending, the index of each one's first row, and the sums of the values."""
     import numpy as np
 
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return ordered[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
@@ -135,15 +135,14 @@ def _unpack(blob: bytes, width: int) -> tuple[list[Any], Any]:
 
 
 def _parted(kind: str, keys: Any, columns: list[Any], counts: Any, shift: int, width: int) -> Iterator[tuple[str, int, bytes]]:
-    """Packed rows per part; ``keys`` decide the part by their top bits."""
+    """Packed rows per part; ``keys``, ascending, decide the part by their top bits."""
     import numpy as np
 
     part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), dtype=np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    for rows in np.split(order, cuts):
-        if len(rows):
-            yield kind, int(part[rows[0]]), _pack([c[rows] for c in columns], counts[rows], width)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b > a:
+            yield kind, int(part[a]), _pack([c[a:b] for c in columns], counts[a:b], width)
 
 
 def _save(folder: str, name: str, array: Any) -> None:
@@ -307,27 +306,61 @@ class Arrays:
         return out[back.ravel()]
 
 
+class WordIds(dict):
+    """Numbers words in order of appearance; ``new`` holds those that are not looked up yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Scorer:
+    """Scores texts. What the arrays say of a word alone is remembered, so that common words are looked up once."""
+
     def __init__(self, model: NgramModel):
+        import numpy as np
+
         self.model, self.hashes = model, WordHashes()
         self.raw = Arrays(model, "u", 48, "<u4")
         self.counts = {k: Arrays(model, f"g{k}", 40 if k == 1 else 64, "<u4") for k in range(1, model.order + 1)}
         self.contexts = {k: Arrays(model, f"c{k}", 40 if k == 2 else 64, "<f4") for k in range(2, model.order + 1)}
+        self.start = self.contexts[2].find(np.zeros(1, dtype=np.uint64), 2)[0] if model.order > 1 else np.zeros(2)
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.ids, self.narrow = WordIds(), np.zeros(0, dtype=np.uint64)
+        self.known = np.zeros((0, 4))  # raw count, adjusted count, total and gamma as a context
+
+    def _learn(self) -> None:
+        import numpy as np
+
+        full = np.fromiter(map(self.hashes.__getitem__, self.ids.new), dtype=np.uint64, count=len(self.ids.new))
+        narrow = full >> np.uint64(NARROW)
+        context = self.contexts[2].find(narrow, 2) if self.model.order > 1 else np.zeros((len(narrow), 2))
+        rows = np.column_stack([self.raw.find(full, 1), self.counts[1].find(narrow, 1), context])
+        self.known, self.narrow, self.ids.new = np.concatenate([self.known, rows]), np.concatenate([self.narrow, narrow]), []
 
-    def probabilities(self, columns: list[Any]) -> Any:
-        """Model probability of the last word of each n-gram given those before it."""
+    def probabilities(self, columns: list[Any], adjusted: Any, context: Any) -> Any:
+        """Model probability of the last word of each n-gram given those before it; both arrays are of single words."""
         import numpy as np
 
         m = self.model
-        p = np.full(len(columns[0]), 1 / (m.vocabulary + 1))
+        p = np.full(len(adjusted), 1 / (m.vocabulary + 1))
         for k in range(1, m.order + 1):
             own = columns[m.order - k :]
-            a = self.counts[k].find(own[0] if k == 1 else mix(own), 1)[:, 0]
+            a = adjusted if k == 1 else self.counts[k].find(mix(own), 1)[:, 0]
             d = np.array([0.0, *m.discounts[k]])[np.minimum(a, 3).astype(np.int64)]
             if k == 1:
                 total, gamma = np.full(len(p), m.base[0]), np.full(len(p), m.base[1])
             else:
-                total, gamma = self.contexts[k].find(own[0] if k == 2 else mix(own[:-1]), 2).T
+                total, gamma = context.T if k == 2 else self.contexts[k].find(mix(own[:-1]), 2).T
             known = total > 0
             p = np.where(known, np.maximum(a - d, 0) / np.where(known, total, 1) + gamma * p, p)
         return p
@@ -336,11 +369,20 @@ class Scorer:
         import numpy as np
 
         m = self.model
-        tokens, lengths = token_stream(texts, self.hashes)
+        if len(self.ids) > CACHE:
+            self._forget()
+        split = [[*t.encode("utf-8", "surrogatepass").lower().split(), END] for t in texts]
+        lengths = np.array([len(w) for w in split], dtype=np.int64)
+        flat = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
+        if self.ids.new:
+            self._learn()
         doc = np.repeat(np.arange(len(texts)), lengths)
-        c = self.raw.find(tokens, 1)[:, 0]
+        c, adjusted = self.known[flat, 0], self.known[flat, 1]
+        context = np.empty((len(flat), 2))
+        context[1:] = self.known[flat[:-1], 2:]
+        context[np.cumsum(lengths) - lengths] = self.start
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        score = np.log10(self.probabilities(grams(tokens >> np.uint64(NARROW), lengths, m.order)))
+        score = np.log10(self.probabilities(grams(self.narrow[flat], lengths, m.order), adjusted, context))
         sums = [np.bincount(doc, weights=w, minlength=len(texts)) for w in (c > 0, base, score)]
         return lengths, sums[0].astype(np.int64), sums[1], sums[2]
 
