@@ -8,7 +8,8 @@ from opalgrid.operators import graph as gr
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 EDGES = (
     "SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey < 75 UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey < 75 AND p_partkey % 7 <> 0 "
     "UNION ALL SELECT p_partkey, p_partkey + 60 FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 90 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 40 = 3 AND p_partkey < 150"
@@ -106,7 +107,7 @@ def rule_hardcoded(spark, d):
 def rule_result_flatten(spark, d):
     rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.when(F.col("p_size") > 45, F.col("p_name")).alias("element"))).alias("details"))
     each = rows.select(F.col("p_brand").alias("flow"), F.explode_outer("details").alias("x"))
-    return each.groupBy("flow", F.coalesce("x.element", F.lit("(flow)")).alias("element")).agg(N.alias("n"))
+    return each.groupBy("flow", F.coalesce("x.element", F.lit("(flow)")).alias("element")).agg(n_rows().alias("n"))
 
 
 @register("rule_unused_variable", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
@@ -123,6 +124,6 @@ def rule_supported_type(spark, d):
 
 @register("sink_dep_report", f"SELECT kind, n, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT p_brand AS kind, count(*) OVER (PARTITION BY p_brand) AS n, p_type || ' x' || count(*) OVER (PARTITION BY p_brand, p_type) AS line, row_number() OVER (PARTITION BY p_brand, p_type) AS k FROM part) WHERE k = 1 GROUP BY kind, n")
 def sink_dep_report(spark, d):
-    per = table(spark, d, "part").groupBy("p_brand", "p_type").agg(N.alias("m"))
+    per = table(spark, d, "part").groupBy("p_brand", "p_type").agg(n_rows().alias("m"))
     line = F.concat("p_type", F.lit(" x"), F.col("m").cast("string"))
     return per.groupBy(F.col("p_brand").alias("kind")).agg(F.sum("m").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))

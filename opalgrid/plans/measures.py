@@ -12,7 +12,8 @@ from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 from opalgrid.plans.shaping import limits
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def _usage(name: str, filled: str, total: str) -> str:
@@ -44,12 +45,12 @@ def agg_api_stats(spark, d):
 def agg_api_avg(spark, d):
     rows = calls(spark, d).rollup("mode")
     minutes = (F.unix_seconds(F.date_trunc("minute", F.max("ts")).cast("timestamp")) - F.unix_seconds(F.date_trunc("minute", F.min("ts")).cast("timestamp"))) / 60
-    return rows.agg(F.when(N > 0, F.floor(F.sum("duration") / N + 0.5)).otherwise(0).cast("double").alias("average"), F.floor(minutes).alias("minutes"))
+    return rows.agg(F.when(n_rows() > 0, F.floor(F.sum("duration") / n_rows() + 0.5)).otherwise(0).cast("double").alias("average"), F.floor(minutes).alias("minutes"))
 
 
 @register("agg_perf_batches", "SELECT count(*) AS n, round(avg(value), 1) AS average, round(min(value), 1) AS lowest, round(max(value), 1) AS highest FROM events HAVING count(*) > 1")
 def agg_perf_batches(spark, d):
-    rows = table(spark, d, "events").agg(N.alias("n"), *[F.round(f("value"), 1).alias(k) for k, f in (("average", F.avg), ("lowest", F.min), ("highest", F.max))])
+    rows = table(spark, d, "events").agg(n_rows().alias("n"), *[F.round(f("value"), 1).alias(k) for k, f in (("average", F.avg), ("lowest", F.min), ("highest", F.max))])
     return rows.filter("n > 1")
 
 
@@ -76,29 +77,29 @@ def part_groups(spark, d):
 
 @register("agg_dep_groups", f"SELECT {GROUP_SQL} AS kind, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM part GROUP BY 1")
 def agg_dep_groups(spark, d):
-    rows = part_groups(spark, d).groupBy("kind").agg(N.alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("keys"))
+    rows = part_groups(spark, d).groupBy("kind").agg(n_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("keys"))
     return rows.orderBy(F.desc("n"), "kind")
 
 
 @register("agg_dep_flat_groups", f"SELECT kind, count(*) AS n FROM (SELECT {GROUP_SQL} AS kind, p_size, min(p_partkey) AS k FROM part GROUP BY 1, 2) GROUP BY kind")
 def agg_dep_flat_groups(spark, d):
-    return rk.first_per_key(part_groups(spark, d), ["kind", "p_size"], [F.col("p_partkey")]).groupBy("kind").agg(N.alias("n"))
+    return rk.first_per_key(part_groups(spark, d), ["kind", "p_size"], [F.col("p_partkey")]).groupBy("kind").agg(n_rows().alias("n"))
 
 
 @register("agg_dep_counts", "SELECT l_returnflag, count(*) AS total, count(DISTINCT (l_partkey, l_suppkey)) AS different FROM lineitem GROUP BY l_returnflag")
 def agg_dep_counts(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(N.alias("total"), F.count_distinct("l_partkey", "l_suppkey").alias("different"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(n_rows().alias("total"), F.count_distinct("l_partkey", "l_suppkey").alias("different"))
 
 
 @register("agg_type_breakdown", "SELECT p_type, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, p_type")
 def agg_type_breakdown(spark, d):
-    return table(spark, d, "part").groupBy("p_type").agg(N.alias("n")).orderBy(F.desc("n"), "p_type")
+    return table(spark, d, "part").groupBy("p_type").agg(n_rows().alias("n")).orderBy(F.desc("n"), "p_type")
 
 
 @register("agg_severity_groups", "SELECT CASE event_type WHEN 'error' THEN 1 ELSE 3 END AS place, event_type AS rule, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")
 def agg_severity_groups(spark, d):
     order = F.array_position(F.array(*[F.lit(x) for x in ("error", "warning", "info", "note")]), tx.severity(F.col("event_type"))).cast("int")
-    return table(spark, d, "events").groupBy(order.alias("place"), F.col("event_type").alias("rule")).agg(N.alias("n"), F.min("event_id").alias("first_id"))
+    return table(spark, d, "events").groupBy(order.alias("place"), F.col("event_type").alias("rule")).agg(n_rows().alias("n"), F.min("event_id").alias("first_id"))
 
 
 @register("agg_field_by_label", "SELECT lower(p_type) AS label, count(DISTINCT p_brand) AS objects, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS names FROM part GROUP BY 1")
@@ -115,12 +116,12 @@ def agg_manifest(spark, d):
 @register("agg_purge_stats", "SELECT o_custkey, count(*) AS found, count(*) FILTER (WHERE o_orderstatus <> 'P') AS deleted, bool_and(o_orderstatus <> 'P') AS done FROM orders GROUP BY o_custkey")
 def agg_purge_stats(spark, d):
     ok = F.col("o_orderstatus") != "P"
-    return table(spark, d, "orders").groupBy("o_custkey").agg(N.alias("found"), F.count_if(ok).alias("deleted"), F.bool_and(ok).alias("done"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows().alias("found"), F.count_if(ok).alias("deleted"), F.bool_and(ok).alias("done"))
 
 
 @register("agg_group_urls", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n, string_agg(url, ' ' ORDER BY url) AS urls FROM pages GROUP BY 1")
 def agg_group_urls(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(N.alias("n"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls"))
+    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(n_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls"))
 
 
 @register("agg_section_groups", "SELECT o_orderpriority, max(n) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k <= 5 GROUP BY 1")
@@ -128,7 +129,7 @@ def agg_section_groups(spark, d):
     rows = table(spark, d, "orders")
     w = Window.partitionBy("o_orderpriority").orderBy("o_orderkey")
     few = rows.select("o_orderpriority", "o_orderkey", F.row_number().over(w).alias("k")).filter("k <= 5").groupBy("o_orderpriority").agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")), ",").alias("sample"))
-    return few.join(rows.groupBy("o_orderpriority").agg(N.alias("n")), "o_orderpriority").select("o_orderpriority", "n", "sample")
+    return few.join(rows.groupBy("o_orderpriority").agg(n_rows().alias("n")), "o_orderpriority").select("o_orderpriority", "n", "sample")
 
 
 @register("agg_match_count", "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'the')) AS BIGINT) AS n FROM documents")
@@ -271,14 +272,14 @@ def rank_schema_objects(spark, d):
 
 @register("topk_endpoints", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
 def topk_endpoints(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(N.alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+    return table(spark, d, "events").groupBy("user_id").agg(n_rows().alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
 
 
 @register("page_logs", "SELECT event_id, 75 < (SELECT count(*) FROM events) AS has_more FROM events ORDER BY ts DESC, event_id LIMIT 25 OFFSET 50")
 def page_logs(spark, d):
     size, page = 25, 2
     logs = table(spark, d, "events")
-    more = logs.agg((N > (page + 1) * size).alias("has_more"))
+    more = logs.agg((n_rows() > (page + 1) * size).alias("has_more"))
     rows = logs.orderBy(F.desc("ts"), "event_id").offset(page * size).limit(size).select("event_id")
     return rows.join(F.broadcast(more))  # one row is broadcast
 

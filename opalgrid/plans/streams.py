@@ -10,7 +10,8 @@ from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 from opalgrid.streaming import events as st
 
-N = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def stream(spark, d, **how):
@@ -70,12 +71,12 @@ def stream_generate(spark, d):
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("replay_id"), F.struct(*values).alias("payload"))
     rows.write.mode("overwrite").parquet(folder)
     back = spark.read.parquet(folder)
-    return back.agg(N.alias("n")).select(F.lit(",".join(f.name for f in settable)).alias("fields"), "n")
+    return back.agg(n_rows().alias("n")).select(F.lit(",".join(f.name for f in settable)).alias("fields"), "n")
 
 
 @register("stream_running_stats", "SELECT event_type, count(*) AS total, round(sum(value), 4) AS spent FROM events GROUP BY event_type")
 def stream_running_stats(spark, d):
-    rows = stream(spark, d).groupBy("event_type").agg(N.alias("total"), F.sum("value").alias("spent"))
+    rows = stream(spark, d).groupBy("event_type").agg(n_rows().alias("total"), F.sum("value").alias("spent"))
     return st.drained(rows, "complete").select("event_type", "total", F.round("spent", 4).alias("spent"))
 
 
@@ -93,11 +94,11 @@ def stream_error_ring(spark, d):
 @register("stream_window_limits", "SELECT strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_window_limits(spark, d):
     timed = stream(spark, d).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 hour")
-    rows = st.drained(timed.groupBy(F.window("t", "1 day"), "event_type").agg(N.alias("n")), "complete")
+    rows = st.drained(timed.groupBy(F.window("t", "1 day"), "event_type").agg(n_rows().alias("n")), "complete")
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @register("stream_poll", "SELECT count(*) AS n, true AS done FROM events")
 def stream_poll(spark, d):
     rows = st.drained(stream(spark, d).select("event_id"))
-    return rows.agg(N.alias("n")).withColumn("done", F.lit(True))
+    return rows.agg(n_rows().alias("n")).withColumn("done", F.lit(True))
