@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opalgrid.llm import exact_dedup, license_scan, mixing, ngram_model, packing, pii, quality_classifier, quality_rules, simhash, url_filter
+from opalgrid.llm import exact_dedup, license_scan, mixing, near_copies, ngram_model, packing, pii, quality_classifier, quality_rules, simhash, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, kept string, copies int, fp string, label int"
@@ -52,12 +52,12 @@ def runs(labels):
     return {
         "packing": packing.pack_documents, "license": license_scan.scan_licenses, "dedup": exact_dedup.dedup_report, "drop": exact_dedup.drop_exact_copies, "mix": mixing.mix_sources, "apply": mixing.apply_mix,
         "ngram": ngram_model.score_documents, "classifier": lambda d: quality_classifier.score_documents(d, labels), "good": lambda d: quality_classifier.keep_good(d, labels),
-        "rules": lambda d: quality_rules.judge_documents(d, labels), "simhash": simhash.near_duplicates, "near": simhash.drop_near_copies, "pii": pii.find_personal_data,
+        "rules": lambda d: quality_rules.judge_documents(d, labels), "simhash": simhash.near_duplicates, "near": simhash.drop_near_copies, "alike": near_copies.drop_near_copies, "pii": pii.find_personal_data,
     }
 
 
 PER_DOCUMENT = {"dedup", "mix", "ngram", "classifier", "rules", "simhash", "pii"}
-FILTERS = {"drop", "apply", "good", "near"}
+FILTERS = {"drop", "apply", "good", "near", "alike"}
 
 
 @pytest.mark.parametrize("name", sorted(runs(None)))
@@ -156,6 +156,49 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     assert got == {(d, c) for d, c in want if sum(x == c for _, x in want) > 1}
 
 
+def resembling(rows: list[tuple[int, str]]) -> set[tuple[int, int]]:
+    """(id, smallest id of its component) by comparing all pairs."""
+    sets, label = {}, {}
+    for i, text in rows:
+        w = text.encode().lower().split()
+        sets[i], label[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), i
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and label[a] != label[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return set(label.items())
+
+
+@pytest.mark.parametrize("partners", [2048, 3])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, partners):
+    monkeypatch.setattr(near_copies, "PARTNERS", partners)
+    own, rows = random.Random(11), []
+    words = [f"w{k}" for k in range(500)]
+    for _ in range(6):  # drifting chains: neighbours are near, ends are not
+        text = own.choices(words, k=130)
+        for _ in range(12):
+            rows.append(" ".join(text))
+            for at in own.sample(range(130), own.choice((1, 2, 3))):
+                text[at] = own.choice(words)
+    base = own.choices(words, k=60)
+    rows += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 60, 2)] + ["", " \n", "one two", "ONE  two", "one three"]
+    rows += [" ".join(own.choices(words, k=own.randint(1, 80))) for _ in range(40)]
+    own.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    want = resembling(list(enumerate(rows)))
+    assert {(r["id"], r["keep_id"]) for r in near_copies.near_groups(docs).collect()} == want
+    assert {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()} == {b for _, b in want}
+
+
+def test_near_copies_keep_ids_that_two_texts_share(spark):
+    long = " ".join(f"w{k}" for k in range(90))
+    docs = spark.createDataFrame([(1, long), (2, long + " x"), (2, "another text"), (None, long)], "doc_id long, text string")
+    left = {(r["doc_id"], r["text"]) for r in near_copies.drop_near_copies(docs).collect()}
+    assert left == {(1, long), (2, "another text"), (None, long)}
+
+
 def test_language_model_is_kneser_ney(docs):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
     tokens = [(r[0], [*WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "")), "</s>"]) for r in ROWS]
