@@ -6,8 +6,12 @@ its format (digits, groups, separators, checksum) and its context (cue words and
 thresholds are calibrated on rows set apart, and candidates above their threshold that touch no base span are added.
 
 No labels exist for personal data, so the trees learn from the corpus's own base spans: they are the positives, and
-again with their give-away marks taken off (the plus of a phone number, the at sign of an address), so that the rest of
-the format and the context must carry the decision; candidates that failed the base checks are the negatives.
+again with their give-away marks taken off (the plus and brackets of a phone number, the at sign of an address), so that
+the rest of the format and the context must carry the decision; candidates that failed the base checks are negatives.
+The features of a number's format are zero for an address, whose digits and letters say nothing about it. A candidate of
+the further generators takes its label from what it overlaps: a base span of its own kind makes it a positive, any other
+base candidate a negative. One that overlaps nothing has no label: it is what the model decides on. It counts as a
+negative of the small weight UNLABELLED, and not at all when thresholds are calibrated.
 
 Everything is a DataFrame expression or an aggregate. Patterns are scanned once per text; all later steps see the
 candidates only. Possessive quantifiers keep the scans linear and off the stack in texts of any length.
@@ -39,9 +43,10 @@ EXTRA = {
     "spelled": ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]++(?: ?[(\[] ?at ?[)\]] ?)[A-Za-z0-9-]++(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]++)++", r"[(\[] ?at ?[)\]]"),
     "groups": ("phone", r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}+(?![0-9A-Za-z])", r"[0-9][ .)-][ (]?[0-9]"),
 }
-FEATURES = ("digits", "groups", "longest", "separators", "plus", "bracket", "letters", "luhn", "octets", "cue_phone", "cue_mail", "cue_card", "cue_net", "glued", "at")
+FEATURES = ("digits", "groups", "longest", "separators", "plus", "bracket", "letters", "luhn", "octets", "cue_phone", "cue_mail", "cue_card", "cue_net", "glued", "at", "address")
 TREES, RATE, RIDGE = 8, 0.5, 1.0
 PRECISION = 0.98
+UNLABELLED = 0.1
 
 
 ITEM = "struct<name:string,i:int,gap:int,hit:string,left:string,right:string>"
@@ -93,27 +98,50 @@ def _spans(proposals: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     each = each.withColumn("base", holds).withColumn("luhn", luhn.cast("int")).withColumn("octets", octets.cast("int"))
-    return each.filter((F.col("name") != "card") | F.col("base") | n.between(13, 19))
+    return each.filter((F.col("name") != "card") | F.col("base") | n.between(13, 19)).filter((F.col("name") != "groups") | n.between(9, 15))
+
+
+def _meets(rows: DataFrame) -> DataFrame:
+    """Adds ``_same`` and ``_other``: whether a base span of the row's kind, or another candidate of the base
+    generators, overlaps the row. Two running extremes over a document's spans in order; no pairs are made."""
+    order = Window.partitionBy("_uid").orderBy("start", "end", "name")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    plain = F.col("name").isin(*BASE)
+
+    def met(which: Column) -> Column:
+        ahead = F.max(F.when(which, F.col("end"))).over(before) > F.col("start")
+        behind = F.min(F.when(which, F.col("start"))).over(after) < F.col("end")
+        return F.coalesce(ahead, F.lit(False)) | F.coalesce(behind, F.lit(False))
+
+    same = other = F.lit(False)
+    for kind in sorted({k for k, _, _ in EXTRA.values()}):
+        good = F.col("base") & (F.col("kind") == kind)
+        same = F.when(F.col("kind") == kind, met(plain & good)).otherwise(same)
+        other = F.when(F.col("kind") == kind, met(plain & ~good)).otherwise(other)
+    return rows.withColumn("_same", same).withColumn("_other", other)
 
 
 def _featured(spans: DataFrame) -> DataFrame:
     sides = F.concat("left", F.lit(" "), "right")
     glued = F.col("left").rlike("[a-z0-9_=\"]$") | F.col("right").rlike("^[a-z0-9_\"]")
+    address = F.col("kind") == "email"
+    hit = F.when(address, F.lit("")).otherwise(F.col("hit"))
     return spans.select(
         "_uid", "name", "kind", "start", "end", "base", "luhn", "octets",
-        F.least(F.length("_d"), F.lit(24)).alias("digits"),
-        F.least(F.size(F.array_remove(F.split("hit", "[^0-9]+"), "")), F.lit(9)).alias("groups"),
-        F.least(F.array_max(F.transform(F.split("hit", "[^0-9]+"), F.length)), F.lit(20)).alias("longest"),
-        F.least(F.length(F.regexp_replace("hit", "[^ ().-]", "")), F.lit(9)).alias("separators"),
+        F.least(F.length(F.regexp_replace(hit, "[^0-9]", "")), F.lit(24)).alias("digits"),
+        F.least(F.size(F.array_remove(F.split(hit, "[^0-9]+"), "")), F.lit(9)).alias("groups"),
+        F.least(F.array_max(F.transform(F.split(hit, "[^0-9]+"), F.length)), F.lit(20)).alias("longest"),
+        F.least(F.length(F.regexp_replace(hit, "[^ ().-]", "")), F.lit(9)).alias("separators"),
         F.contains("hit", F.lit("+")).cast("int").alias("plus"),
-        F.contains("hit", F.lit("(")).cast("int").alias("bracket"),
-        F.least(F.length(F.regexp_replace("hit", "[^A-Za-z]", "")), F.lit(20)).alias("letters"),
+        F.contains(hit, F.lit("(")).cast("int").alias("bracket"),
+        F.least(F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), F.lit(20)).alias("letters"),
         sides.rlike("phone|tel|call|fax|mobile").cast("int").alias("cue_phone"),
         sides.rlike("mail|contact|write to").cast("int").alias("cue_mail"),
         sides.rlike("card|visa|iban|account").cast("int").alias("cue_card"),
         sides.rlike("server|host|addr|login| ip").cast("int").alias("cue_net"),
         glued.cast("int").alias("glued"),
         F.contains("hit", F.lit("@")).cast("int").alias("at"),
+        address.cast("int").alias("address"),
     )
 
 
@@ -181,11 +209,16 @@ def boost(rows: DataFrame, trees: int = TREES) -> Column | None:
 
 
 def _training(rows: DataFrame) -> DataFrame:
-    """Labelled rows with weights; positives also without their give-away marks."""
-    seen = rows.filter("name IN ('email', 'ip', 'card', 'phone')").withColumn("y", F.col("base").cast("int")).withColumn("w", F.lit(1.0))
-    bare = seen.filter("base").withColumn("plus", F.lit(0)).withColumn("at", F.lit(0))
-    other = rows.filter("name NOT IN ('email', 'ip', 'card', 'phone')").withColumn("y", F.lit(0)).withColumn("w", F.lit(1.0))
-    return seen.unionByName(bare).unionByName(other)
+    """Rows with y, w and ``known`` (whether y is a label); positives also without their give-away marks."""
+    rows = _meets(rows)
+    plain = F.col("name").isin(*BASE)
+    known = plain | F.col("_same") | F.col("_other")
+    rows = rows.withColumn("y", F.when(plain, F.col("base")).otherwise(F.col("_same")).cast("int"))
+    rows = rows.withColumn("known", known).withColumn("w", F.when(known, F.lit(1.0)).otherwise(F.lit(UNLABELLED))).drop("_same", "_other")
+    good = rows.filter("y = 1")
+    bare = good.withColumn("plus", F.lit(0)).withColumn("at", F.lit(0))
+    open_ = good.filter("bracket = 1").withColumn("plus", F.lit(0)).withColumn("bracket", F.lit(0))
+    return rows.unionByName(bare).unionByName(open_)
 
 
 def _thresholds(rows: DataFrame, score: Column) -> dict[str, float]:
@@ -210,7 +243,7 @@ def added_spans(spans: DataFrame) -> DataFrame:
     score = boost(labelled.filter("_fold <> 0"))
     if score is None:
         return rows.filter("false").select("_uid", "kind", "start", "end")
-    limits = _thresholds(labelled.filter("_fold = 0"), score)
+    limits = _thresholds(labelled.filter("_fold = 0 AND known"), score)
     limit = F.lit(float("inf"))
     for kind, value in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)

@@ -276,6 +276,23 @@ def test_personal_data_base_spans(docs):
         assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(r["spans"].split(",")) | {""}
 
 
+def test_personal_data_adds_spans(spark):
+    """Numbers without the plus and spelled-out addresses are added; addresses of hosts and number lists are not."""
+    own = random.Random(5)
+    n = lambda k: "".join(own.choice("0123456789") for _ in range(k))
+    octets = lambda: ".".join(str(own.randint(10, 255)) for _ in range(4))
+    texts = [own.choice([lambda: f"+1 ({n(3)}) 555-{n(4)}", octets, lambda: f"a.{n(2)}@mail{n(1)}.example.com", lambda: n(16), lambda: prose(9)])() for _ in range(600)]
+    texts = [f"{prose(6)} {t} {prose(6)}" for t in texts]
+    extra = ["(415) 555-2671", "anna (at) example (dot) com"]
+    clean = [octets(), "999.888.777.666", "12.05.2024", "2024-01-15 10", "7 of 10", n(12)]
+    rows = [*enumerate(texts), *((10_000 + i, f"so {t} it") for i, t in enumerate(extra)), *((20_000 + i, f"so {t} it") for i, t in enumerate(clean))]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10_000]["spans"] == f"phone:3:{3 + len(extra[0])}" and got[10_000]["n_phone"] == 0
+    assert got[10_001]["spans"] == f"email:3:{3 + len(extra[1])}" and got[10_001]["n_email"] == 0
+    beyond = lambda r: (r["spans"].count(":") // 2) - r["n_email"] - r["n_ip"] - r["n_card"] - r["n_phone"]
+    assert not any(beyond(r) for i, r in got.items() if not 10_000 <= i < 20_000)
+
+
 def test_licenses_equal_brute_force(docs):
     got = {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(docs).collect()}
     want = set()
