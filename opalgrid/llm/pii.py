@@ -11,7 +11,8 @@ the rest of the format and the context must carry the decision; candidates that
 The features of a number's format are zero for an address, whose digits and letters say nothing about it. A candidate of
 the further generators takes its label from what it overlaps: a base span of its own kind makes it a positive, any other
 base candidate a negative. One that overlaps nothing has no label: it is what the model decides on. It counts as a
-negative of the small weight UNLABELLED, and not at all when thresholds are calibrated.
+negative of the small weight UNLABELLED, and not at all when thresholds are calibrated. A match that failed its base
+check is never added.
 
 Everything is a DataFrame expression or an aggregate. Patterns are scanned once per text; all later steps see the
 candidates only. Possessive quantifiers keep the scans linear and off the stack in texts of any length.
@@ -247,7 +248,7 @@ def added_spans(spans: DataFrame) -> DataFrame:
     limit = F.lit(float("inf"))
     for kind, value in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
-    chosen = rows.select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
+    chosen = rows.filter(F.col("base") | F.col("name").isin(*EXTRA)).select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
     # spans that overlap form an island; an island with a base span gets nothing, another its best candidate
     by_start = Window.partitionBy("_uid").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
