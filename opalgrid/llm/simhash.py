@@ -118,25 +118,35 @@ def links(nodes: DataFrame) -> DataFrame:
     return near.unionByName(lists).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node that has an edge.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so that the rounds
-    grow with the logarithm of the longest path. A round's table is written to the shared folder. The driver sees
-    one number a round. Neighbourhoods are small (at most 2,080 fingerprints lie within two bits of one).
+    A round points every node at its smallest neighbour, smaller or not. These pointers make trees of two nodes or
+    more, each with one two-node cycle at its root: two steps along them never lead to a larger node, so that the
+    smaller node of the cycle is the smallest of the tree. Pointers are doubled until they hold the roots, and edges
+    between different roots are the next round's. A round so leaves at most half of the nodes that still have edges:
+    rounds grow with the logarithm of the nodes whatever the order of the labels along a path, and there is no limit
+    to them. Tables are written to the shared folder. The driver sees one number a step.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
-    for _ in range(rounds):
-        heard = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("_heard"))
-        lower = materialize(labels.join(heard, "node", "left").select("node", F.col("label").alias("_was"), F.least("label", "_heard").alias("label")), "heard")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("_next"))
-        new = lower.join(jump, "label", "left").select("node", F.least("label", "_next").alias("label"), "_was")
-        labels = materialize(new, "labels")
-        if labels.filter("label <> _was").limit(1).count() == 0:
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b"), "edges")
+    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
+    left = True
+    while left:
+        least = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")), "least")
+        ahead = least.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+        trees = materialize(least.join(ahead, "to").select("node", F.least("to", "_next").alias("to")), "trees")
+        moved = True
+        while moved:
+            ahead = trees.select(F.col("node").alias("to"), F.col("to").alias("_next"))
+            jumped = materialize(trees.join(ahead, "to").select("node", F.col("to").alias("_was"), F.col("_next").alias("to")), "trees")
+            moved = jumped.filter("to <> _was").limit(1).count() > 0
+            trees = jumped.select("node", "to")
+        root = trees.select(F.col("node").alias("label"), F.col("to").alias("_root"))
+        labels = materialize(labels.join(root, "label", "left").select("node", F.coalesce("_root", "label").alias("label")), "labels")
+        ends = both.join(trees.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a").join(trees.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
+        both = materialize(ends.filter("_a <> _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct(), "edges")
+        left = both.limit(1).count() > 0
+    return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -156,6 +156,16 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch):
     assert got == {(d, c) for d, c in want if sum(x == c for _, x in want) > 1}
 
 
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_long_chains(spark, shuffled):
+    names = [0, *range(999, 0, -1)]
+    if shuffled:
+        random.Random(5).shuffle(names)
+    edges = [(*sorted(e),) for e in zip(names[:600], names[1:600], strict=False)] + [(*sorted(e),) for e in zip(names[600:], names[601:], strict=False)]
+    found = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r["node"], r["label"]) for r in found} == {(n, min(part)) for part in (names[:600], names[600:]) for n in part}
+
+
 def resembling(rows: list[tuple[int, str]]) -> set[tuple[int, int]]:
     """(id, smallest id of its component) by comparing all pairs."""
     sets, label = {}, {}
