@@ -108,27 +108,45 @@ def _add_up(keys: Any, values: list[Any]) -> tuple[Any, Any, list[Any]]:
 
 
 def _pack(columns: list[Any], counts: Any, width: int) -> bytes:
-    """Rows of ``width``-byte columns, those with count 1 first and without their counts."""
+    """Rows of ``width``-byte columns, those with count 1 first and without their counts.
+
+    Where it is shorter, the columns are places in a list of the values of all of them; no row is left out.
+    """
     import numpy as np
 
     one = np.flatnonzero(counts == 1)
     rest = np.flatnonzero(counts != 1)
     order = np.concatenate([one, rest])
-    head = np.array([len(order), len(one), len(columns)], dtype="<u8").tobytes()
-    body = b"".join(np.ascontiguousarray(c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() for c in columns)
-    return head + body + counts[rest].astype("<u4").tobytes()
+
+    def cut(values: Any, size: int) -> bytes:
+        return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+    columns, listed, narrow = [c[order] for c in columns], b"", 0
+    if len(columns) > 1 and width < 8:
+        values, places = np.unique(np.concatenate(columns), return_inverse=True)
+        size = max(1, (len(values).bit_length() + 7) // 8)
+        if len(values) * width + len(places) * size < len(places) * width:
+            listed, narrow, columns = cut(values, width), size, np.split(places.ravel(), len(columns))
+    head = np.array([len(order), len(one), len(columns), narrow, len(listed)], dtype="<u8").tobytes()
+    return head + listed + b"".join(cut(c, narrow or width) for c in columns) + counts[rest].astype("<u4").tobytes()
 
 
 def _unpack(blob: bytes, width: int) -> tuple[list[Any], Any]:
     import numpy as np
 
-    n, one, n_columns = (int(x) for x in np.frombuffer(blob[:24], dtype="<u8"))
-    columns, at = [], 24
-    for _ in range(n_columns):
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :width] = np.frombuffer(blob, dtype=np.uint8, count=n * width, offset=at).reshape(n, width)
-        columns.append(wide.view("<u8").ravel())
-        at += n * width
+    n, one, n_columns, narrow, listed = (int(x) for x in np.frombuffer(blob[:40], dtype="<u8"))
+
+    def widened(rows: int, size: int, at: int) -> Any:
+        wide = np.zeros((rows, 8), dtype=np.uint8)
+        wide[:, :size] = np.frombuffer(blob, dtype=np.uint8, count=rows * size, offset=at).reshape(rows, size)
+        return wide.view("<u8").ravel()
+
+    at, size = 40 + listed, narrow or width
+    columns = [widened(n, size, at + i * n * size) for i in range(n_columns)]
+    at += n_columns * n * size
+    if narrow:
+        values = widened(listed // width, width, 40)
+        columns = [values[c.astype(np.int64)] for c in columns]
     counts = np.ones(n, dtype=np.int64)
     counts[one:] = np.frombuffer(blob, dtype="<u4", offset=at)
     return columns, counts
@@ -239,7 +257,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             keys, at, (counts,) = _add_up(columns[0] if width == 1 else mix(columns), [counts])
             columns = [c[at] for c in columns]
             _save(folder, f"{kind}-{part}.keys", keys)
-            _save(folder, f"{kind}-{part}.values", counts.astype("<u4"))
+            _save(folder, f"{kind}-{part}.values", counts.astype("<u4" if counts.max(initial=0) > 255 else "u1"))
             seen = [int((counts == c).sum()) for c in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
             rows.append((f"s{kind}", 0, np.array(seen, dtype="<u8").tobytes()))
             if kind != "u" and width > 1:
@@ -286,7 +304,8 @@ class Arrays:
             path = f"{model.folder}/{kind}-{part}"
             if os.path.exists(f"{path}.keys") and os.path.getsize(f"{path}.keys"):
                 keys = np.memmap(f"{path}.keys", dtype="<u8", mode="r")
-                values = np.memmap(f"{path}.values", dtype=dtype, mode="r").reshape(len(keys), -1)
+                own = "u1" if os.path.getsize(f"{path}.values") == len(keys) else dtype  # counts under 256 take a byte each
+                values = np.memmap(f"{path}.values", dtype=own, mode="r").reshape(len(keys), -1)
                 self.parts[part] = keys, values
 
     def find(self, keys: Any, columns: int) -> Any:

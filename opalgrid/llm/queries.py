@@ -41,7 +41,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_model.score_documents(read(spark, sf_dir, "documents"))
+    return ngram_model.score_documents(read(spark, sf_dir, "documents"), order=3)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

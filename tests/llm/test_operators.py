@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opalgrid.llm import exact_dedup, license_scan, mixing, near_copies, ngram_model, packing, pii, quality_classifier, quality_rules, simhash, url_filter
+from opalgrid.llm import exact_dedup, license_scan, mixing, near_copies, ngram_model, packing, pii, quality_classifier, quality_rules, queries, simhash, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size int, kept string, copies int, fp string, label int"
@@ -246,6 +246,47 @@ def test_trigram_model_runs_and_gains(docs):
     assert three > two
 
 
+def test_registered_language_model_is_trigram_kneser_ney(docs, tmp_path):
+    docs.filter("doc_id < 60").write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = {r[0]: [*r[1].encode().lower().split(), "</s>"] for r in ROWS if r[0] is not None and r[0] < 60}
+    train = [t for r in ROWS if r[0] in tokens and zlib.crc32(str(r[0]).encode()) % 10 for t in [tokens[r[0]]]]
+    padded = lambda t: list(zip(["<s>", "<s>", *t], ["<s>", *t], t, strict=False))
+    counts = [Counter(g for t in train for g in padded(t))]
+    counts += [Counter(g[1:] for g in counts[0])]
+    counts += [Counter(g[1:] for g in counts[1])]
+    v, levels = len({w for t in train for w in t}), []
+    for found in reversed(counts):
+        d, total, gamma = (0, *ngram_model.discounts([sum(x == k for x in found.values()) for k in (1, 2, 3, 4)])), Counter(), Counter()
+        for g, x in found.items():
+            total[g[:-1]] += x
+            gamma[g[:-1]] += d[min(x, 3)]
+        levels.append((found, d, total, gamma))
+
+    def p(gram):
+        out = 1 / (v + 1)
+        for k, (found, d, total, gamma) in enumerate(levels, 1):
+            own = gram[3 - k :]
+            if total[own[:-1]]:
+                out = (max(found[own] - d[min(found[own], 3)], 0) + gamma[own[:-1]] * out) / total[own[:-1]]
+        return out
+
+    got = {r["doc_id"]: r["score"] for r in queries.op6_ngram_model(docs.sparkSession, str(tmp_path)).collect()}
+    assert got.keys() == tokens.keys()
+    for i, t in tokens.items():
+        assert math.isclose(got[i], sum(math.log10(p(g)) for g in padded(t)), rel_tol=1e-5)
+
+
+def test_packed_ngrams_lose_nothing():
+    for words in (3, 300, 70_000):
+        columns = [np.random.default_rng(k).integers(0, words, 50_000).astype(np.uint64) * np.uint64(15_000_000) for k in range(3)]
+        counts = np.arange(50_000) % 3 + 1
+        blob = ngram_model._pack(columns, counts, 5)
+        back, own = ngram_model._unpack(blob, 5)
+        order = np.argsort(counts != 1, kind="stable")
+        assert all((a[order] == b).all() for a, b in zip(columns, back, strict=True)) and (counts[order] == own).all()
+        assert len(blob) < 50_000 * 15 + np.sum(counts > 1) * 4 or words == 70_000
+
+
 def test_classifier_learns_and_holds_out(spark):
     rows = [(i, prose(60) if i % 3 else " ".join(w + "$$$" for w in prose(60).split())) for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
