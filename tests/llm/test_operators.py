@@ -353,6 +353,23 @@ def test_licenses_equal_brute_force(docs):
     assert got == want and got
 
 
+def test_whole_licenses_and_their_versions(spark):
+    own, texts = random.Random(3), license_scan.TEXTS
+    rows, want = [], set()
+    for i, name in enumerate(texts):
+        words = texts[name].split()
+        for at in range(20, len(words), 60):
+            words[at] = "changed"
+        rows.append((i, f"{prose(own.randint(0, 400))} {' '.join(words)} {prose(50)}"))
+        want.add((i, name))
+    rows += [(100, "Licensed under CC BY 4.0."), (101, "This work is licensed under the GNU General Public License, version 2."), (102, texts["LGPL-2.0-text"] + texts["LGPL-2.1-text"])]
+    want |= {(102, "LGPL-2.0-text"), (102, "LGPL-2.1-text")}
+    got = {(r["doc_id"], r["license"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {g for g in got if g[1] in texts} == want
+    assert {g for g in got if g[0] in (100, 101)} == {(100, "CC-BY-4.0"), (101, "GPL-2.0")}
+    assert all(m <= s * n <= max(m + 1, 1.2 * m) for m in range(1, 10_000) for s, n in [license_scan.window(m)])
+
+
 @pytest.mark.parametrize("room", [64 << 20, 0])
 def test_cascade_is_exact(spark, room):
     urls = [f"https://{'spam-farm.' if i % 7 == 0 else ''}h{i}.example.org/x?{i}" for i in range(3000)] + [None, "no scheme", "HTTP://A.NET/fr/1", "http://www.example.com/en/1"]
