@@ -35,6 +35,26 @@ def batches(df: DataFrame, order: Sequence[Column], size: int, within: Sequence[
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
 
 
+def ordinals(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
+    """Rows with their place from 0 in the order of a numeric key (nulls first), without gathering them.
+
+    Ranges of the key are counted, running offsets go over one row per range, and a window numbers each range. The
+    driver sees the ends of the ranges only, so that counts and numbers rest on the same ends.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    ends = sorted(set(ends))
+    # a key's range is the number of ends below it
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))), F.lit(0)) if ends else F.lit(0)
+    ranged = df.withColumn("_range", at)
+    per = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    out = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
+    return out.withColumn(name, F.col("_offset") + F.col("_place")).drop("_range", "_place", "_offset")
+
+
 def match_tier(value: Column, title: Column, term: str) -> Column:
     """1 to 8: equal value, equal title, value prefix, title prefix, after two underscores, after one, a later word, other."""
     v, t, x = F.lower(value), F.lower(title), term.lower()

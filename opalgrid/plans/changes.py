@@ -106,10 +106,15 @@ def join_rule_overrides(spark, d):
 
 @register("join_positional", "SELECT a.c_custkey, b.s_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) a JOIN (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) b USING (k)")
 def join_positional(spark, d):
-    """Batch rows and results by place: an explicit ordinal in one array each of a bounded batch."""
-    a = table(spark, d, "customer").orderBy("c_custkey").limit(200).agg(F.array_sort(F.collect_list("c_custkey")).alias("x")).select(F.posexplode("x").alias("k", "c_custkey"))
-    b = table(spark, d, "supplier").orderBy("s_suppkey").limit(200).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("x")).select(F.posexplode("x").alias("k", "s"))
-    return a.join(b, "k").select("c_custkey", F.col("s.s_name").alias("s_name"))
+    """Batch rows and results by place: batches of 200 by a distributed ordinal, joined on batch and place."""
+
+    def placed(name, key):
+        at = F.col("ordinal")
+        return rk.ordinals(table(spark, d, name), key).withColumn("batch", F.floor(at / 200)).withColumn("place", at % 200)
+
+    a = placed("customer", "c_custkey").select("batch", "place", "c_custkey")
+    b = placed("supplier", "s_suppkey").select("batch", "place", "s_name")
+    return a.join(b, ["batch", "place"]).select("c_custkey", "s_name")
 
 
 @register("join_ref_id", "SELECT 'q' || n_nationkey AS reference_id, count(c_custkey) AS total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")

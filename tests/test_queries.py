@@ -39,3 +39,11 @@ def test_entry_lists_all():
 
     assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_positional_join_has_every_batch(spark, tmp_path):
+    keys = spark.range(1, 1001).repartition(7)
+    keys.selectExpr("id * 3 AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    keys.filter("id <= 700").selectExpr("id * id AS s_suppkey", "concat('s', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = registry.queries()["join_positional"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(3 * i, f"s{i}") for i in range(1, 701)]
