@@ -74,5 +74,6 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """The documents that stay, with all their columns. A document with a null id stays."""
-    gone = dedup_report(docs, id_col, text_col, index).filter("NOT kept").select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = dedup_report(docs, id_col, text_col, index).filter("NOT kept").select(F.col(id_col).alias("__gone"), F.unhex("text_sha256").alias("__digest"))
+    same = (F.col(id_col).cast("long") == F.col("__gone")) & (text_digest(F.col(text_col)) == F.col("__digest"))
+    return docs.join(gone, same, "left_anti")
