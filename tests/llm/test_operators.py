@@ -181,15 +181,16 @@ def resembling(rows: list[tuple[int, str]]) -> set[tuple[int, int]]:
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and label[a] != label[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and label[a] != label[b] and (both or sets[a] == sets[b]) and both * both >= 0.64 * len(sets[a]) * len(sets[b]):
                 low, high = sorted((label[a], label[b]))
                 label = {k: low if v == high else v for k, v in label.items()}
     return set(label.items())
 
 
-@pytest.mark.parametrize("partners", [2048, 3])
-def test_near_copies_equal_all_pairs(spark, monkeypatch, partners):
+@pytest.mark.parametrize(("partners", "crowd"), [(2048, 32), (3, 4)])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, partners, crowd):
     monkeypatch.setattr(near_copies, "PARTNERS", partners)
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     own, rows = random.Random(11), []
     words = [f"w{k}" for k in range(500)]
     for _ in range(6):  # drifting chains: neighbours are near, ends are not
@@ -201,6 +202,14 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, partners):
     base = own.choices(words, k=60)
     rows += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 60, 2)] + ["", " \n", "one two", "ONE  two", "one three"]
     rows += [" ".join(own.choices(words, k=own.randint(1, 80))) for _ in range(40)]
+    # a crowd that shares a passage and one that copies a text with more and more changes; few of either are near
+    passage = own.choices(words, k=40)
+    rows += [" ".join([*own.choices(words, k=own.randint(5, 40)), *passage, *own.choices(words, k=own.randint(0, 20))]) for _ in range(40)]
+    for edits in range(40):
+        text = list(base) * 2
+        for at in own.sample(range(120), edits // 4):
+            text[at] = own.choice(words)
+        rows.append(" ".join(text))
     own.shuffle(rows)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     want = resembling(list(enumerate(rows)))
