@@ -1,24 +1,28 @@
-"""Personal data: base patterns, and boosted candidates beyond them.
+"""Personal data and secrets: base patterns, and boosted candidates beyond them.
 
 Base spans come from four fixed patterns with their checks. High-recall generators then propose further spans, which may
-overlap: spelled-out addresses, separated number groups, number runs. Boosted regression trees score a candidate from
-its format (digits, groups, separators, checksum) and its context (cue words and neighbouring characters); per-kind
-thresholds are calibrated on rows set apart, and candidates above their threshold that touch no base span are added.
-
-No labels exist for personal data, so the trees learn from the corpus's own base spans: they are the positives, and
-again with their give-away marks taken off (the plus and brackets of a phone number, the at sign of an address), so that
-the rest of the format and the context must carry the decision; candidates that failed the base checks are negatives.
-The features of a number's format are zero for an address, whose digits and letters say nothing about it. A candidate of
-the further generators takes its label from what it overlaps: a base span of its own kind makes it a positive, any other
-base candidate a negative. One that overlaps nothing has no label: it is what the model decides on. It counts as a
-negative of the small weight UNLABELLED, and not at all when thresholds are calibrated. A match that failed its base
-check is never added.
+overlap: addresses spelled out with and without brackets, separated number groups, unseparated runs of 7 to 19 digits as
+phone and as card numbers, cards and IPs with other separators, and runs of 16 or more letters, digits and dashes as
+secrets (kind ``secret``). Matches of a base pattern that failed their check are candidates too. Boosted regression trees
+score a candidate from its format (digits, groups, separators, changes between letters and digits, checksum, failed
+check) and its context (cue words and neighbouring characters); per-kind thresholds are calibrated on rows set apart, and
+candidates above their threshold that touch no base span are added.
+
+No labels exist for personal data, so the trees learn from what the corpus says of itself. Positives are the base spans,
+and again with their give-away marks taken off (the plus and brackets of a phone number, the at sign of an address), so
+that the rest of the format and the context must carry the decision; and runs that a text assigns to a name such as
+password or token, again without that cue. Negatives are candidates that failed the base checks and long runs of one
+case of letters alone. Another candidate of the further generators takes its label from what it overlaps: a base span of
+its own kind makes it a positive, any other base candidate a negative. One that overlaps nothing has no label: it is what
+the model decides on. It counts as a negative of the small weight UNLABELLED, and not at all when thresholds are
+calibrated. The features of a number's format are zero for an address, whose digits and letters say nothing about it.
 
 Everything is a DataFrame expression or an aggregate. Patterns are scanned once per text; all later steps see the
 candidates only. Possessive quantifiers keep the scans linear and off the stack in texts of any length.
 
 Defined results: a null text has no span; repeated rows each get their row; a null id is passed on; where a corpus has
-no positives or no negatives nothing is added; an empty table gives no rows.
+no positives or no negatives nothing is added; an empty table gives no rows; columns other than the id and the text are
+not read.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from opalgrid.llm.common import materialize, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 NEAR = 24
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: name -> (kind, pattern, cheap test that a text must pass first)
@@ -44,7 +49,20 @@ EXTRA = {
     "spelled": ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]++(?: ?[(\[] ?at ?[)\]] ?)[A-Za-z0-9-]++(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]++)++", r"[(\[] ?at ?[)\]]"),
     "groups": ("phone", r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?(?:[ .-]{1,2}[0-9]{2,4}){2,4}+(?![0-9A-Za-z])", r"[0-9][ .)-][ (]?[0-9]"),
 }
-FEATURES = ("digits", "groups", "longest", "separators", "plus", "bracket", "letters", "luhn", "octets", "cue_phone", "cue_mail", "cue_card", "cue_net", "glued", "at", "address")
+EXTRA |= {
+    "worded": ("email", r"(?<![A-Za-z0-9])[A-Za-z0-9_%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", " at [A-Za-z0-9-]+ dot "),
+    "run": ("phone", r"(?<![0-9A-Za-z+.])[0-9]{7,15}+(?![0-9A-Za-z])", "[0-9]{7}"),
+    "long": ("card", r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])", "[0-9]{13}"),
+    "quads": ("card", r"(?<![0-9A-Za-z])[0-9]{4}(?:[./_:][0-9]{4}){3}+(?![0-9A-Za-z])", "[0-9][./_:][0-9]{4}[./_:]"),
+    "octets": ("ip", r"(?<![0-9A-Za-z])[0-9]{1,3}(?: ?(?:[(\[]\.[)\]]|[(\[]?dot[)\]]?|[,_]) ?[0-9]{1,3}){3}+(?![0-9A-Za-z])", r"[0-9] ?(?:[(\[]\.|[(\[]?dot|[,_])"),
+    "secret": ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+", "[A-Za-z0-9_-]{16}"),
+}
+#: A name before a run that says that the run is a secret; ``left`` is in lower case.
+ASSIGNED = r"(?:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"' ]{0,3}[:=][\"' ]{0,3}$"
+FEATURES = (
+    "digits", "groups", "longest", "separators", "plus", "bracket", "letters", "capitals", "changes", "luhn", "octets", "failed",
+    "cue_phone", "cue_mail", "cue_card", "cue_net", "cue_key", "glued", "at", "address", "secret",
+)
 TREES, RATE, RIDGE = 8, 0.5, 1.0
 PRECISION = 0.98
 UNLABELLED = 0.1
@@ -99,7 +117,7 @@ def _spans(proposals: DataFrame) -> DataFrame:
         .otherwise(F.lit(False))
     )
     each = each.withColumn("base", holds).withColumn("luhn", luhn.cast("int")).withColumn("octets", octets.cast("int"))
-    return each.filter((F.col("name") != "card") | F.col("base") | n.between(13, 19)).filter((F.col("name") != "groups") | n.between(9, 15))
+    return each.filter((F.col("name") != "card") | F.col("base") | n.between(13, 19)).filter((F.col("name") != "groups") | n.between(7, 15))
 
 
 def _meets(rows: DataFrame) -> DataFrame:
@@ -115,7 +133,7 @@ def _meets(rows: DataFrame) -> DataFrame:
         return F.coalesce(ahead, F.lit(False)) | F.coalesce(behind, F.lit(False))
 
     same = other = F.lit(False)
-    for kind in sorted({k for k, _, _ in EXTRA.values()}):
+    for kind in ALL_KINDS:
         good = F.col("base") & (F.col("kind") == kind)
         same = F.when(F.col("kind") == kind, met(plain & good)).otherwise(same)
         other = F.when(F.col("kind") == kind, met(plain & ~good)).otherwise(other)
@@ -129,6 +147,8 @@ def _featured(spans: DataFrame) -> DataFrame:
     hit = F.when(address, F.lit("")).otherwise(F.col("hit"))
     return spans.select(
         "_uid", "name", "kind", "start", "end", "base", "luhn", "octets",
+        (F.col("name").isin(*BASE) & ~F.col("base")).cast("int").alias("failed"),
+        F.col("left").rlike(ASSIGNED).alias("assigned"),
         F.least(F.length(F.regexp_replace(hit, "[^0-9]", "")), F.lit(24)).alias("digits"),
         F.least(F.size(F.array_remove(F.split(hit, "[^0-9]+"), "")), F.lit(9)).alias("groups"),
         F.least(F.array_max(F.transform(F.split(hit, "[^0-9]+"), F.length)), F.lit(20)).alias("longest"),
@@ -136,13 +156,17 @@ def _featured(spans: DataFrame) -> DataFrame:
         F.contains("hit", F.lit("+")).cast("int").alias("plus"),
         F.contains(hit, F.lit("(")).cast("int").alias("bracket"),
         F.least(F.length(F.regexp_replace(hit, "[^A-Za-z]", "")), F.lit(20)).alias("letters"),
+        F.least(F.length(F.regexp_replace(hit, "[^A-Z]", "")), F.lit(9)).alias("capitals"),
+        F.least(F.regexp_count(hit, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")), F.lit(9)).alias("changes"),
         sides.rlike("phone|tel|call|fax|mobile").cast("int").alias("cue_phone"),
         sides.rlike("mail|contact|write to").cast("int").alias("cue_mail"),
         sides.rlike("card|visa|iban|account").cast("int").alias("cue_card"),
         sides.rlike("server|host|addr|login| ip").cast("int").alias("cue_net"),
+        sides.rlike("passw|pwd|token|secret|api.?key|auth").cast("int").alias("cue_key"),
         glued.cast("int").alias("glued"),
         F.contains("hit", F.lit("@")).cast("int").alias("at"),
         address.cast("int").alias("address"),
+        (F.col("kind") == "secret").cast("int").alias("secret"),
     )
 
 
@@ -213,11 +237,14 @@ def _training(rows: DataFrame) -> DataFrame:
     """Rows with y, w and ``known`` (whether y is a label); positives also without their give-away marks."""
     rows = _meets(rows)
     plain = F.col("name").isin(*BASE)
-    known = plain | F.col("_same") | F.col("_other")
-    rows = rows.withColumn("y", F.when(plain, F.col("base")).otherwise(F.col("_same")).cast("int"))
+    # a run that is assigned to a name such as password is a secret, one of small letters alone is a word
+    secret = (F.col("kind") == "secret") & ~F.col("_other")
+    given, word = secret & F.col("assigned"), secret & ~F.col("assigned") & (F.col("digits") + F.col("capitals") == 0)
+    known = plain | F.col("_same") | F.col("_other") | given | word
+    rows = rows.withColumn("y", F.when(plain, F.col("base")).otherwise(F.col("_same") | given).cast("int"))
     rows = rows.withColumn("known", known).withColumn("w", F.when(known, F.lit(1.0)).otherwise(F.lit(UNLABELLED))).drop("_same", "_other")
     good = rows.filter("y = 1")
-    bare = good.withColumn("plus", F.lit(0)).withColumn("at", F.lit(0))
+    bare = good.withColumn("plus", F.lit(0)).withColumn("at", F.lit(0)).withColumn("cue_key", F.lit(0))
     open_ = good.filter("bracket = 1").withColumn("plus", F.lit(0)).withColumn("bracket", F.lit(0))
     return rows.unionByName(bare).unionByName(open_)
 
@@ -226,7 +253,7 @@ def _thresholds(rows: DataFrame, score: Column) -> dict[str, float]:
     """Per kind the lowest score from which on the calibration rows are right at PRECISION; infinite if there is none."""
     bins = rows.select("kind", "y", F.least(F.greatest(F.floor((score + 8) * 4), F.lit(0)), F.lit(63)).alias("bin")).groupBy("kind", "bin").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).collect()
     out = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         p = n = 0
         out[kind] = float("inf")
         for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["bin"]):
@@ -248,7 +275,7 @@ def added_spans(spans: DataFrame) -> DataFrame:
     limit = F.lit(float("inf"))
     for kind, value in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
-    chosen = rows.filter(F.col("base") | F.col("name").isin(*EXTRA)).select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
+    chosen = rows.select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
     # spans that overlap form an island; an island with a base span gets nothing, another its best candidate
     by_start = Window.partitionBy("_uid").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
@@ -259,25 +286,28 @@ def added_spans(spans: DataFrame) -> DataFrame:
 
 def _joined(spans: Column) -> Column:
     """kind:start:end of sorted (place, start, end) structs, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(names, s["place"]), s["start"], s["end"])), ",")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added)."""
+    """A row per document: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), and
+    the number of all spans and of those of kind ``secret``."""
     proposals = _proposals(docs, id_col, text_col)
     spans = materialize(_spans(proposals.filter(F.col("_found").isNotNull())), "spans")
     base = spans.filter("base").select("_uid", "kind", "start", "end", F.lit(True).alias("base"))
     every = base.unionByName(added_spans(spans).withColumn("base", F.lit(False)))
-    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    place = F.array_position(F.array(*[F.lit(k) for k in ALL_KINDS]), F.col("kind")).cast("int") - 1
     item = F.struct(place.alias("place"), "start", "end")
     per = every.groupBy("_uid").agg(
         *[F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS],
         _joined(F.collect_list(F.when(F.col("base"), item))).alias("_base"),
         _joined(F.collect_list(item)).alias("_all"),
+        F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("kind") == "secret").alias("n_secret"),
     )
     out = proposals.select("_uid", "_doc").join(per, "_uid", "left")
     return out.select(
         F.col("_doc").alias(id_col), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.coalesce("_base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("_all", F.lit("")).alias("spans"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_spans", "n_secret")],
     )
