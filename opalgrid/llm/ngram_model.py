@@ -15,13 +15,15 @@ The arrays lie in the shared folder, which must be mounted on the workers. A ret
 renames them into place, so that lost executors do no harm.
 
 Defined results: a null or empty text is the end token alone; rows with a null id are learned from; repeated rows are
-learned as often as they occur; without training texts every probability is that of the uniform distribution; an
+learned as often as they occur; texts of any length are read whole; columns other than the id and the text are not read; without training texts every probability is that of the uniform distribution; an
 empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
@@ -34,11 +36,12 @@ from pyspark.sql import functions as F
 
 from opalgrid.llm.common import doc_crc, local_folder, materialize, text_of
 
-ORDER = 2
+ORDER = 3
 FLUSH = 1_500_000
 PART_BYTES = 32 << 20
 FOLDS, HELD_OUT = 10, 0
 CACHE = 400_000
+OPEN_PARTS = 64
 MASK = (1 << 48) - 1
 NARROW = 8  # n-grams hold the upper 40 bits of a word's hash, raw counts all 48
 ROWS = "kind string, part int, blob binary"
@@ -127,28 +130,29 @@ def _pack(columns: list[Any], counts: Any, width: int) -> bytes:
         size = max(1, (len(values).bit_length() + 7) // 8)
         if len(values) * width + len(places) * size < len(places) * width:
             listed, narrow, columns = cut(values, width), size, np.split(places.ravel(), len(columns))
-    head = np.array([len(order), len(one), len(columns), narrow, len(listed)], dtype="<u8").tobytes()
-    return head + listed + b"".join(cut(c, narrow or width) for c in columns) + counts[rest].astype("<u4").tobytes()
+    wide = int(counts.max(initial=0)) >> 32 > 0
+    head = np.array([len(order), len(one), len(columns), narrow, len(listed), wide], dtype="<u8").tobytes()
+    return head + listed + b"".join(cut(c, narrow or width) for c in columns) + counts[rest].astype("<u8" if wide else "<u4").tobytes()
 
 
 def _unpack(blob: bytes, width: int) -> tuple[list[Any], Any]:
     import numpy as np
 
-    n, one, n_columns, narrow, listed = (int(x) for x in np.frombuffer(blob[:40], dtype="<u8"))
+    n, one, n_columns, narrow, listed, wide = (int(x) for x in np.frombuffer(blob[:48], dtype="<u8"))
 
     def widened(rows: int, size: int, at: int) -> Any:
         wide = np.zeros((rows, 8), dtype=np.uint8)
         wide[:, :size] = np.frombuffer(blob, dtype=np.uint8, count=rows * size, offset=at).reshape(rows, size)
         return wide.view("<u8").ravel()
 
-    at, size = 40 + listed, narrow or width
+    at, size = 48 + listed, narrow or width
     columns = [widened(n, size, at + i * n * size) for i in range(n_columns)]
     at += n_columns * n * size
     if narrow:
-        values = widened(listed // width, width, 40)
+        values = widened(listed // width, width, 48)
         columns = [values[c.astype(np.int64)] for c in columns]
     counts = np.ones(n, dtype=np.int64)
-    counts[one:] = np.frombuffer(blob, dtype="<u4", offset=at)
+    counts[one:] = np.frombuffer(blob, dtype="<u8" if wide else "<u4", offset=at)
     return columns, counts
 
 
@@ -165,7 +169,7 @@ def _parted(kind: str, keys: Any, columns: list[Any], counts: Any, shift: int, w
 
 def _save(folder: str, name: str, array: Any) -> None:
     path = f"{folder}/{name}"
-    own = f"{path}.{os.getpid()}"
+    own = f"{path}.{uuid.uuid4().hex}"
     array.tofile(own)
     os.replace(own, path)
 
@@ -257,7 +261,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             keys, at, (counts,) = _add_up(columns[0] if width == 1 else mix(columns), [counts])
             columns = [c[at] for c in columns]
             _save(folder, f"{kind}-{part}.keys", keys)
-            _save(folder, f"{kind}-{part}.values", counts.astype("<u4" if counts.max(initial=0) > 255 else "u1"))
+            _save(folder, f"{kind}-{part}.values", counts.astype(next(t for t in ("u1", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(t).max)))
             seen = [int((counts == c).sum()) for c in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
             rows.append((f"s{kind}", 0, np.array(seen, dtype="<u8").tobytes()))
             if kind != "u" and width > 1:
@@ -294,19 +298,32 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
 
 
 class Arrays:
-    """The memory-mapped parts of one kind; keys ascend from part to part."""
+    """The memory-mapped parts of one kind; keys ascend from part to part.
+
+    A part is mapped when it is first looked up, and at most OPEN_PARTS of a kind are mapped at a time, so that a
+    worker's open files do not grow with the corpus.
+    """
 
     def __init__(self, model: NgramModel, kind: str, key_bits: int, dtype: str):
+        self.shift, self.name, self.dtype, self.parts = key_bits - model.bits, f"{model.folder}/{kind}", dtype, OrderedDict()
+
+    def part(self, number: int) -> tuple[Any, Any] | None:
+        """(keys, values) of a part, None where it holds nothing."""
         import numpy as np
 
-        self.shift, self.parts = key_bits - model.bits, {}
-        for part in range(1 << model.bits):
-            path = f"{model.folder}/{kind}-{part}"
-            if os.path.exists(f"{path}.keys") and os.path.getsize(f"{path}.keys"):
-                keys = np.memmap(f"{path}.keys", dtype="<u8", mode="r")
-                own = "u1" if os.path.getsize(f"{path}.values") == len(keys) else dtype  # counts under 256 take a byte each
-                values = np.memmap(f"{path}.values", dtype=own, mode="r").reshape(len(keys), -1)
-                self.parts[part] = keys, values
+        if number in self.parts:
+            self.parts.move_to_end(number)
+            return self.parts[number]
+        path, found = f"{self.name}-{number}", None
+        if os.path.exists(f"{path}.keys") and os.path.getsize(f"{path}.keys"):
+            keys = np.memmap(f"{path}.keys", dtype="<u8", mode="r")
+            # counts take one, four or eight bytes each
+            own = self.dtype if self.dtype == "<f4" else {1: "u1", 4: "<u4", 8: "<u8"}[os.path.getsize(f"{path}.values") // len(keys)]
+            found = keys, np.memmap(f"{path}.values", dtype=own, mode="r").reshape(len(keys), -1)
+        self.parts[number] = found
+        if len(self.parts) > OPEN_PARTS:
+            self.parts.popitem(last=False)
+        return found
 
     def find(self, keys: Any, columns: int) -> Any:
         """The values of each key, zeros where it is missing."""
@@ -317,8 +334,8 @@ class Arrays:
         part = (asked >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(asked), dtype=np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(asked)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a and int(part[a]) in self.parts:
-                known, values = self.parts[int(part[a])]
+            if b > a and (found := self.part(int(part[a]))):
+                known, values = found
                 at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
                 hit = known[at] == asked[a:b]
                 out[a:b][hit] = values[at[hit]]
