@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import WORD, lookup, materialize
+from opalgrid.llm.common import WORD, free_name, lookup, materialize
 
 BINS = 16384
 MAX_COPIES = 2
@@ -76,12 +76,23 @@ def mix_sources(
     ``weight_col`` names an optional positive relative weight; null counts as 1. No document gets more than
     MAX_COPIES copies.
     """
+    done = _mixed(docs, share, weights, id_col, text_col, source_col, weight_col, seed)
+    return done.select(F.col("_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def source_key(source_col: str) -> Column:
+    """The source as a text that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+
+
+def _mixed(docs: DataFrame, share: float, weights: Sequence[int], id_col: str, text_col: str, source_col: str, weight_col: str | None, seed: str) -> DataFrame:
+    """A row per document: _id, _key (its source), size, source_size, target, copies."""
     source = F.col(source_col).cast("string")
     weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
     sizes = docs.select(
         F.col(id_col).cast("long").alias("_id"),
         source.alias("_source"),
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_key"),
+        source_key(source_col).alias("_key"),
         word_count(F.col(text_col)).alias("size"),
         weight.alias("_weight"),
     )
@@ -133,15 +144,31 @@ def mix_sources(
     done = lookup(marked.drop("_docs"), closing, "_key", "_docs", total)
     is_closing = (F.col("_extra") == 0) & open_rows & F.col("_id").eqNullSafe(F.col("_closing")) & (F.col("_place") == F.col("_closing_place"))
     copies = F.col("_whole") + F.col("_extra") + F.coalesce(is_closing.cast("int"), F.lit(0))
-    return done.select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
-    )
+    return done.select("_id", "_key", "size", "source_size", "target", copies.cast("long").alias("copies"))
+
 
+def apply_mix(
+    docs: DataFrame,
+    share: float = 1.5,
+    weights: Sequence[int] = (3, 1, 2),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weight_col: str | None = None,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mix itself: each document's row as often as it was taken, with its columns unchanged, whatever their names.
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: each document's row as often as it was taken, with its columns unchanged."""
-    copies = mix_sources(docs, id_col=id_col, **how).filter("copies > 0")
-    copies = copies.select(F.col(id_col).alias("__mixed"), F.col("copies").alias("__copies")).dropDuplicates(["__mixed"])
-    joined = docs.join(copies, F.col(id_col).cast("long").eqNullSafe(F.col("__mixed")))
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("__copy")
+    Rows that share id, source and size are dealt the copies that were taken of them together.
+    """
+    given, key, size, rows, total, place, copy = (free_name(docs, x) for x in ("id", "key", "size", "rows", "total", "place", "copy"))
+    mixed = _mixed(docs, share, weights, id_col, text_col, source_col, weight_col, seed)
+    taken = mixed.groupBy(F.col("_id").alias(given), F.col("_key").alias(key), F.col("size").alias(size)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(total))
+    alone = F.count(F.lit(1)).over(Window.partitionBy(given, key)) == 1
+    taken = taken.withColumn(place, alone).filter(F.col(total) > 0)
+    # where an id has one size only there is no need to count the words again
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(given)) & (source_key(source_col) == F.col(key)) & (F.col(place) | (F.col(size) == word_count(F.col(text_col))))
+    joined = docs.join(taken, same).withColumn(place, F.row_number().over(Window.partitionBy(given, key, size).orderBy(F.xxhash64(text_col))))
+    times = F.floor(F.col(total) / F.col(rows)) + (F.col(place) <= F.col(total) % F.col(rows)).cast("int")
+    repeated = F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))).alias(copy)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop(copy)

@@ -13,7 +13,8 @@ most 65 members. Links lost: none; components are the same on either way.
 
 Defined results: a null text is empty; a text without words has fingerprint zero and links like any other; fewer than
 three words make one shingle; repeated rows and copies share a fingerprint and so a component; null ids are ignored
-when a component is named; an empty table gives no rows.
+when a component is named; texts of any length are read whole; an empty table gives no rows; columns other than the id
+and the text are not read, and the filtering variant passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opalgrid.llm.common import lookup, materialize, text_of
+from opalgrid.llm.common import free_name, lookup, materialize, text_of
 
 SEED = 42
 SHINGLE = 3
@@ -162,5 +163,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; documents with null ids stay."""
-    gone = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone_id = free_name(docs, "id")
+    gone = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone_id))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(gone_id), "left_anti")
