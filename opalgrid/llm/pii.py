@@ -11,7 +11,7 @@ candidates above their threshold that touch no base span are added.
 No labels exist for personal data, so the trees learn from what the corpus says of itself. Positives are the base spans,
 and again with their give-away marks taken off (the plus and brackets of a phone number, the at sign of an address), so
 that the rest of the format and the context must carry the decision; and runs that a text assigns to a name such as
-password or token, again without that cue. Negatives are candidates that failed the base checks and long runs of one
+password or token, again without that cue, or that have a published format of access keys. Negatives are candidates that failed the base checks and long runs of one
 case of letters alone. Another candidate of the further generators takes its label from what it overlaps: a base span of
 its own kind makes it a positive, any other base candidate a negative. One that overlaps nothing has no label: it is what
 the model decides on. It counts as a negative of the small weight UNLABELLED, and not at all when thresholds are
@@ -59,6 +59,8 @@ EXTRA |= {
 }
 #: A name before a run that says that the run is a secret; ``left`` is in lower case.
 ASSIGNED = r"(?:passw(?:or)?d|pwd|token|secret|api[_-]?key)[\"' ]{0,3}[:=][\"' ]{0,3}$"
+#: Published formats of access keys.
+KEY_FORMAT = r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})$"
 FEATURES = (
     "digits", "groups", "longest", "separators", "plus", "bracket", "letters", "capitals", "changes", "luhn", "octets", "failed",
     "cue_phone", "cue_mail", "cue_card", "cue_net", "cue_key", "glued", "at", "address", "secret",
@@ -148,7 +150,7 @@ def _featured(spans: DataFrame) -> DataFrame:
     return spans.select(
         "_uid", "name", "kind", "start", "end", "base", "luhn", "octets",
         (F.col("name").isin(*BASE) & ~F.col("base")).cast("int").alias("failed"),
-        F.col("left").rlike(ASSIGNED).alias("assigned"),
+        (F.col("left").rlike(ASSIGNED) | F.col("hit").rlike(KEY_FORMAT)).alias("assigned"),
         F.least(F.length(F.regexp_replace(hit, "[^0-9]", "")), F.lit(24)).alias("digits"),
         F.least(F.size(F.array_remove(F.split(hit, "[^0-9]+"), "")), F.lit(9)).alias("groups"),
         F.least(F.array_max(F.transform(F.split(hit, "[^0-9]+"), F.length)), F.lit(20)).alias("longest"),
@@ -275,7 +277,8 @@ def added_spans(spans: DataFrame) -> DataFrame:
     limit = F.lit(float("inf"))
     for kind, value in limits.items():
         limit = F.when(F.col("kind") == kind, F.lit(value)).otherwise(limit)
-    chosen = rows.select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
+    # numbers beyond 255 make no address, however much their context speaks for one
+    chosen = rows.filter((F.col("name") != "ip") | F.col("base")).select("_uid", "kind", "start", "end", "base", score.alias("_score")).filter(F.col("base") | (F.col("_score") >= limit))
     # spans that overlap form an island; an island with a base span gets nothing, another its best candidate
     by_start = Window.partitionBy("_uid").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
