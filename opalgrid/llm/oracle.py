@@ -65,7 +65,10 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) THEN 'block'
+  WHEN EXISTS (
+    SELECT 1 FROM (SELECT n || '.example.' || e AS listed
+                   FROM unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) AS a(n), unnest(['com', 'net', 'org']) AS b(e)) AS l
+    WHERE host = listed OR ends_with(host, '.' || listed)) THEN 'block'
   ELSE 'allow' END AS verdict
 FROM r
 """

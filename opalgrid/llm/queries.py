@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from opalgrid.llm import exact_dedup, license_scan, mixing, ngram_model, packing, pii, quality_classifier, quality_rules, simhash, url_filter
 from opalgrid.llm.common import read
 
-#: The url rules (verdict, host, path) and the names whose hosts are listed.
+#: The url rules (verdict, host, path) and the list of hosts, each with its subdomains.
 URL_RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -18,6 +18,7 @@ URL_RULES = (
     ("block", "net", "/fr/"),
 )
 LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_HOSTS = tuple(f"{name}.example.{end}" for name in LISTED_NAMES for end in ("com", "net", "org"))
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_pages(read(spark, sf_dir, "pages"), URL_RULES, LISTED_NAMES)
+    listed = spark.createDataFrame([(x,) for x in LISTED_HOSTS], "key string")
+    return url_filter.judge_pages(read(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
 def op6_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:

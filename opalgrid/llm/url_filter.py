@@ -7,7 +7,8 @@ group task builds a shard's levels. Cascades of up to ``max_broadcast`` bytes to
 distinct keys meet their shard's cascade in a co-group and the pages then look their key up.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and meets no rule; repeated urls get
-equal verdicts; an empty table gives no rows. Only the id and the url are read.
+equal verdicts; null ids are passed on; an empty table gives no rows, an empty list blocks nothing by itself. Only the id
+and the url are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -156,15 +157,25 @@ def _flags_by_cogroup(pages: DataFrame, universe: DataFrame, cascades: DataFrame
     return lookup(pages, known, key, "pages", pages.count()).drop("pages")
 
 
-def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed_names: Sequence[str], id_col: str = "page_id", url_col: str = "url", **how: int) -> DataFrame:
+def covered_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Distinct ``key`` of the hosts that a listed key (A-Z lower-cased) names, or whose parent domain it names."""
+    labels = F.split("key", r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    named = listed.select(F.translate("key", UPPER, LOWER).alias("_named")).filter("_named IS NOT NULL").distinct()
+    return hosts.select("key", F.explode(parents).alias("_named")).join(named, "_named", "left_semi").select("key").distinct()
+
+
+def judge_pages(pages: DataFrame, rules: Sequence[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", **how: int) -> DataFrame:
     """A row per page: id, host, path, rule, verdict.
 
-    The list holds every host with a label among ``listed_names``; where no rule fits, a listed host is blocked.
+    ``listed`` is a table with a column ``key`` of hosts, each standing for its subdomains too; where no rule fits, a
+    listed host is blocked. The list is joined with the distinct hosts once, when the cascade is built.
     """
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    listed = F.arrays_overlap(F.split("key", r"\."), F.array(*[F.lit(x) for x in listed_names])) if listed_names else F.lit(False)
-    universe = rows.groupBy(F.col("host").alias("key")).agg(F.count(F.lit(1)).alias("pages")).withColumn("listed", listed)
+    hosts = materialize(rows.groupBy(F.col("host").alias("key")).agg(F.count(F.lit(1)).alias("pages")), "hosts")
+    covered = covered_hosts(hosts, listed).withColumn("listed", F.lit(True))
+    universe = hosts.join(covered, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rows = listed_flags(rows, universe, "host", **how)
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
