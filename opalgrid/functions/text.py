@@ -154,7 +154,7 @@ def linear_color(count: Column, top: int = 50) -> Column:
     """A colour from green to red as the count goes from 1 to ``top``; empty for no positive count."""
     share = (F.least(F.greatest(count, F.lit(1)), F.lit(top)) - 1) / F.lit(top - 1.0)
     channel = lambda a, b: F.round(F.lit(float(a)) + share * (b - a)).cast("int")
-    return F.when(count > 0, F.format_string("rgb(%d, %d, %d)", channel(46, 194), channel(132, 57), channel(74, 52))).otherwise("")
+    return F.when(count > 0, F.format_string("rgb(%d, %d, %d)", channel(46, 231), channel(204, 76), channel(113, 60))).otherwise("")
 
 
 def ttl_valid(written: Column, hours: Column, now: Column, default_hours: int = 168) -> Column:

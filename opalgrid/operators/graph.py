@@ -3,35 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names, or in a temporary one where it names none."""
-    spark: SparkSession = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="opalgrid-graph-"))
-    return df.checkpoint()
+def _folder(spark: SparkSession) -> str:
+    """A new folder where the cluster keeps checkpoints; only a local session may do without naming one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return f"{(named or tempfile.mkdtemp(prefix='opalgrid-')).rstrip('/')}/opalgrid/closure-{uuid.uuid4().hex}"
 
 
-def closure(edges: DataFrame, starts: DataFrame, most: int = 200) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, depth) of everything reachable from ``starts`` (node), these included at depth 0.
 
-    Each round joins the frontier with the edges and drops what was seen; cycles end by themselves. Only a count per
-    round reaches the driver.
+    Each round joins the frontier with the edges, drops what was met before and writes what is new as the files of its
+    own depth, so that a node is written once and a lost executor costs a round at most; cycles end by themselves, and
+    there is no limit of rounds.
     """
-    seen = _saved(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier = seen
-    for depth in range(1, most + 1):
-        new = edges.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
-        frontier = _saved(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+    spark, folder, depth = edges.sparkSession, _folder(edges.sparkSession), 0
+    schema = starts.select("node").schema
+    starts.select("node").distinct().write.parquet(f"{folder}/depth=0")
+    while True:
+        frontier = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
         if frontier.isEmpty():
-            return seen
-        seen = _saved(seen.unionByName(frontier))
-    raise RuntimeError(f"the closure goes on beyond {most} rounds")
+            return spark.read.schema(T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])).parquet(folder)
+        new = edges.join(frontier.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).distinct()
+        met = spark.read.schema(schema).parquet(*[f"{folder}/depth={k}" for k in range(depth + 1)])
+        depth += 1
+        new.select(F.col("node").cast(schema["node"].dataType)).join(met, "node", "left_anti").write.parquet(f"{folder}/depth={depth}")
 
 
 def dependencies(edges: DataFrame, starts: DataFrame) -> DataFrame:

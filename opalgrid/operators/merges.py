@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalgrid.operators.ranking import ordinals
+
 
 def merge_sources(sources: Sequence[DataFrame], key: str, texts: Sequence[str], flags: Sequence[str] = (), name: str | None = None) -> DataFrame:
     """One row per key over ranked sources: of each text the last that is not empty, flags or-ed, source names collected.
@@ -57,10 +59,10 @@ def status_of(c: Column) -> Column:
 def import_batches(rows: DataFrame, order: str, size: int, failed: Column, stop_after: int = 3) -> DataFrame:
     """Queued rows in batches of ``size``; the queue stops after ``stop_after`` failed batches in a row.
 
-    Batches are numbered from the order; the ones behind the stop keep their rows queued. The window that looks for
-    the stop runs over one row per batch.
+    Batches are numbered from the order, a numeric column, by distributed ordinals; the ones behind the stop keep their
+    rows queued. The window that looks for the stop runs over one row per batch.
     """
-    numbered = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    numbered = ordinals(rows, order, "_at").withColumn("batch", F.floor(F.col("_at") / size)).drop("_at")
     per = numbered.groupBy("batch").agg(F.bool_or(failed).alias("_bad"))
     run = Window.orderBy("batch").rowsBetween(1 - stop_after, 0)
     per = per.withColumn("_stop", (F.sum(F.col("_bad").cast("int")).over(run) == stop_after).cast("int"))

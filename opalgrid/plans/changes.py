@@ -85,9 +85,9 @@ TREE = "SELECT p.n_name AS parent, count(c.c_custkey) AS children FROM nation p
 @register("join_self_tree", TREE)
 @register("graph_tree_children", TREE)
 def join_self_tree(spark, d):
-    kids = table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_custkey").alias("kids"))
+    kids = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("kids"))
     rows = table(spark, d, "nation").join(kids, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    return rows.select(F.col("n_name").alias("parent"), F.when(F.col("kids").isNull(), 0).otherwise(F.size("kids")).cast("long").alias("children"))
+    return rows.select(F.col("n_name").alias("parent"), F.coalesce("kids", F.lit(0)).alias("children"))
 
 
 RULES = [("APIVersion", "50", None), ("FlowName", "[A-Za-z0-9]+_[A-Za-z0-9]+", "[a-z]+"), ("CyclomaticComplexity", "25", "oops")]
@@ -130,9 +130,9 @@ def dml_status_tag(spark, d):
     return table(spark, d, "orders").select("o_orderkey", mg.status_of(F.when(F.col("o_orderstatus") == "P", "x").otherwise(raw)).alias("status"))
 
 
-@register("dml_batching", "SELECT c_custkey, CASE WHEN k > 150 THEN 'Queued' WHEN k > 0 AND k <= 60 THEN 'Succeeded' ELSE 'Failed' END AS status FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_custkey <= 300)")
+@register("dml_batching", "SELECT c_custkey, CASE WHEN k > 150 THEN 'Queued' WHEN k <= 60 THEN 'Succeeded' ELSE 'Failed' END AS status FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer)")
 def dml_batching(spark, d):
-    rows = customers(spark, d, "c_custkey <= 300").select("c_custkey")
+    rows = table(spark, d, "customer").select("c_custkey")
     return mg.import_batches(rows, "c_custkey", 30, F.col("c_custkey") > 60).select("c_custkey", "status")
 
 
@@ -201,7 +201,7 @@ def dml_retry_failed(spark, d):
 
 @register("dml_options_header", "SELECT 'update' AS action, 'customer' AS object, CAST(3 AS BIGINT) AS n")
 def dml_options_header(spark, d):
-    m = F.str_to_map(F.url_decode(F.lit("salesforce-inspector-import-options=1&action=update&object=customer")), F.lit("&"), F.lit("="))
+    m = F.str_to_map(F.url_decode(F.lit("import-options=1&action=update&object=customer")), F.lit("&"), F.lit("="))
     return spark.range(1).select(m["action"].alias("action"), m["object"].alias("object"), F.size(m).cast("long").alias("n"))
 
 

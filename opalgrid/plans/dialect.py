@@ -170,9 +170,9 @@ def soql_in_subquery(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(big, "c_custkey", "left_semi")
 
 
-@register("soql_like", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%steel%'")
+@register("soql_like", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%econ%'")
 def soql_like(spark, d):
-    return table(spark, d, "part").filter(F.col("p_type").ilike("%Steel%")).select("p_partkey", "p_type")
+    return table(spark, d, "part").filter(F.col("p_type").ilike("%Econ%")).select("p_partkey", "p_type")
 
 
 @register("soql_not_like", "SELECT event_id FROM events WHERE NOT event_type ILIKE 'c%'")
@@ -229,10 +229,10 @@ def soql_dt_lit(spark, d):
     return table(spark, d, "orders").filter((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi)).select("o_orderkey")
 
 
-@register("soql_order_by", "SELECT o_orderkey, s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders) ORDER BY s ASC NULLS FIRST, o_orderkey DESC LIMIT 40")
+@register("soql_order_by", "SELECT o_orderkey, s FROM (SELECT o_orderkey, nullif(o_orderstatus, 'P') AS s FROM orders) ORDER BY s ASC NULLS FIRST, o_orderkey DESC")
 def soql_order_by(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("s"))
-    return rows.orderBy(F.col("s").asc_nulls_first(), F.col("o_orderkey").desc()).limit(40)
+    return rows.orderBy(F.col("s").asc_nulls_first(), F.col("o_orderkey").desc())
 
 
 @register("soql_limit", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25")
@@ -306,9 +306,9 @@ def soql_explain(spark, d):
     return rows.select(F.posexplode(F.split("plan", "\n")).alias("line", "text")).filter("length(text) > 0")
 
 
-@register("soql_saved_name", "SELECT CASE WHEN contains(lower(q), ':select') OR contains(lower(q), ':find') THEN substr(q, 1, strpos(q, ':') - 1) ELSE '' END AS name, CASE WHEN contains(lower(q), ':select') OR contains(lower(q), ':find') THEN substr(q, strpos(q, ':') + 1) ELSE q END AS query FROM (SELECT 'q' || c_custkey || ':select c_name from customer' AS q FROM customer WHERE c_custkey <= 5 UNION ALL SELECT 'select 1')")
+@register("soql_saved_name", "SELECT CASE WHEN contains(lower(q), ':select') OR contains(lower(q), ':find') THEN substr(q, 1, strpos(q, ':') - 1) ELSE '' END AS name, CASE WHEN contains(lower(q), ':select') OR contains(lower(q), ':find') THEN substr(q, strpos(q, ':') + 1) ELSE q END AS query FROM (SELECT 'q' || c_custkey || ':select c_name from customer' AS q FROM customer UNION ALL SELECT 'select 1')")
 def soql_saved_name(spark, d):
-    rows = table(spark, d, "customer").filter("c_custkey <= 5").select(F.concat(F.lit("q"), "c_custkey", F.lit(":select c_name from customer")).alias("q"))
+    rows = table(spark, d, "customer").select(F.concat(F.lit("q"), "c_custkey", F.lit(":select c_name from customer")).alias("q"))
     rows = rows.unionByName(spark.range(1).select(F.lit("select 1").alias("q")))
     named = F.lower("q").rlike(":(select|find)")
     return rows.select(F.when(named, F.substring_index("q", ":", 1)).otherwise("").alias("name"), F.when(named, F.regexp_replace("q", "^[^:]*:", "")).otherwise(F.col("q")).alias("query"))
@@ -328,10 +328,24 @@ def soql_escape(spark, d):
 
 
 #: The starter queries offered to a new user.
-TEMPLATES = ("SELECT Id FROM ", "SELECT Id FROM WHERE", "SELECT Id FROM WHERE IN", "SELECT Id FROM WHERE LIKE", "SELECT Id FROM ORDER BY", "SELECT ID FROM MYTEST__c", "SELECT ID WHERE")
-
-
-@register("soql_templates", " UNION ALL ".join(f"SELECT {i} AS place, '{t}' AS template" for i, t in enumerate(TEMPLATES)))
+TEMPLATES = (
+    "SELECT Id FROM ",
+    'FIND {""}\nIN Name Fields\nRETURNING Contact(Name, Phone)',
+    "{\n\tuiapi {\n\t\tquery {\n\t\t\tContact {\n\t\t\t\tedges {\n\t\t\t\t\t node {\n\t\t\t\t\t\tId\n\t\t\t\t\t\tName { value }\n\t\t\t\t\t}\n\t\t\t\t}\n\t\t\t}\n\t\t}\n\t}\n}",
+    "SELECT Id FROM WHERE",
+    "SELECT Id FROM WHERE IN",
+    "SELECT Id FROM WHERE LIKE",
+    "SELECT Id FROM WHERE ORDER BY",
+)
+TEMPLATES_SQL = r"""
+SELECT CAST(place - 1 AS INTEGER) AS place, template FROM (SELECT unnest(t) AS template, generate_subscripts(t, 1) AS place FROM (SELECT [
+  'SELECT Id FROM ', E'FIND {""}\nIN Name Fields\nRETURNING Contact(Name, Phone)',
+  E'{\n\tuiapi {\n\t\tquery {\n\t\t\tContact {\n\t\t\t\tedges {\n\t\t\t\t\t node {\n\t\t\t\t\t\tId\n\t\t\t\t\t\tName { value }\n\t\t\t\t\t}\n\t\t\t\t}\n\t\t\t}\n\t\t}\n\t}\n}',
+  'SELECT Id FROM WHERE', 'SELECT Id FROM WHERE IN', 'SELECT Id FROM WHERE LIKE', 'SELECT Id FROM WHERE ORDER BY'] AS t))
+"""
+
+
+@register("soql_templates", TEMPLATES_SQL)
 def soql_templates(spark, d):
     return spark.range(1).select(F.posexplode(F.split(F.lit("//".join(TEMPLATES)), "//")).alias("place", "template"))
 

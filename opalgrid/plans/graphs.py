@@ -11,8 +11,8 @@ from opalgrid.plans.registry import register
 def n_rows():
     return F.count(F.lit(1))
 EDGES = (
-    "SELECT p_partkey AS a, p_partkey * 2 AS b FROM part WHERE p_partkey < 75 UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey < 75 AND p_partkey % 7 <> 0 "
-    "UNION ALL SELECT p_partkey, p_partkey + 60 FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 90 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 40 = 3 AND p_partkey < 150"
+    "SELECT p_partkey AS a, p_partkey * 2 AS b FROM part UNION ALL SELECT p_partkey, p_partkey * 2 + 1 FROM part WHERE p_partkey % 7 <> 0 "
+    "UNION ALL SELECT p_partkey, p_partkey + 60 FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 40 = 3"
 )
 WALK = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM w JOIN e ON e.a = w.node)"
 
@@ -20,9 +20,9 @@ WALK = f"WITH RECURSIVE e AS ({EDGES}), w AS (SELECT 1::BIGINT AS node UNION SEL
 def edges(spark, d):
     """A tree with gaps, fault edges 60 ahead, and edges back to the root."""
     p = table(spark, d, "part").select(F.col("p_partkey").alias("a"))
-    tree = p.filter("a < 75").select("a", (F.col("a") * 2).alias("b")).unionByName(p.filter("a < 75 AND a % 7 <> 0").select("a", (F.col("a") * 2 + 1).alias("b")))
-    faults = p.filter("a % 10 = 0 AND a < 90").select("a", (F.col("a") + 60).alias("b"))
-    return tree.unionByName(faults).unionByName(p.filter("a % 40 = 3 AND a < 150").select("a", F.lit(1).cast("long").alias("b")))
+    tree = p.select("a", (F.col("a") * 2).alias("b")).unionByName(p.filter("a % 7 <> 0").select("a", (F.col("a") * 2 + 1).alias("b")))
+    faults = p.filter("a % 10 = 0").select("a", (F.col("a") + 60).alias("b"))
+    return tree.unionByName(faults).unionByName(p.filter("a % 40 = 3").select("a", F.lit(1).cast("long").alias("b")))
 
 
 def starts(spark, *nodes: int):
@@ -49,18 +49,18 @@ def graph_synth_edges(spark, d):
     return lookups.unionByName(p.filter("p_size < 5").select(F.col("p_partkey").alias("a"), F.lit("value set").alias("kind"), F.col("p_type").alias("b")))
 
 
-@register("graph_reachable", f"{WALK} SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey < 150 AND p_partkey NOT IN (SELECT node FROM w)")
+@register("graph_reachable", f"{WALK} SELECT DISTINCT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM w)")
 def graph_reachable(spark, d):
     """Elements that nothing reaches from the start."""
     met = gr.closure(edges(spark, d), starts(spark, 1)).select("node")
-    return table(spark, d, "part").filter("p_partkey < 150").select(F.col("p_partkey").alias("node")).join(met, "node", "left_anti")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("node")).join(met, "node", "left_anti")
 
 
-@register("graph_in_loop", "WITH RECURSIVE w AS (SELECT 5::BIGINT AS node UNION SELECT w.node * 2 + i FROM w, (VALUES (0), (5)) t(i) WHERE w.node * 2 + i < 100) SELECT node FROM w JOIN part ON p_partkey = node WHERE p_size % 2 = 0")
+@register("graph_in_loop", "WITH RECURSIVE w AS (SELECT 5::BIGINT AS node UNION SELECT w.node * 2 + i FROM w JOIN part ON p_partkey = w.node, (VALUES (0), (5)) t(i)) SELECT node FROM w JOIN part ON p_partkey = node WHERE p_size % 2 = 0")
 def graph_in_loop(spark, d):
     """Statements inside a loop: what its next edge reaches before the loop's end."""
     p = table(spark, d, "part")
-    inside = p.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("a"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 5)).alias("b")).filter("b < 100")
+    inside = p.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("a"), F.explode(F.array(F.col("p_partkey") * 2, F.col("p_partkey") * 2 + 5)).alias("b"))
     met = gr.closure(inside, starts(spark, 5)).select("node")
     return met.join(p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("node")), "node")
 
@@ -105,15 +105,17 @@ def rule_hardcoded(spark, d):
 
 @register("rule_result_flatten", "SELECT p_brand AS flow, coalesce(CASE WHEN p_size > 45 THEN p_name END, '(flow)') AS element, count(*) AS n FROM part GROUP BY 1, 2")
 def rule_result_flatten(spark, d):
-    rows = table(spark, d, "part").groupBy("p_brand").agg(F.collect_list(F.struct(F.when(F.col("p_size") > 45, F.col("p_name")).alias("element"))).alias("details"))
-    each = rows.select(F.col("p_brand").alias("flow"), F.explode_outer("details").alias("x"))
-    return each.groupBy("flow", F.coalesce("x.element", F.lit("(flow)")).alias("element")).agg(n_rows().alias("n"))
+    element = F.coalesce(F.when(F.col("p_size") > 45, F.col("p_name")), F.lit("(flow)"))
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("flow"), element.alias("element")).agg(n_rows().alias("n"))
 
 
-@register("rule_unused_variable", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+@register("rule_unused_variable", "SELECT DISTINCT p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM documents WHERE list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+'), split_part(p_name, ' ', 1)))")
 def rule_unused_variable(spark, d):
-    used = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, d, "nation").join(used, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
+    """Declared names whose variable (the first word) is no token of any text."""
+    token = F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("variable")
+    used = table(spark, d, "documents").select(token).distinct()
+    declared = table(spark, d, "part").select("p_name").distinct().withColumn("variable", F.substring_index("p_name", " ", 1))
+    return declared.join(used, "variable", "left_anti").select(F.col("p_name").alias("name"))
 
 
 @register("rule_supported_type", "SELECT event_id, CASE event_type WHEN 'click' THEN value > 50 WHEN 'view' THEN true ELSE false END AS supported FROM events")

@@ -213,21 +213,21 @@ def win_first_last_child(spark, d):
     return table(spark, d, "nation").select("n_nationkey", F.concat(F.when(last, "└─ ").otherwise("├─ "), "n_name").alias("line"))
 
 
-@register("sort_logs_typed", "SELECT event_id FROM events ORDER BY nullif(value, 0) DESC NULLS LAST, event_id LIMIT 50")
+@register("sort_logs_typed", "SELECT event_id FROM events ORDER BY nullif(value, 0) DESC NULLS LAST, event_id")
 def sort_logs_typed(spark, d):
-    return table(spark, d, "events").orderBy(F.nullif(F.col("value"), F.lit(0.0)).desc_nulls_last(), "event_id").limit(50).select("event_id")
+    return table(spark, d, "events").orderBy(F.nullif(F.col("value"), F.lit(0.0)).desc_nulls_last(), "event_id").select("event_id")
 
 
-@register("sort_toggle", "SELECT c_custkey FROM customer ORDER BY c_name DESC LIMIT 20")
+@register("sort_toggle", "SELECT c_custkey FROM customer ORDER BY c_name DESC")
 def sort_toggle(spark, d):
     clicks, column = 2, F.col("c_name")
-    return table(spark, d, "customer").orderBy(column.asc() if clicks % 2 else column.desc()).limit(20).select("c_custkey")
+    return table(spark, d, "customer").orderBy(column.asc() if clicks % 2 else column.desc()).select("c_custkey")
 
 
-@register("sort_auto_numeric", "SELECT p_partkey FROM part ORDER BY p_size, p_partkey LIMIT 40")
+@register("sort_auto_numeric", "SELECT p_partkey FROM part ORDER BY p_size, p_partkey")
 def sort_auto_numeric(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.format_string("%d.%06d", F.col("p_size"), "p_partkey").alias("v"))
-    return rk.auto_sort(rows, "v").limit(40).select("p_partkey")
+    return rk.auto_sort(rows, "v").select("p_partkey")
 
 
 @register("sort_consumption", "SELECT name FROM (VALUES ('DailyApiRequests', 0.9), ('FileStorageMB', -0.25), ('Zero', NULL)) t(name, used) ORDER BY used DESC NULLS LAST")
@@ -238,10 +238,10 @@ def sort_consumption(spark, d):
 TIER = "CASE WHEN lower({v}) = '{x}' THEN 1 WHEN lower({t}) = '{x}' THEN 2 WHEN starts_with(lower({v}), '{x}') THEN 3 WHEN starts_with(lower({t}), '{x}') THEN 4 WHEN contains(lower({v}), '__{x}') THEN 5 WHEN contains(lower({v}), '_{x}') THEN 6 WHEN contains(lower({t}), ' {x}') THEN 7 ELSE 8 END"
 
 
-@register("rank_autocomplete", f"SELECT p_partkey, {TIER.format(v='p_name', t='p_type', x='steel')} AS tier FROM part ORDER BY tier, p_partkey LIMIT 50")
+@register("rank_autocomplete", f"SELECT p_partkey, {TIER.format(v='p_name', t='p_type', x='steel')} AS tier FROM part ORDER BY tier, p_partkey")
 def rank_autocomplete(spark, d):
     rows = table(spark, d, "part").select("p_partkey", rk.match_tier(F.col("p_name"), F.col("p_type"), "STEEL").alias("tier"))
-    return rows.orderBy("tier", "p_partkey").limit(50)
+    return rows.orderBy("tier", "p_partkey")
 
 
 @register("rank_objects", "SELECT n_name, CASE WHEN n_nationkey = 7 THEN 2 WHEN lower(n_name) = 'nation_7' THEN 3 WHEN starts_with(lower(n_name), '007') THEN 5 ELSE 10 END + CASE WHEN n_regionkey = 0 THEN 20 ELSE 0 END AS tier FROM nation")
@@ -258,16 +258,16 @@ def rank_best_match(spark, d):
     return customer.join(F.broadcast(wanted)).orderBy(F.when(F.col("c_name") == F.col("wanted"), 1).otherwise(2), "c_custkey").limit(1).select("c_custkey")  # one row is broadcast
 
 
-@register("rank_field_creator", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') ORDER BY greatest(CASE WHEN lower(p_name) = 'a' THEN 4 WHEN starts_with(lower(p_name), 'a') THEN 3 WHEN contains(lower(p_name), 'a') THEN 2 ELSE 0 END, CASE WHEN lower(p_type) = 'a' THEN 4 WHEN starts_with(lower(p_type), 'a') THEN 3 WHEN contains(lower(p_type), 'a') THEN 2 ELSE 0 END) DESC, length(p_name), p_name, p_partkey LIMIT 30")
+@register("rank_field_creator", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'a') OR contains(lower(p_type), 'a') ORDER BY greatest(CASE WHEN lower(p_name) = 'a' THEN 4 WHEN starts_with(lower(p_name), 'a') THEN 3 WHEN contains(lower(p_name), 'a') THEN 2 ELSE 0 END, CASE WHEN lower(p_type) = 'a' THEN 4 WHEN starts_with(lower(p_type), 'a') THEN 3 WHEN contains(lower(p_type), 'a') THEN 2 ELSE 0 END) DESC, length(p_name), p_name, p_partkey")
 def rank_field_creator(spark, d):
     score = rk.search_score(F.col("p_name"), F.col("p_type"), "A")
-    return table(spark, d, "part").filter(score > 0).orderBy(score.desc(), F.length("p_name"), "p_name", "p_partkey").limit(30).select("p_partkey")
+    return table(spark, d, "part").filter(score > 0).orderBy(score.desc(), F.length("p_name"), "p_name", "p_partkey").select("p_partkey")
 
 
-@register("rank_schema_objects", "SELECT n_name FROM nation WHERE contains(lower(n_name), 'i') ORDER BY CASE WHEN lower(n_name) = 'i' THEN 0 WHEN starts_with(lower(n_name), 'i') THEN 1 ELSE 2 END, n_name LIMIT 12")
+@register("rank_schema_objects", "SELECT n_name FROM nation WHERE contains(lower(n_name), 'i') ORDER BY CASE WHEN lower(n_name) = 'i' THEN 0 WHEN starts_with(lower(n_name), 'i') THEN 1 ELSE 2 END, n_name")
 def rank_schema_objects(spark, d):
     low = F.lower("n_name")
-    return table(spark, d, "nation").filter(F.contains(low, F.lit("i"))).orderBy(F.when(low == "i", 0).when(low.startswith("i"), 1).otherwise(2), "n_name").limit(12).select("n_name")
+    return table(spark, d, "nation").filter(F.contains(low, F.lit("i"))).orderBy(F.when(low == "i", 0).when(low.startswith("i"), 1).otherwise(2), "n_name").select("n_name")
 
 
 @register("topk_endpoints", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
@@ -291,9 +291,9 @@ def topk_search_limits(spark, d):
     return a.unionByName(b)
 
 
-@register("sort_manifest", "SELECT DISTINCT p_type || '~' || p_brand AS entry FROM part ORDER BY 1 LIMIT 100")
+@register("sort_manifest", "SELECT DISTINCT p_type || '~' || p_brand AS entry FROM part ORDER BY 1")
 def sort_manifest(spark, d):
-    return table(spark, d, "part").select(F.concat_ws("~", "p_type", "p_brand").alias("entry")).distinct().orderBy("entry").limit(100)
+    return table(spark, d, "part").select(F.concat_ws("~", "p_type", "p_brand").alias("entry")).distinct().orderBy("entry")
 
 
 @register("union_all", "SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
@@ -312,13 +312,13 @@ def distinct_values(spark, d):
     return table(spark, d, "lineitem").select("l_partkey").distinct()
 
 
-EXCEPT = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+EXCEPT = "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
 
 
 @register("except_keepset", EXCEPT)
 @register("join_anti", EXCEPT)
 def except_keepset(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @register("filter_used_values", "SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN ('Brand#11', 'Brand#12')")

@@ -264,7 +264,7 @@ def fn_initials(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.initials(F.col("p_type")).alias("letters"))
 
 
-@register("fn_linear_color", "SELECT p_partkey, CASE WHEN p_size - 10 <= 0 THEN '' ELSE printf('rgb(%d, %d, %d)', CAST(round(46 + s * 148) AS INTEGER), CAST(round(132 - s * 75) AS INTEGER), CAST(round(74 - s * 22) AS INTEGER)) END AS color FROM (SELECT p_partkey, p_size, (least(greatest(p_size - 10, 1), 50) - 1) / 49.0::DOUBLE AS s FROM part)")
+@register("fn_linear_color", "SELECT p_partkey, CASE WHEN p_size - 10 <= 0 THEN '' ELSE printf('rgb(%d, %d, %d)', CAST(round(46 + s * 185) AS INTEGER), CAST(round(204 - s * 128) AS INTEGER), CAST(round(113 - s * 53) AS INTEGER)) END AS color FROM (SELECT p_partkey, p_size, (least(greatest(p_size - 10, 1), 50) - 1) / 49.0::DOUBLE AS s FROM part)")
 def fn_linear_color(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.linear_color(F.col("p_size") - 10).alias("color"))
 
@@ -293,9 +293,9 @@ def tbl_hide_relations(spark, d):
     return tb.hide_relations(nested_orders(spark, d))
 
 
-@register("tbl_filter_any", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'steel') OR contains(lower(p_brand), 'steel') OR contains(lower(p_type), 'steel')")
+@register("tbl_filter_any", "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'promo') OR contains(lower(p_brand), 'promo') OR contains(lower(p_type), 'promo')")
 def tbl_filter_any(spark, d):
-    return tb.filter_any(table(spark, d, "part"), "STEEL").select("p_partkey")
+    return tb.filter_any(table(spark, d, "part"), "PROMO").select("p_partkey")
 
 
 @register("tbl_filter_cols", "SELECT p_partkey FROM part WHERE contains(lower(p_brand), '#2')")
@@ -409,10 +409,10 @@ def tbl_field_def(spark, d):
     return table(spark, d, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.*")
 
 
-@register("tbl_field_search", "SELECT p_partkey FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_name ILIKE '%green%') AND p_brand NOT ILIKE '%5'")
+@register("tbl_field_search", "SELECT p_partkey FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_name ILIKE 'cold w%') AND p_brand NOT ILIKE '%5'")
 def tbl_field_search(spark, d):
     part = table(spark, d, "part")
-    labels = part.filter(F.col("p_name").ilike("%green%")).select("p_type")
+    labels = part.filter(F.col("p_name").ilike("cold w%")).select("p_type")
     return part.filter(~F.col("p_brand").ilike("%5")).join(labels, "p_type", "left_semi").select("p_partkey")
 
 

@@ -40,9 +40,9 @@ def stream_dedup(spark, d):
     return st.drained(st.without_repeats(twice).select("event_id", "event_type"))
 
 
-@register("stream_newest_first", "SELECT event_id FROM events ORDER BY ts DESC, event_id LIMIT 100")
+@register("stream_newest_first", "SELECT event_id FROM events ORDER BY ts DESC, event_id")
 def stream_newest_first(spark, d):
-    return st.drained(stream(spark, d).select("event_id", "ts")).orderBy(F.desc("ts"), "event_id").limit(100).select("event_id")
+    return st.drained(stream(spark, d).select("event_id", "ts")).orderBy(F.desc("ts"), "event_id").select("event_id")
 
 
 @register("stream_filter", "SELECT event_id FROM events WHERE contains(lower(event_type || props), 'err') OR contains(props, '\"k\":7}') OR contains(props, '\"k\": 7}')")

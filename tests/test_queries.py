@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from opalgrid.operators import graph
 from opalgrid.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,23 @@ def test_positional_join_has_every_batch(spark, tmp_path):
     keys.filter("id <= 700").selectExpr("id * id AS s_suppkey", "concat('s', id) AS s_name").write.parquet(f"{tmp_path}/supplier.parquet")
     got = registry.queries()["join_positional"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(3 * i, f"s{i}") for i in range(1, 701)]
+
+
+ORDERED = "soql_order_by sort_logs_typed sort_toggle sort_auto_numeric sort_manifest rank_autocomplete rank_field_creator rank_schema_objects stream_newest_first".split()
+
+
+@pytest.mark.parametrize("key", ORDERED)
+def test_sorted_queries_keep_their_order(spark, duck, key):
+    got = [tuple(map(str, r)) for r in registry.queries()[key](spark, SF).collect()]
+    assert got and got == [tuple(map(str, r)) for r in duck.sql(registry.oracle_sql()[key]).fetchall()]
+
+
+@pytest.mark.parametrize("key", ["soql_like", "tbl_filter_any", "tbl_field_search", "join_anti", "graph_fault_path", "rule_unused_variable"])
+def test_predicates_hit(spark, duck, key):
+    assert len(duck.sql(registry.oracle_sql()[key]).fetchall())
+
+
+def test_closure_of_a_long_chain(spark):
+    edges = spark.range(0, 12).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(12, 0), (12, 5)], "a long, b long"))
+    got = graph.closure(edges, spark.createDataFrame([(2,)], "node long")).collect()
+    assert {(r["node"], r["depth"]) for r in got} == {(n, (n - 2) % 13) for n in range(13)}
