@@ -163,12 +163,15 @@ def apply_mix(
     """
     given, key, size, rows, total, place, copy = (free_name(docs, x) for x in ("id", "key", "size", "rows", "total", "place", "copy"))
     mixed = _mixed(docs, share, weights, id_col, text_col, source_col, weight_col, seed)
-    taken = mixed.groupBy(F.col("_id").alias(given), F.col("_key").alias(key), F.col("size").alias(size)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(total))
+    named = lambda c: F.coalesce(F.concat(F.lit("d"), F.col(c).cast("long").cast("string")), F.lit("n"))
+    taken = mixed.groupBy(named("_id").alias(given), F.col("_key").alias(key), F.col("size").alias(size)).agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(total))
     alone = F.count(F.lit(1)).over(Window.partitionBy(given, key)) == 1
     taken = taken.withColumn(place, alone).filter(F.col(total) > 0)
-    # where an id has one size only there is no need to count the words again
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(given)) & (source_key(source_col) == F.col(key)) & (F.col(place) | (F.col(size) == word_count(F.col(text_col))))
-    joined = docs.join(taken, same).withColumn(place, F.row_number().over(Window.partitionBy(given, key, size).orderBy(F.xxhash64(text_col))))
+    # the join deals rows out by id and source, which the window over them needs as well; sizes are counted again only
+    # where an id has several
+    joined = docs.withColumn(given, named(id_col)).withColumn(key, source_key(source_col)).join(taken, [given, key])
+    joined = joined.filter(F.col(place) | (F.col(size) == word_count(F.col(text_col))))
+    joined = joined.withColumn(place, F.row_number().over(Window.partitionBy(given, key, size).orderBy(F.xxhash64(text_col))))
     times = F.floor(F.col(total) / F.col(rows)) + (F.col(place) <= F.col(total) % F.col(rows)).cast("int")
     repeated = F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int")))).alias(copy)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop(copy)
