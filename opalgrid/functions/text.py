@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +90,17 @@ def convert_value(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "boolean", F.lower(c)).when(kind != "null", c).alias("text"))
 
 
+#: An even number of quotes follows: a place outside string literals.
+OUTSIDE = r"(?=(?:[^']*'[^']*')*[^']*$)"
+
+
+def mend_typos(c: Column) -> Column:
+    """Query text with single commas, none before FROM, and single blanks; string literals stay as they are."""
+    for pattern, by in ((r",(?:\s*,)+", ","), (r"(?i),\s*(?=from\b)", " "), (r"\s+", " ")):
+        c = F.regexp_replace(c, pattern + OUTSIDE, by)
+    return F.trim(c)
+
+
 def headers_map(c: Column) -> Column:
     """``Name: value`` lines as a map; lines without a colon are dropped."""
     lines = F.filter(F.split(c, "\r?\n"), lambda x: F.instr(x, ":") > 1)
@@ -157,37 +170,85 @@ def linear_color(count: Column, top: int = 50) -> Column:
     return F.when(count > 0, F.format_string("rgb(%d, %d, %d)", channel(46, 231), channel(204, 76), channel(113, 60))).otherwise("")
 
 
+def random_value(key: Column, kind: str, seed: int, choices: Sequence[str] = ()) -> Column:
+    """A value of a type from a hash of seed and key; types that are not generated are null, others get a made-up word."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    n = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    if kind in ("picklist", "multipicklist"):
+        return F.get(F.array(*map(F.lit, choices or ("Unknown",))), (n % max(1, len(choices))).cast("int"))
+    if kind in ("reference", "id", "address", "location"):
+        return F.lit(None).cast("string")
+    text = F.substr(digest, F.lit(1), (n % 15 + 5).cast("int"))
+    made = {"boolean": n % 2 == 0, "int": n % 10000} | dict.fromkeys(("double", "currency", "percent"), F.round(n % 100000 / 100.0, 2))
+    made |= dict.fromkeys(("string", "textarea", "longtextarea", "url", "email", "phone"), text)
+    return made.get(kind, F.concat(F.lit("gen_"), F.substring(digest, 1, 8)))
+
+
 def ttl_valid(written: Column, hours: Column, now: Column, default_hours: int = 168) -> Column:
     """Whether an entry is younger than its own hours, or else the default."""
     return F.unix_micros(now) - F.unix_micros(written) < F.coalesce(hours, F.lit(default_hours)) * 3_600_000_000
 
 
-#: Stages of the action cascade over a log body, as (pattern, label with groups), first hit wins.
+#: How the lines of a log name what was run.
 UNIT = r"(?m)^\d+[^|]*\|CODE_UNIT_STARTED\|"
-ACTIONS = (
-    (UNIT + r"[^|]*\|apex://(\w+)/ACTION\$(\w+)", "{1}.{2}"),
-    (UNIT + r"[^|]*\|[0-9a-zA-Z]{15,18}\|VFRemote:\s*(\w+)\s+invoke\((\w+)\)", "VFRemote · {1}.{2}"),
-    (UNIT + r"[^|]*\|(?:[^|]*\|)?(\w+)\.(\w+)\([^)]*\)", "{1}.{2}"),
-    (r"(?i)" + UNIT + r"[^|]*\|[^|]*\|(\w+)\s+on\s+\w+\s+trigger\s+event\s+([A-Za-z]+)\|__sfdc_trigger/\w+", "Trigger · {1} ({2})"),
-    (r"(?i)__sfdc_trigger/(\w+)", "Trigger · {1}"),
-    (r"\bMETHOD_ENTRY\|[^|]*\|[^|]*\|(?:[A-Za-z0-9_]+\.)*([A-Za-z0-9_]+\.[A-Za-z0-9_]+)\(", "{1}"),
-    (r"(\[EXTERNAL\]\|execute_anonymous_apex)", "execute_anonymous_apex"),
-    (r"FLOW_(?:START|CREATE)_INTERVIEW[^|]*\|([^\n|]+)", "Flow · {1}"),
-)
+REMOTE = r"^VFRemote:\s*([A-Za-z0-9_]+)\s+invoke\(([A-Za-z0-9_]+)\)"
+SIGNATURE = r"^([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)\("
+TRIGGER = r"(?i)^([A-Za-z0-9_]+)\s+on\s+[A-Za-z0-9_]+\s+trigger\s+event\s+([A-Za-z]+)$"
+TRIGGER_EVENT = r"(?i)\s*trigger\s+event\s+([A-Za-z]+)"
+NO_CLASS = ("TRIGGERS", "EXTERNAL")
+
+
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match; null where there is none or it is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def _method(cls: Column, method: Column) -> Column:
+    """``Class.method``; a method that is named as its class is the constructor."""
+    return F.when(cls == method, F.concat(cls, F.lit(" (constructor)"))).otherwise(F.concat(cls, F.lit("."), method))
+
+
+def _trigger(text: Column, name: Column) -> Column:
+    """``Trigger · name (event)`` of a description; ``name`` stands in where the description has none."""
+    rest = F.nullif(F.trim(F.regexp_replace(text, TRIGGER_EVENT, "")), F.lit(""))
+    own = F.coalesce(_found(text, TRIGGER), rest, name)
+    return F.concat(F.lit("Trigger · "), own, F.lit(" ("), F.coalesce(_found(text, TRIGGER, 2), _found(text, TRIGGER_EVENT)), F.lit(")"))
 
 
 def derive_action(body: Column, operation: Column) -> Column:
-    """What a log is about: the first stage of the cascade that hits, or else the operation's own parts."""
-    stages = []
-    for pattern, label in ACTIONS:
-        pieces = [F.regexp_extract(body, pattern, int(p[0])) if i % 2 else F.lit(p) for i, p in enumerate(_pieces(label))]
-        stages.append(F.when(body.rlike(pattern), F.concat(*pieces)))
-    return F.coalesce(*stages, parse_action(operation))
-
-
-def _pieces(label: str) -> list[str]:
-    """Literal and group number in turn: ``a{1}b`` gives a, 1, b."""
-    out: list[str] = []
-    for part in label.split("{"):
-        out += part.split("}") if "}" in part else [part]
-    return out
+    """What a log is about: the first stage that hits, or else the operation's own parts.
+
+    The stages: a component action; the description behind a unit's id; a signature; a trigger; a class name; an
+    entered method; what else the unit's fields say; the start of a flow. A null body has the operation's parts.
+    """
+    component = F.concat(_found(body, UNIT + r"[^|]*\|apex://(\w+)/ACTION\$(\w+)", 1), F.lit("."), _found(body, UNIT + r"[^|]*\|apex://(\w+)/ACTION\$(\w+)", 2))
+    described = F.trim(_found(body, UNIT + r"[^|]*\|[0-9a-zA-Z]{15,18}\|(.+?)$"))
+    remote = F.concat(F.lit("VFRemote · "), _found(described, REMOTE, 1), F.lit("."), _found(described, REMOTE, 2))
+    free = F.when((described != "") & (described != "TRIGGERS") & ~described.startswith("["), described)
+    signed = UNIT + r"[^|]*\|(?:[^|]*\|)?([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)\([^)]*\)"
+    path = r"(?im)" + UNIT[4:] + r"[^|]*\|[^|]*\|([^|\n]+?)\|__sfdc_trigger/([A-Za-z0-9_]+)"
+    fired = _trigger(F.trim(_found(body, path, 1)), _found(body, path, 2))
+    fired = F.coalesce(fired, F.concat(F.lit("Trigger · "), F.coalesce(_found(body, path, 2), _found(body, r"(?i)__sfdc_trigger/([A-Za-z0-9_]+)"))))
+    cls = _found(body, UNIT + r"[^|]*\|(?:[^|]*\|)?([A-Za-z0-9_]+)(?:\||$)")
+    entered = F.split(_found(body, r"\bMETHOD_ENTRY\|[^|]*\|[^|]*\|([A-Za-z0-9_.]+)\(.*?\)"), r"\.")
+    entry = F.when(F.size(entered) > 1, _method(F.try_element_at(entered, F.lit(-2)), F.try_element_at(entered, F.lit(-1)))).otherwise(F.get(entered, F.lit(0)))
+    return F.coalesce(
+        component, remote, _method(_found(described, SIGNATURE, 1), _found(described, SIGNATURE, 2)), free, _method(_found(body, signed, 1), _found(body, signed, 2)),
+        fired, F.when(~cls.isin(*NO_CLASS), cls), entry, F.when(body.rlike(UNIT + r"\[EXTERNAL\]\|execute_anonymous_apex"), "execute_anonymous_apex"), _unit_label(body),
+        F.concat(F.lit("Flow · "), F.trim(_found(body, r"FLOW_(?:START|CREATE)_INTERVIEW[^|]*\|([^\n|]+)"))), parse_action(operation),
+    )
+
+
+def _unit_label(body: Column) -> Column:
+    """A label from the fourth, or else the third, field of a unit: a trigger, a class path, a flow, or as it stands."""
+    fourth = F.nullif(F.trim(_found(body, UNIT + r"[^|]*\|[^|]*\|([^|\n]+)")), F.lit(""))
+    unit = F.coalesce(fourth, F.nullif(F.trim(_found(body, UNIT + r"[^|]*\|([^|\n]+)")), F.lit("")))
+    parts = F.split(F.regexp_replace(unit, r"(?i)^Class[.:]", ""), r"\.")
+    last, owner = F.try_element_at(parts, F.lit(-1)), F.coalesce(F.try_element_at(parts, F.lit(-2)), F.get(parts, F.lit(0)))
+    path = F.when((last != "") & (last != owner), F.concat(owner, F.lit("."), last)).otherwise(owner)
+    flow = F.coalesce(F.nullif(F.get(F.split(unit, "[:.]"), F.lit(1)), F.lit("")), F.regexp_replace(unit, "(?i)^Flow[:.]?", ""))
+    trigger = F.coalesce(_trigger(unit, F.lit("-")), F.concat(F.lit("Trigger · "), unit))
+    return (
+        F.when(unit.rlike(r"(?i)\btrigger\s+event\b"), trigger).when(unit.rlike(r"(?i)^Class[.:]"), path)
+        .when(unit.rlike("(?i)^Flow"), F.concat(F.lit("Flow · "), flow)).otherwise(unit)
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.catalog import CATALOG, ObjectQuery, polymorphic, search
 from opalgrid.functions import dates
+from opalgrid.functions import text as tx
 from opalgrid.plans.registry import register
 
 ANCHOR = date(1998, 7, 15)
@@ -87,8 +88,8 @@ def scan_composite_ref(spark, d):
 @register("src_listview", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000")
 def src_listview(spark, d):
     """A stored view under a name."""
-    table(spark, d, "customer").filter("c_acctbal > 5000").createOrReplaceTempView("listview_rich_customers")
-    return spark.table("listview_rich_customers").select("c_custkey", "c_name")
+    view = table(spark, d, "customer").filter("c_acctbal > 5000")
+    return spark.sql("SELECT c_custkey, c_name FROM {rich_customers}", rich_customers=view)
 
 
 @register("soql_project", "SELECT c_name, c_acctbal FROM customer")
@@ -196,6 +197,8 @@ LITERALS = (
     "TODAY", "LAST_WEEK", "THIS_WEEK", "NEXT_WEEK", "LAST_MONTH", "THIS_MONTH", "NEXT_MONTH", "LAST_90_DAYS", "NEXT_90_DAYS", "LAST_N_DAYS:30",
     "N_DAYS_AGO:7", "LAST_N_WEEKS:4", "N_WEEKS_AGO:2", "LAST_N_MONTHS:5", "N_MONTHS_AGO:3", "THIS_QUARTER", "LAST_QUARTER", "NEXT_N_QUARTERS:2",
     "N_QUARTERS_AGO:3", "THIS_YEAR", "LAST_YEAR", "NEXT_YEAR", "LAST_N_YEARS:3", "N_YEARS_AGO:2", "THIS_FISCAL_QUARTER", "LAST_FISCAL_YEAR", "N_FISCAL_QUARTERS_AGO:1",
+    "YESTERDAY", "TOMORROW", "NEXT_N_DAYS:10", "NEXT_N_WEEKS:3", "NEXT_N_MONTHS:2", "NEXT_QUARTER", "LAST_N_QUARTERS:3", "NEXT_N_YEARS:2", "LAST_FISCAL_QUARTER",
+    "NEXT_FISCAL_QUARTER", "NEXT_N_FISCAL_QUARTERS:3", "LAST_N_FISCAL_QUARTERS:2", "THIS_FISCAL_YEAR", "NEXT_FISCAL_YEAR", "NEXT_N_FISCAL_YEARS:2", "LAST_N_FISCAL_YEARS:2", "N_FISCAL_YEARS_AGO:2",
 )
 #: The ranges written out, against the anchor 1998-07-15 (a Wednesday; weeks start on Sunday, fiscal years in April).
 RANGES = (
@@ -206,6 +209,10 @@ RANGES = (
     ("1998-04-01", "1998-07-01"), ("1998-10-01", "1999-04-01"), ("1997-10-01", "1998-01-01"), ("1998-01-01", "1999-01-01"),
     ("1997-01-01", "1998-01-01"), ("1999-01-01", "2000-01-01"), ("1995-01-01", "1998-01-01"), ("1996-01-01", "1997-01-01"),
     ("1998-07-01", "1998-10-01"), ("1997-04-01", "1998-04-01"), ("1998-04-01", "1998-07-01"),
+    ("1998-07-14", "1998-07-15"), ("1998-07-16", "1998-07-17"), ("1998-07-16", "1998-07-26"), ("1998-07-19", "1998-08-09"),
+    ("1998-08-01", "1998-10-01"), ("1998-10-01", "1999-01-01"), ("1997-10-01", "1998-07-01"), ("1999-01-01", "2001-01-01"),
+    ("1998-04-01", "1998-07-01"), ("1998-10-01", "1999-01-01"), ("1998-10-01", "1999-07-01"), ("1998-01-01", "1998-07-01"),
+    ("1998-04-01", "1999-04-01"), ("1999-04-01", "2000-04-01"), ("1999-04-01", "2001-04-01"), ("1996-04-01", "1998-04-01"), ("1996-04-01", "1997-04-01"),
 )
 
 
@@ -314,11 +321,11 @@ def soql_saved_name(spark, d):
     return rows.select(F.when(named, F.substring_index("q", ":", 1)).otherwise("").alias("name"), F.when(named, F.regexp_replace("q", "^[^:]*:", "")).otherwise(F.col("q")).alias("query"))
 
 
-@register("soql_typo_fix", "SELECT trim(regexp_replace(regexp_replace(regexp_replace(q, ',(\\s*,)+', ',', 'g'), ',\\s*from', ' from', 'gi'), '\\s+', ' ', 'g')) AS query FROM (SELECT '  select  a,, b, from  t' || n_nationkey AS q FROM nation)")
+@register("soql_typo_fix", "SELECT 'select a, b from t' || n_nationkey || ' where x = ''two  blanks,, kept, from here'' and y = 1' AS query FROM nation")
 def soql_typo_fix(spark, d):
-    q = F.concat(F.lit("  select  a,, b, from  t"), "n_nationkey")
-    q = F.regexp_replace(F.regexp_replace(q, r",(\s*,)+", ","), r"(?i),\s*from", " from")
-    return table(spark, d, "nation").select(F.trim(F.regexp_replace(q, r"\s+", " ")).alias("query"))
+    """Repeated commas, a comma before FROM and runs of blanks are mended outside string literals."""
+    q = F.concat(F.lit("  select  a,, b, from  t"), "n_nationkey", F.lit("\n where x = 'two  blanks,, kept, from here'  and y = 1 "))
+    return table(spark, d, "nation").select(tx.mend_typos(q).alias("query"))
 
 
 @register("soql_escape", r"SELECT replace(replace(p_name || '''\', '\', '\\'), '''', '\''') AS escaped FROM part")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from opalgrid.operators import graph as gr
@@ -92,14 +95,50 @@ def rule_regex_name(spark, d):
     return table(spark, d, "part").filter(~F.col("p_type").rlike("^[A-Za-z0-9]+ [A-Z]+ [A-T]+$")).select("p_partkey")
 
 
-#: What a hardcoded id, address and secret look like.
-PATTERNS = {"HardcodedId": r"\b[a-zA-Z0-9]{5}0[a-zA-Z0-9]{9}(?:[a-zA-Z0-9]{3})?\b", "HardcodedUrl": r"https?://", "HardcodedSecret": r'(?i)\b(?:token|secret|api_key)\s*=\s*"[0-9a-f]{20,}"'}
-
-
-@register("rule_hardcoded", " UNION ALL ".join(f"SELECT doc_id, '{k}' AS rule FROM documents WHERE regexp_matches(text, '{p}')" for k, p in PATTERNS.items()))
+#: What hardcoded ids, addresses and secrets look like.
+PATTERNS = {
+    "HardcodedId": [r"\b[a-zA-Z0-9]{5}0[a-zA-Z0-9]{9}(?:[a-zA-Z0-9]{3})?\b"],
+    "HardcodedUrl": [r"https?://(www\.)?[-a-zA-Z0-9@:%._\+~#=]{1,256}force\.com"],
+    "HardcodedSecret": [
+        r"AccountKey=[A-Za-z0-9+/]{88}==",
+        r"DefaultEndpointsProtocol=https;AccountName=[^;]+;AccountKey=[^;]+",
+        r'"type"\s*:\s*"service_account"[\s\S]{0,500}"private_key"',
+        r"(sk|pk|rk)_(test|live)_[0-9a-zA-Z]{24,}",
+        r"\bAKIA[0-9A-Z]{16}\b",
+        r"""(?i)aws[_-]?secret[_-]?access[_-]?key\s*[:=]\s*["'][A-Za-z0-9/+=]{40}["']""",
+        r"\b00D[a-zA-Z0-9]{15}![a-zA-Z0-9.]{80,}",
+        r"\b5Aep[a-zA-Z0-9._]{80,}",
+        r"""(?i)(authorization|auth)\s*[:=]\s*["']Bearer\s+[A-Za-z0-9\-_\.]{20,}["']""",
+        r"(?i)Bearer\s+[a-zA-Z0-9_\-.]{20,}",
+        r"(?i)Basic\s+[a-zA-Z0-9+/=]{20,}",
+        r"-----BEGIN\s+(RSA\s+)?PRIVATE\s+KEY-----",
+        r"-----BEGIN\s+CERTIFICATE-----",
+        r"""(?i)jwt[_-]?secret\s*[:=]\s*["'][^"']{8,}["']""",
+        r"gh[puo]_[A-Za-z0-9_]{36,}",
+        r"xox[baprs]-[a-zA-Z0-9-]{10,}",
+        r"hooks\.slack\.com/services/[A-Z0-9]{9,}/[A-Z0-9]{9,}/[A-Za-z0-9]{20,}",
+        r"AIza[0-9A-Za-z_-]{35}",
+        r"SK[a-fA-F0-9]{32}",
+        r"SG\.[a-zA-Z0-9_-]{22}\.[a-zA-Z0-9_-]{43}",
+        r"[a-f0-9]{32}-us[0-9]{1,2}",
+        r"""(?i)(password|passwd|pwd|secret)\s*[:=]\s*["'][^"'\s]{8,}["']""",
+        r"sk-[A-Za-z0-9]{48,}",
+        r"sk-ant-[A-Za-z0-9_-]{20,}",
+    ],
+}
+
+
+def _hardcoded_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    each = [f"SELECT doc_id, '{k}' AS rule FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{quoted(p)}')" for p in ps) for k, ps in PATTERNS.items()]
+    return " UNION ALL ".join(each)
+
+
+@register("rule_hardcoded", _hardcoded_sql())
 def rule_hardcoded(spark, d):
-    """One scan: the rules that each text breaks."""
-    broken = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in PATTERNS.items()]))
+    """One scan: the rules that each text breaks, a rule by any of its patterns."""
+    breaks = {k: reduce(or_, [F.col("text").rlike(p) for p in ps]) for k, ps in PATTERNS.items()}
+    broken = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in breaks.items()]))
     return table(spark, d, "documents").select("doc_id", F.explode(broken).alias("rule"))
 
 
@@ -124,8 +163,9 @@ def rule_supported_type(spark, d):
     return table(spark, d, "events").select("event_id", F.when(t == "click", F.col("value") > 50).when(t == "view", True).otherwise(False).alias("supported"))
 
 
-@register("sink_dep_report", f"SELECT kind, n, string_agg(line, chr(10) ORDER BY line) AS text FROM (SELECT p_brand AS kind, count(*) OVER (PARTITION BY p_brand) AS n, p_type || ' x' || count(*) OVER (PARTITION BY p_brand, p_type) AS line, row_number() OVER (PARTITION BY p_brand, p_type) AS k FROM part) WHERE k = 1 GROUP BY kind, n")
+@register("sink_dep_report", "SELECT p_brand AS kind, sum(count(*)) OVER (PARTITION BY p_brand)::BIGINT AS n, p_type || ' x' || count(*) AS line FROM part GROUP BY p_brand, p_type ORDER BY kind, line")
 def sink_dep_report(spark, d):
-    per = table(spark, d, "part").groupBy("p_brand", "p_type").agg(n_rows().alias("m"))
-    line = F.concat("p_type", F.lit(" x"), F.col("m").cast("string"))
-    return per.groupBy(F.col("p_brand").alias("kind")).agg(F.sum("m").alias("n"), F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    """The lines of a report, a row each, with the size of their kind."""
+    per = table(spark, d, "part").groupBy(F.col("p_brand").alias("kind"), "p_type").agg(n_rows().alias("m"))
+    kinds = per.groupBy("kind").agg(F.sum("m").alias("n"))
+    return per.join(kinds, "kind").select("kind", "n", F.concat("p_type", F.lit(" x"), F.col("m").cast("string")).alias("line")).orderBy("kind", "line")

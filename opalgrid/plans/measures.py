@@ -37,8 +37,7 @@ def calls(spark, d):
 
 @register("agg_api_stats", f"SELECT mode, method, count(*) AS total, count(*) FILTER (WHERE failed) AS errors, round(sum(duration), 4) AS spent FROM ({CALLS}) GROUP BY GROUPING SETS ((mode), (mode, method))")
 def agg_api_stats(spark, d):
-    calls(spark, d).createOrReplaceTempView("api_calls")
-    return spark.sql("SELECT mode, method, count(*) AS total, count_if(failed) AS errors, round(sum(duration), 4) AS spent FROM api_calls GROUP BY GROUPING SETS ((mode), (mode, method))")
+    return spark.sql("SELECT mode, method, count(*) AS total, count_if(failed) AS errors, round(sum(duration), 4) AS spent FROM {api_calls} GROUP BY GROUPING SETS ((mode), (mode, method))", api_calls=calls(spark, d))
 
 
 @register("agg_api_avg", f"SELECT mode, CASE WHEN count(*) > 0 THEN floor(sum(duration) / count(*) + 0.5) ELSE 0 END::DOUBLE AS average, CAST(floor(date_diff('minute', min(ts), max(ts))) AS BIGINT) AS minutes FROM ({CALLS}) GROUP BY ROLLUP(mode)")
@@ -75,10 +74,11 @@ def part_groups(spark, d):
     return table(spark, d, "part").withColumn("kind", key)
 
 
-@register("agg_dep_groups", f"SELECT {GROUP_SQL} AS kind, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM part GROUP BY 1")
+@register("agg_dep_groups", f"SELECT kind, count(*) OVER (PARTITION BY kind) AS n, p_partkey FROM (SELECT {GROUP_SQL} AS kind, p_partkey FROM part) ORDER BY n DESC, kind, p_partkey")
 def agg_dep_groups(spark, d):
-    rows = part_groups(spark, d).groupBy("kind").agg(n_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("p_partkey")), ",").alias("keys"))
-    return rows.orderBy(F.desc("n"), "kind")
+    """Groups, largest first, a row per member: no group is gathered."""
+    rows = part_groups(spark, d).select("kind", "p_partkey")
+    return rows.join(rows.groupBy("kind").agg(n_rows().alias("n")), "kind").select("kind", "n", "p_partkey").orderBy(F.desc("n"), "kind", "p_partkey")
 
 
 @register("agg_dep_flat_groups", f"SELECT kind, count(*) AS n FROM (SELECT {GROUP_SQL} AS kind, p_size, min(p_partkey) AS k FROM part GROUP BY 1, 2) GROUP BY kind")
@@ -119,9 +119,10 @@ def agg_purge_stats(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows().alias("found"), F.count_if(ok).alias("deleted"), F.bool_and(ok).alias("done"))
 
 
-@register("agg_group_urls", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS n, string_agg(url, ' ' ORDER BY url) AS urls FROM pages GROUP BY 1")
+@register("agg_group_urls", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1)) AS n, url FROM pages ORDER BY host, url")
 def agg_group_urls(spark, d):
-    return table(spark, d, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(n_rows().alias("n"), F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls"))
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url")
+    return rows.join(rows.groupBy("host").agg(n_rows().alias("n")), "host").select("host", "n", "url").orderBy("host", "url")
 
 
 @register("agg_section_groups", "SELECT o_orderpriority, max(n) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS sample FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) WHERE k <= 5 GROUP BY 1")

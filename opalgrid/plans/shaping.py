@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.catalog import CATALOG
 from opalgrid.functions import text as tx
+from opalgrid.operators import ranking as rk
 from opalgrid.operators import tables as tb
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
@@ -63,7 +64,14 @@ def fn_format_duration(spark, d):
     return table(spark, d, "orders").select("o_orderkey", tx.format_duration(F.col("o_orderkey") * 7.5 - 7.0).alias("words"))
 
 
-@register("fn_format_bytes")
+BYTES_SQL = (
+    "SELECT doc_id, CASE WHEN n <= 0 THEN '0 B' ELSE CASE WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.1f', v) END || u END AS size FROM (SELECT doc_id, n, "
+    "round(n / CASE WHEN n < 1024 THEN 1.0 WHEN n < 1048576 THEN 1024.0 WHEN n < 1073741824 THEN 1048576.0 ELSE 1073741824.0 END::DOUBLE, 1) AS v, "
+    "CASE WHEN n < 1024 THEN ' B' WHEN n < 1048576 THEN ' KB' WHEN n < 1073741824 THEN ' MB' ELSE ' GB' END AS u FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents))"
+)
+
+
+@register("fn_format_bytes", BYTES_SQL)
 def fn_format_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.format_bytes(F.col("n_chars") * F.col("n_chars")).alias("size"))
 
@@ -81,20 +89,32 @@ def fn_parse_action(spark, d):
     return operations(spark, d).select("event_id", tx.parse_action(F.col("op")).alias("action"))
 
 
+#: One log per kind, by event_id % 12: what follows the debug line ({k} is the id), and the action it stands for.
+LOG_KINDS = (
+    ("CODE_UNIT_STARTED|[EXTERNAL]|apex://Ctl{k}/ACTION$run", "Ctl{k}.run"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|01p|Svc{k}.call(String)", "Svc{k}.call"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|01q|AccTrg on Account trigger event BeforeInsert|__sfdc_trigger/AccTrg", "Trigger · AccTrg (BeforeInsert)"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|Handler{k}", "Handler{k}"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|01p000000000001|VFRemote: Rem{k} invoke(go)", "VFRemote · Rem{k}.go"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|01p000000000001|Svc{k}.Svc{k}(Integer)", "Svc{k} (constructor)"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|01p000000000001|Queue job {k}", "Queue job {k}"),
+    ("METHOD_ENTRY|[1]|01p|ns.Cls{k}.go(Integer)", "Cls{k}.go"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|Class.ns.Cls{k}.act", "Cls{k}.act"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|Flow:Onboard{k}", "Flow · Onboard{k}"),
+    ("CODE_UNIT_STARTED|[EXTERNAL]|Ord{k} on Account trigger event AfterUpdate", "Trigger · Ord{k} (AfterUpdate)"),
+    ("FLOW_START_INTERVIEW_BEGIN|Flow_{k}", "Flow · Flow_{k}"),
+)
+
+
 def log_bodies(spark, d):
-    """Log bodies of four kinds made from the events."""
-    k = F.col("event_id").cast("string")
-    head = F.concat(F.lit("64.0 APEX_CODE,FINEST\n09:00:00.0 (1)|EXECUTION_STARTED\n09:00:00.1 (2)|CODE_UNIT_STARTED|[EXTERNAL]|"))
-    kind = F.col("event_id") % 4
-    tail = (
-        F.when(kind == 0, F.concat(F.lit("apex://Ctl"), k, F.lit("/ACTION$run"))).when(kind == 1, F.concat(F.lit("01p|Svc"), k, F.lit(".call(String)")))
-        .when(kind == 2, F.concat(F.lit("01q|AccTrg on Account trigger event BeforeInsert|__sfdc_trigger/AccTrg"))).otherwise("nothing")
-    )
-    flow = F.when(kind == 3, F.concat(F.lit("\n09:00:00.2 (3)|FLOW_START_INTERVIEW_BEGIN|Flow_"), k)).otherwise("")
-    return table(spark, d, "events").select("event_id", F.concat(head, tail, flow, F.lit("\n09:00:00.9 (9)|USER_DEBUG|[1]|DEBUG|value "), F.col("event_type")).alias("body"), "event_type")
+    """Log bodies of twelve kinds made from the events."""
+    kinds = F.array(*[F.lit(line) for line, _ in LOG_KINDS])
+    own = F.replace(F.get(kinds, (F.col("event_id") % len(LOG_KINDS)).cast("int")), F.lit("{k}"), F.col("event_id").cast("string"))
+    head = F.lit("64.0 APEX_CODE,FINEST\n09:00:00.0 (1)|EXECUTION_STARTED\n09:00:00.1 (2)|USER_DEBUG|[1]|DEBUG|value ")
+    return table(spark, d, "events").select("event_id", F.concat(head, "event_type", F.lit("\n09:00:00.2 (3)|"), own).alias("body"), "event_type")
 
 
-@register("fn_derive_action", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Ctl' || event_id || '.run' WHEN 1 THEN 'Svc' || event_id || '.call' WHEN 2 THEN 'Trigger · AccTrg (BeforeInsert)' ELSE 'Flow · Flow_' || event_id END AS action FROM events")
+@register("fn_derive_action", "SELECT event_id, replace(CASE event_id % 12 " + " ".join(f"WHEN {i} THEN '{label}'" for i, (_, label) in enumerate(LOG_KINDS)) + " END, '{k}', CAST(event_id AS VARCHAR)) AS action FROM events")
 def fn_derive_action(spark, d):
     return log_bodies(spark, d).select("event_id", tx.derive_action(F.col("body"), F.lit("Api")).alias("action"))
 
@@ -126,8 +146,8 @@ def fn_convert_value(spark, d):
 
 @register("fn_set_nested", "SELECT c_custkey, c_name AS owner_name FROM customer")
 def fn_set_nested(spark, d):
-    rows = table(spark, d, "customer").select("c_custkey", F.struct(F.struct(F.lit(None).cast("string").alias("name")).alias("owner")).alias("r"))
-    rows = rows.join(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").withColumn("r", F.col("r").withField("owner.name", F.col("c_name")))
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", F.struct(F.struct(F.lit(None).cast("string").alias("name")).alias("owner")).alias("r"))
+    rows = rows.withColumn("r", F.col("r").withField("owner.name", F.col("c_name")))
     return rows.select("c_custkey", F.col("r.owner.name").alias("owner_name"))
 
 
@@ -252,11 +272,17 @@ def fn_fault_msg(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.fault_message(e).alias("msg"))
 
 
-@register("fn_random_value", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS sound FROM part")
+RANDOM_SQL = (
+    "SELECT p_partkey, n % 10000 AS i, round(n % 100000 / 100.0::DOUBLE, 2) AS m, n % 2 = 0 AS b, CASE n % 3 WHEN 0 THEN 'red' WHEN 1 THEN 'green' ELSE 'blue' END AS p, substr(h, 1, CAST(5 + n % 15 AS INTEGER)) AS s "
+    "FROM (SELECT p_partkey, h, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS n FROM (SELECT p_partkey, md5('7:' || p_partkey) AS h FROM part))"
+)
+
+
+@register("fn_random_value", RANDOM_SQL)
 def fn_random_value(spark, d):
-    """Seeded values by field type: a number below 100 and a word of the domain."""
-    number, word = F.floor(F.rand(7) * 100), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.floor(F.rand(8) * 3) + 1).cast("int"))
-    return table(spark, d, "part").select(number.alias("x"), word.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("x").between(0, 99) & F.col("w").isin("a", "b", "c")).cast("long").alias("sound"))
+    """Seeded values by field type, from a hash of seed and key: a retried task makes the same ones."""
+    value = lambda kind, *choices: tx.random_value(F.col("p_partkey"), kind, 7, choices)
+    return table(spark, d, "part").select("p_partkey", value("int").alias("i"), value("double").alias("m"), value("boolean").alias("b"), value("picklist", "red", "green", "blue").alias("p"), value("string").alias("s"))
 
 
 @register("fn_initials", "SELECT p_partkey, array_to_string(list_transform(string_split(p_type, ' '), lambda x: x[1]), '') AS letters FROM part")
@@ -349,9 +375,20 @@ def tbl_layout_flatten(spark, d):
     return each.filter("c.type = 'Field'").select("l_orderkey", "item", F.col("c.value").alias("value"))
 
 
-@register("tbl_remove_nulls", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '{\"k\":' || o_orderkey || '}' ELSE '{\"k\":' || o_orderkey || ',\"s\":\"' || o_orderstatus || '\"}' END AS doc FROM orders")
+NO_NULLS_SQL = (
+    "SELECT o_orderkey, '{\"k\":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',\"s\":\"' || o_orderstatus || '\"' END || ',\"in\":{\"a\":1' || "
+    "CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',\"s\":\"' || o_orderstatus || '\"' END || '},\"items\":[{\"n\":1},null,{' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '\"s\":\"' || o_orderstatus || '\"' END || '}]}' AS doc FROM orders"
+)
+
+
+@register("tbl_remove_nulls", NO_NULLS_SQL)
 def tbl_remove_nulls(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("s"))).alias("doc"))
+    """Null keys go at every depth, elements of arrays stay."""
+    s = F.nullif(F.col("o_orderstatus"), F.lit("P"))
+    item = lambda n, v: F.struct(F.lit(n).cast("int").alias("n"), v.cast("string").alias("s"))
+    items = F.array(item(1, F.lit(None)), F.lit(None), item(None, s))
+    doc = F.struct(F.col("o_orderkey").alias("k"), s.alias("s"), F.struct(F.lit(1).alias("a"), s.alias("s")).alias("in"), items.alias("items"))
+    return table(spark, d, "orders").select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "true"}).alias("doc"))
 
 
 @register("tbl_limits_unpivot", "SELECT name, CAST(mx AS BIGINT) AS mx, CAST(remaining AS BIGINT) AS remaining FROM (VALUES ('DailyApiRequests', 10000, 1000), ('FileStorageMB', 200, 250), ('Zero', 0, 0)) t(name, mx, remaining)")
@@ -365,7 +402,7 @@ def limits(spark):
     return spark.range(1).select(F.explode(m).alias("name", "v")).select("name", F.col("v.Max").alias("mx"), F.col("v.Remaining").alias("remaining"))
 
 
-@register("tbl_log_grep", "SELECT event_id, 'x' AS hit FROM events WHERE event_type IN ('error', 'view')")
+@register("tbl_log_grep", "SELECT event_id, '09:00:00.1 (2)|USER_DEBUG|[1]|DEBUG|value ' || event_type AS hit FROM events WHERE event_type IN ('error', 'view')")
 def tbl_log_grep(spark, d):
     """Lines that hold any of the patterns, in their case."""
     wanted = [p.strip() for p in " value error | value view|".split("|") if p.strip()]
@@ -373,7 +410,7 @@ def tbl_log_grep(spark, d):
     hit = F.lit(False)
     for p in wanted:
         hit = hit | F.contains("line", F.lit(p))
-    return lines.filter(hit).select("event_id", F.lit("x").alias("hit"))
+    return lines.filter(hit).select("event_id", F.col("line").alias("hit"))
 
 
 @register("tbl_log_search", "SELECT event_id FROM events WHERE event_id % 5 = 0 OR event_type = 'purchase'")
@@ -395,11 +432,23 @@ def tbl_user_search(spark, d):
     return rows.orderBy(F.desc("c_acctbal"), "c_custkey").limit(100).select("c_custkey")
 
 
-@register("tbl_field_import", "SELECT n_nationkey AS line, CASE WHEN n_nationkey % 5 = 0 THEN 'line ' || n_nationkey || ': unknown type Blob' END AS error FROM nation")
+FIELD_SQL = (
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Invalid type \"Blob\" on line 4' END AS error, CASE WHEN c_custkey % 5 > 0 THEN label END AS label, CASE WHEN c_custkey % 5 > 0 THEN name END AS name, "
+    "CASE WHEN c_custkey % 5 > 0 THEN type END AS type FROM (SELECT c_custkey, 'Name' AS label, 'n' || c_custkey AS name, 'Text' AS type FROM customer "
+    "UNION ALL SELECT c_custkey, 'Flag', 'f' || c_custkey, 'Checkbox' FROM customer WHERE c_custkey % 5 > 0)"
+)
+
+
+@register("tbl_field_import", FIELD_SQL)
 def tbl_field_import(spark, d):
-    kind = F.when(F.col("n_nationkey") % 5 == 0, "Blob").otherwise("Text")
-    bad = ~kind.isin("Text", "Number", "Checkbox", "Date", "Picklist")
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("line"), F.when(bad, F.concat(F.lit("line "), F.col("n_nationkey").cast("string"), F.lit(": unknown type "), kind)).alias("error"))
+    """Texts of label, name and type lines: the fields of each, or its error and none of its fields."""
+    k = F.col("c_custkey").cast("string")
+    last = F.when(F.col("c_custkey") % 5 == 0, "Blob").otherwise("Checkbox")
+    text = F.concat(F.lit("Name , n"), k, F.lit(",Text\n\nno type,x,\nFlag,f"), k, F.lit(", "), last, F.lit("\n"))
+    text = F.when(F.col("c_custkey") % 2 == 1, F.replace(text, F.lit(","), F.lit(";"))).otherwise(text)
+    read = src.import_fields(text)
+    rows = table(spark, d, "customer").select("c_custkey", read["error"].alias("error"), F.explode_outer(read["fields"]).alias("f"))
+    return rows.select("c_custkey", "error", "f.label", "f.name", "f.type")
 
 
 @register("tbl_field_def", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Number' ELSE 'Text' END AS type, CASE WHEN p_partkey % 2 = 0 THEN 18 + 2 END AS precision, CASE WHEN p_partkey % 2 = 1 THEN 255 END AS length FROM part")
@@ -467,10 +516,12 @@ def sink_json(spark, d):
     return table(spark, d, "region").select(F.to_json(F.struct("r_regionkey", "r_name")).alias("doc"))
 
 
-@register("sink_csv_bom", "SELECT chr(65279) || string_agg('\"' || r_name || '\"', chr(13) || chr(10) ORDER BY r_name) AS text FROM region")
+@register("sink_csv_bom", """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS place, CASE WHEN row_number() OVER (ORDER BY c_custkey) = 1 THEN chr(65279) ELSE '' END || '"' || c_custkey || '","' || c_name || '"' || chr(13) AS line FROM customer""")
 def sink_csv_bom(spark, d):
-    lines = tb.csv_text(table(spark, d, "region").select("r_name"))
-    return lines.agg(F.concat(F.lit("\ufeff"), F.array_join(F.array_sort(F.collect_list("line")), "\r\n")).alias("text"))
+    """Numbered lines for a text sink: the first begins with the byte order mark, each ends with a carriage return."""
+    rows = rk.ordinals(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", "place")
+    line = tb.csv_line([F.col("c_custkey").cast("string"), F.col("c_name")])
+    return rows.select("place", F.concat(F.when(F.col("place") == 0, "\ufeff").otherwise(""), line, F.lit("\r")).alias("line")).orderBy("place")
 
 
 @register("sink_table_tsv", "SELECT p_partkey || chr(9) || p_brand AS line FROM part")

@@ -29,6 +29,28 @@ def detect_separator(c: Column) -> Column:
     return out
 
 
+#: The types that an imported field may have.
+FIELD_TYPES = (
+    "Checkbox", "Currency", "Date", "DateTime", "Email", "Location", "Number", "Percent", "Phone", "Picklist", "MultiselectPicklist", "Text", "TextArea", "LongTextArea", "Html", "Url",
+)
+
+
+def import_fields(c: Column) -> Column:
+    """(fields, error) of a text of ``label, name, type`` lines.
+
+    The separator is that of the first line with text. Lines that lack one of the three are passed over. A type that is
+    not known is an error that names its line (the last such line), and then no field is imported. Null has no fields.
+    """
+    by = F.concat(F.lit(r"\Q"), detect_separator(c), F.lit(r"\E"))
+    cells = F.transform(F.split(c, "\n"), lambda line: F.transform(F.split(line, by), lambda x: F.trim(F.regexp_replace(x, r"[\r\t]", " "))))
+    cell = lambda x, i: F.coalesce(F.get(x, F.lit(i)), F.lit(""))
+    lines = F.transform(cells, lambda x, i: F.struct((i + 1).alias("line"), *[cell(x, j).alias(n) for j, n in enumerate(("label", "name", "type"))]))
+    whole = F.filter(lines, lambda r: (r["label"] != "") & (r["name"] != "") & (r["type"] != ""))
+    bad = F.try_element_at(F.filter(whole, lambda r: ~r["type"].isin(*FIELD_TYPES)), F.lit(-1))
+    error = F.concat(F.lit('Invalid type "'), bad["type"], F.lit('" on line '), bad["line"].cast("string"))
+    return F.struct(F.when(bad.isNull(), whole).alias("fields"), error.alias("error"))
+
+
 def content_kind(content_type: Column, url: Column, body: Column) -> Column:
     """How a reply is read: by its content type and address; a body that is no JSON falls back to text or log."""
     low = F.lower(F.coalesce(content_type, F.lit("")))

@@ -114,3 +114,36 @@ def test_auto_sort(spark):
     assert [r["v"] for r in rk.auto_sort(numbers, "v").collect()][:2] == ["9", "10"]
     words = spark.createDataFrame([("10",), ("9",), ("x",)], "v string")
     assert [r["v"] for r in rk.auto_sort(words, "v").collect()] == ["10", "9", "x"]
+
+
+HEAD = "64.0 APEX_CODE,FINEST\n09:00:00.1 (2)|"
+
+
+@pytest.mark.parametrize(
+    ("body", "action"),
+    [
+        (None, "Api"), ("no log at all", "Api"), (HEAD + "CODE_UNIT_STARTED|[EXTERNAL]|TRIGGERS", "TRIGGERS"), (HEAD + "METHOD_ENTRY|[1]|01p|alone(x)", "alone"),
+        (HEAD + "METHOD_ENTRY|[1]|01p|ns.Cls.Cls(x)", "Cls (constructor)"), (HEAD + "CODE_UNIT_STARTED|[EXTERNAL]|execute_anonymous_apex", "execute_anonymous_apex"),
+        (HEAD + "CODE_UNIT_STARTED|[EXTERNAL]|01q|first trigger event AfterInsert|__sfdc_trigger/AccTrg", "Trigger · first (AfterInsert)"),
+        (HEAD + "CODE_UNIT_STARTED|[EXTERNAL]|01q|what ever|__sfdc_trigger/AccTrg", "Trigger · AccTrg"), (HEAD + "CODE_UNIT_STARTED|[EXTERNAL]|VF: /apex/page", "VF: /apex/page"),
+    ],
+)
+def test_log_action(spark, body, action):
+    assert one(spark, tx.derive_action(F.lit(body).cast("string"), F.lit("Api"))) == action
+
+
+@pytest.mark.parametrize(
+    ("text", "fields", "error"),
+    [
+        (None, None, None), ("", [], None), ("Field 1,Field1,Text", [(1, "Field 1", "Field1", "Text")], None), ("a;b;Date\r\n\r\nc;d", [(1, "a", "b", "Date")], None),
+        ("a,b,Blob\nc,d,Text\ne,f,Bits", None, 'Invalid type "Bits" on line 3'),
+    ],
+)
+def test_field_import(spark, text, fields, error):
+    got = one(spark, src.import_fields(F.lit(text).cast("string")))
+    assert (None if got["fields"] is None else [tuple(f) for f in got["fields"]], got["error"]) == (fields, error)
+
+
+@pytest.mark.parametrize(("text", "mended"), [("select a,, b,from  t", "select a, b from t"), ("x = 'a,,  b'  and y", "x = 'a,,  b' and y"), ("  ", "")])
+def test_typos(spark, text, mended):
+    assert one(spark, tx.mend_typos(F.lit(text))) == mended

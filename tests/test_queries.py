@@ -64,6 +64,11 @@ def test_predicates_hit(spark, duck, key):
     assert len(duck.sql(registry.oracle_sql()[key]).fetchall())
 
 
+def test_explain_shows_a_pushed_filter(spark):
+    lines = [r["text"] for r in registry.queries()["soql_explain"](spark, SF).collect()]
+    assert any("PushedFilters" in x and "EqualTo(o_orderstatus,F)" in x for x in lines) and any("HashAggregate" in x for x in lines)
+
+
 def test_closure_of_a_long_chain(spark):
     edges = spark.range(0, 12).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(12, 0), (12, 5)], "a long, b long"))
     got = graph.closure(edges, spark.createDataFrame([(2,)], "node long")).collect()
