@@ -7,7 +7,7 @@ operations on the result, so that Catalyst pushes predicates and prunes columns
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,6 +70,8 @@ CATALOG = Catalog(
         ObjectDef("labels", "Label", "0l0", (Relation("Document", "documents", "doc_id", "doc_id"),)),
         ObjectDef("pages", "Page", "0p0"),
         ObjectDef("events", "Event log", "07L", namespace="tooling"),
+        ObjectDef("part", "Layout", "00h", namespace="tooling", custom=("p_type",)),
+        ObjectDef("customer", "Customer with closed accounts", "001", deleted="c_acctbal < 0", namespace="archive"),
     ]
 )
 
@@ -85,7 +87,7 @@ class ObjectQuery:
 
     def _scan(self, obj: ObjectDef, all_rows: bool = False) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{obj.name}.parquet")
-        return df if all_rows or obj.deleted is None else df.filter(~F.coalesce(F.col(obj.deleted), F.lit(False)))
+        return df if all_rows or obj.deleted is None else df.filter(~F.coalesce(F.expr(obj.deleted), F.lit(False)))
 
     def fields(self, which: str = "ALL") -> list[str]:
         """Own fields: ALL, STANDARD or CUSTOM."""
@@ -153,3 +155,22 @@ def search(spark: SparkSession, sf_dir: str, term: str, returning: dict[str, Seq
         rows = rows if limit is None else rows.orderBy("id").limit(limit)
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def run_plan(spark: SparkSession, sf_dir: str, plan: Sequence[Mapping], most: int = 8, catalog: Catalog = CATALOG) -> list[tuple[str, DataFrame]]:
+    """The queries of a declarative plan, by object name: ``object``, ``fields`` and ``where`` (field: value).
+
+    At most ``most`` (1 to 12) queries are kept. An object that the catalog does not know drops its query, an unknown
+    field is left out; a query without known fields has all of them.
+    """
+    out: list[tuple[str, DataFrame]] = []
+    for step in plan:
+        try:
+            q = ObjectQuery(spark, sf_dir, step["object"], catalog)
+        except LookupError:
+            continue
+        rows, known = q.frame, set(q.fields())
+        for name, value in step.get("where", {}).items():
+            rows = rows.filter(F.col(name) == value) if name in known else rows
+        out.append((step["object"], rows.select(*[f for f in step.get("fields", ()) if f in known] or ["*"])))
+    return out[: max(1, min(12, most))]

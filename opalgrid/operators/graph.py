@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder where the cluster keeps checkpoints; only a local session may do without naming one."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return f"{(named or tempfile.mkdtemp(prefix='opalgrid-')).rstrip('/')}/opalgrid/closure-{uuid.uuid4().hex}"
+from opalgrid.shared import shared_folder
 
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -25,7 +16,7 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     own depth, so that a node is written once and a lost executor costs a round at most; cycles end by themselves, and
     there is no limit of rounds.
     """
-    spark, folder, depth = edges.sparkSession, _folder(edges.sparkSession), 0
+    spark, folder, depth = edges.sparkSession, shared_folder(edges.sparkSession, "closure"), 0
     schema = starts.select("node").schema
     starts.select("node").distinct().write.parquet(f"{folder}/depth=0")
     while True:

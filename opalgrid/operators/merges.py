@@ -56,6 +56,29 @@ def status_of(c: Column) -> Column:
     return F.when(low.isin("", "queued", "processing"), "Queued").when(low == "succeeded", "Succeeded").otherwise("Failed")
 
 
+def header_options(text: Column, mark: str) -> Column:
+    """The URL-encoded options of a text whose first row begins with ``mark=``, as a map; null where there are none."""
+    first = F.trim(F.get(F.split(text, "\r?\n"), F.lit(0)))
+    pairs = F.transform(F.split(first, "&"), lambda x: F.struct(F.url_decode(F.substring_index(x, "=", 1)), F.url_decode(F.regexp_replace(x, "^[^=]*=?", ""))))
+    return F.when(first.startswith(f"{mark}="), F.map_from_entries(pairs))
+
+
+def import_problems(header: Column, known: Sequence[str], required: Sequence[str], batch: Column, threads: Column) -> Column:
+    """What keeps an import from running, or slows it: an array of texts, empty if all is well.
+
+    Columns are checked in their order; those that start with an underscore are not imported. Names are compared in
+    any case.
+    """
+    low = [k.lower() for k in known]
+    wrong = lambda n: (
+        F.when(~n.rlike(r"^[a-zA-Z_][\w.\-]*(:\w+:\w+)?$"), F.concat(n, F.lit(": Invalid field name"))).when(~n.startswith("_") & ~F.lower(n).isin(low), F.concat(n, F.lit(": Unknown field")))
+    )
+    held = F.transform(header, lambda n: F.lower(n))
+    missing = [F.when(~F.array_contains(held, r.lower()), F.lit(f"{r}: Required field")) for r in required]
+    settings = [F.when(~(F.coalesce(v, F.lit(0)) > 0), F.lit(f"{name}: Must be positive")) for name, v in (("batch size", batch), ("threads", threads))]
+    return F.array_compact(F.concat(F.transform(header, wrong), F.array(*missing, *settings, F.when(threads > 6, F.lit("threads: More than 6 may be slower")))))
+
+
 def import_batches(rows: DataFrame, order: str, size: int, failed: Column, stop_after: int = 3) -> DataFrame:
     """Queued rows in batches of ``size``; the queue stops after ``stop_after`` failed batches in a row.
 

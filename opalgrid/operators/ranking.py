@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,30 +31,39 @@ def recent_history(df: DataFrame, owner: str, key: str, at: str, most: int) -> D
     return last.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 
 
-def batches(df: DataFrame, order: Sequence[Column], size: int, within: Sequence[str]) -> DataFrame:
-    """Rows with the number of their batch of ``size`` within each group."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def _ranged(df: DataFrame, key: str) -> DataFrame:
+    """Rows with ``_range``, the number of the range that their numeric key falls into (nulls: the first).
 
-
-def ordinals(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
-    """Rows with their place from 0 in the order of a numeric key (nulls first), without gathering them.
-
-    Ranges of the key are counted, running offsets go over one row per range, and a window numbers each range. The
-    driver sees the ends of the ranges only, so that counts and numbers rest on the same ends.
+    The driver sees the ends of the ranges only, so that counts and numbers rest on the same ends.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     ends = sorted(set(ends))
     # a key's range is the number of ends below it
     at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))), F.lit(0)) if ends else F.lit(0)
-    ranged = df.withColumn("_range", at)
-    per = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    out = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
-    return out.withColumn(name, F.col("_offset") + F.col("_place")).drop("_range", "_place", "_offset")
+    return df.withColumn("_range", at)
+
+
+def ordinals(df: DataFrame, key: str, name: str = "ordinal", within: Sequence[str] = ()) -> DataFrame:
+    """Rows with their place from 0 in the order of a numeric key (nulls first), without gathering them.
+
+    With ``within``, places start anew in each group, null being one; a group as large as the table is still split by
+    ranges. Ranges are counted, running offsets go over one row per range and group, and a window numbers each range.
+    """
+    ranged = _ranged(df, key)
+    per = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(key)) - 1
+    same = (F.col("_range") == F.col("_r")) & reduce(and_, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)], F.lit(True))
+    offsets = offsets if within else F.broadcast(offsets)  # without groups a row per range
+    out = ranged.withColumn("_place", place).join(offsets, same)
+    return out.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(name))
+
+
+def batches(df: DataFrame, key: str, size: int, within: Sequence[str]) -> DataFrame:
+    """Rows with the number of their batch of ``size`` within each group, in the order of a numeric key."""
+    return ordinals(df, key, "batch", within).withColumn("batch", F.floor(F.col("batch") / size))
 
 
 def match_tier(value: Column, title: Column, term: str) -> Column:

@@ -199,23 +199,38 @@ def dml_retry_failed(spark, d):
     return dml_status_tag(spark, d).select("o_orderkey", F.when(F.col("status") == "Failed", "Queued").otherwise(F.col("status")).alias("status"))
 
 
-@register("dml_options_header", "SELECT 'update' AS action, 'customer' AS object, CAST(3 AS BIGINT) AS n")
+OPTIONS_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CASE c_custkey % 2 WHEN 0 THEN 'update' ELSE 'up sert' END END AS action, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS object, c_custkey % 3 > 0 AS has_options FROM customer"
+
+
+@register("dml_options_header", OPTIONS_SQL)
 def dml_options_header(spark, d):
-    m = F.str_to_map(F.url_decode(F.lit("import-options=1&action=update&object=customer")), F.lit("&"), F.lit("="))
-    return spark.range(1).select(m["action"].alias("action"), m["object"].alias("object"), F.size(m).cast("long").alias("n"))
+    """The options in the first row of each text, where it holds some."""
+    k = F.col("c_custkey")
+    options = F.concat(F.lit("import-options=1&action="), F.when(k % 2 == 0, "update").otherwise("up+sert"), F.lit("&object="), "c_mktsegment")
+    text = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(options, F.lit("\n"))), F.lit("Id,Name\n1,x"))
+    m = mg.header_options(text, "import-options")
+    return table(spark, d, "customer").select("c_custkey", m["action"].alias("action"), m["object"].alias("object"), m.isNotNull().alias("has_options"))
+
+
+VALIDATE_SQL = (
+    "SELECT n_nationkey, unnest(CASE n_nationkey % 5 WHEN 0 THEN ['Na*me: Invalid field name', 'c_custkey: Required field'] WHEN 1 THEN ['c_nothing: Unknown field'] "
+    "WHEN 2 THEN ['batch size: Must be positive'] WHEN 3 THEN ['threads: More than 6 may be slower'] ELSE ['c_custkey: Required field'] END) AS problem FROM nation"
+)
 
 
-@register("dml_validate", "SELECT n, problem FROM (VALUES ('c_name', NULL), ('Na*me', 'Invalid field name'), ('c_nothing', 'Unknown field'), ('_note', NULL)) t(n, problem)")
+@register("dml_validate", VALIDATE_SQL)
 def dml_validate(spark, d):
+    """What is wrong with the header and settings of each import."""
+    k = F.col("n_nationkey") % 5
+    header = F.get(F.array(*map(F.lit, ("c_name,Na*me", "C_CUSTKEY,c_nothing", "c_custkey,_note", "c_custkey", "c_name"))), k)
     known = [f.name for f in table(spark, d, "customer").schema]
-    heads = spark.createDataFrame([("c_name",), ("Na*me",), ("c_nothing",), ("_note",)], "n string")
-    problem = F.when(~F.col("n").rlike(r"^[A-Za-z_][\w.:\-]*$"), "Invalid field name").when(~F.col("n").startswith("_") & ~F.lower("n").isin(known), "Unknown field")
-    return heads.select("n", problem.alias("problem"))
+    problems = mg.import_problems(F.split(header, ","), known, ["c_custkey"], F.when(k == 2, 0).otherwise(200), F.when(k == 3, 7).otherwise(6))
+    return table(spark, d, "nation").select("n_nationkey", F.explode(problems).alias("problem"))
 
 
 @register("dml_bulk_delete", "SELECT event_id, CAST((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 200 AS BIGINT) AS chunk FROM events WHERE event_type = 'view'")
 def dml_bulk_delete(spark, d):
-    return rk.batches(table(spark, d, "events").filter("event_type = 'view'"), [F.col("event_id")], 200, ["event_type"]).select("event_id", F.col("batch").alias("chunk"))
+    return rk.batches(table(spark, d, "events").filter("event_type = 'view'").select("event_id", "event_type"), "event_id", 200, ["event_type"]).select("event_id", F.col("batch").alias("chunk"))
 
 
 @register("dml_purge_versions", f"WITH v AS (SELECT *, version > (max(version) OVER (PARTITION BY o_custkey)) - 3 OR version = 2 AS keep FROM ({VERSIONS})) SELECT l_orderkey, count(*) AS children FROM lineitem JOIN v ON l_orderkey = o_orderkey WHERE NOT keep GROUP BY 1")

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opalgrid.catalog import CATALOG, ObjectQuery, polymorphic, search
+from opalgrid.catalog import CATALOG, ObjectQuery, polymorphic, run_plan, search
 from opalgrid.functions import dates
 from opalgrid.functions import text as tx
 from opalgrid.plans.registry import register
@@ -28,14 +28,22 @@ def scan_object(spark, d):
     return ObjectQuery(spark, d, "orders").frame.select("o_orderkey", "o_orderstatus")
 
 
-@register("scan_query_all", "SELECT c_custkey, c_acctbal < 0 AS is_deleted FROM customer")
+@register("scan_query_all", "SELECT c_mktsegment, count(*) AS every, count(*) FILTER (WHERE c_acctbal >= 0) AS present FROM customer GROUP BY c_mktsegment")
 def scan_query_all(spark, d):
-    return ObjectQuery(spark, d, "customer", all_rows=True).frame.select("c_custkey", (F.col("c_acctbal") < 0).alias("is_deleted"))
+    """Rows with the deleted ones, beside those that a plain query sees."""
+    each = [ObjectQuery(spark, d, "customer", namespace="archive", all_rows=flag).frame.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")) for flag in (True, False)]
+    every, present = each[0].withColumnRenamed("n", "every"), each[1].withColumnRenamed("n", "present")
+    return every.join(present, "c_mktsegment", "left").select("c_mktsegment", "every", F.coalesce("present", F.lit(0)).alias("present"))
 
 
-@register("scan_tooling", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+@register("scan_tooling", "SELECT 'Event log' AS label, event_type AS kind, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'Layout', p_type, count(*) FROM part GROUP BY p_type")
 def scan_tooling(spark, d):
-    return ObjectQuery(spark, d, "events", namespace="tooling").frame.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Objects of the tooling namespace, whose definitions are not those of the data of the same name."""
+    out = []
+    for name, kind in (("events", "event_type"), ("part", "p_type")):
+        q = ObjectQuery(spark, d, name, namespace="tooling")
+        out.append(q.frame.groupBy(F.lit(q.object.label).alias("label"), F.col(kind).alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    return out[0].unionByName(out[1])
 
 
 @register("scan_search", "SELECT 'customer' AS object, CAST(c_custkey AS VARCHAR) AS id, c_name || ' | ' || c_mktsegment AS text FROM customer WHERE contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build') UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name || ' | ' || p_type FROM part WHERE contains(lower(p_name), 'build') OR contains(lower(p_type), 'build')")
@@ -288,20 +296,16 @@ def soql_query_builder(spark, d):
     return rows.filter(F.col("ts") >= F.lit(wanted["since"]).cast("timestamp_ntz")).select("event_id")
 
 
-@register("soql_plan_sanitize", "SELECT 'orders' AS object, count(*) AS n FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'part', count(*) FROM part")
+@register("soql_plan_sanitize", "SELECT 'orders' AS object, o_orderkey AS key, o_orderpriority AS value FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'part', p_partkey, p_brand FROM part")
 def soql_plan_sanitize(spark, d):
-    """A declarative plan: objects and fields outside the catalog are dropped, the number of queries is bounded."""
-    plan = [{"object": "orders", "where": {"o_orderstatus": "O"}}, {"object": "secret"}, {"object": "part", "where": {"no_field": 1}}]
+    """A declarative plan: unknown objects and fields are dropped, and what is beyond the bound of queries."""
+    plan = [
+        {"object": "orders", "fields": ["o_orderkey", "nothing", "o_orderpriority"], "where": {"o_orderstatus": "O"}}, {"object": "secret"},
+        {"object": "part", "fields": ["p_partkey", "p_brand"], "where": {"no_field": 1}}, {"object": "region", "fields": ["r_regionkey", "r_name"]},
+    ]
     out = None
-    for step in plan[: max(1, min(12, 8))]:
-        try:
-            q = ObjectQuery(spark, d, step["object"])
-        except LookupError:
-            continue
-        rows = q.frame
-        for name, value in step.get("where", {}).items():
-            rows = rows.filter(F.col(name) == value) if name in q.fields() else rows
-        rows = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(step["object"]).alias("object"), "n")
+    for name, rows in run_plan(spark, d, plan, most=2):
+        rows = rows.toDF("key", "value").select(F.lit(name).alias("object"), F.col("key").cast("long").alias("key"), "value")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -204,7 +204,7 @@ def win_first_per_key(spark, d):
 
 @register("win_batch_assign", "SELECT o_orderkey, CAST(floor((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) / 200) AS BIGINT) AS batch FROM orders")
 def win_batch_assign(spark, d):
-    return rk.batches(table(spark, d, "orders"), [F.col("o_orderkey")], 200, ["o_orderpriority"]).select("o_orderkey", "batch")
+    return rk.batches(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 200, ["o_orderpriority"]).select("o_orderkey", "batch")
 
 
 @register("win_first_last_child", "SELECT n_nationkey, CASE WHEN row_number() OVER w = count(*) OVER (PARTITION BY n_regionkey) THEN '└─ ' ELSE '├─ ' END || n_name AS line FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_name)")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
+from opalgrid.shared import shared_folder
 from opalgrid.streaming import events as st
 
 def n_rows():
@@ -67,7 +66,7 @@ def stream_generate(spark, d):
     """Seeded payloads for the settable fields of an object, appended to a stream's folder and read back."""
     settable = [f for f in table(spark, d, "customer").schema.fields if f.name not in ("c_custkey", "c_nationkey")]
     values = [(F.concat(F.lit("v"), F.floor(F.rand(3) * 1000).cast("string")) if f.dataType.simpleString() == "string" else F.round(F.rand(4) * 100, 2)).alias(f.name) for f in settable]
-    folder = tempfile.mkdtemp(prefix="opalgrid-publish-") if not spark.sparkContext.getConf().get("spark.checkpoint.dir") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/publish-{spark.sparkContext.applicationId}"
+    folder = shared_folder(spark, "publish")
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("replay_id"), F.struct(*values).alias("payload"))
     rows.write.mode("overwrite").parquet(folder)
     back = spark.read.parquet(folder)
@@ -82,8 +81,7 @@ def stream_running_stats(spark, d):
 
 @register("stream_error_ring", "SELECT event_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 10")
 def stream_error_ring(spark, d):
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="opalgrid-ring-")
-    folder = f"{base.rstrip('/')}/ring-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    folder = shared_folder(spark, "ring")
     errors = stream(spark, d).filter("event_type = 'error'").select("event_id", "ts")
     query = errors.writeStream.foreachBatch(st.ring(folder, 10, "ts", "event_id")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -100,5 +98,5 @@ def stream_window_limits(spark, d):
 
 @register("stream_poll", "SELECT count(*) AS n, true AS done FROM events")
 def stream_poll(spark, d):
-    rows = st.drained(stream(spark, d).select("event_id"))
-    return rows.agg(n_rows().alias("n")).withColumn("done", F.lit(True))
+    rows, done = st.polled(stream(spark, d).select("event_id"))
+    return spark.createDataFrame([(rows, done)], "n long, done boolean")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opalgrid.shared import shared_folder
+
 ALL, NEW = -2, -1
 
 
@@ -32,8 +33,7 @@ def holding(stream: DataFrame, term: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is available and returns its sink as a table."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="opalgrid-stream-")
-    out = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    out = shared_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{out}/data")
@@ -45,6 +45,22 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
+def polled(stream: DataFrame, every: float = 2.0) -> tuple[int, bool]:
+    """Starts a stream over what is available and asks for its state every few seconds until it is done.
+
+    The rows that it read, and whether it ended by itself; a stream that is still active when the caller is interrupted
+    is stopped.
+    """
+    folder = shared_folder(stream.sparkSession, "poll")
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    try:
+        while not query.awaitTermination(every):
+            pass
+        return sum(p["numInputRows"] for p in query.recentProgress), query.exception() is None
+    finally:
+        query.stop()
+
+
 def ring(path: str, most: int, order: str, key: str) -> Callable[[DataFrame, int], None]:
     """A batch writer that keeps the ``most`` newest rows: ring ``n`` holds those after batch n."""
 

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from opalgrid.catalog import run_plan
 from opalgrid.functions import dates
 from opalgrid.functions import text as tx
 from opalgrid.operators import graph as gr
@@ -147,3 +148,20 @@ def test_field_import(spark, text, fields, error):
 @pytest.mark.parametrize(("text", "mended"), [("select a,, b,from  t", "select a, b from t"), ("x = 'a,,  b'  and y", "x = 'a,,  b' and y"), ("  ", "")])
 def test_typos(spark, text, mended):
     assert one(spark, tx.mend_typos(F.lit(text))) == mended
+
+
+def test_batches_within_groups(spark):
+    rows = [(i, None if i % 5 == 0 else "hot" if i % 7 else "cold") for i in range(1, 1200)]
+    got = rk.batches(spark.createDataFrame(rows, "k long, g string").repartition(5), "k", 100, ["g"]).collect()
+    places, want = {}, set()
+    for k, g in rows:
+        want.add((k, g, places.get(g, 0) // 100))
+        places[g] = places.get(g, 0) + 1
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.parametrize(("most", "names"), [(0, ["region"]), (2, ["region", "nation"]), (40, ["region", "nation", "part"])])
+def test_plans_are_bounded(spark, most, names):
+    plan = [{"object": "region"}, {"object": "secret"}, {"object": "nation", "fields": ["n_name", "x"]}, {"object": "part", "where": {"x": 1}}]
+    got = run_plan(spark, "/root/testdata/sf0.001", plan, most)
+    assert [n for n, _ in got] == names and (most < 2 or got[1][1].columns == ["n_name"])
