@@ -60,6 +60,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("opalgrid.shared.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="opalgrid-")
         spark.conf.set("opalgrid.shared.dir", named)
     return named.rstrip("/")

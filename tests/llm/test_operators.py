@@ -435,3 +435,141 @@ def test_cascade_is_exact(spark, room):
         assert (got[i]["verdict"], got[i]["host"]) == ("block" if i % 14 == 0 or i == 7 else "allow", u.split("/")[2])
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(3000, 3004)] == [("", "", None, "allow"), ("", "", None, "allow"), ("a.net", "/fr/1", "net/fr/", "block"), ("www.example.com", "/en/1", "www.example.com/en/", "allow")]
     assert url_filter.judge_pages(pages.limit(0), rules, listed).count() == 0
+
+
+def test_ftrl_is_the_plain_loop():
+    own = random.Random(8)
+    rows = []
+    for _ in range(80):
+        at = sorted(own.sample(range(1, 40), 6))
+        rows.append((np.array([0, *at]), np.array([1.0, *(own.random() for _ in at)]), int(sum(at) % 3 == 0)))
+    z, n = [0.0] * 40, [0.0] * 40
+    a, b, l1, l2 = quality_classifier.ALPHA, quality_classifier.BETA, quality_classifier.L1, quality_classifier.L2
+
+    def weight(i: int) -> float:
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for _ in range(2):
+        for at, x, y in rows:
+            p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at, x, strict=True))))
+            for i, v in zip(at, x, strict=True):
+                g, w = (p - y) * v, weight(i)
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a * w
+                n[i] += g * g
+    got = quality_classifier.ftrl(rows, 2)
+    assert np.allclose(got[:40], [weight(i) for i in range(40)], atol=1e-6) and not got[40:].any()
+
+
+def test_rules_are_learned_and_pruned(spark):
+    own = random.Random(5)
+    rows = []
+    for _ in range(900):  # bad: many symbols, or short words in texts with repeats; the rest is noise
+        r = {f: own.random() for f in quality_rules.FEATURES}
+        r["bad"] = r["symbol_rate"] > 0.8 or (r["repeat_rate"] > 0.7 and r["word_length"] <= 0.3)
+        rows.append((*r.values(), own.random() < 0.67))
+    data = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality_rules.FEATURES) + ", bad boolean, grow boolean").cache()
+    rules = quality_rules.learn_rules(data)
+    assert {(c.feature, c.above) for c in rules[0]} == {("symbol_rate", True)}  # thresholds are quantiles: two may be needed
+    assert {(c.feature, c.above) for c in rules[1]} == {("repeat_rate", True), ("word_length", False)}
+    said = F.lit(False)
+    for rule in rules:
+        said = said | quality_rules.holds(rule)
+    counts = {(r["said"], r["bad"]): r["count"] for r in data.groupBy(said.alias("said"), "bad").count().collect()}
+    assert counts.get((True, False), 0) <= 0.05 * counts[True, True] and counts.get((False, True), 0) <= 0.25 * counts[True, True]
+    assert quality_rules.learn_rules(data.withColumn("bad", F.lit(False))) == []
+
+
+def test_tiers_gaps_and_steps():
+    own = random.Random(2)
+    items = [(slot, 0, own.choice((own.randint(1, 200), own.randint(200, 1100), own.randint(1500, 9000)))) for slot in range(400)]
+    for last in (False, True):
+        windows, rest = packing.pack_block(items, packing.TIERS, last)
+        pieces = [p for w in [*windows, rest] for p in w]
+        ids = Counter((slot, start + k) for slot, start, n in pieces for k in range(n))
+        assert set(ids.values()) == {1} and len(ids) == sum(n for _, _, n in items)  # each id once
+        sizes = Counter(sum(n for _, _, n in w) for w in windows)
+        assert all(size in packing.TIERS or (last and size < 256 and size & (size - 1) == 0) for size in sizes)
+        assert all(sizes[c] for c in packing.TIERS[1:]) and sum(n for _, _, n in rest) < (1 if last else 256)
+        # long windows are whole, or a remainder of over half of it whose gap shorter documents fill
+        for w in windows:
+            if sum(n for _, _, n in w) == 2048 and len(w) > 1:
+                assert w[0][2] > 1024 and all(items[slot][2] % 2048 <= 1024 for slot, _, _ in w[1:])
+    lengths = [own.choice(packing.TIERS) for _ in range(500)]
+    step = packing.step_groups(lengths, 1 << 14)
+    cost = Counter()
+    for g, n in zip(step, lengths, strict=True):
+        cost[g] += n * n
+    assert len(cost) == round(sum(lengths) / (1 << 14)) and max(cost.values()) - min(cost.values()) <= 2048**2
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import types as T
+
+    own = random.Random(21)
+    words = [f"w{k}" for k in range(600)]
+    text = lambda n: " ".join(own.choices(words, k=n))
+    good = [text(own.randint(20, 200)) for _ in range(120)]
+    good += [good[0].upper(), good[1], good[2] + " more", good[3] + " x"] + [" ".join(["edit", str(k), *good[4].split()]) for k in range(4)]
+    rows = [(i, t, "en", ("a", "b", None)[i % 3], len(t)) for i, t in enumerate(good)]
+    rows += [(1000 + i, " ".join(f"##{w}$$" for w in text(60).split()), "en", "a", 1) for i in range(60)] + [(2000, None, None, None, None), (2001, "", "en", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(r[0], int(r[0] < 1000), 0) for r in rows if r[0] < 2000]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs, seen, names = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}, [f.name for f in T.StructType.fromDDL("doc_id long, text string, lang string, source string, n_chars long")]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            assert docs.columns == names
+            docs.write.parquet(f"{tmp_path}/{name.replace(' ', '')}.parquet")
+            docs = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '')}.parquet")
+        seen[name] = [tuple(r) for r in docs.collect()]
+    # quality: what was labelled bad goes, what was labelled good stays
+    kept = {r[0] for r in seen["quality classifier"]}
+    assert kept - {2000, 2001} == set(range(len(good)))
+    # exact: the largest id of each text
+    last = {}
+    for r in seen["quality classifier"]:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in r[1] or "")
+        last[low] = max(last.get(low, -1), r[0])
+    assert {r[0] for r in seen["exact dedup"]} == set(last.values()) and len(seen["exact dedup"]) == len(last)
+    # near: the smallest id of each component over all pairs
+    want = {b for _, b in resembling([(r[0], r[1] or "") for r in seen["exact dedup"]])}
+    assert {r[0] for r in seen["simhash near dedup"]} == want and len(want) < len(last)
+    # mix: whole copies, at most two of each, near the targets of the weights
+    copies, size, source = Counter(r[0] for r in seen["mixing"]), {}, {}
+    for r in seen["simhash near dedup"]:
+        size[r[0]], source[r[0]] = len(WORD.findall(r[1] or "")), r[3]
+    assert set(copies) <= want and max(copies.values()) <= 2
+    taken, held = Counter(), Counter()
+    for i, n in size.items():
+        taken[source[i]] += copies[i] * n
+        held[source[i]] += n
+    weights, target, open_ = {"a": 3, "b": 1, None: 2}, {}, set(held)
+    rest = 1.5 * sum(held.values())
+    while open_:
+        share = {s: rest * weights[s] / sum(weights[o] for o in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 2 * held[s]}
+        target |= {s: 2.0 * held[s] for s in full} if full else share
+        rest -= sum(2.0 * held[s] for s in full)
+        open_ = open_ - full if full else set()
+    assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in held)
+    # packing: every copy's ids once, in sequences without gaps
+    pieces, filled = {}, {}
+    for doc, start, length, _, tokens, sequence, offset, *_ in seen["packing"]:
+        pieces.setdefault((doc, tokens), []).append((start, length))
+        filled.setdefault(sequence, []).append((offset, length))
+    for (doc, tokens), own_pieces in pieces.items():
+        assert sum(n for _, n in own_pieces) == tokens * copies[doc] and Counter(k for a, n in own_pieces for k in range(a, a + n)) == Counter({k: copies[doc] for k in range(tokens)})
+    assert {d for d, _ in pieces} == set(copies)
+    for parts in filled.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048 and at & (at - 1) == 0
+    # the registered query runs the same stages
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id", "start").count().filter("start = 0").collect()).keys() == copies.keys()
