@@ -1,15 +1,20 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the scoring workers.
 
 Counting. A task hashes the words of its texts (48 bits for raw counts, the upper 40 in n-grams) and counts n-grams in flushes of FLUSH tokens. Each flush goes
-out as one binary row per hash range (part), sorted n-grams with their counts. A group task merges a part, writes it as
-a sorted array of 64-bit n-gram hashes with a count array, and passes on what the lower order needs: for each suffix
-the number of its different left neighbours (the adjusted counts), for each context its total and its numbers of
-followers seen once, twice and more often. These travel in the same packed form, so that the next order is one more
-round of the same job. The number of parts follows the size of the texts, and hashes spread evenly, so a group task's
-memory is bounded whatever word is frequent.
+out as one binary row per hash range (part), n-grams with their counts. A group task merges a part, writes it as a
+sorted array, and passes on what the lower order needs: for each suffix the number of its different left neighbours
+(the adjusted counts), for each context its total and its numbers of followers seen once, twice and more often. These
+travel in the same packed form, so that the next order is one more shuffle of the same job, in which an n-gram meets
+what is known of it as a context: both lie in one array. The number of parts follows the size of the texts, and hashes
+spread evenly, so a group task's memory is bounded whatever word is frequent.
+
+Arrays. A part holds its n-grams' hashes, 48 bits beyond those that all hashes of the part share, as places of 65,536
+buckets and 32 bits each, and a byte for the record of each: the number of a common record, or a mark for one that
+stands in a list of the others. Two n-grams of a part of five million share 48 bits with a probability below 1e-7 each.
 
 Scoring. p_k(w | context) = max(a - D(a), 0) / S + gamma * p_(k-1), from order 1, whose lower order is uniform over the
-V known tokens and an unknown one. a, S and gamma are looked up by binary search in the memory-mapped arrays.
+V known tokens and an unknown one. a, S and the counts behind gamma are looked up by binary search in the memory-mapped arrays; the context of an n-gram is the
+n-gram that ends one token before, so that each is looked up once.
 
 The arrays lie in the shared folder, which must be mounted on the workers. A retried task writes the same bytes and
 renames them into place, so that lost executors do no harm.
@@ -34,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opalgrid.llm.common import doc_crc, local_folder, materialize, text_of
+from opalgrid.llm.common import doc_crc, local_folder, text_of
 
 ORDER = 3
 FLUSH = 1_500_000
@@ -42,9 +47,12 @@ PART_BYTES = 32 << 20
 FOLDS, HELD_OUT = 10, 0
 CACHE = 400_000
 OPEN_PARTS = 64
+BUCKET_BITS = 16
+RARE = 255  # the mark of a record that is not a common one
 MASK = (1 << 48) - 1
 NARROW = 8  # n-grams hold the upper 40 bits of a word's hash, raw counts all 48
 ROWS = "kind string, part int, blob binary"
+FIELDS = 5  # of a record: count, and as a context total, followers seen once, twice, more often
 
 
 class WordHashes(dict):
@@ -110,50 +118,64 @@ def _add_up(keys: Any, values: list[Any]) -> tuple[Any, Any, list[Any]]:
     return ordered[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
 
 
+def _planes(values: Any) -> bytes:
+    """64-bit numbers as differences (modulo 2**64), first all lowest bytes, then all next ones."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        steps = np.diff(values.astype("<u8"), prepend=np.zeros(1, dtype="<u8"))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _values(blob: bytes, rows: int, at: int) -> Any:
+    import numpy as np
+
+    steps = np.ascontiguousarray(np.frombuffer(blob, dtype=np.uint8, count=8 * rows, offset=at).reshape(8, rows).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _pack(columns: list[Any], counts: Any, width: int) -> bytes:
-    """Rows of ``width``-byte columns, those with count 1 first and without their counts.
+    """Rows of columns, those with count 1 first and without their counts, compressed.
 
-    Where it is shorter, the columns are places in a list of the values of all of them; no row is left out.
+    Words (``width`` below 8) become places in the ascending list of all words of the blob, the places of a row one
+    number where 64 bits hold them. No row is left out; rows in the order of their numbers take the least room.
     """
     import numpy as np
+    import pyarrow as pa
 
     one = np.flatnonzero(counts == 1)
     rest = np.flatnonzero(counts != 1)
     order = np.concatenate([one, rest])
-
-    def cut(values: Any, size: int) -> bytes:
-        return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-    columns, listed, narrow = [c[order] for c in columns], b"", 0
+    columns, listed, bits = [c[order].astype(np.uint64) for c in columns], np.zeros(0, np.uint64), 0
     if len(columns) > 1 and width < 8:
-        values, places = np.unique(np.concatenate(columns), return_inverse=True)
-        size = max(1, (len(values).bit_length() + 7) // 8)
-        if len(values) * width + len(places) * size < len(places) * width:
-            listed, narrow, columns = cut(values, width), size, np.split(places.ravel(), len(columns))
-    wide = int(counts.max(initial=0)) >> 32 > 0
-    head = np.array([len(order), len(one), len(columns), narrow, len(listed), wide], dtype="<u8").tobytes()
-    return head + listed + b"".join(cut(c, narrow or width) for c in columns) + counts[rest].astype("<u8" if wide else "<u4").tobytes()
+        words, places = np.unique(np.concatenate(columns), return_inverse=True)
+        need = max(1, len(words).bit_length())
+        if need * len(columns) <= 64:
+            listed, bits, joined = words, need, np.zeros(len(order), np.uint64)
+            for place in np.split(places.ravel().astype(np.uint64), len(columns)):
+                joined = (joined << np.uint64(need)) | place
+            columns = [joined]
+    n_columns = len(columns) if not bits else len(places.ravel()) // max(1, len(order))
+    head = np.array([len(order), len(one), n_columns, bits, len(listed)], dtype="<u8").tobytes()
+    raw = head + _planes(listed) + b"".join(map(_planes, columns)) + _planes(counts[rest].astype(np.uint64))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob: bytes, width: int) -> tuple[list[Any], Any]:
     import numpy as np
-
-    n, one, n_columns, narrow, listed, wide = (int(x) for x in np.frombuffer(blob[:48], dtype="<u8"))
-
-    def widened(rows: int, size: int, at: int) -> Any:
-        wide = np.zeros((rows, 8), dtype=np.uint8)
-        wide[:, :size] = np.frombuffer(blob, dtype=np.uint8, count=rows * size, offset=at).reshape(rows, size)
-        return wide.view("<u8").ravel()
-
-    at, size = 48 + listed, narrow or width
-    columns = [widened(n, size, at + i * n * size) for i in range(n_columns)]
-    at += n_columns * n * size
-    if narrow:
-        values = widened(listed // width, width, 48)
-        columns = [values[c.astype(np.int64)] for c in columns]
+    import pyarrow as pa
+
+    blob = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, one, n_columns, bits, listed = (int(x) for x in np.frombuffer(blob[:40], dtype="<u8"))
+    words, at = _values(blob, listed, 40), 40 + 8 * listed
+    stored = [_values(blob, n, at + 8 * n * i) for i in range(1 if bits else n_columns)]
+    at += 8 * n * len(stored)
+    if bits:
+        shifts = [np.uint64(bits * i) for i in reversed(range(n_columns))]
+        stored = [words[((stored[0] >> k) & np.uint64((1 << bits) - 1)).astype(np.int64)] for k in shifts]
     counts = np.ones(n, dtype=np.int64)
-    counts[one:] = np.frombuffer(blob, dtype="<u8" if wide else "<u4", offset=at)
-    return columns, counts
+    counts[one:] = _values(blob, n - one, at).astype(np.int64)
+    return stored, counts
 
 
 def _parted(kind: str, keys: Any, columns: list[Any], counts: Any, shift: int, width: int) -> Iterator[tuple[str, int, bytes]]:
@@ -164,14 +186,45 @@ def _parted(kind: str, keys: Any, columns: list[Any], counts: Any, shift: int, w
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
-            yield kind, int(part[a]), _pack([c[a:b] for c in columns], counts[a:b], width)
+            own, n = [c[a:b] for c in columns], counts[a:b]
+            if len(own) > 1 and width < 8:  # n-grams in the order of their words, about: the leading bits decide
+                room, lead = 64 // len(own), np.zeros(b - a, dtype=np.uint64)
+                for c in own:
+                    lead = (lead << np.uint64(room)) | (c >> np.uint64(max(0, 40 - room)))
+                order = np.argsort(lead)
+                own, n = [c[order] for c in own], n[order]
+            yield kind, int(part[a]), _pack(own, n, width)
+
 
+def _save(folder: str, name: str, bits: int, keys: Any, records: Any) -> None:
+    """One file: bucket ends, the lower halves of the keys, a byte for each record, common records, and the others.
 
-def _save(folder: str, name: str, array: Any) -> None:
+    ``keys``, 64 bits and ascending, share their ``bits`` upper ones.
+    """
+    import numpy as np
+
+    own = (keys << np.uint64(bits)) >> np.uint64(16) if bits < 64 else keys
+    ends = np.searchsorted(own >> np.uint64(32), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype("<u8")
+    small = (records < 1 << 12).all(axis=1)
+    packed = np.zeros(len(keys), dtype=np.int64)
+    for i in range(records.shape[1]):
+        packed = (packed << 12) | np.minimum(records[:, i], (1 << 12) - 1)
+    kinds, back, n = np.unique(packed[small], return_inverse=True, return_counts=True)
+    best = np.sort(np.lexsort((kinds, -n))[:RARE])  # ties: the smaller record
+    code = np.full(len(kinds), RARE, dtype=np.uint8)
+    code[best] = np.arange(len(best))
+    codes = np.full(len(keys), RARE, dtype=np.uint8)
+    codes[small] = code[back.ravel()]
+    common = np.stack([(kinds[best] >> (12 * i)) & 4095 for i in reversed(range(records.shape[1]))], axis=1)
+    rare = np.flatnonzero(codes == RARE)
+    wide = "<u8" if len(rare) and int(records[rare].max()) >> 32 else "<u4"
+    head = np.array([len(keys), records.shape[1], len(common), len(rare), wide == "<u8"], dtype="<u8")
     path = f"{folder}/{name}"
-    own = f"{path}.{uuid.uuid4().hex}"
-    array.tofile(own)
-    os.replace(own, path)
+    temporary = f"{path}.{uuid.uuid4().hex}"
+    with open(temporary, "wb") as f:
+        for array in (head, ends, common.astype("<u8"), rare.astype("<u8"), records[rare].astype(wide), (own & np.uint64(0xFFFFFFFF)).astype("<u4"), codes):
+            f.write(np.ascontiguousarray(array).tobytes())
+    os.replace(temporary, path)
 
 
 @dataclass
@@ -196,6 +249,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(k - 0.05, max(0.05, k - (k + 1) * y * b / a)) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
+def key_bits(kind: str) -> int:
+    """Of the keys of raw counts, of words in n-grams, and of longer n-grams."""
+    return {"u": 48, "g1": 40}.get(kind, 64)
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramModel:
     """Counts the texts of ``docs`` and writes the arrays."""
     spark = docs.sparkSession
@@ -234,37 +292,41 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
         if n:
             yield flush()
 
-    def merge(k: int, found: dict[int, tuple[float, float, float]]) -> Any:
-        """The group task of round k: n-grams of order k, contexts of order k + 1, and raw word counts."""
+    def merge(k: int) -> Any:
+        """The group task of round k: n-grams of order k, with what is known of them as contexts, and raw word counts."""
 
         def run(group: pd.DataFrame) -> pd.DataFrame:
             import numpy as np
 
-            kind, part = group["kind"].iloc[0], int(group["part"].iloc[0])
+            slot, part = group["slot"].iloc[0], int(group["part"].iloc[0])
             rows: list[tuple[str, int, bytes]] = []
-            if kind[0] == "c":  # contexts: key, total, and followers seen once, twice, more often
-                unpacked = [_unpack(b, 8)[0] for b in group["blob"]]
-                # a key alone is a context seen once
-                unpacked = [u if len(u) > 1 else [u[0], np.ones_like(u[0]), np.ones_like(u[0]), np.zeros_like(u[0]), np.zeros_like(u[0])] for u in unpacked]
-                columns = [np.concatenate([u[i] for u in unpacked]) for i in range(5)]
-                keys, _, (total, n1, n2, n3) = _add_up(columns[0], columns[1:])
-                d = found[int(kind[1:])]
-                _save(folder, f"{kind}-{part}.keys", keys)
-                values = np.stack([total, (d[0] * n1 + d[1] * n2 + d[2] * n3) / total], axis=1)
-                _save(folder, f"{kind}-{part}.values", values.astype("<f4"))
-                return pd.DataFrame(rows, columns=["kind", "part", "blob"])
-            width = 1 if kind == "u" else int(kind[1:])
-            unpacked = [_unpack(b, 6 if kind == "u" else 5) for b in group["blob"]]
-            columns = [np.concatenate([u[0][i] for u in unpacked]) for i in range(width)]
-            counts = np.concatenate([u[1] for u in unpacked])
+            if slot[0] == "s":  # statistics of the rounds before: added up
+                total = np.sum([np.frombuffer(b, dtype="<u8") for b in group["blob"]], axis=0, dtype=np.uint64)
+                return pd.DataFrame([(slot, 0, total.astype("<u8").tobytes())], columns=["kind", "part", "blob"])
+            width, own = (1 if slot == "u" else k), group["kind"] == slot
+            unpacked = [_unpack(b, 6 if slot == "u" else 5) for b in group["blob"][own]]
+            columns = [np.concatenate([np.zeros(0, np.uint64), *[u[0][i] for u in unpacked]]) for i in range(width)]
+            counts = np.concatenate([np.zeros(0, np.int64), *[u[1] for u in unpacked]])
             del unpacked
             keys, at, (counts,) = _add_up(columns[0] if width == 1 else mix(columns), [counts])
             columns = [c[at] for c in columns]
-            _save(folder, f"{kind}-{part}.keys", keys)
-            _save(folder, f"{kind}-{part}.values", counts.astype(next(t for t in ("u1", "<u4", "<u8") if counts.max(initial=0) <= np.iinfo(t).max)))
+            every, records = keys, counts[:, None]
+            if slot != "u" and k < order:
+                unpacked = [_unpack(b, 8)[0] for b in group["blob"][~own]]
+                # a key alone is a context seen once
+                unpacked = [u if len(u) > 1 else [u[0], np.ones_like(u[0]), np.ones_like(u[0]), np.zeros_like(u[0]), np.zeros_like(u[0])] for u in unpacked]
+                contexts = [np.concatenate([np.zeros(0, np.uint64), *[u[i] for u in unpacked]]) for i in range(FIELDS)]
+                del unpacked
+                met, _, sums = _add_up(contexts[0], contexts[1:])
+                every = np.union1d(keys, met)
+                records = np.zeros((len(every), FIELDS), dtype=np.int64)
+                records[np.searchsorted(every, keys), 0] = counts
+                records[np.searchsorted(every, met), 1:] = np.stack(sums, axis=1)
+            _save(folder, f"{slot}-{part}", bits, every << np.uint64(64 - key_bits(slot)), records)
+            del every, records
             seen = [int((counts == c).sum()) for c in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
-            rows.append((f"s{kind}", 0, np.array(seen, dtype="<u8").tobytes()))
-            if kind != "u" and width > 1:
+            rows.append((f"s{slot}", 0, np.array(seen, dtype="<u8").tobytes()))
+            if slot != "u" and width > 1 and len(keys):
                 flags = [counts, *((counts == c).astype(np.int64) for c in (1, 2)), (counts >= 3).astype(np.int64)]
                 context = columns[0] if width == 2 else mix(columns[:-1])
                 ckeys, _, sums = _add_up(context, flags)
@@ -282,18 +344,19 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
 
     rows = texts.mapInArrow(count, ROWS)
     for k in range(order, 0, -1):
-        wanted = [f"g{k}", f"c{k + 1}", "u"] if k == order else [f"g{k}", f"c{k + 1}"]
-        rows = materialize(rows.filter(F.col("kind").isin(wanted)).groupBy("kind", "part").applyInPandas(merge(k, dict(model.discounts)), ROWS), f"order{k}")
-        total: dict[str, list[int]] = {}
-        for kind, _, blob in rows.filter(F.col("kind").startswith("s")).collect():  # a row per part, seven numbers each
-            own = [int.from_bytes(blob[i : i + 8], "little") for i in range(0, 56, 8)]
-            total[kind] = [a + b for a, b in zip(total.get(kind, [0] * 7), own, strict=True)]
+        # contexts of order k + 1 are n-grams of order k; one chain of shuffles, nothing is written between the rounds
+        slot = F.when(F.col("kind") == f"c{k + 1}", f"g{k}").otherwise(F.col("kind"))
+        rows = rows.withColumn("slot", slot).groupBy("slot", "part").applyInPandas(merge(k), ROWS)
+    total: dict[str, list[int]] = {}
+    for kind, _, blob in rows.collect():  # a row per part and order at most, seven numbers each
+        own = [int.from_bytes(blob[i : i + 8], "little") for i in range(0, 56, 8)]
+        total[kind] = [a + b for a, b in zip(total.get(kind, [0] * 7), own, strict=True)]
+    for k in range(order, 0, -1):
         n = total.get(f"sg{k}", [0] * 7)
         model.discounts[k] = d = discounts(n[:4])
-        if "su" in total:
-            model.tokens, model.vocabulary = total["su"][5], total["su"][6]
         if k == 1 and n[5]:
             model.base = (float(n[5]), (d[0] * n[0] + d[1] * n[1] + d[2] * n[4]) / n[5])
+    model.tokens, model.vocabulary = total.get("su", [0] * 7)[5:]
     return model
 
 
@@ -304,41 +367,60 @@ class Arrays:
     worker's open files do not grow with the corpus.
     """
 
-    def __init__(self, model: NgramModel, kind: str, key_bits: int, dtype: str):
-        self.shift, self.name, self.dtype, self.parts = key_bits - model.bits, f"{model.folder}/{kind}", dtype, OrderedDict()
+    def __init__(self, model: NgramModel, kind: str, fields: int):
+        self.bits, self.name, self.up, self.fields, self.parts = model.bits, f"{model.folder}/{kind}", 64 - key_bits(kind), fields, OrderedDict()
 
-    def part(self, number: int) -> tuple[Any, Any] | None:
-        """(keys, values) of a part, None where it holds nothing."""
+    def part(self, number: int) -> tuple[Any, ...] | None:
+        """(ends, lower halves, codes, common records, places and records of the others) of a part; None where it holds nothing."""
         import numpy as np
 
         if number in self.parts:
             self.parts.move_to_end(number)
             return self.parts[number]
         path, found = f"{self.name}-{number}", None
-        if os.path.exists(f"{path}.keys") and os.path.getsize(f"{path}.keys"):
-            keys = np.memmap(f"{path}.keys", dtype="<u8", mode="r")
-            # counts take one, four or eight bytes each
-            own = self.dtype if self.dtype == "<f4" else {1: "u1", 4: "<u4", 8: "<u8"}[os.path.getsize(f"{path}.values") // len(keys)]
-            found = keys, np.memmap(f"{path}.values", dtype=own, mode="r").reshape(len(keys), -1)
+        if os.path.exists(path):
+            raw = np.memmap(path, dtype=np.uint8, mode="r")
+            n, fields, common, rare, wide = (int(x) for x in raw[:40].view("<u8"))
+            if n:
+                found, at = [], 40
+                for rows, columns, kind in (((1 << BUCKET_BITS) + 1, 1, "<u8"), (common, fields, "<u8"), (rare, 1, "<u8"), (rare, fields, "<u8" if wide else "<u4"), (n, 1, "<u4"), (n, 1, "u1")):
+                    size = rows * columns * np.dtype(kind).itemsize
+                    found.append(raw[at : at + size].view(kind).reshape(rows, columns))
+                    at += size
         self.parts[number] = found
         if len(self.parts) > OPEN_PARTS:
             self.parts.popitem(last=False)
         return found
 
-    def find(self, keys: Any, columns: int) -> Any:
-        """The values of each key, zeros where it is missing."""
+    def find(self, keys: Any) -> Any:
+        """The record of each key, zeros where it is missing."""
         import numpy as np
 
-        asked, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(asked), columns))
-        part = (asked >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(asked), dtype=np.int64)
+        asked, back = np.unique(keys << np.uint64(self.up), return_inverse=True)
+        out = np.zeros((len(asked), self.fields))
+        part = (asked >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(asked), dtype=np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(asked)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a and (found := self.part(int(part[a]))):
-                known, values = found
-                at = np.minimum(np.searchsorted(known, asked[a:b]), len(known) - 1)
-                hit = known[at] == asked[a:b]
-                out[a:b][hit] = values[at[hit]]
+                ends, common, rare, others, lower, codes = found
+                own = (asked[a:b] << np.uint64(self.bits)) >> np.uint64(16)
+                bucket, low = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                lo, end = ends[bucket, 0].astype(np.int64), ends[bucket + 1, 0].astype(np.int64)
+                hi, lower = end.copy(), lower[:, 0]
+                for _ in range(int((hi - lo).max()).bit_length()):  # all keys at a time, each in its bucket
+                    mid = (lo + hi) >> 1
+                    right = (lo < hi) & (lower[np.minimum(mid, len(lower) - 1)] < low)
+                    lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, mid)
+                at = np.minimum(lo, len(lower) - 1)
+                hit = np.flatnonzero((lo < end) & (lower[at] == low))
+                at = at[hit]
+                code = codes[at, 0]
+                got = np.zeros((len(hit), self.fields))
+                known = code != RARE
+                got[known] = common[code[known]]
+                if not known.all():
+                    got[~known] = others[np.searchsorted(rare[:, 0], at[~known].astype(np.uint64))]
+                out[a + hit] = got
         return out[back.ravel()]
 
 
@@ -362,43 +444,52 @@ class Scorer:
         import numpy as np
 
         self.model, self.hashes = model, WordHashes()
-        self.raw = Arrays(model, "u", 48, "<u4")
-        self.counts = {k: Arrays(model, f"g{k}", 40 if k == 1 else 64, "<u4") for k in range(1, model.order + 1)}
-        self.contexts = {k: Arrays(model, f"c{k}", 40 if k == 2 else 64, "<f4") for k in range(2, model.order + 1)}
-        self.start = self.contexts[2].find(np.zeros(1, dtype=np.uint64), 2)[0] if model.order > 1 else np.zeros(2)
+        self.raw = Arrays(model, "u", 1)
+        self.grams = {k: Arrays(model, f"g{k}", FIELDS if k < model.order else 1) for k in range(1, model.order + 1)}
+        # what stands before a text: start marks alone, as the context of each order
+        none = np.zeros(1, dtype=np.uint64)
+        self.start = {k: self.grams[k - 1].find(none if k == 2 else mix([none] * (k - 1)))[0] for k in range(2, model.order + 1)}
         self._forget()
 
     def _forget(self) -> None:
         import numpy as np
 
         self.ids, self.narrow = WordIds(), np.zeros(0, dtype=np.uint64)
-        self.known = np.zeros((0, 4))  # raw count, adjusted count, total and gamma as a context
+        self.raw_counts, self.known = np.zeros(0), np.zeros((0, self.grams[1].fields))
 
     def _learn(self) -> None:
         import numpy as np
 
         full = np.fromiter(map(self.hashes.__getitem__, self.ids.new), dtype=np.uint64, count=len(self.ids.new))
         narrow = full >> np.uint64(NARROW)
-        context = self.contexts[2].find(narrow, 2) if self.model.order > 1 else np.zeros((len(narrow), 2))
-        rows = np.column_stack([self.raw.find(full, 1), self.counts[1].find(narrow, 1), context])
-        self.known, self.narrow, self.ids.new = np.concatenate([self.known, rows]), np.concatenate([self.narrow, narrow]), []
+        self.raw_counts = np.concatenate([self.raw_counts, self.raw.find(full)[:, 0]])
+        self.known = np.concatenate([self.known, self.grams[1].find(narrow)])
+        self.narrow, self.ids.new = np.concatenate([self.narrow, narrow]), []
+
+    def probabilities(self, columns: list[Any], records: Any, first: Any) -> Any:
+        """Model probability of the last word of each n-gram given those before it.
 
-    def probabilities(self, columns: list[Any], adjusted: Any, context: Any) -> Any:
-        """Model probability of the last word of each n-gram given those before it; both arrays are of single words."""
+        ``records`` are those of the last words alone; ``first`` are the places where texts begin.
+        """
         import numpy as np
 
-        m = self.model
-        p = np.full(len(adjusted), 1 / (m.vocabulary + 1))
+        m, before = self.model, None
+        p = np.full(len(records), 1 / (m.vocabulary + 1))
         for k in range(1, m.order + 1):
-            own = columns[m.order - k :]
-            a = adjusted if k == 1 else self.counts[k].find(mix(own), 1)[:, 0]
-            d = np.array([0.0, *m.discounts[k]])[np.minimum(a, 3).astype(np.int64)]
+            own = records if k == 1 else self.grams[k].find(mix(columns[m.order - k :]))
+            a, d = own[:, 0], m.discounts[k]
+            cut = np.array([0.0, *d])[np.minimum(a, 3).astype(np.int64)]
             if k == 1:
                 total, gamma = np.full(len(p), m.base[0]), np.full(len(p), m.base[1])
             else:
-                total, gamma = context.T if k == 2 else self.contexts[k].find(mix(own[:-1]), 2).T
+                context = np.empty_like(before)  # the shorter n-gram that ends one token before
+                context[1:] = before[:-1]
+                context[first] = self.start[k]
+                total = context[:, 1]
+                gamma = (context[:, 2:] @ np.array(d)) / np.where(total > 0, total, 1)
             known = total > 0
-            p = np.where(known, np.maximum(a - d, 0) / np.where(known, total, 1) + gamma * p, p)
+            p = np.where(known, np.maximum(a - cut, 0) / np.where(known, total, 1) + gamma * p, p)
+            before = own
         return p
 
     def __call__(self, texts: list[str]) -> tuple[Any, ...]:
@@ -413,12 +504,9 @@ class Scorer:
         if self.ids.new:
             self._learn()
         doc = np.repeat(np.arange(len(texts)), lengths)
-        c, adjusted = self.known[flat, 0], self.known[flat, 1]
-        context = np.empty((len(flat), 2))
-        context[1:] = self.known[flat[:-1], 2:]
-        context[np.cumsum(lengths) - lengths] = self.start
+        c = self.raw_counts[flat]
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        score = np.log10(self.probabilities(grams(self.narrow[flat], lengths, m.order), adjusted, context))
+        score = np.log10(self.probabilities(grams(self.narrow[flat], lengths, m.order), self.known[flat], np.cumsum(lengths) - lengths))
         sums = [np.bincount(doc, weights=w, minlength=len(texts)) for w in (c > 0, base, score)]
         return lengths, sums[0].astype(np.int64), sums[1], sums[2]
 
