@@ -196,29 +196,30 @@ def _parted(kind: str, keys: Any, columns: list[Any], counts: Any, shift: int, w
             yield kind, int(part[a]), _pack(own, n, width)
 
 
-def _save(folder: str, name: str, bits: int, keys: Any, records: Any) -> None:
-    """One file: bucket ends, the lower halves of the keys, a byte for each record, common records, and the others.
+def _save(folder: str, name: str, own: Any, records: Any) -> None:
+    """One file: bucket ends, common records, the others, the lower halves of the keys, a byte for each record.
 
-    ``keys``, 64 bits and ascending, share their ``bits`` upper ones.
+    ``own`` are ascending keys within the part.
     """
     import numpy as np
 
-    own = (keys << np.uint64(bits)) >> np.uint64(16) if bits < 64 else keys
-    ends = np.searchsorted(own >> np.uint64(32), np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64)).astype("<u8")
-    small = (records < 1 << 12).all(axis=1)
-    packed = np.zeros(len(keys), dtype=np.int64)
+    ends = np.searchsorted(own, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(32)).astype("<u4")
+    small = np.ones(len(own), dtype=bool)
+    for i in range(records.shape[1]):
+        small &= records[:, i] < 1 << 12
+    packed = np.zeros(len(own), dtype=np.int64)
     for i in range(records.shape[1]):
         packed = (packed << 12) | np.minimum(records[:, i], (1 << 12) - 1)
     kinds, back, n = np.unique(packed[small], return_inverse=True, return_counts=True)
     best = np.sort(np.lexsort((kinds, -n))[:RARE])  # ties: the smaller record
     code = np.full(len(kinds), RARE, dtype=np.uint8)
     code[best] = np.arange(len(best))
-    codes = np.full(len(keys), RARE, dtype=np.uint8)
+    codes = np.full(len(own), RARE, dtype=np.uint8)
     codes[small] = code[back.ravel()]
     common = np.stack([(kinds[best] >> (12 * i)) & 4095 for i in reversed(range(records.shape[1]))], axis=1)
     rare = np.flatnonzero(codes == RARE)
     wide = "<u8" if len(rare) and int(records[rare].max()) >> 32 else "<u4"
-    head = np.array([len(keys), records.shape[1], len(common), len(rare), wide == "<u8"], dtype="<u8")
+    head = np.array([len(own), records.shape[1], len(common), len(rare), wide == "<u8"], dtype="<u8")
     path = f"{folder}/{name}"
     temporary = f"{path}.{uuid.uuid4().hex}"
     with open(temporary, "wb") as f:
@@ -254,6 +255,13 @@ def key_bits(kind: str) -> int:
     return {"u": 48, "g1": 40}.get(kind, 64)
 
 
+def within_part(keys: Any, kind: str, bits: int) -> Any:
+    """The 48 bits of a key that follow those that its part decides."""
+    import numpy as np
+
+    return (keys << np.uint64(64 - key_bits(kind) + bits)) >> np.uint64(16)
+
+
 def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramModel:
     """Counts the texts of ``docs`` and writes the arrays."""
     spark = docs.sparkSession
@@ -310,7 +318,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             del unpacked
             keys, at, (counts,) = _add_up(columns[0] if width == 1 else mix(columns), [counts])
             columns = [c[at] for c in columns]
-            every, records = keys, counts[:, None]
+            own_keys = within_part(keys, slot, bits)
+            every, records = own_keys, counts[:, None]
             if slot != "u" and k < order:
                 unpacked = [_unpack(b, 8)[0] for b in group["blob"][~own]]
                 # a key alone is a context seen once
@@ -318,12 +327,17 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
                 contexts = [np.concatenate([np.zeros(0, np.uint64), *[u[i] for u in unpacked]]) for i in range(FIELDS)]
                 del unpacked
                 met, _, sums = _add_up(contexts[0], contexts[1:])
-                every = np.union1d(keys, met)
-                records = np.zeros((len(every), FIELDS), dtype=np.int64)
-                records[np.searchsorted(every, keys), 0] = counts
-                records[np.searchsorted(every, met), 1:] = np.stack(sums, axis=1)
-            _save(folder, f"{slot}-{part}", bits, every << np.uint64(64 - key_bits(slot)), records)
-            del every, records
+                del contexts
+                every = np.union1d(own_keys, met)
+                most = max(int(c.max(initial=0)) for c in (counts, *sums))
+                records = np.zeros((len(every), FIELDS), dtype=np.uint32 if most < 1 << 32 else np.int64)
+                records[np.searchsorted(every, own_keys), 0] = counts
+                at = np.searchsorted(every, met)
+                for i in range(1, FIELDS):
+                    records[at, i] = sums[i - 1]
+                del met, sums, at
+            _save(folder, f"{slot}-{part}", every, records)
+            del every, records, own_keys
             seen = [int((counts == c).sum()) for c in (1, 2, 3, 4)] + [int((counts >= 3).sum()), int(counts.sum()), len(counts)]
             rows.append((f"s{slot}", 0, np.array(seen, dtype="<u8").tobytes()))
             if slot != "u" and width > 1 and len(keys):
@@ -331,10 +345,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
                 context = columns[0] if width == 2 else mix(columns[:-1])
                 ckeys, _, sums = _add_up(context, flags)
                 shift = narrow_shift if width == 2 else key_shift
-                once = sums[0] == 1
-                rows += _parted(f"c{width}", ckeys[once], [ckeys[once]], sums[0][once], shift, 8)
-                full = [ckeys[~once], *[s[~once].astype(np.uint64) for s in sums]]
-                rows += _parted(f"c{width}", full[0], full, np.ones(len(full[0]), dtype=np.int64), shift, 8)
+                once, sent = sums[0] == 1, within_part(ckeys, f"g{width - 1}", bits)
+                rows += _parted(f"c{width}", ckeys[once], [sent[once]], sums[0][once], shift, 8)
+                full = [sent[~once], *[s[~once].astype(np.uint64) for s in sums]]
+                rows += _parted(f"c{width}", ckeys[~once], full, np.ones(len(full[0]), dtype=np.int64), shift, 8)
+                del once, sent, full, sums, ckeys, context, flags
                 suffix = columns[1] if width == 2 else mix(columns[1:])
                 skeys, first, (n,) = _add_up(suffix, [np.ones(len(suffix), dtype=np.int64)])
                 rows += _parted(f"g{width - 1}", skeys, [c[first] for c in columns[1:]], n, shift, 5)
@@ -383,7 +398,7 @@ class Arrays:
             n, fields, common, rare, wide = (int(x) for x in raw[:40].view("<u8"))
             if n:
                 found, at = [], 40
-                for rows, columns, kind in (((1 << BUCKET_BITS) + 1, 1, "<u8"), (common, fields, "<u8"), (rare, 1, "<u8"), (rare, fields, "<u8" if wide else "<u4"), (n, 1, "<u4"), (n, 1, "u1")):
+                for rows, columns, kind in (((1 << BUCKET_BITS) + 1, 1, "<u4"), (common, fields, "<u8"), (rare, 1, "<u8"), (rare, fields, "<u8" if wide else "<u4"), (n, 1, "<u4"), (n, 1, "u1")):
                     size = rows * columns * np.dtype(kind).itemsize
                     found.append(raw[at : at + size].view(kind).reshape(rows, columns))
                     at += size
@@ -403,7 +418,7 @@ class Arrays:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a and (found := self.part(int(part[a]))):
                 ends, common, rare, others, lower, codes = found
-                own = (asked[a:b] << np.uint64(self.bits)) >> np.uint64(16)
+                own = within_part(asked[a:b], "", self.bits)  # the keys have all 64 bits here
                 bucket, low = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 lo, end = ends[bucket, 0].astype(np.int64), ends[bucket + 1, 0].astype(np.int64)
                 hi, lower = end.copy(), lower[:, 0]

@@ -321,6 +321,14 @@ def test_registered_language_model_is_trigram_kneser_ney(docs, tmp_path):
         assert math.isclose(got[i], sum(math.log10(p(g)) for g in padded(t)), rel_tol=1e-5)
 
 
+def test_language_model_is_the_same_in_many_parts(docs, monkeypatch):
+    scores = lambda: {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in ngram_model.score_documents(docs.filter("doc_id < 68")).collect()}
+    one = scores()
+    monkeypatch.setattr(ngram_model, "PART_BYTES", 2048)
+    many = scores()
+    assert one.keys() == many.keys() and all(np.allclose(one[i], many[i], rtol=1e-9) for i in one)
+
+
 def test_packed_ngrams_lose_nothing():
     for words in (3, 300, 70_000):
         columns = [np.random.default_rng(k).integers(0, words, 50_000).astype(np.uint64) * np.uint64(15_000_000) for k in range(3)]
