@@ -59,7 +59,7 @@ def test_sorted_queries_keep_their_order(spark, duck, key):
     assert got and got == [tuple(map(str, r)) for r in duck.sql(registry.oracle_sql()[key]).fetchall()]
 
 
-@pytest.mark.parametrize("key", ["soql_like", "tbl_filter_any", "tbl_field_search", "join_anti", "graph_fault_path", "rule_unused_variable"])
+@pytest.mark.parametrize("key", ["soql_like", "tbl_filter_any", "tbl_field_search", "join_anti", "graph_fault_path", "rule_unused_variable", "rule_hardcoded"])
 def test_predicates_hit(spark, duck, key):
     assert len(duck.sql(registry.oracle_sql()[key]).fetchall())
 
