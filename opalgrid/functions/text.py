@@ -90,21 +90,31 @@ def convert_value(c: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind == "boolean", F.lower(c)).when(kind != "null", c).alias("text"))
 
 
-#: An even number of quotes follows: a place outside string literals.
-OUTSIDE = r"(?=(?:[^']*'[^']*')*[^']*$)"
+def mend_typos(c: Column) -> Column:
+    """Query text with single commas, none before FROM, and single blanks; string literals stay as they are.
 
+    The text is cut at its quotes, in one pass; what lies an even number of quotes before the end is outside literals.
+    """
+    def mended(part: Column) -> Column:
+        for pattern, by in ((r",(?:\s*,)+", ","), (r"(?i),\s*(?=from\b)", " "), (r"\s+", " ")):
+            part = F.regexp_replace(part, pattern, by)
+        return part
 
-def mend_typos(c: Column) -> Column:
-    """Query text with single commas, none before FROM, and single blanks; string literals stay as they are."""
-    for pattern, by in ((r",(?:\s*,)+", ","), (r"(?i),\s*(?=from\b)", " "), (r"\s+", " ")):
-        c = F.regexp_replace(c, pattern + OUTSIDE, by)
-    return F.trim(c)
+    parts = F.split(c, "'")
+    outside = lambda i: (F.size(parts) - i) % 2 == 1
+    return F.trim(F.array_join(F.transform(parts, lambda x, i: F.when(outside(i), mended(x)).otherwise(x)), "'"))
+
+
+def last_of_each(pairs: Column) -> Column:
+    """(name, value) pairs as a map; of pairs with one name the last counts."""
+    named = F.transform(pairs, lambda x: x["name"])
+    return F.map_from_entries(F.filter(pairs, lambda x, i: F.array_position(F.reverse(named), x["name"]) == F.size(named) - i))
 
 
 def headers_map(c: Column) -> Column:
-    """``Name: value`` lines as a map; lines without a colon are dropped."""
+    """``Name: value`` lines as a map; lines without a colon are dropped, and the last of repeated headers counts."""
     lines = F.filter(F.split(c, "\r?\n"), lambda x: F.instr(x, ":") > 1)
-    return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, "^[^:]*:", "")))))
+    return last_of_each(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))))
 
 
 def extract_json(c: Column) -> Column:

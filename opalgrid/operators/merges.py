@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opalgrid.functions.text import last_of_each
 from opalgrid.operators.ranking import ordinals
 
 
@@ -57,10 +58,13 @@ def status_of(c: Column) -> Column:
 
 
 def header_options(text: Column, mark: str) -> Column:
-    """The URL-encoded options of a text whose first row begins with ``mark=``, as a map; null where there are none."""
+    """The URL-encoded options of a text whose first row begins with ``mark=``, as a map; null where there are none.
+
+    The last of repeated options counts.
+    """
     first = F.trim(F.get(F.split(text, "\r?\n"), F.lit(0)))
-    pairs = F.transform(F.split(first, "&"), lambda x: F.struct(F.url_decode(F.substring_index(x, "=", 1)), F.url_decode(F.regexp_replace(x, "^[^=]*=?", ""))))
-    return F.when(first.startswith(f"{mark}="), F.map_from_entries(pairs))
+    pairs = F.transform(F.split(first, "&"), lambda x: F.struct(F.try_url_decode(F.substring_index(x, "=", 1)).alias("name"), F.try_url_decode(F.regexp_replace(x, "^[^=]*=?", "")).alias("value")))
+    return F.when(first.startswith(f"{mark}="), last_of_each(F.filter(pairs, lambda x: x["name"].isNotNull())))
 
 
 def import_problems(header: Column, known: Sequence[str], required: Sequence[str], batch: Column, threads: Column) -> Column:

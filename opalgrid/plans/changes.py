@@ -206,7 +206,7 @@ OPTIONS_SQL = "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CASE c_custkey
 def dml_options_header(spark, d):
     """The options in the first row of each text, where it holds some."""
     k = F.col("c_custkey")
-    options = F.concat(F.lit("import-options=1&action="), F.when(k % 2 == 0, "update").otherwise("up+sert"), F.lit("&object="), "c_mktsegment")
+    options = F.concat(F.lit("import-options=1&action=x&action="), F.when(k % 2 == 0, "update").otherwise("up+sert"), F.lit("&object="), "c_mktsegment")
     text = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat(options, F.lit("\n"))), F.lit("Id,Name\n1,x"))
     m = mg.header_options(text, "import-options")
     return table(spark, d, "customer").select("c_custkey", m["action"].alias("action"), m["object"].alias("object"), m.isNotNull().alias("has_options"))

@@ -150,6 +150,28 @@ def test_typos(spark, text, mended):
     assert one(spark, tx.mend_typos(F.lit(text))) == mended
 
 
+def test_typos_of_a_long_text(spark):
+    text = "select a,,  b,from t where x in (" + ",".join("'v,,  w'" for _ in range(100_000)) + ")  and  y = 'it"
+    want = "select a, b from t where x in (" + ",".join("'v,,  w'" for _ in range(100_000)) + ")  and  y = 'it"
+    got = one(spark, tx.mend_typos(F.lit(text)))
+    # the last quote is open, so that what lies before it counts as a literal
+    assert got.endswith("'it") and one(spark, tx.mend_typos(F.lit(text + "'"))) == want.replace(")  and  y", ") and y") + "'"
+
+
+def test_repeated_headers_and_options(spark):
+    assert one(spark, tx.headers_map(F.lit("A: 1\nB: 2\r\nA:3\nnone\n: x"))) == {"A": "3", "B": "2"}
+    assert one(spark, mg.header_options(F.lit("o=1&a=x&a=y+z&&%zz=1&b"), "o")) == {"o": "1", "a": "y z", "": "", "b": ""}
+    assert one(spark, mg.header_options(F.lit("x\no=1"), "o")) is None
+
+
+def test_csv_quotes_and_long_cells(spark):
+    long = "x" * 300_000
+    texts = [(1, f'a,b\n"{long}","y""z\n"\n'), (2, 'a\n"b'), (3, 'a"b\nc'), (4, ""), (5, "a,b\nc")]
+    rows = {(r["key"], r["row"]): (r["cells"], r["error"]) for r in src.parse_csv_text(spark.createDataFrame(texts, "k long, t string"), "k", "t").collect()}
+    assert rows[("1", 1)] == ([long, 'y"z\n'], None) and rows[("2", 0)][1] == rows[("3", 0)][1] == "Quote not closed"
+    assert rows[("4", 0)][1] == "no data" and "expected 2" in rows[("5", 0)][1]
+
+
 def test_batches_within_groups(spark):
     rows = [(i, None if i % 5 == 0 else "hot" if i % 7 else "cold") for i in range(1, 1200)]
     got = rk.batches(spark.createDataFrame(rows, "k long, g string").repartition(5), "k", 100, ["g"]).collect()
