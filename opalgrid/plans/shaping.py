@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.catalog import CATALOG
 from opalgrid.functions import text as tx
+from opalgrid.operators import json_family as jf
 from opalgrid.operators import ranking as rk
 from opalgrid.operators import tables as tb
 from opalgrid.plans.dialect import table
@@ -220,7 +221,7 @@ def fn_display_name(spark, d):
 
 @register("fn_headers_parse", "SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS usr, CAST(2 AS BIGINT) AS n FROM events")
 def fn_headers_parse(spark, d):
-    text = F.concat(F.lit("X-Kind: "), "event_type", F.lit("\nbroken\nX-User:"), F.col("user_id").cast("string"))
+    text = F.concat(F.lit("X-User: 0\nX-Kind: "), "event_type", F.lit("\nbroken\nX-User:"), F.col("user_id").cast("string"))
     m = tx.headers_map(text)
     return table(spark, d, "events").select("event_id", m["X-Kind"].alias("kind"), m["X-User"].alias("usr"), F.size(m).cast("long").alias("n"))
 
@@ -360,6 +361,52 @@ def tbl_json_to_tables(spark, d):
     return child.agg(F.count(F.lit(1)).alias("n"), F.sum("`@.key`").alias("keys"), F.sum("`@.items.*.line`").alias("lines"))
 
 
+def order_texts(spark, d):
+    """Orders with their lines as JSON texts; ``extra`` holds a number, an object or an array."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), F.array("l_returnflag", "l_linestatus").alias("flags"))
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))  # the lines of an order
+    k = F.col("o_orderkey")
+    extra = F.when(k % 3 == 0, F.lit("7")).when(k % 3 == 1, F.lit('{"deep":{"n":1}}')).otherwise(F.lit('[1,{"z":"x"},null]'))
+    text = F.concat(F.lit('{"key":'), k.cast("string"), F.lit(',"head":{"status":"'), "o_orderstatus", F.lit('"},"extra":'), extra, F.lit(',"items":'), F.to_json("items"), F.lit("}"))
+    return table(spark, d, "orders").join(items, k == F.col("l_orderkey")).select("o_orderkey", text.alias("text"))
+
+
+LINES_SQL = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(trunc(l_quantity) AS BIGINT), l_returnflag, l_linestatus) - 1 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+@register("tbl_json_unknown", f"""SELECT unnest([l_returnflag, l_linestatus]) AS flag, CAST(l_linenumber AS VARCHAR) AS line, CAST(CAST(trunc(l_quantity) AS BIGINT) AS VARCHAR) AS qty, CAST(item AS INTEGER) AS item,
+'[Array 2]' AS flags, CASE o_orderkey % 3 WHEN 0 THEN '7' WHEN 2 THEN '[Array 3]' END AS extra, CASE WHEN o_orderkey % 3 = 1 THEN '1' END AS deep, o_orderstatus AS status, CAST(o_orderkey AS VARCHAR) AS key, o_orderkey FROM ({LINES_SQL})""")
+def tbl_json_unknown(spark, d):
+    """The innermost table of texts without a schema, with the columns of all its parents."""
+    t = jf.json_family(order_texts(spark, d), "text", ["o_orderkey"])["@.items.*.flags.*"]
+    names = {
+        "@.items.*.flags.*": "flag", "@.items.*.line": "line", "@.items.*.qty": "qty", "@.items.*.#": "item", "@.items.*.flags": "flags", "@.extra": "extra", "@.extra.deep.n": "deep", "@.head.status": "status", "@.key": "key", "@.items": "",
+        "o_orderkey": "o_orderkey",
+    }
+    return t.frame.toDF(*[names[c] or c for c in t.columns]).drop("@.items")
+
+
+FAMILY_SQL = """
+WITH o AS (SELECT DISTINCT o_orderkey, o_orderkey % 3 AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT count(*) AS every, count(*) FILTER (r = 0) AS zero, count(*) FILTER (r = 1) AS one, count(*) FILTER (r = 2) AS two FROM o),
+l AS (SELECT count(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT unnest(['@', '@', '@', '@', '@', '@.extra.*', '@.extra.*', '@.extra.*', '@.items.*', '@.items.*', '@.items.*', '@.items.*', '@.items.*.flags.*']) AS name,
+       unnest(['@.extra', '@.extra.deep.n', '@.head.status', '@.items', '@.key', '@.extra.*', '@.extra.*.z', '@.extra.*.#', '@.items.*.flags', '@.items.*.line', '@.items.*.qty', '@.items.*.#', '@.items.*.flags.*']) AS "column",
+       unnest([zero + two, one, every, every, every, two, two, two, lines, lines, lines, lines, 2 * lines]) AS filled FROM n, l
+"""
+
+
+@register("tbl_json_family", FAMILY_SQL)
+def tbl_json_family(spark, d):
+    """All tables and columns that the texts turn out to have, with the number of filled cells."""
+    return jf.filled(jf.json_family(order_texts(spark, d), "text"))
+
+
+@register("tbl_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def tbl_json_props(spark, d):
+    t = jf.json_family(table(spark, d, "events"), "props", ["event_id"])["@"]
+    return t.frame.select("event_id", F.col("`@.k`").cast("long").alias("k"))
+
+
 @register("tbl_resource_links", f"SELECT event_id, {URL_SQL} AS link FROM events")
 def tbl_resource_links(spark, d):
     docs = call_urls(spark, d).select(F.struct("event_id", F.struct("url", "event_type").alias("ref")).alias("doc"))
