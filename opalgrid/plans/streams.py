@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 from opalgrid.shared import shared_folder
+from opalgrid.streaming import event_log as el
 from opalgrid.streaming import events as st
 
 def n_rows():
@@ -33,6 +34,21 @@ def stream_replay(spark, d):
     return st.drained(stream(spark, d, replay=500).select("event_id"))
 
 
+CURSOR_SQL = "SELECT event_id, event_type, CASE WHEN event_id <= half THEN 1 ELSE 2 END AS run FROM events, (SELECT CAST(count(*) // 2 AS BIGINT) AS half FROM events) WHERE event_id > 100"
+
+
+@register("stream_replay_cursor", CURSOR_SQL)
+def stream_replay_cursor(spark, d):
+    """Two subscriptions over a growing log: the second goes on where the cursor of the first stands."""
+    folder, events = shared_folder(spark, "log"), table(spark, d, "events").select("event_id", "event_type")
+    half, cursor, runs = events.count() // 2, f"{folder}/cursor.json", []
+    for i, part in enumerate((F.col("event_id") <= half, F.col("event_id") > half), 1):
+        events.filter(part).write.mode("append").parquet(f"{folder}/log")
+        stream = el.subscribe_log(spark, f"{folder}/log", events.schema, replay=100, cursor=cursor)
+        runs.append(el.deliver(stream, f"{folder}/out{i}", f"{folder}/state{i}", cursor).withColumn("run", F.lit(i)))
+    return runs[0].unionByName(runs[1])
+
+
 @register("stream_dedup", "SELECT event_id, event_type FROM events")
 def stream_dedup(spark, d):
     twice = stream(spark, d).withColumn("event_id", F.explode(F.array("event_id", "event_id")))
