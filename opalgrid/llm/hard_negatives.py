@@ -46,6 +46,8 @@ CELL = 512
 BLOCK = 128
 #: Blocks that a part of a cell's work holds at most, about.
 PART_BLOCKS = 64
+#: Blocks whose best scores a task remembers from one cell to the next.
+KEPT_BLOCKS = 256
 #: Radii of the rounds before the last, as shares of the longest distance there can be.
 SHARES = (1 / 64, 1 / 8)
 #: Beyond every score.
@@ -225,6 +227,7 @@ def _hits(index: Index, asked: DataFrame, pairs: DataFrame, k: int, same: bool)
         import numpy as np
 
         ids = labels = rows = None
+        best: dict[int, Any] = {}  # the k best scores so far of each window of a block
         for batch in batches:
             for row in batch.itertuples(index=False):
                 vecs = np.frombuffer(row.vecs, dtype="<i4").reshape(-1, dimensions).astype(np.float64)
@@ -235,9 +238,11 @@ def _hits(index: Index, asked: DataFrame, pairs: DataFrame, k: int, same: bool)
                 fits = ((row.labels[:, None] == labels[None]) == same) & (row.ids[:, None] != ids[None])
                 own = scores[row.places]
                 fits = fits[row.places] & (own >= row.lows[:, None]) & (own <= row.highs[:, None])
-                if len(ids) > k:
-                    worst = np.partition(np.where(fits, own, -FAR), len(ids) - k, axis=1)[:, len(ids) - k]
-                    fits &= own >= worst[:, None]
+                if len(best) >= KEPT_BLOCKS:
+                    best.clear()
+                scored = np.hstack([best.get(row.block, np.full((len(own), k), -FAR)), np.where(fits, own, -FAR)])
+                best[row.block] = scored = np.partition(scored, len(ids), axis=1)[:, len(ids) :]
+                fits &= own >= scored.min(axis=1)[:, None]  # what k rows of this task outdo cannot be among the first k
                 at, to = np.nonzero(fits)
                 order = np.lexsort((ids[to], -own[at, to], at))
                 at, to = at[order], to[order]
