@@ -77,10 +77,22 @@ def graph_cyclomatic(spark, d):
 
 @register("graph_fault_path", f"{WALK}, v AS (SELECT 1::BIGINT AS node UNION SELECT e.b FROM v JOIN e ON e.a = v.node WHERE e.b <> e.a + 60) SELECT node FROM w WHERE node NOT IN (SELECT node FROM v)")
 def graph_fault_path(spark, d):
-    """Reachable, but not without the fault edges."""
-    every = edges(spark, d)
-    normal = gr.closure(every.filter("b <> a + 60"), starts(spark, 1)).select("node")
-    return gr.closure(every, starts(spark, 1)).select("node").join(normal, "node", "left_anti")
+    """Reachable, but not without the fault edges: the states in which every path has taken one."""
+    every = edges(spark, d).withColumn("turn", F.when(F.col("b") == F.col("a") + 60, True))
+    reached = gr.flagged_closure(every, starts(spark, 1))
+    return reached.groupBy("node").agg(F.min("flag").alias("flag")).filter("flag = 1").select("node")
+
+
+KINDS = "SELECT p_partkey AS node, p_size % 9 = 0 AS writes, p_size % 5 = 1 AS screen, p_partkey % 2 = 0 AS back FROM part"
+
+
+@register("graph_repeat_dml", f"""WITH RECURSIVE e AS ({EDGES}), k AS ({KINDS}), w AS (SELECT 1::BIGINT AS node, 0 AS flag UNION
+SELECT e.b, CASE WHEN k.screen AND NOT k.back THEN 0 WHEN k.writes THEN 1 ELSE w.flag END FROM w JOIN e ON e.a = w.node JOIN k ON k.node = w.node)
+SELECT DISTINCT node FROM w JOIN k USING (node) WHERE screen AND back AND (writes OR flag = 1)""")
+def graph_repeat_dml(spark, d):
+    """Screens from which one may go back behind a write, over the whole graph."""
+    kinds = table(spark, d, "part").selectExpr("p_partkey AS node", "p_size % 9 = 0 AS writes", "p_size % 5 = 1 AS screen", "p_partkey % 2 = 0 AS back")
+    return gr.repeated_behind(edges(spark, d), starts(spark, 1), kinds)
 
 
 @register("rule_threshold_cmp", "SELECT p_partkey, p_size FROM part WHERE NOT p_size >= 25")

@@ -73,3 +73,40 @@ def test_closure_of_a_long_chain(spark):
     edges = spark.range(0, 12).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(12, 0), (12, 5)], "a long, b long"))
     got = graph.closure(edges, spark.createDataFrame([(2,)], "node long")).collect()
     assert {(r["node"], r["depth"]) for r in got} == {(n, (n - 2) % 13) for n in range(13)}
+
+
+def test_a_round_shuffles_what_it_finds_alone(spark, monkeypatch):
+    plans, write = [], graph._met
+
+    def noted(nodes, *rest):
+        plans.append(nodes._jdf.queryExecution().executedPlan().toString())
+        return write(nodes, *rest)
+
+    monkeypatch.setattr(graph, "_met", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = spark.range(0, 400).selectExpr("id AS a", "id * 2 + 1 AS b")
+    try:
+        got = graph.closure(edges, spark.createDataFrame([(0,)], "node long"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["node"], r["depth"]) for r in got.collect()} == {(2**k - 1, k) for k in range(10)}
+    assert not spark.sql("SHOW TABLES LIKE 'closure_*'").count()
+    for plan in plans[1:]:
+        # one exchange, of the ends found; edges, frontier and what was met are read where they lie
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning") == 1 and plan.count("Bucketed: true") == 3
+
+
+def test_closure_with_hubs_nulls_and_cycles(spark):
+    rows = [(0, i) for i in range(1, 20_000)] + [(i, i % 7) for i in range(1, 500)] + [(None, 3), (5, None), (19_999, 0)]
+    got = graph.closure(spark.createDataFrame(rows, "a long, b long").repartition(5), spark.createDataFrame([(3,), (3,), (None,)], "node long"))
+    depths = {r["node"]: r["depth"] for r in got.collect()}
+    assert depths == {3: 0} or len(depths) == 1  # 3 leads to itself alone
+    got = graph.closure(spark.createDataFrame(rows, "a long, b long"), spark.createDataFrame([(7,)], "node long"))
+    depths = {r["node"]: r["depth"] for r in got.collect()}
+    assert depths[7] == 0 and depths[0] == 1 and set(depths) == set(range(20_000)) and max(depths.values()) == 2
+
+
+def test_flags_along_paths(spark):
+    edges = spark.createDataFrame([(1, 2, True), (2, 3, None), (3, 4, False), (4, 5, None), (1, 5, None), (5, 1, None), (2, 6, False), (6, 7, True)], "a long, b long, turn boolean")
+    got = {(r["node"], r["flag"]) for r in graph.flagged_closure(edges, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got == {(1, 0), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0), (7, 1)}
