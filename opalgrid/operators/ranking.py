@@ -66,16 +66,31 @@ def batches(df: DataFrame, key: str, size: int, within: Sequence[str]) -> DataFr
     return ordinals(df, key, "batch", within).withColumn("batch", F.floor(F.col("batch") / size))
 
 
-def match_tier(value: Column, title: Column, term: str) -> Column:
-    """1 to 8: equal value, equal title, value prefix, title prefix, after two underscores, after one, a later word, other."""
-    v, t, x = F.lower(value), F.lower(title), term.lower()
-    tests = (v == x, t == x, v.startswith(x), t.startswith(x), F.contains(v, F.lit("__" + x)), F.contains(v, F.lit("_" + x)), F.contains(t, F.lit(" " + x)))
+#: Letters in the order of the Unicode root, in any case and with any accent.
+ANY_CASE_AND_ACCENT = "UNICODE_CI_AI"
+
+
+def match_tier(value: Column, title: Column, term: str, collation: str | None = None) -> Column:
+    """1 to 8: equal value, equal title, value prefix, title prefix, after two underscores, after one, a later word, other.
+
+    Compared in any case, or under a collation.
+    """
+    fold = (lambda c: F.collate(c, collation)) if collation else F.lower
+    v, t, x = fold(value), fold(title), term if collation else term.lower()
+    inside = lambda c, mark: F.contains(c, fold(F.lit(mark + x)))
+    tests = (v == x, t == x, F.startswith(v, fold(F.lit(x))), F.startswith(t, fold(F.lit(x))), inside(v, "__"), inside(v, "_"), inside(t, " "))
     out = F.lit(8)
     for i, test in reversed(list(enumerate(tests))):
         out = F.when(test, F.lit(i + 1)).otherwise(out)
     return out
 
 
+def locale_sort(df: DataFrame, column: str, *ties: str, locale: str = "UNICODE", descending: bool = False) -> DataFrame:
+    """Sorted as a reader of a language expects; null counts as empty. Texts that the locale holds equal go by ``ties``."""
+    text = F.collate(F.coalesce(F.col(column), F.lit("")), locale)
+    return df.orderBy(text.desc() if descending else text.asc(), *ties)
+
+
 def object_tier(prefix: Column, name: Column, label: Column, apis: Column, term: str) -> Column:
     """2 to 10 for a searched object: key prefix, name, label, their prefixes, inner parts; 20 more where no API serves it."""
     p, n, t, x = F.lower(prefix), F.lower(name), F.lower(label), term.lower()
@@ -95,8 +110,9 @@ def search_score(name: Column, label: Column, term: str) -> Column:
     return F.greatest(one(name), one(label))
 
 
-def auto_sort(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Sorted as numbers if every value is blank, ``Error`` or a number and one is a number; else as text.
+def auto_sort(df: DataFrame, column: str, descending: bool = False, locale: str | None = None) -> DataFrame:
+    """Sorted as numbers if every value is blank, ``Error`` or a number and one is a number; else as text, by a locale if
+    one is given.
 
     One aggregate decides. Blanks are last in both directions as numbers; as text null counts as empty.
     """
@@ -106,5 +122,5 @@ def auto_sort(df: DataFrame, column: str, descending: bool = False) -> DataFrame
     kind = df.agg(F.bool_and(blank | number.isNotNull()), F.bool_or(number.isNotNull())).first()
     if kind[0] and kind[1]:
         return df.orderBy(number.desc_nulls_last() if descending else number.asc_nulls_last())
-    text = F.coalesce(c, F.lit(""))
+    text = F.collate(F.coalesce(c, F.lit("")), locale) if locale else F.coalesce(c, F.lit(""))
     return df.orderBy(text.desc() if descending else text.asc())

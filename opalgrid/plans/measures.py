@@ -326,3 +326,34 @@ def except_keepset(spark, d):
 def filter_used_values(spark, d):
     used = spark.createDataFrame([("Brand#11",), ("Brand#12",)], "p_brand string")
     return table(spark, d, "part").select("p_brand").distinct().join(F.broadcast(used), "p_brand", "left_anti")
+
+
+NAMES_SQL = "SELECT doc_id, regexp_extract(text, '[A-Za-zÀ-ÿ]*[À-ÿ][A-Za-zÀ-ÿ]*') AS name FROM documents"
+
+
+def accented(spark, d):
+    """The first word with an accent in each document; empty where there is none."""
+    return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "[A-Za-zÀ-ÿ]*[À-ÿ][A-Za-zÀ-ÿ]*", 0).alias("name"))
+
+
+@register("sort_locale", f"SELECT name, doc_id FROM ({NAMES_SQL}) ORDER BY coalesce(name, '') COLLATE de, doc_id")
+def sort_locale(spark, d):
+    """Names in the order of a German reader."""
+    return rk.locale_sort(accented(spark, d), "name", "doc_id", locale="de").select("name", "doc_id")
+
+
+@register("filter_locale", f"SELECT doc_id, name FROM ({NAMES_SQL}) WHERE lower(strip_accents(name)) = 'fur' OR starts_with(lower(strip_accents(name)), 're')")
+def filter_locale(spark, d):
+    """Names that equal or begin like a term, in any case and with any accent."""
+    name = F.collate("name", rk.ANY_CASE_AND_ACCENT)
+    return accented(spark, d).filter((name == "FUR") | F.startswith(name, F.collate(F.lit("Ré"), rk.ANY_CASE_AND_ACCENT))).select("doc_id", "name")
+
+
+@register("rank_locale", f"""SELECT doc_id, name, CASE WHEN n = 'que' THEN 1 WHEN t = 'que' THEN 2 WHEN starts_with(n, 'que') THEN 3 WHEN starts_with(t, 'que') THEN 4 WHEN contains(n, '__que') THEN 5 WHEN contains(n, '_que') THEN 6 WHEN contains(t, ' que') THEN 7 ELSE 8 END AS tier
+FROM (SELECT doc_id, name, lower(strip_accents(CASE WHEN doc_id % 3 = 0 THEN 'x_' || name ELSE name END)) AS n, lower(strip_accents('Der ' || name)) AS t FROM ({NAMES_SQL})) ORDER BY tier, name COLLATE noaccent.nocase, name COLLATE de, doc_id""")
+def rank_locale(spark, d):
+    """Search tiers of accented names."""
+    value = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x_"), "name")).otherwise(F.col("name"))
+    tier = rk.match_tier(value, F.concat(F.lit("Der "), "name"), "Qué", rk.ANY_CASE_AND_ACCENT)
+    rows = accented(spark, d).select("doc_id", "name", tier.alias("tier"))
+    return rows.orderBy("tier", F.collate("name", rk.ANY_CASE_AND_ACCENT), F.collate("name", "de"), "doc_id")

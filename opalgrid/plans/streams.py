@@ -9,6 +9,7 @@ from opalgrid.plans.registry import register
 from opalgrid.shared import shared_folder
 from opalgrid.streaming import event_log as el
 from opalgrid.streaming import events as st
+from opalgrid.streaming import stateful as sf
 
 def n_rows():
     return F.count(F.lit(1))
@@ -112,6 +113,37 @@ def stream_window_limits(spark, d):
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+def in_batches(spark, d, batches=4):
+    """The events, in the order of time, as a stream of several micro-batches."""
+    events, folder = table(spark, d, "events"), shared_folder(spark, "batches")
+    ends = events.agg(F.min("ts").cast("timestamp").cast("long").alias("a"), (F.max("ts").cast("timestamp").cast("long") + 1).alias("b")).first()
+    at = F.floor((F.col("ts").cast("timestamp").cast("long") - ends["a"]) * batches / (ends["b"] - ends["a"]))
+    for i in range(batches):
+        events.filter(at == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@register("stream_error_rings", "SELECT event_type, count(*) OVER (PARTITION BY event_type) AS total, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS INTEGER) AS place, event_id FROM events QUALIFY place <= 10")
+def stream_error_rings(spark, d):
+    """The last ten events of every type, kept as state over several micro-batches."""
+    kept = sf.latest_rings(sf.rings(in_batches(spark, d), "event_type", "ts", "event_id"))
+    return kept.select(F.col("channel").alias("event_type"), "total", "place", F.col("id").alias("event_id"))
+
+
+SEGMENTS_SQL = """
+SELECT s AS segment, strftime(time_bucket(CAST(s AS INTERVAL), ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM events, (SELECT unnest(['15 minutes', '1 hour', '1 day']) AS s), (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)
+WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2, 3
+"""
+
+
+@register("stream_segments", SEGMENTS_SQL)
+def stream_segments(spark, d):
+    """Quarters, hours and days of all closed days, from one state of events."""
+    rows = st.drained(sf.segments(in_batches(spark, d), "ts", "event_type", "value"))
+    return rows.select("segment", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), F.col("channel").alias("event_type"), "n", F.round("total", 4).alias("total"))
+
+
 @register("stream_poll", "SELECT count(*) AS n, true AS done FROM events")
 def stream_poll(spark, d):
     rows, done = st.polled(stream(spark, d).select("event_id"))
