@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,25 @@ def test_mix_reaches_its_targets(docs):
     assert abs(total - 1.5 * rows["size"].sum()) < 1e-6
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "few"])
+def test_mix_with_null_and_repeated_ids(spark, ids, monkeypatch):
+    monkeypatch.setattr(mixing, "TOGETHER", 50)
+    name = {"null": lambda i: None, "one": lambda i: 7, "few": lambda i: i % 3}[ids]
+    rows = [(name(i), "w " * 10, "s") for i in range(300)] + [(name(1), "w " * 13, "s")] + [(1000 + i, "w " * (1 + i % 9), "t") for i in range(200)] + [(name(2), f"w w {i}", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(tuple, mixing.mix_sources(docs.repartition(n)).collect()), key=str) for n in (1, 7))
+    assert one == two and len(one) == len(rows)
+    frame = pd.DataFrame(one, columns=["doc_id", "size", "source_size", "target", "copies", "taken"])
+    for _, g in frame.groupby("source_size"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() / 2 and g.copies.max() <= 2
+    out = mixing.apply_mix(docs.withColumn("_part", F.lit(1))).select("doc_id", "text").collect()
+    words = Counter((r["doc_id"], len(r["text"].split())) for r in out)
+    want = Counter()
+    for r in frame.itertuples():
+        want[None if pd.isna(r.doc_id) else int(r.doc_id), r.size] += r.copies
+    assert words == +want
+
+
 def test_mix_with_weights_favours_heavy_documents(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w " * 10).alias("text"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 2 * 3 + 1).alias("w"))
     rows = mixing.mix_sources(docs, share=0.5, weight_col="w").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
