@@ -90,17 +90,23 @@ def join_self_tree(spark, d):
     return rows.select(F.col("n_name").alias("parent"), F.coalesce("kids", F.lit(0)).alias("children"))
 
 
-RULES = [("APIVersion", "50", None), ("FlowName", "[A-Za-z0-9]+_[A-Za-z0-9]+", "[a-z]+"), ("CyclomaticComplexity", "25", "oops")]
-MERGED = "SELECT name, config FROM (VALUES ('APIVersion', '50'), ('FlowName', '[a-z]+'), ('CyclomaticComplexity', '25')) t(name, config)"
+MERGED = """
+SELECT p_type AS name, CASE WHEN numeric THEN CASE WHEN p_type LIKE 'PROMO%' THEN '25' ELSE CAST(most AS VARCHAR) END WHEN p_type LIKE '%TIN' THEN '[A-Z' ELSE p_type END AS config
+FROM (SELECT p_type, max(p_size) AS most, length(p_type) % 2 = 0 AS numeric FROM part GROUP BY p_type)
+"""
 
 
-@register("join_rule_overrides", MERGED)
-@register("rule_config_merge", MERGED)
+@register("join_rule_overrides", MERGED.replace("'[A-Z'", "'[A-Za-z0-9]+'"))
+@register("rule_config_merge", MERGED.replace("'[A-Z'", "'[A-Za-z0-9]+'"))
 def join_rule_overrides(spark, d):
-    """A stored setting replaces the known default where it is valid for its rule."""
-    known = spark.createDataFrame([(n, k) for n, k, _ in RULES], "name string, known string")
-    stored = spark.createDataFrame([(n, s) for n, _, s in RULES if s], "name string, stored string")
-    valid = F.when(F.col("name") == "FlowName", F.col("stored").isNotNull()).otherwise(F.col("stored").try_cast("double").isNotNull())
+    """A stored setting replaces the known default where it is valid for its rule: a number, or a pattern with closed brackets."""
+    part = table(spark, d, "part")
+    numeric = F.length("p_type") % 2 == 0
+    known = part.select("p_type").distinct().select(F.col("p_type").alias("name"), numeric.alias("numeric"), F.when(numeric, "25").otherwise("[A-Za-z0-9]+").alias("known"))
+    setting = F.when(numeric & F.col("p_type").startswith("PROMO"), "oops").when(numeric, F.max("p_size").cast("string")).when(F.col("p_type").endswith("TIN"), "[A-Z").otherwise(F.col("p_type"))
+    stored = part.groupBy("p_type").agg(setting.alias("stored")).withColumnRenamed("p_type", "name")
+    closed = F.length(F.regexp_replace("stored", r"[^\[]", "")) == F.length(F.regexp_replace("stored", r"[^\]]", ""))
+    valid = F.when(F.col("numeric"), F.col("stored").try_cast("double").isNotNull()).otherwise(closed)
     return known.join(stored, "name", "left").select("name", F.coalesce(F.when(valid, F.col("stored")), "known").alias("config"))
 
 

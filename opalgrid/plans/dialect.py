@@ -349,7 +349,7 @@ TEMPLATES = (
     "SELECT Id FROM WHERE ORDER BY",
 )
 TEMPLATES_SQL = r"""
-SELECT CAST(place - 1 AS INTEGER) AS place, template FROM (SELECT unnest(t) AS template, generate_subscripts(t, 1) AS place FROM (SELECT [
+SELECT CAST(place - 1 AS INTEGER) AS place, template, (SELECT count(*) FROM customer WHERE c_custkey % 9 = place - 1) AS saved FROM (SELECT unnest(t) AS template, generate_subscripts(t, 1) AS place FROM (SELECT [
   'SELECT Id FROM ', E'FIND {""}\nIN Name Fields\nRETURNING Contact(Name, Phone)',
   E'{\n\tuiapi {\n\t\tquery {\n\t\t\tContact {\n\t\t\t\tedges {\n\t\t\t\t\t node {\n\t\t\t\t\t\tId\n\t\t\t\t\t\tName { value }\n\t\t\t\t\t}\n\t\t\t\t}\n\t\t\t}\n\t\t}\n\t}\n}',
   'SELECT Id FROM WHERE', 'SELECT Id FROM WHERE IN', 'SELECT Id FROM WHERE LIKE', 'SELECT Id FROM WHERE ORDER BY'] AS t))
@@ -358,7 +358,11 @@ SELECT CAST(place - 1 AS INTEGER) AS place, template FROM (SELECT unnest(t) AS t
 
 @register("soql_templates", TEMPLATES_SQL)
 def soql_templates(spark, d):
-    return spark.range(1).select(F.posexplode(F.split(F.lit("//".join(TEMPLATES)), "//")).alias("place", "template"))
+    """The starter queries in their order, and how many saved queries are one of them as it was."""
+    starters = spark.range(1).select(F.posexplode(F.split(F.lit("//".join(TEMPLATES)), "//")).alias("place", "template"))
+    saved = F.coalesce(F.get(F.array(*map(F.lit, TEMPLATES)), (F.col("c_custkey") % 9).cast("int")), F.concat(F.lit("select "), "c_name"))
+    used = table(spark, d, "customer").groupBy(saved.alias("template")).agg(F.count(F.lit(1)).alias("saved"))
+    return starters.join(used, "template", "left").select("place", "template", F.coalesce("saved", F.lit(0)).alias("saved"))
 
 
 @register("join_polymorphic", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN c_name ELSE s_name END AS who FROM events LEFT JOIN customer ON user_id = c_custkey LEFT JOIN supplier ON user_id = s_suppkey")

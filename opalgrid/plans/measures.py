@@ -10,7 +10,7 @@ from opalgrid.operators import ranking as rk
 from opalgrid.operators import tables as tb
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
-from opalgrid.plans.shaping import limits
+from opalgrid.plans.shaping import LIMITS_SQL, limits
 
 def n_rows():
     return F.count(F.lit(1))
@@ -53,11 +53,14 @@ def agg_perf_batches(spark, d):
     return rows.filter("n > 1")
 
 
-@register("agg_limits_consumption", "SELECT name, CASE WHEN mx = 0 THEN NULL ELSE (mx - remaining) / mx::DOUBLE END AS used, CASE WHEN mx = 0 THEN 0 ELSE CAST(floor((1 - remaining / mx::DOUBLE) * 100 + 0.5) AS BIGINT) END AS gauge, remaining < 0 AS over FROM (VALUES ('DailyApiRequests', 10000, 1000), ('FileStorageMB', 200, 250), ('Zero', 0, 0)) t(name, mx, remaining)")
+CONSUMED = f"SELECT name, CASE WHEN mx = 0 THEN NULL ELSE (mx - remaining) / mx::DOUBLE END AS used, CASE WHEN mx = 0 THEN 0 ELSE CAST(floor((1 - remaining / mx::DOUBLE) * 100 + 0.5) AS BIGINT) END AS gauge, remaining < 0 AS over FROM ({LIMITS_SQL})"
+
+
+@register("agg_limits_consumption", CONSUMED)
 def agg_limits_consumption(spark, d):
     used = F.try_divide((F.col("mx") - F.col("remaining")).cast("double"), F.col("mx"))
     gauge = F.coalesce(F.floor((1 - F.try_divide(F.col("remaining").cast("double"), F.col("mx"))) * 100 + 0.5), F.lit(0))
-    return limits(spark).select("name", used.alias("used"), gauge.alias("gauge"), (F.col("remaining") < 0).alias("over"))
+    return limits(spark, d).select("name", used.alias("used"), gauge.alias("gauge"), (F.col("remaining") < 0).alias("over"))
 
 
 @register("agg_import_counts", "SELECT count(*) FILTER (WHERE o_orderstatus = 'O') AS queued, CAST(0 AS BIGINT) AS processing, count(*) FILTER (WHERE o_orderstatus = 'F') AS succeeded, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed FROM orders")
@@ -231,9 +234,9 @@ def sort_auto_numeric(spark, d):
     return rk.auto_sort(rows, "v").select("p_partkey")
 
 
-@register("sort_consumption", "SELECT name FROM (VALUES ('DailyApiRequests', 0.9), ('FileStorageMB', -0.25), ('Zero', NULL)) t(name, used) ORDER BY used DESC NULLS LAST")
+@register("sort_consumption", f"SELECT name FROM ({CONSUMED}) ORDER BY used DESC NULLS LAST, name")
 def sort_consumption(spark, d):
-    return agg_limits_consumption(spark, d).orderBy(F.col("used").desc_nulls_last()).select("name")
+    return agg_limits_consumption(spark, d).orderBy(F.col("used").desc_nulls_last(), "name").select("name")
 
 
 TIER = "CASE WHEN lower({v}) = '{x}' THEN 1 WHEN lower({t}) = '{x}' THEN 2 WHEN starts_with(lower({v}), '{x}') THEN 3 WHEN starts_with(lower({t}), '{x}') THEN 4 WHEN contains(lower({v}), '__{x}') THEN 5 WHEN contains(lower({v}), '_{x}') THEN 6 WHEN contains(lower({t}), ' {x}') THEN 7 ELSE 8 END"

@@ -152,19 +152,23 @@ def fn_set_nested(spark, d):
     return rows.select("c_custkey", F.col("r.owner.name").alias("owner_name"))
 
 
-@register("fn_guess_column", "SELECT 'customer.C_NAME' AS header, 'c_name' AS guess UNION ALL SELECT ' o_orderkey ', 'o_orderkey' UNION ALL SELECT 'x.unknown', 'x.unknown'")
+@register("fn_guess_column", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'c_name' WHEN 1 THEN 'o_orderkey' ELSE 'x.' || c_mktsegment END AS guess FROM customer")
 def fn_guess_column(spark, d):
+    """Headers that name a field with its object take the field; others stay, trimmed."""
     known = [(o, f.name) for o in ("customer", "orders") for f in table(spark, d, o).schema]
     names = spark.createDataFrame(known, "object string, field string")
-    heads = spark.createDataFrame([("customer.C_NAME",), (" o_orderkey ",), ("x.unknown",)], "header string")
+    k = F.col("c_custkey") % 3
+    heads = table(spark, d, "customer").select("c_custkey", F.when(k == 0, "customer.C_NAME").when(k == 1, " o_orderkey ").otherwise(F.concat(F.lit("x."), "c_mktsegment")).alias("header"))
     fits = (F.lower(F.substring_index("header", ".", 1)) == F.col("object")) & (F.lower(F.substring_index("header", ".", -1)) == F.col("field"))
-    return heads.join(F.broadcast(names), fits & F.contains("header", F.lit(".")), "left").select("header", F.coalesce("field", F.trim("header")).alias("guess"))
+    return heads.join(F.broadcast(names), fits & F.contains("header", F.lit(".")), "left").select("c_custkey", F.coalesce("field", F.trim("header")).alias("guess"))  # the fields of two tables
 
 
-@register("fn_column_valid", "SELECT n, regexp_matches(n, '^[a-zA-Z_][\\w.\\-]*(:[\\w]+:[\\w]+)?$') AS ok FROM (VALUES ('Name'), ('Na*me'), ('Rel:Type:Ext'), ('a:b'), ('Owner.Name'), ('_x')) t(n)")
+@register("fn_column_valid", "SELECT c_custkey, c_custkey % 6 IN (0, 2, 4, 5) AS ok FROM customer")
 def fn_column_valid(spark, d):
-    names = spark.createDataFrame([(x,) for x in ("Name", "Na*me", "Rel:Type:Ext", "a:b", "Owner.Name", "_x")], "n string")
-    return names.select("n", F.col("n").rlike(r"^[a-zA-Z_][\w.\-]*(:\w+:\w+)?$").alias("ok"))
+    """Header names: plain, with a wrong sign, a relation, half a relation, dotted, not to be imported."""
+    stem = F.get(F.array(*map(F.lit, ("Name", "Na*me", "Rel:Type:Ext", "a:b", "Owner.Name", "_x"))), (F.col("c_custkey") % 6).cast("int"))
+    name = F.concat(stem, F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", name.rlike(r"^[a-zA-Z_][\w.\-]*(:\w+:\w+)?$").alias("ok"))
 
 
 @register("fn_field_type_desc", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'string (' || length(c_name) || ')' ELSE 'currency (16, 2)' END || CASE WHEN c_custkey % 3 = 0 THEN ' required' ELSE '' END AS descr FROM customer")
@@ -438,15 +442,22 @@ def tbl_remove_nulls(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.to_json(doc, {"ignoreNullFields": "true"}).alias("doc"))
 
 
-@register("tbl_limits_unpivot", "SELECT name, CAST(mx AS BIGINT) AS mx, CAST(remaining AS BIGINT) AS remaining FROM (VALUES ('DailyApiRequests', 10000, 1000), ('FileStorageMB', 200, 250), ('Zero', 0, 0)) t(name, mx, remaining)")
+#: A limit per event type, in the form that a service replies with: as many as there were, twice the dear ones used.
+LIMITS_SQL = "SELECT event_type AS name, CASE WHEN event_type = 'view' THEN 0 ELSE count(*) END AS mx, CASE WHEN event_type = 'view' THEN 0 ELSE count(*) END - 2 * count(*) FILTER (value > 20) AS remaining FROM events GROUP BY event_type"
+
+
+@register("tbl_limits_unpivot", LIMITS_SQL)
 def tbl_limits_unpivot(spark, d):
-    return limits(spark)
+    return limits(spark, d)
 
 
-def limits(spark):
-    text = '{"DailyApiRequests":{"Max":10000,"Remaining":1000},"FileStorageMB":{"Max":200,"Remaining":250},"Zero":{"Max":0,"Remaining":0}}'
-    m = F.from_json(F.lit(text), "map<string,struct<Max:bigint,Remaining:bigint>>")
-    return spark.range(1).select(F.explode(m).alias("name", "v")).select("name", F.col("v.Max").alias("mx"), F.col("v.Remaining").alias("remaining"))
+def limits(spark, d):
+    """(name, mx, remaining) from JSON replies of one limit per name."""
+    mx = F.when(F.col("event_type") == "view", 0).otherwise(F.count(F.lit(1)))
+    reply = F.to_json(F.create_map("event_type", F.struct(mx.alias("Max"), (mx - 2 * F.count_if(F.col("value") > 20)).alias("Remaining"))))
+    replies = table(spark, d, "events").groupBy("event_type").agg(reply.alias("reply"))
+    m = F.from_json("reply", "map<string,struct<Max:bigint,Remaining:bigint>>")
+    return replies.select(F.explode(m).alias("name", "v")).select("name", F.col("v.Max").alias("mx"), F.col("v.Remaining").alias("remaining"))
 
 
 @register("tbl_log_grep", "SELECT event_id, '09:00:00.1 (2)|USER_DEBUG|[1]|DEBUG|value ' || event_type AS hit FROM events WHERE event_type IN ('error', 'view')")
@@ -610,25 +621,30 @@ def src_json(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-SAMPLES = ('{"a":1}', "[1, 2]", "a\tb", "a,b", "word", "{broken, json")
-SAMPLE_ROWS = ", ".join(f"('{s}')" for s in SAMPLES).replace("\t", "' || chr(9) || '")
-
-
-@register("src_format_sniff", f"SELECT t, CASE t WHEN '{SAMPLES[0]}' THEN 'json' WHEN '{SAMPLES[1]}' THEN 'json' WHEN 'word' THEN '' WHEN 'a,b' THEN 'csv' WHEN '{SAMPLES[5]}' THEN 'csv' ELSE 'excel' END AS format FROM (VALUES {SAMPLE_ROWS}) s(t)")
+@register("src_format_sniff", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'excel' WHEN 3 THEN 'csv' WHEN 4 THEN '' ELSE 'csv' END AS format FROM events")
 def src_format_sniff(spark, d):
-    return spark.createDataFrame([(s,) for s in SAMPLES], "t string").select("t", src.sniff_format(F.col("t")).alias("format"))
+    """The format of pasted texts: objects, arrays, tabs, commas, a word, and what only begins like JSON."""
+    user = F.col("user_id").cast("string")
+    kinds = F.array(F.col("props"), F.concat(F.lit(" ["), user, F.lit(", 2]")), F.concat("event_type", F.lit("\t"), user, F.lit(",x")), F.concat("event_type", F.lit(","), user), F.col("event_type"), F.concat(F.lit("{broken, "), user))
+    return table(spark, d, "events").select("event_id", src.sniff_format(F.get(kinds, (F.col("event_id") % 6).cast("int"))).alias("format"))
 
 
-@register("src_separator_detect", "SELECT n, s FROM (VALUES (1, ';'), (2, ','), (3, chr(9)), (4, '|'), (5, ',')) t(n, s)")
+@register("src_separator_detect", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN chr(9) WHEN 3 THEN '|' ELSE ',' END AS s FROM customer")
 def src_separator_detect(spark, d):
-    rows = [(1, "a;b;c,d"), (2, "a,b;c"), (3, "\n a\tb\tc;d"), (4, "x|y"), (5, "none")]
-    return spark.createDataFrame(rows, "n int, t string").select("n", src.detect_separator(F.col("t")).alias("s"))
+    """The separator of the first line with text; a tie goes to the earlier one, none to a comma."""
+    line = lambda *marks: F.concat(F.lit("\n "), *[x for m in marks for x in (F.lit(m), F.col("c_name"))], F.lit("\n;;;;;"))
+    kinds = F.array(line("", ";", ";", ","), line("", ",", ";"), line("", "\t", "\t", ";"), line("", "|"), line(""))
+    return table(spark, d, "customer").select("c_custkey", src.detect_separator(F.get(kinds, (F.col("c_custkey") % 5).cast("int"))).alias("s"))
 
 
-@register("src_content_type", "SELECT n, k FROM (VALUES (1, 'json'), (2, 'xml'), (3, 'csv'), (4, 'text'), (5, 'log')) t(n, k)")
+@register("src_content_type", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'xml' WHEN 2 THEN 'csv' WHEN 3 THEN 'text' ELSE 'log' END AS k FROM events")
 def src_content_type(spark, d):
-    rows = [(1, "application/json", "/x", "{}"), (2, "text/xml", "/x", "<a/>"), (3, "text/csv", "/x", "a,b"), (4, "application/json", "/x", "oops"), (5, "text/plain", "/tooling/ApexLog/07L/Body", "x")]
-    return spark.createDataFrame(rows, "n int, t string, u string, b string").select("n", src.content_kind(F.col("t"), F.col("u"), F.col("b")).alias("k"))
+    """How replies are read; one that says JSON and is none is text."""
+    at = (F.col("event_id") % 5).cast("int")
+    types = F.get(F.array(*map(F.lit, ("application/json", "text/xml", "text/csv", "application/json", "text/plain"))), at)
+    body = F.get(F.array(F.col("props"), F.lit("<a/>"), F.lit("a,b"), F.concat(F.lit("oops "), "props"), F.lit("x")), at)
+    url = F.when(at == 4, F.concat(F.lit("/tooling/ApexLog/"), F.col("event_id").cast("string"), F.lit("/Body"))).otherwise("/x")
+    return table(spark, d, "events").select("event_id", src.content_kind(types, url, body).alias("k"))
 
 
 @register("src_xml_parse", "SELECT n_nationkey AS key, n_name AS name, CAST(2 AS BIGINT) AS tags FROM nation")
