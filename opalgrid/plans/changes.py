@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opalgrid.catalog import CATALOG
+from opalgrid.operators import imports as im
 from opalgrid.operators import merges as mg
 from opalgrid.operators import ranking as rk
 from opalgrid.plans.dialect import table
@@ -193,6 +194,29 @@ def dml_ext_id_ref(spark, d):
     return rows.join(parents, "ext", "left").select("o_orderkey", "parent")
 
 
+HEADERS_SQL = """
+SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus = 'P' THEN 'o_orderstatus' END, CASE WHEN o_orderkey % 11 = 0 THEN 'Owner' END, CASE WHEN o_orderkey % 7 = 0 THEN 'CustomerId' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Buyer__c' END) AS nulls,
+       CASE WHEN o_orderkey % 7 > 0 THEN CAST(a.c_custkey AS VARCHAR) END AS customer, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_custkey AS VARCHAR) END AS buyer, CAST(n_nationkey AS VARCHAR) AS nation,
+       CASE WHEN n_nationkey IS NULL THEN 'Nation:nation:n_name=Nowhere' ELSE '' END AS unresolved
+FROM orders LEFT JOIN customer AS a ON o_custkey = a.c_custkey LEFT JOIN nation ON o_orderkey % 26 = n_nationkey
+"""
+
+
+@register("dml_reference_headers", HEADERS_SQL)
+def dml_reference_headers(spark, d):
+    """An import of all orders whose header names parents in three ways."""
+    k, nations = F.col("o_orderkey"), table(spark, d, "nation")
+    names = nations.select((F.col("n_nationkey")).alias("_nation"), "n_name")
+    named = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("_name"))
+    rows = table(spark, d, "orders").join(named, "o_custkey", "left").join(names, k % 26 == F.col("_nation"), "left").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "P", " ").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 11 == 0, "").otherwise("x").alias("Owner.Name"),
+        F.when(k % 7 == 0, "  ").otherwise(F.col("_name")).alias("Customer:customer:c_name"), F.when(k % 5 == 0, None).otherwise(F.col("o_custkey").cast("string")).alias("Buyer__r:customer:c_custkey"),
+        F.coalesce("n_name", F.lit("Nowhere")).alias("Nation:nation:n_name"), F.lit("note").alias("_status"),
+    )
+    out = im.resolve_references(rows, "o_orderkey", {"customer": table(spark, d, "customer"), "nation": nations}, {"customer": "c_custkey", "nation": "n_nationkey"})
+    return out.select("o_orderkey", F.array_join("nulls", ",").alias("nulls"), F.col("CustomerId").alias("customer"), F.col("Buyer__c").alias("buyer"), F.col("NationId").alias("nation"), F.array_join("unresolved", ",").alias("unresolved"))
+
+
 @register("dml_result_map", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Failed' ELSE 'Succeeded' END AS status, CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderkey % 2 = 0 THEN 'Inserted' ELSE 'Updated' END AS action, CASE WHEN o_orderstatus = 'P' THEN 'E1: locked [o_orderstatus]' ELSE '' END AS errors FROM orders")
 def dml_result_map(spark, d):
     ok = F.col("o_orderstatus") != "P"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from opalgrid.functions import text as tx
 from opalgrid.operators import ranking as rk
+from opalgrid.operators import sketches as sk
 from opalgrid.operators import tables as tb
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
@@ -360,3 +361,13 @@ def rank_locale(spark, d):
     tier = rk.match_tier(value, F.concat(F.lit("Der "), "name"), "Qué", rk.ANY_CASE_AND_ACCENT)
     rows = accented(spark, d).select("doc_id", "name", tier.alias("tier"))
     return rows.orderBy("tier", F.collate("name", rk.ANY_CASE_AND_ACCENT), F.collate("name", "de"), "doc_id")
+
+
+@register("agg_distinct_sketch", "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(DISTINCT l_orderkey) AS exact, true AS within FROM lineitem GROUP BY 1")
+def agg_distinct_sketch(spark, d):
+    """Distinct orders a year from sketches a day, held against the exact counts."""
+    items, year = table(spark, d, "lineitem"), F.year
+    sketched = sk.distinct_over(sk.daily_sketches(items, F.col("l_shipdate"), "l_orderkey"), year("day").alias("year"))
+    exact = items.groupBy(year("l_shipdate").alias("year")).agg(F.count_distinct("l_orderkey").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 3 * sk.ERROR * F.col("exact") + 1
+    return exact.join(sketched, "year", "left").select("year", "exact", near.alias("within"))
