@@ -32,31 +32,39 @@ def recent_history(df: DataFrame, owner: str, key: str, at: str, most: int) -> D
 
 
 def _ranged(df: DataFrame, key: str) -> DataFrame:
-    """Rows with ``_range``, the number of the range that their numeric key falls into (nulls: the first).
+    """Rows with ``_range``, the number of the range that their numeric key falls into (nulls: the first), ``_part`` and ``_tie``.
 
-    The driver sees the ends of the ranges only, so that counts and numbers rest on the same ends.
+    The driver sees the ends of the ranges only, so that counts and numbers rest on the same ends. A key that fills
+    a range or more is the end of several ranges: its rows are the last of their range and are split into parts by a hash of
+    the whole row, which orders equal keys.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    ends = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000), F.count(F.lit(1)), F.count(key)).first()
+    ends, nulls = ends[0] or [], ends[1] - ends[2] > ends[1] / n
+    heavy = sorted({e for e, nxt in zip(ends, ends[1:], strict=False) if e == nxt})
     ends = sorted(set(ends))
     # a key's range is the number of ends below it
-    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))), F.lit(0)) if ends else F.lit(0)
-    return df.withColumn("_range", at)
+    at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col(key))), F.lit(-1)) if ends else F.lit(0)
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    many = (F.col(key).isin(heavy) if heavy else F.lit(False)) | (F.col(key).isNull() & F.lit(bool(nulls)))
+    return df.withColumn("_range", at).withColumn("_tie", tie).withColumn("_part", F.when(F.coalesce(many, F.lit(False)), F.pmod("_tie", F.lit(n)) + 1).otherwise(0))
 
 
 def ordinals(df: DataFrame, key: str, name: str = "ordinal", within: Sequence[str] = ()) -> DataFrame:
     """Rows with their place from 0 in the order of a numeric key (nulls first), without gathering them.
 
     With ``within``, places start anew in each group, null being one; a group as large as the table is still split by
-    ranges. Ranges are counted, running offsets go over one row per range and group, and a window numbers each range.
+    ranges, and rows with one key by a hash. Equal keys are ordered by that hash of the row, so that a rerun gives the same
+    places; only rows that are equal in every column are told apart by chance. Ranges are counted, running offsets go over
+    one row per range and group, and a window numbers each range.
     """
     ranged = _ranged(df, key)
-    per = ranged.groupBy(*within, "_range").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    place = F.row_number().over(Window.partitionBy(*within, "_range").orderBy(key)) - 1
-    same = (F.col("_range") == F.col("_r")) & reduce(and_, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)], F.lit(True))
-    offsets = offsets if within else F.broadcast(offsets)  # without groups a row per range
+    per = ranged.groupBy(*within, "_range", "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*within).orderBy("_range", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select(*[F.col(c).alias(f"_w{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), F.col("_part").alias("_q"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy(*within, "_range", "_part").orderBy(key, "_tie")) - 1
+    same = (F.col("_range") == F.col("_r")) & (F.col("_part") == F.col("_q")) & reduce(and_, [F.col(c).eqNullSafe(F.col(f"_w{i}")) for i, c in enumerate(within)], F.lit(True))
+    offsets = offsets if within else F.broadcast(offsets)  # without groups a row per range and part
     out = ranged.withColumn("_place", place).join(offsets, same)
     return out.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(name))
 

@@ -182,6 +182,25 @@ def test_batches_within_groups(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("keys", ["one", "null", "half"])
+def test_ordinals_of_one_key_in_all_rows(spark, keys):
+    rows = [(5 if keys == "one" else None if keys == "null" else (7 if i % 2 else i), i) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "k long, v long")
+    one, two = (sorted(map(tuple, rk.ordinals(frame.repartition(n), "k").collect()), key=lambda r: r[2]) for n in (1, 6))
+    assert one == two and [r[2] for r in one] == list(range(2000)) and [r[0] or 0 for r in one] == sorted(r[0] or 0 for r in rows)
+    assert max(r["n"] for r in rk._ranged(frame, "k").groupBy("_range", "_part").agg(F.count(F.lit(1)).alias("n")).collect()) < 1100
+
+
+def test_secrets_need_what_is_tested_first():
+    from opalgrid.plans.graphs import NEEDED, PATTERNS
+
+    for rule, patterns in PATTERNS.items():
+        for pattern, words in zip(patterns, NEEDED[rule], strict=True):
+            # the pattern names the text itself, its words around an alternative, or one of a class of letters
+            bare = pattern.lower().replace("\\", "")
+            assert any(w in bare or all(part in bare for part in w.strip("_-=").split("_")) or w.startswith("gh") and "gh[puo]_" in bare for w in words), (pattern, words)
+
+
 @pytest.mark.parametrize(("most", "names"), [(0, ["region"]), (2, ["region", "nation"]), (40, ["region", "nation", "part"])])
 def test_plans_are_bounded(spark, most, names):
     plan = [{"object": "region"}, {"object": "secret"}, {"object": "nation", "fields": ["n_name", "x"]}, {"object": "part", "where": {"x": 1}}]
