@@ -8,6 +8,7 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from opalgrid.operators import graph as gr
+from opalgrid.operators import rules as ru
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 
@@ -95,11 +96,13 @@ def graph_repeat_dml(spark, d):
     return gr.repeated_behind(edges(spark, d), starts(spark, 1), kinds)
 
 
-@register("rule_threshold_cmp", "SELECT p_partkey, p_size FROM part WHERE NOT p_size >= 25")
+@register("rule_threshold_cmp", """SELECT p_partkey, wanted FROM (SELECT p_partkey, nullif(p_size, 13) AS v, ['>=25', '<25', '>25', '<=25', '==25', '=25', '~25'][p_partkey % 7 + 1] AS wanted FROM part)
+WHERE CASE wanted WHEN '>=25' THEN v < 25 WHEN '<25' THEN v >= 25 WHEN '>25' THEN v <= 25 WHEN '<=25' THEN v > 25 WHEN '==25' THEN v IS DISTINCT FROM 25 WHEN '=25' THEN v IS DISTINCT FROM 25 ELSE v < 25 END""")
 def rule_threshold_cmp(spark, d):
-    """A rule ``>= 25`` is violated by its negation."""
-    ops = {">=": F.col("p_size") >= 25, "<": F.col("p_size") < 25}
-    return table(spark, d, "part").filter(~ops[">="]).select("p_partkey", "p_size")
+    """Parts that break the expression which is set for them."""
+    wanted = F.get(F.array(*map(F.lit, (">=25", "<25", ">25", "<=25", "==25", "=25", "~25"))), (F.col("p_partkey") % 7).cast("int"))
+    rows = table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_size"), F.lit(13)).alias("v"), wanted.alias("wanted"))
+    return rows.filter(ru.breaks_threshold(F.col("v"), F.col("wanted"))).select("p_partkey", "wanted")
 
 
 @register("rule_regex_name", "SELECT p_partkey FROM part WHERE NOT regexp_full_match(p_type, '[A-Za-z0-9]+ [A-Z]+ [A-T]+')")
@@ -175,10 +178,27 @@ def rule_hardcoded(spark, d):
     return content.select("doc_id", F.explode(broken).alias("rule"))
 
 
-@register("rule_result_flatten", "SELECT p_brand AS flow, coalesce(CASE WHEN p_size > 45 THEN p_name END, '(flow)') AS element, count(*) AS n FROM part GROUP BY 1, 2")
+RESULTS_SQL = """
+WITH o AS (SELECT o_orderkey AS flow, o_orderpriority AS label, o_orderkey % 9 = 0 AS failed FROM orders), f AS (SELECT * FROM o WHERE NOT failed), e AS (SELECT DISTINCT l_orderkey AS flow FROM lineitem WHERE l_linenumber = 1)
+SELECT flow, 'Scan Error' AS rule, 'Failed to scan flow: boom' AS description, 'error' AS severity, CAST(flow AS VARCHAR) AS element_name, 'Flow' AS element_label, 'Unknown' AS element_type, 'boom' AS expression FROM o WHERE failed
+UNION ALL SELECT flow, 'Loop', 'in a loop', 'warning', CASE WHEN e.flow IS NULL THEN CAST(f.flow AS VARCHAR) ELSE 'L1' END, CASE WHEN e.flow IS NULL THEN label ELSE 'Line' END, CASE WHEN e.flow IS NULL THEN 'Flow' ELSE 'loop' END,
+  CASE WHEN e.flow IS NULL THEN 'L1' ELSE '' END FROM f LEFT JOIN e USING (flow) WHERE flow % 2 = 0
+UNION ALL SELECT flow, 'Loop', 'in a loop', 'warning', CAST(flow AS VARCHAR), label, 'Flow', 'gone x>= 58' FROM f WHERE flow % 2 = 0
+UNION ALL SELECT flow, 'Bare', 'No description available', 'note', CAST(flow AS VARCHAR), label, 'Flow', 'No description available' FROM f
+"""
+
+
+@register("rule_result_flatten", RESULTS_SQL)
 def rule_result_flatten(spark, d):
-    element = F.coalesce(F.when(F.col("p_size") > 45, F.col("p_name")), F.lit("(flow)"))
-    return table(spark, d, "part").groupBy(F.col("p_brand").alias("flow"), element.alias("element")).agg(n_rows().alias("n"))
+    """Nested scan results of all orders as violations of elements and of flows."""
+    text = lambda v: F.lit(v).cast("string")
+    detail = lambda name, kind, said: F.struct(text(name).alias("name"), text(None).alias("label"), text(kind).alias("type"), text(said).alias("expression"))
+    result = lambda rule, label, about, level, occurs, details: F.struct(text(rule).alias("rule"), text(label).alias("label"), text(about).alias("description"), text(level).alias("severity"), occurs.alias("occurs"), details.alias("details"))
+    loop = result("LoopRule", "Loop", "in a loop", "warning", F.col("o_orderkey") % 2 == 0, F.array(detail("L1", "loop", None), detail("gone", None, "x>=58")))
+    bare = result("Bare", None, None, "note", F.lit(True), F.slice(F.array(detail(None, None, None)), 1, 0))
+    scans = table(spark, d, "orders").select(F.col("o_orderkey").alias("flow"), F.col("o_orderpriority").alias("flow_label"), F.when(F.col("o_orderkey") % 9 == 0, "boom").alias("error"), F.array(loop, bare).alias("results"))
+    elements = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("flow"), F.lit("L1").alias("name"), F.lit("Line").alias("label")).distinct()
+    return ru.flatten_results(scans, elements)
 
 
 @register("rule_unused_variable", "SELECT DISTINCT p_name AS name FROM part WHERE NOT EXISTS (SELECT 1 FROM documents WHERE list_contains(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+'), split_part(p_name, ' ', 1)))")
@@ -190,10 +210,13 @@ def rule_unused_variable(spark, d):
     return declared.join(used, "variable", "left_anti").select(F.col("p_name").alias("name"))
 
 
-@register("rule_supported_type", "SELECT event_id, CASE event_type WHEN 'click' THEN value > 50 WHEN 'view' THEN true ELSE false END AS supported FROM events")
+@register("rule_supported_type", """SELECT event_id, event_type IN ('view', 'click') OR (event_type = 'signup' AND value > 20) AS supported, CASE WHEN event_type = 'signup' AND value > 20 THEN 'Screen Flow' WHEN event_type = 'signup' THEN 'Flow' ELSE event_type END AS shown,
+CASE WHEN event_type = 'error' THEN 'explicitly_unsupported' WHEN event_type = 'purchase' OR (event_type = 'signup' AND NOT value > 20) THEN 'not_in_supported_list' END AS reason FROM events""")
 def rule_supported_type(spark, d):
-    t = F.col("event_type")
-    return table(spark, d, "events").select("event_id", F.when(t == "click", F.col("value") > 50).when(t == "view", True).otherwise(False).alias("supported"))
+    """Types by an allow list, a deny list, and the screens of a plain flow."""
+    kind = F.when(F.col("event_type") == "signup", "Flow").otherwise(F.col("event_type"))
+    found = ru.type_support(kind, F.col("value") > 20, ("view", "click"), ("error",))
+    return table(spark, d, "events").select("event_id", found.alias("f")).select("event_id", "f.*")
 
 
 @register("sink_dep_report", "SELECT p_brand AS kind, sum(count(*)) OVER (PARTITION BY p_brand)::BIGINT AS n, p_type || ' x' || count(*) AS line FROM part GROUP BY p_brand, p_type ORDER BY kind, line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from opalgrid.catalog import CATALOG
@@ -9,8 +11,10 @@ from opalgrid.functions import text as tx
 from opalgrid.operators import json_family as jf
 from opalgrid.operators import ranking as rk
 from opalgrid.operators import tables as tb
+from opalgrid.operators.snapshots import SnapshotCache
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
+from opalgrid.shared import shared_folder
 from opalgrid.sources import text as src
 
 ID18 = "CASE WHEN o_orderkey % 3 = 0 THEN '006' || lpad(CAST(o_orderkey AS VARCHAR), 15, '0') WHEN o_orderkey % 3 = 1 THEN '000' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') ELSE 'abcdefghijklmno' END"
@@ -553,6 +557,19 @@ def tbl_ttl_cache(spark, d):
     return rows.filter(tx.ttl_valid(F.col("written"), F.lit(None).cast("int"), now)).select("n_nationkey", "n_name")
 
 
+@register("tbl_catalog_snapshots", "SELECT 'before' AS reader, c_custkey, c_name AS name FROM customer UNION ALL SELECT 'after', c_custkey, upper(c_name) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 11 <> 0")
+def tbl_catalog_snapshots(spark, d):
+    """A reader who began before a refresh, and one a week later for whom only the refreshed entries are alive."""
+    start, customer = datetime(2024, 1, 1), table(spark, d, "customer")
+    cache = SnapshotCache(spark, shared_folder(spark, "catalog"), hours=168)
+    cache.write(customer.select("c_custkey", F.col("c_name").alias("name")), start)
+    before = cache.read(start + timedelta(hours=50))
+    delta = customer.filter("c_custkey % 3 = 0 OR c_custkey % 11 = 0").select("c_custkey", F.upper("c_name").alias("name"), (F.col("c_custkey") % 11 == 0).alias("gone"))
+    cache.refresh(delta, "c_custkey", start + timedelta(hours=100), gone="gone")
+    after = cache.read(start + timedelta(hours=200))
+    return before.select(F.lit("before").alias("reader"), "*").unionByName(after.select(F.lit("after").alias("reader"), "*"))
+
+
 @register("tbl_metric_query", "SELECT event_type, round(sum(value), 4) AS total FROM events WHERE ts > TIMESTAMP '2024-01-28' - INTERVAL 24 HOUR AND ts <= '2024-01-28' GROUP BY event_type")
 def tbl_metric_query(spark, d):
     rows = table(spark, d, "events").filter("ts > timestamp_ntz'2024-01-28 00:00:00' - INTERVAL 24 HOURS AND ts <= timestamp_ntz'2024-01-28 00:00:00'")

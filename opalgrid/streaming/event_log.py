@@ -17,43 +17,27 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from typing import Any
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from opalgrid.shared import file_system, read_note, replace_note
+
 ALL, NEW = -2, -1
 #: Before every id.
 START = -(1 << 63)
 
 
-def _at(uri: str) -> tuple[Any, str]:
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri.removeprefix('file:')}")
-
-
 def read_cursor(uri: str) -> int | None:
     """The id in a cursor file; none if there is no such file."""
-    from pyarrow import fs
-
-    system, path = _at(uri)
-    if system.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    with system.open_input_stream(path) as f:
-        return int(json.loads(f.read())["replay"])
+    note = read_note(uri)
+    return note and int(note["replay"])
 
 
 def write_cursor(uri: str, replay: int) -> None:
     """Replaces the cursor file at once."""
-    system, path = _at(uri)
-    folder = path.rsplit("/", 1)[0]
-    system.create_dir(folder)
-    draft = f"{folder}/.{uuid4().hex}"
-    with system.open_output_stream(draft) as f:
-        f.write(json.dumps({"replay": replay}).encode())
-    system.move(draft, path)
+    replace_note(uri, {"replay": replay})
 
 
 class RowGroup(InputPartition):
@@ -73,7 +57,7 @@ class EventLogReader(DataSourceStreamReader):
         """(file, row group, least id, greatest id) of all event files."""
         from pyarrow import fs
 
-        system, path = _at(self.path)
+        system, path = file_system(self.path)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             return
@@ -131,7 +115,7 @@ class EventLogReader(DataSourceStreamReader):
         import pyarrow.parquet as pq
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        system, _ = _at(self.path)
+        system, _ = file_system(self.path)
         wanted = to_arrow_schema(self.schema)
         with system.open_input_file(partition.file) as f:
             names = list(dict.fromkeys([*self.schema.names, self.key]))
@@ -170,7 +154,7 @@ def _unfinished(state: str) -> bool:
     """Whether a batch was planned under a checkpoint and did not end."""
     from pyarrow import fs
 
-    system, path = _at(state)
+    system, path = file_system(state)
     files = [system.get_file_info(fs.FileSelector(f"{path}/{part}", allow_not_found=True)) for part in ("offsets", "commits")]
     planned, ended = ({f.base_name for f in part if f.base_name.isdigit()} for part in files)
     return bool(planned - ended)
