@@ -74,3 +74,18 @@ def resolve_references(rows: DataFrame, key: str, parents: Mapping[str, DataFram
     out = rows.select("*", nulls).join(back, F.col(f"`{key}`") == F.col("_row"), "left")
     unresolved = F.array_compact(F.array(*[f"_m{i}" for i in range(len(refs))])).alias("unresolved")
     return out.select(*[F.col(f"`{c}`") for c in plain], *[F.col(f"_r{i}").alias(h.field) for i, h in enumerate(refs)], "nulls", unresolved)
+
+
+def edits(fields: Sequence[str], old: str, new: str, create: bool = False) -> Column:
+    """What saving a form sends, as an array of (field, value): ``old`` and ``new`` are structs with the fields as texts.
+
+    Only fields that were edited are sent; blank and null are alike. A field made blank is sent as null by an update, and
+    a blank field is left out when a record is created.
+    """
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    entries = []
+    for f in fields:
+        before, after = F.col(f"{old}.`{f}`").cast("string"), F.col(f"{new}.`{f}`").cast("string")
+        sent = F.struct(F.lit(f).alias("field"), F.nullif(blank(after), F.lit("")).alias("value"))
+        entries.append(F.when(blank(after) != "", sent) if create else F.when(blank(before) != blank(after), sent))
+    return F.array_compact(F.array(*entries))

@@ -24,6 +24,19 @@ def keep_latest(df: DataFrame, entity: str, version: str, active: str, history:
     return df.withColumn("keep", (F.row_number().over(w) <= history + 1) | F.coalesce(F.col(active), F.lit(False)))
 
 
+def grouped_members(df: DataFrame, level: str, levels: Sequence[str], rule: str, *order: str) -> DataFrame:
+    """Rows sorted by level (in the order of ``levels``, others last), rule and ``order``: place, level, rule, n, order's columns.
+
+    ``n`` is the size of the group. Counts are made before rows are shuffled and joined to the rows, so that no group is gathered;
+    a group that holds much of the table is split by the join, as any skewed key is.
+    """
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, levels)), F.col(level)), F.lit(0)).cast("int") - 1
+    rows = df.withColumn("place", F.when(place < 0, len(levels)).otherwise(place))
+    sizes = rows.groupBy(F.col(level).alias("_level"), F.col(rule).alias("_rule")).agg(F.count(F.lit(1)).alias("n"))
+    out = rows.join(sizes, F.col(level).eqNullSafe(F.col("_level")) & F.col(rule).eqNullSafe(F.col("_rule")))
+    return out.select("place", level, rule, "n", *order).orderBy("place", rule, *order)
+
+
 def recent_history(df: DataFrame, owner: str, key: str, at: str, most: int) -> DataFrame:
     """A bounded history per owner: equal entries once, newest first, at most ``most``."""
     last = df.groupBy(owner, key).agg(F.max(at).alias(at))

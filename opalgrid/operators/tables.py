@@ -138,3 +138,34 @@ def json_tables(df: DataFrame, column: str = "doc", name: str = "@") -> dict[str
 
     visit(df, df.schema[column].dataType, column, name, [])
     return out
+
+
+def manifest_lines(members: DataFrame, kind: str, name: str, version: str = "62.0") -> DataFrame:
+    """The package manifest of (kind, name) rows as ordered lines, a row each, for a text sink to write.
+
+    (part, kind, place, name, line), sorted by the first four: types and their members sorted, each member once. No type is
+    gathered in a cell, and the sort is the only thing that puts lines side by side; rows without kind or name are left out.
+    """
+    spark = members.sparkSession
+    each = members.select(F.col(kind).alias("kind"), F.col(name).alias("name")).filter("kind IS NOT NULL AND name IS NOT NULL").distinct()
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = lambda part, place, line: F.struct(F.lit(part).alias("part"), F.lit(place).alias("place"), line.alias("line"))
+    inner = each.select(F.lit(1).alias("part"), "kind", F.lit(1).alias("place"), "name", F.concat(F.lit("        <members>"), safe(F.col("name")), F.lit("</members>")).alias("line"))
+    ends = F.array(row(1, 0, F.lit("    <types>")), row(1, 2, F.concat(F.lit("        <name>"), safe(F.col("kind")), F.lit("</name>"))), row(1, 3, F.lit("    </types>")))
+    types = each.select("kind").distinct().select("kind", F.inline(ends)).select("part", "kind", "place", F.lit("").alias("name"), "line")
+    head = F.array(row(0, 0, F.lit('<?xml version="1.0" encoding="UTF-8"?>')), row(0, 1, F.lit('<Package xmlns="http://soap.sforce.com/2006/04/metadata">')), row(2, 0, F.lit(f"    <version>{version}</version>")), row(2, 1, F.lit("</Package>")))
+    frame = spark.range(1).select(F.inline(head)).select("part", F.lit("").alias("kind"), "place", F.lit("").alias("name"), "line")
+    return inner.unionByName(types).unionByName(frame).orderBy("part", "kind", "place", "name")
+
+
+def layout_fields(df: DataFrame, key: str, sections: str, wanted: str = "Field") -> DataFrame:
+    """(key, section, row, item, component, value) of the components of a type, with their places at all four levels.
+
+    ``sections``: array of (rows: array of (items: array of (components: array of (type, value)))); null or empty levels
+    have no rows.
+    """
+    out = df.select(F.col(key), F.posexplode(sections).alias("section", "_s"))
+    out = out.select(key, "section", F.posexplode("_s.rows").alias("row", "_r"))
+    out = out.select(key, "section", "row", F.posexplode("_r.items").alias("item", "_i"))
+    out = out.select(key, "section", "row", "item", F.posexplode("_i.components").alias("component", "_c"))
+    return out.filter(F.col("_c.type") == wanted).select(key, "section", "row", "item", "component", F.col("_c.value").alias("value"))

@@ -275,3 +275,21 @@ def dml_patch_diff(spark, d):
     rows = table(spark, d, "customer").withColumn("new", F.when(F.col("c_custkey") % 3 == 0, "x").otherwise(F.col("c_name")))
     changed = [F.when(~F.col("c_name").eqNullSafe(F.col("new")), F.lit("c_name"))]
     return rows.select("c_custkey", F.concat_ws(",", *changed).alias("edited"))
+
+
+EDITS_SQL = """
+SELECT c_custkey, c_custkey % 2 = 0 AS created, concat_ws(',', CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN 'c_name=' || CASE WHEN c_custkey % 3 = 0 THEN 'x' ELSE c_name END END,
+  CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 5 > 0 THEN 'c_mktsegment=' || c_mktsegment END WHEN c_custkey % 5 = 0 THEN 'c_mktsegment=null' END) AS sent FROM customer
+"""
+
+
+@register("dml_patch_values", EDITS_SQL)
+def dml_patch_values(spark, d):
+    """What saving sends for records that are changed and for copies that are created."""
+    k, fields = F.col("c_custkey"), ("c_name", "c_mktsegment")
+    new = F.struct(F.when(k % 3 == 0, "x").otherwise(F.col("c_name")).alias("c_name"), F.when(k % 5 == 0, "").otherwise(F.col("c_mktsegment")).alias("c_mktsegment"))
+    rows = table(spark, d, "customer").select("c_custkey", F.struct(*fields).alias("old"), new.alias("new"))
+    created = F.col("c_custkey") % 2 == 0
+    sent = F.when(created, im.edits(fields, "old", "new", create=True)).otherwise(im.edits(fields, "old", "new"))
+    text = F.transform(sent, lambda e: F.concat(e["field"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    return rows.select("c_custkey", created.alias("created"), F.array_join(text, ",").alias("sent"))

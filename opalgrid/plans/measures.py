@@ -371,3 +371,17 @@ def agg_distinct_sketch(spark, d):
     exact = items.groupBy(year("l_shipdate").alias("year")).agg(F.count_distinct("l_orderkey").alias("exact"))
     near = F.abs(F.col("estimate") - F.col("exact")) <= 3 * sk.ERROR * F.col("exact") + 1
     return exact.join(sketched, "year", "left").select("year", "exact", near.alias("within"))
+
+
+MEMBERS_SQL = """
+WITH v AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' WHEN 'view' THEN 'note' ELSE 'info' END AS severity, coalesce(nullif(event_type, 'signup'), 'Unknown Rule') AS rule FROM events)
+SELECT CAST(CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END AS INTEGER) AS place, severity, rule, count(*) OVER (PARTITION BY severity, rule) AS n, event_id FROM v ORDER BY place, rule, event_id
+"""
+
+
+@register("agg_severity_members", MEMBERS_SQL)
+def agg_severity_members(spark, d):
+    """Violations by severity, in its fixed order, and rule, with the size of their group; a row per member and no list in a cell."""
+    level = F.when(F.col("event_type") == "purchase", "warning").when(F.col("event_type") == "view", "note").otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select("event_id", tx.severity(level).alias("severity"), F.coalesce(F.nullif(F.col("event_type"), F.lit("signup")), F.lit("Unknown Rule")).alias("rule"))
+    return rk.grouped_members(rows, "severity", ("error", "warning", "info", "note"), "rule", "event_id")

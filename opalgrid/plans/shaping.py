@@ -430,6 +430,26 @@ def tbl_layout_flatten(spark, d):
     return each.filter("c.type = 'Field'").select("l_orderkey", "item", F.col("c.value").alias("value"))
 
 
+LAYOUT_SQL = """
+SELECT l_orderkey, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS section, CAST(CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS INTEGER) AS row, item, c AS component,
+       CAST(trunc(CASE c WHEN 0 THEN l_linenumber ELSE l_quantity END) AS BIGINT) AS value
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_quantity) - 1 AS INTEGER) AS item FROM lineitem), (VALUES (0), (2)) t(c)
+WHERE l_returnflag IN ('A', 'N', 'R') AND l_linestatus IN ('F', 'O')
+"""
+
+
+@register("tbl_layout_levels", LAYOUT_SQL)
+def tbl_layout_levels(spark, d):
+    """Sections, rows, items and components of a layout per order, flattened to its fields."""
+    line = F.struct("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # the lines of an order
+    part = lambda kind, v: F.struct(F.lit(kind).alias("type"), v.cast("long").alias("value"))
+    item = lambda x: F.struct(F.array(part("Field", x["l_linenumber"]), part("Separator", F.lit(None)), part("Field", x["l_quantity"])).alias("components"))
+    row = lambda flag, status: F.struct(F.transform(F.filter("lines", lambda x: (x["l_returnflag"] == flag) & (x["l_linestatus"] == status)), item).alias("items"))
+    sections = F.array(*[F.struct(F.array(row(flag, "F"), row(flag, "O")).alias("rows")) for flag in "ANR"])
+    return tb.layout_fields(lines.select("l_orderkey", sections.alias("sections")), "l_orderkey", "sections")
+
+
 NO_NULLS_SQL = (
     "SELECT o_orderkey, '{\"k\":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',\"s\":\"' || o_orderstatus || '\"' END || ',\"in\":{\"a\":1' || "
     "CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',\"s\":\"' || o_orderstatus || '\"' END || '},\"items\":[{\"n\":1},null,{' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE '\"s\":\"' || o_orderstatus || '\"' END || '}]}' AS doc FROM orders"
@@ -530,7 +550,7 @@ def tbl_field_search(spark, d):
 @register("tbl_component_list", "SELECT CASE WHEN starts_with(lower(p_type), 'small') THEN 'Settings' ELSE p_brand END AS kind, count(DISTINCT p_name) AS members FROM part WHERE p_size > 5 GROUP BY 1")
 def tbl_component_list(spark, d):
     kind = F.when(F.lower("p_type").startswith("small"), "Settings").otherwise(F.col("p_brand"))
-    return table(spark, d, "part").filter("p_size > 5").groupBy(kind.alias("kind")).agg(F.size(F.collect_set("p_name")).cast("long").alias("members"))
+    return table(spark, d, "part").filter("p_size > 5").groupBy(kind.alias("kind")).agg(F.count_distinct("p_name").alias("members"))
 
 
 @register("tbl_managed_filter", "SELECT p_partkey FROM part WHERE nullif(p_brand, 'Brand#11') IS NULL")
@@ -616,6 +636,21 @@ def sink_manifest(spark, d):
     return tb.manifest(n.join(r, n.n_regionkey == r.r_regionkey).select("r_name", "n_name"), "r_name", "n_name")
 
 
+MANIFEST_LINES_SQL = """
+WITH m AS (SELECT DISTINCT p_brand AS kind, p_name AS name FROM part)
+SELECT 1 AS part, kind, 1 AS place, name, '        <members>' || name || '</members>' AS line FROM m
+UNION ALL SELECT 1, kind, p, '', CASE p WHEN 0 THEN '    <types>' WHEN 2 THEN '        <name>' || kind || '</name>' ELSE '    </types>' END FROM (SELECT DISTINCT kind FROM m), (VALUES (0), (2), (3)) t(p)
+UNION ALL SELECT * FROM (VALUES (0, '', 0, '', '<?xml version="1.0" encoding="UTF-8"?>'), (0, '', 1, '', '<Package xmlns="http://soap.sforce.com/2006/04/metadata">'), (2, '', 0, '', '    <version>62.0</version>'), (2, '', 1, '', '</Package>')) h
+ORDER BY 1, 2, 3, 4
+"""
+
+
+@register("sink_manifest_lines", MANIFEST_LINES_SQL)
+def sink_manifest_lines(spark, d):
+    """The manifest of all parts by brand, a row per line."""
+    return tb.manifest_lines(table(spark, d, "part"), "p_brand", "p_name")
+
+
 @register("src_manifest_parse", "SELECT r_name AS kind, string_agg(n_name, ',' ORDER BY n_name) AS members FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def src_manifest_parse(spark, d):
     return src.manifest_members(sink_manifest(spark, d), "xml").select("kind", F.array_join("members", ",").alias("members"))

@@ -29,6 +29,12 @@ def test_references_of_odd_cells(spark):
         im.resolve_references(rows, "Id", {}, {})
 
 
+def test_edits_of_blank_and_equal_fields(spark):
+    row = spark.sql("select named_struct('a', 'x', 'b', null, 'c', 'y', 'd', '1') as old, named_struct('a', 'x', 'b', '', 'c', '', 'd', '2') as new")
+    got = row.select(im.edits("abcd", "old", "new").alias("u"), im.edits("abcd", "old", "new", create=True).alias("c")).first()
+    assert [tuple(e) for e in got["u"]] == [("c", None), ("d", "2")] and [tuple(e) for e in got["c"]] == [("a", "x"), ("d", "2")]
+
+
 def test_sketches_add_up(spark):
     days = spark.range(0, 60_000).select(F.expr("date'2024-01-01' + cast(id % 30 as int)").alias("d"), (F.col("id") % 20_000).alias("v")).unionByName(spark.createDataFrame([(None,)], "v long").select(F.expr("date'2024-03-01'").alias("d"), "v"))
     sketches = sk.daily_sketches(days, F.col("d"), "v")

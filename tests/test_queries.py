@@ -50,7 +50,7 @@ def test_positional_join_has_every_batch(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(3 * i, f"s{i}") for i in range(1, 701)]
 
 
-ORDERED = "soql_order_by sort_logs_typed sort_toggle sort_auto_numeric sort_manifest rank_autocomplete rank_field_creator rank_schema_objects stream_newest_first".split()
+ORDERED = "soql_order_by sort_logs_typed sort_toggle sort_auto_numeric sort_manifest rank_autocomplete rank_field_creator rank_schema_objects stream_newest_first sort_locale rank_locale sort_consumption agg_severity_members sink_manifest_lines".split()
 
 
 @pytest.mark.parametrize("key", ORDERED)
