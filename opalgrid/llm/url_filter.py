@@ -158,10 +158,16 @@ def _flags_by_cogroup(pages: DataFrame, universe: DataFrame, cascades: DataFrame
 
 
 def covered_hosts(hosts: DataFrame, listed: DataFrame) -> DataFrame:
-    """Distinct ``key`` of the hosts that a listed key (A-Z lower-cased) names, or whose parent domain it names."""
-    labels = F.split("key", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    """Distinct ``key`` of the hosts that a listed key (A-Z lower-cased) names, or whose parent domain it names.
+
+    Only parents with as many labels as some listed key has are looked up, so that the top domains, under which nearly
+    all hosts lie, are no keys of the join unless one of their length is listed. The driver sees those lengths alone.
+    """
     named = listed.select(F.translate("key", UPPER, LOWER).alias("_named")).filter("_named IS NOT NULL").distinct()
+    lengths = [r[0] for r in named.select(F.size(F.split("_named", r"\."))).distinct().collect()]
+    labels = F.split("key", r"\.")
+    starts = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda i: (F.size(labels) - i + 1).isin(lengths))
+    parents = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     return hosts.select("key", F.explode(parents).alias("_named")).join(named, "_named", "left_semi").select("key").distinct()
 
 

@@ -171,6 +171,15 @@ def test_mix_with_null_and_repeated_ids(spark, ids, monkeypatch):
     assert words == +want
 
 
+@pytest.mark.parametrize("listed", [["com"], ["b.com", "x.y.z", None, "B.Com"], [], [""]])
+def test_hosts_that_a_listed_key_covers(spark, listed):
+    names = ["com", "a.com", "b.com", "c.b.com", "xb.com", "x.y.z", "w.x.y.z", "y.z", "", ".", "com."]
+    hosts = spark.createDataFrame([(n,) for n in names], "key string")
+    got = {r["key"] for r in url_filter.covered_hosts(hosts, spark.createDataFrame([(x,) for x in listed], "key string")).collect()}
+    keys = {x.lower() for x in listed if x is not None}
+    assert got == {n for n in names if any(n == k or n.endswith(f".{k}") for k in keys)}
+
+
 def test_mix_with_weights_favours_heavy_documents(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("w " * 10).alias("text"), (F.col("id") % 3).cast("string").alias("source"), (F.col("id") % 2 * 3 + 1).alias("w"))
     rows = mixing.mix_sources(docs, share=0.5, weight_col="w").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.sum("copies").alias("n")).collect()
