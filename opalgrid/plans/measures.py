@@ -123,6 +123,27 @@ def agg_purge_stats(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(n_rows().alias("found"), F.count_if(ok).alias("deleted"), F.bool_and(ok).alias("done"))
 
 
+@register("agg_field_objects", """WITH p AS (SELECT lower(p_type) AS label, p_brand AS object, min(p_partkey) AS first_key FROM part GROUP BY 1, 2)
+SELECT label, object, first_key, count(*) OVER (PARTITION BY label) AS objects FROM p""")
+def agg_field_objects(spark, d):
+    """Fields by label: a row per object that has one, with the first record of it and how many objects share the label."""
+    pairs = table(spark, d, "part").groupBy(F.lower("p_type").alias("label"), F.col("p_brand").alias("object")).agg(F.min("p_partkey").alias("first_key"))
+    return pairs.join(pairs.groupBy("label").agg(n_rows().alias("objects")), "label").select("label", "object", "first_key", "objects")
+
+
+@register("agg_purge_children", """WITH c AS (SELECT l_orderkey, count(*) AS found, count(*) FILTER (l_returnflag <> 'R') AS deleted, min(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS stuck FROM lineitem GROUP BY 1)
+SELECT o_custkey, o_orderkey, version, coalesce(found, 0) AS found, coalesce(deleted, 0) AS deleted, coalesce(found, 0) = coalesce(deleted, 0) AS version_deleted, CASE WHEN stuck IS NOT NULL THEN 'line ' || stuck || ' is locked' END AS error
+FROM (SELECT * FROM ({VERSIONS}) QUALIFY NOT (version > (max(version) OVER (PARTITION BY o_custkey)) - 3 OR version = 2)) LEFT JOIN c ON l_orderkey = o_orderkey""".replace("{VERSIONS}", "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version FROM orders"))
+def agg_purge_children(spark, d):
+    """What purging old versions found and deleted of their children; a version goes when all of its children did."""
+    locked = F.col("l_returnflag") == "R"
+    children = table(spark, d, "lineitem").groupBy("l_orderkey").agg(n_rows().alias("found"), F.count_if(~locked).alias("deleted"), F.min(F.when(locked, F.col("l_linenumber"))).alias("stuck"))
+    old = rk.keep_latest(versions(spark, d), "o_custkey", "version", "active", 2).filter("NOT keep")
+    rows = old.join(children, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("found", "deleted")})
+    error = F.concat(F.lit("line "), F.col("stuck").cast("string"), F.lit(" is locked"))
+    return rows.select("o_custkey", "o_orderkey", "version", "found", "deleted", (F.col("found") == F.col("deleted")).alias("version_deleted"), error.alias("error"))
+
+
 @register("agg_group_urls", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) OVER (PARTITION BY regexp_extract(url, '://([^/?#]*)', 1)) AS n, url FROM pages ORDER BY host, url")
 def agg_group_urls(spark, d):
     rows = table(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "url")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opalgrid.functions import text as tx
 from opalgrid.plans.dialect import table
 from opalgrid.plans.registry import register
 from opalgrid.shared import shared_folder
@@ -74,20 +75,26 @@ def stream_channel_list(spark, d):
     return head.unionByName(table(spark, d, "events").select(F.col("event_type").alias("label"), F.lit(1).alias("place")).distinct())
 
 
-GENERATED = "SELECT 'c_name,c_acctbal,c_mktsegment' AS fields, count(*) AS n FROM nation"
+GENERATED = """
+WITH d AS (SELECT c_custkey AS replay_id, md5('3:' || c_custkey || ':c_name') AS a, md5('3:' || c_custkey || ':c_acctbal') AS b, md5('3:' || c_custkey || ':c_mktsegment') AS c FROM customer)
+SELECT replay_id, substr(a, 1, CAST(CAST('0x' || substr(a, 1, 8) AS BIGINT) % 15 + 5 AS BIGINT)) AS c_name, round(CAST('0x' || substr(b, 1, 8) AS BIGINT) % 100000 / 100.0::DOUBLE, 2) AS c_acctbal,
+       substr(c, 1, CAST(CAST('0x' || substr(c, 1, 8) AS BIGINT) % 15 + 5 AS BIGINT)) AS c_mktsegment FROM d
+"""
 
 
 @register("stream_generate", GENERATED)
 @register("sink_publish", GENERATED)
 def stream_generate(spark, d):
-    """Seeded payloads for the settable fields of an object, appended to a stream's folder and read back."""
+    """Payloads for the settable fields of an object, published to a log and read back by a subscription.
+
+    Values come from a hash of seed, event and field: a task that runs again makes the same ones.
+    """
     settable = [f for f in table(spark, d, "customer").schema.fields if f.name not in ("c_custkey", "c_nationkey")]
-    values = [(F.concat(F.lit("v"), F.floor(F.rand(3) * 1000).cast("string")) if f.dataType.simpleString() == "string" else F.round(F.rand(4) * 100, 2)).alias(f.name) for f in settable]
+    value = lambda f: tx.random_value(F.concat(F.col("c_custkey").cast("string"), F.lit(f":{f.name}")), f.dataType.simpleString(), 3)
     folder = shared_folder(spark, "publish")
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("replay_id"), F.struct(*values).alias("payload"))
-    rows.write.mode("overwrite").parquet(folder)
-    back = spark.read.parquet(folder)
-    return back.agg(n_rows().alias("n")).select(F.lit(",".join(f.name for f in settable)).alias("fields"), "n")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("replay_id"), *[value(f).cast(f.dataType).alias(f.name) for f in settable])
+    rows.write.parquet(f"{folder}/log")
+    return el.deliver(el.subscribe_log(spark, f"{folder}/log", rows.schema, key="replay_id"), f"{folder}/out", f"{folder}/state")
 
 
 @register("stream_running_stats", "SELECT event_type, count(*) AS total, round(sum(value), 4) AS spent FROM events GROUP BY event_type")
