@@ -375,7 +375,7 @@ def filter_locale(spark, d):
 
 
 @register("rank_locale", f"""SELECT doc_id, name, CASE WHEN n = 'que' THEN 1 WHEN t = 'que' THEN 2 WHEN starts_with(n, 'que') THEN 3 WHEN starts_with(t, 'que') THEN 4 WHEN contains(n, '__que') THEN 5 WHEN contains(n, '_que') THEN 6 WHEN contains(t, ' que') THEN 7 ELSE 8 END AS tier
-FROM (SELECT doc_id, name, lower(strip_accents(CASE WHEN doc_id % 3 = 0 THEN 'x_' || name ELSE name END)) AS n, lower(strip_accents('Der ' || name)) AS t FROM ({NAMES_SQL})) ORDER BY tier, name COLLATE noaccent.nocase, name COLLATE de, doc_id""")
+FROM (SELECT doc_id, name, lower(strip_accents(CASE WHEN doc_id % 3 = 0 THEN 'x_' || name ELSE name END)) AS n, lower(strip_accents('Der ' || name)) AS t FROM ({NAMES_SQL})) ORDER BY tier, replace(lower(strip_accents(name)), 'ß', 'ss'), name COLLATE de, doc_id""")
 def rank_locale(spark, d):
     """Search tiers of accented names."""
     value = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x_"), "name")).otherwise(F.col("name"))
