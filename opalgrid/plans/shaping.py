@@ -528,8 +528,8 @@ def tbl_field_import(spark, d):
     last = F.when(F.col("c_custkey") % 5 == 0, "Blob").otherwise("Checkbox")
     text = F.concat(F.lit("Name , n"), k, F.lit(",Text\n\nno type,x,\nFlag,f"), k, F.lit(", "), last, F.lit("\n"))
     text = F.when(F.col("c_custkey") % 2 == 1, F.replace(text, F.lit(","), F.lit(";"))).otherwise(text)
-    read = src.import_fields(text)
-    rows = table(spark, d, "customer").select("c_custkey", read["error"].alias("error"), F.explode_outer(read["fields"]).alias("f"))
+    read = table(spark, d, "customer").select("c_custkey", src.import_fields(text).alias("r"))
+    rows = read.select("c_custkey", F.col("r.error").alias("error"), F.explode_outer("r.fields").alias("f"))
     return rows.select("c_custkey", "error", "f.label", "f.name", "f.type")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,14 +19,17 @@ def sniff_format(c: Column) -> Column:
     return F.when(is_json, "json").when(F.instr(c, "\t") > 0, "excel").when(F.instr(c, ",") > 0, "csv").otherwise("")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def detect_separator(c: Column) -> Column:
     """The separator that splits the first line with text most often; a tie goes to the earlier one, none to a comma."""
-    line = F.get(F.filter(F.split(c, "\r?\n"), lambda x: F.trim(x) != ""), F.lit(0))
-    counts = [F.size(F.split(F.coalesce(line, F.lit("")), "\\" + s)) for s in SEPARATORS]
-    most, out = F.greatest(*counts), F.lit(SEPARATORS[-1])
-    for s, n in reversed(list(zip(SEPARATORS[:-1], counts[:-1], strict=True))):
-        out = F.when(n == most, F.lit(s)).otherwise(out)
-    return out
+    line = F.coalesce(F.get(F.filter(F.split(c, "\r?\n"), lambda x: F.trim(x) != ""), F.lit(0)), F.lit(""))
+    counts = lambda x: F.array(*[F.size(F.split(x, "\\" + s)) for s in SEPARATORS])
+    first = lambda n: F.get(F.array(*map(F.lit, SEPARATORS)), (F.array_position(n, F.array_max(n)) - 1).cast("int"))
+    return _once(_once(line, counts), first)
 
 
 #: The types that an imported field may have.
@@ -41,14 +44,20 @@ def import_fields(c: Column) -> Column:
     The separator is that of the first line with text. Lines that lack one of the three are passed over. A type that is
     not known is an error that names its line (the last such line), and then no field is imported. Null has no fields.
     """
-    by = F.concat(F.lit(r"\Q"), detect_separator(c), F.lit(r"\E"))
-    cells = F.transform(F.split(c, "\n"), lambda line: F.transform(F.split(line, by), lambda x: F.trim(F.regexp_replace(x, r"[\r\t]", " "))))
-    cell = lambda x, i: F.coalesce(F.get(x, F.lit(i)), F.lit(""))
-    lines = F.transform(cells, lambda x, i: F.struct((i + 1).alias("line"), *[cell(x, j).alias(n) for j, n in enumerate(("label", "name", "type"))]))
-    whole = F.filter(lines, lambda r: (r["label"] != "") & (r["name"] != "") & (r["type"] != ""))
-    bad = F.try_element_at(F.filter(whole, lambda r: ~r["type"].isin(*FIELD_TYPES)), F.lit(-1))
-    error = F.concat(F.lit('Invalid type "'), bad["type"], F.lit('" on line '), bad["line"].cast("string"))
-    return F.struct(F.when(bad.isNull(), whole).alias("fields"), error.alias("error"))
+    cell = lambda x, i: F.coalesce(F.trim(F.translate(F.get(x, F.lit(i)), "\r\t", "  ")), F.lit(""))
+
+    def read(text: Column, by: Column) -> Column:
+        # a line holds no line break, so that its separators can become some
+        cells = F.transform(F.split(text, "\n"), lambda line: F.split(F.replace(line, by, F.lit("\n")), "\n"))
+        lines = F.transform(cells, lambda x, i: F.struct((i + 1).alias("line"), *[cell(x, j).alias(n) for j, n in enumerate(("label", "name", "type"))]))
+        return F.filter(lines, lambda r: (r["label"] != "") & (r["name"] != "") & (r["type"] != ""))
+
+    def judged(whole: Column) -> Column:
+        last = F.try_element_at(F.filter(whole, lambda r: ~r["type"].isin(*FIELD_TYPES)), F.lit(-1))
+        said = lambda bad: F.concat(F.lit('Invalid type "'), bad["type"], F.lit('" on line '), bad["line"].cast("string"))
+        return _once(_once(last, said), lambda error: F.struct(F.when(error.isNull(), whole).alias("fields"), error.alias("error")))
+
+    return _once(c, lambda text: _once(_once(detect_separator(text), lambda by: read(text, by)), judged))
 
 
 def content_kind(content_type: Column, url: Column, body: Column) -> Column:

@@ -145,6 +145,24 @@ def test_field_import(spark, text, fields, error):
     assert (None if got["fields"] is None else [tuple(f) for f in got["fields"]], got["error"]) == (fields, error)
 
 
+@pytest.mark.parametrize(
+    ("text", "fields", "error"),
+    [
+        ("\n \na|b|Text|c,d,e\r\n|\t|x|\n", [(3, "a", "b", "Text")], None), ("a\tb\tUrl\n\nc\td", [(1, "a", "b", "Url")], None),
+        (r"a\E;b$1;Email", [(1, r"a\E", "b$1", "Email")], None), ("a;b,c;d,Text", [(1, "a;b", "c;d", "Text")], None),
+    ],
+)
+def test_field_import_of_odd_separators(spark, text, fields, error):
+    test_field_import(spark, text, fields, error)
+
+
+def test_field_import_reads_a_text_once(spark):
+    frame = spark.createDataFrame([("a,b,Text",)], "t string").select(src.import_fields(F.col("t")).alias("r")).select("r.error", F.explode_outer("r.fields"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    # the lines, the line that shows the separator, four separators, and the cells
+    assert plan.count("split(") <= 7
+
+
 @pytest.mark.parametrize(("text", "mended"), [("select a,, b,from  t", "select a, b from t"), ("x = 'a,,  b'  and y", "x = 'a,,  b' and y"), ("  ", "")])
 def test_typos(spark, text, mended):
     assert one(spark, tx.mend_typos(F.lit(text))) == mended
