@@ -13,6 +13,9 @@ from opalgrid.shared import shared_folder
 
 #: A node that starts more than this share of all edges is a hub.
 HUB_SHARE = 256
+#: Edges of a bucket; a graph has no more buckets than its edges fill, since every round opens them all.
+BUCKET_EDGES = 1 << 19
+
 
 def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, depth) of everything reachable from ``starts`` (node), these included at depth 0; null nodes are passed over.
@@ -24,19 +27,19 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
     buckets; their edges lie in a table without buckets and meet the few hubs of a frontier by a broadcast.
     """
     spark, name = edges.sparkSession, uuid.uuid4().hex
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept, hubs, met = (f"closure_{part}_{name}" for part in ("edges", "hubs", "met"))
     folder = shared_folder(spark, "closure")
     kind = starts.schema["node"].dataType
     known = edges.select(F.col("a").cast(kind), F.col("b").cast(kind)).filter("a IS NOT NULL AND b IS NOT NULL")
     degrees, total = known.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), known.count()
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, -(-total // BUCKET_EDGES)))
     wide = [r["a"] for r in degrees.filter(F.col("_n") * HUB_SHARE > max(total, 64 * HUB_SHARE)).select("a").collect()]
     is_hub = F.col("a").isin(wide) if wide else F.lit(False)
     try:
         known.filter(~is_hub).repartition(n, "a").write.bucketBy(n, "a").sortBy("a").saveAsTable(kept)
         if wide:
             known.filter(is_hub).write.saveAsTable(hubs)
-        depth, found = 0, _met(starts.select("node").filter("node IS NOT NULL").distinct(), met, 0, n, folder)
+        depth, found = 0, _met(starts.select("node").filter("node IS NOT NULL").repartition(n, "node").distinct(), met, 0, n, folder)
         while found:
             frontier = spark.table(met).filter(F.col("depth") == depth).select(F.col("node").alias("a"))
             ends = spark.table(kept).join(frontier, "a", "left_semi").select(F.col("b").alias("node"))
@@ -44,7 +47,7 @@ def closure(edges: DataFrame, starts: DataFrame) -> DataFrame:
                 few = F.broadcast(frontier.filter(is_hub))
                 ends = ends.unionByName(spark.table(hubs).join(few, "a", "left_semi").select(F.col("b").alias("node")))
             depth += 1
-            found = _met(ends.distinct().join(spark.table(met).select("node"), "node", "left_anti"), met, depth, n, None)
+            found = _met(ends.repartition(n, "node").distinct().join(spark.table(met).select("node"), "node", "left_anti"), met, depth, n, None)
     finally:
         for t in (kept, hubs, met):  # the edges go with their table; what was met stays in the shared folder
             spark.sql(f"DROP TABLE IF EXISTS {t}")

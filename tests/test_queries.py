@@ -110,3 +110,23 @@ def test_flags_along_paths(spark):
     edges = spark.createDataFrame([(1, 2, True), (2, 3, None), (3, 4, False), (4, 5, None), (1, 5, None), (5, 1, None), (2, 6, False), (6, 7, True)], "a long, b long, turn boolean")
     got = {(r["node"], r["flag"]) for r in graph.flagged_closure(edges, spark.createDataFrame([(1,)], "node long")).collect()}
     assert got == {(1, 0), (2, 1), (3, 1), (4, 0), (5, 0), (6, 0), (7, 1)}
+
+
+def test_buckets_follow_the_edges(spark, monkeypatch):
+    noted, write = [], graph._met
+
+    def met(nodes, table, depth, buckets, folder):
+        noted.append(buckets)
+        return write(nodes, table, depth, buckets, folder)
+
+    monkeypatch.setattr(graph, "_met", met)
+    kept, edges = spark.conf.get("spark.sql.shuffle.partitions"), spark.range(0, 400).selectExpr("id AS a", "id * 2 + 1 AS b")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        for size, buckets in ((graph.BUCKET_EDGES, 2), (100, 4), (1, 64)):
+            monkeypatch.setattr(graph, "BUCKET_EDGES", size)
+            got = graph.closure(edges.limit(400 if size > 1 else 100), spark.createDataFrame([(0,)], "node long"))
+            assert {(r["node"], r["depth"]) for r in got.collect()} >= {(2**k - 1, k) for k in range(7)} and set(noted) == {buckets}
+            noted.clear()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
