@@ -3,7 +3,8 @@
 Every array path of the texts makes a table, one row per element; the root makes the table ``@`` with a row per text. A
 table's own columns come first and those of its parents after them. Shapes are found by an aggregate over all texts
 (the merged schema of their variants, combined before it is shuffled); only where one path holds objects in some texts
-and other values elsewhere are the objects and the arrays at that path asked for once more. Rows are made by exploding
+and other values elsewhere are the objects and the arrays at that path asked for once more, those of all paths together.
+Texts are read once for each such level and then by each table, so texts that are dear to make should be written first. Rows are made by exploding
 one array path after another, lazily and without a shuffle.
 
 Names are JSON paths: ``@.items.*.qty``; a key with a dot or a bracket stands in brackets. Cells are text. An array shows as
@@ -69,31 +70,49 @@ def _parsed(ddl: str) -> T.DataType:
     return T.DataType.fromDDL(struct)
 
 
+@dataclass
+class _Open:
+    """A path of a frame that holds objects in some rows and other values elsewhere, and its shape."""
+
+    frame: DataFrame
+    value: Column
+    path: str
+    shape: Shape
+
+
 def discover(frame: DataFrame, value: Column) -> Shape:
-    """The shape of a variant column over all rows."""
-    found = frame.agg(F.schema_of_variant_agg(value)).first()[0]
-    return _shape(_parsed(found) if found else T.NullType(), frame, value, "$")
+    """The shape of a variant column over all rows: one pass, and one more per level of mixed paths and frame."""
+    out, todo = Shape(), []
+    _fill(out, frame.agg(F.schema_of_variant_agg(value)).first()[0], frame, value, "$", todo)
+    while todo:
+        level, todo = todo, []
+        for own in {id(o.frame): o.frame for o in level}.values():
+            spots = [o for o in level if o.frame is own]
+            at = own.select(*[_get(o.value, o.path).alias(f"_{i}") for i, o in enumerate(spots)])
+            apart = [F.schema_of_variant_agg(F.when(test(F.col(f"_{i}"), "$").isNotNull(), F.col(f"_{i}"))) for i in range(len(spots)) for test in (_object, _array)]
+            for j, found in enumerate(at.agg(*apart).first()):
+                o = spots[j // 2]
+                if found != "VOID":
+                    _fill(o.shape, found, own, o.value, o.path, todo)
+    return out
 
 
-def _shape(kind: T.DataType, frame: DataFrame, value: Column, path: str) -> Shape:
+def _fill(shape: Shape, found: str | T.DataType | None, frame: DataFrame, value: Column, path: str, todo: list[_Open]) -> None:
+    """Adds what a schema says to a shape; paths that it leaves open go to ``todo``."""
+    kind = T.NullType() if found is None else _parsed(found) if isinstance(found, str) else found
     if isinstance(kind, T.StructType):
-        return Shape(fields={f.name: _shape(f.dataType, frame, value, _step(path, f.name)) for f in kind.fields})
-    if isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if "variant" not in inner.simpleString():
-            return Shape(element=_shape(inner, frame, value, "$"))
-        each = frame.select(F.explode(_array(value, path)).alias("_each"))
-        return Shape(element=_shape(inner, each, F.col("_each"), "$"))
-    if not isinstance(kind, T.VariantType):
-        return Shape(plain=True)
-    at = frame.select(_get(value, path).alias("_at")).filter("_at IS NOT NULL")
-    objects, arrays = at.filter(_object(F.col("_at")).isNotNull()), at.filter(_array(F.col("_at"), "$").isNotNull())
-    out = Shape(plain=True)  # numbers beside texts, say; nulls count too
-    if not objects.isEmpty():
-        out.fields = discover(objects, F.col("_at")).fields
-    if not arrays.isEmpty():
-        out.element = discover(arrays, F.col("_at")).element
-    return out
+        shape.fields = {f.name: Shape() for f in kind.fields}
+        for f in kind.fields:
+            _fill(shape.fields[f.name], f.dataType, frame, value, _step(path, f.name), todo)
+    elif isinstance(kind, T.ArrayType):
+        shape.element, inner = Shape(), kind.elementType
+        if "variant" in inner.simpleString():
+            frame, value = frame.select(F.explode(_array(value, path)).alias("_each")), F.col("_each")
+        _fill(shape.element, inner, frame, value, "$", todo)
+    else:
+        shape.plain = True  # in an open path: numbers beside texts, say; nulls count too
+        if isinstance(kind, T.VariantType):
+            todo.append(_Open(frame, value, path, shape))
 
 
 def _cell(value: Column, path: str, shape: Shape) -> Column | None:

@@ -370,13 +370,15 @@ def tbl_json_to_tables(spark, d):
 
 
 def order_texts(spark, d):
-    """Orders with their lines as JSON texts; ``extra`` holds a number, an object or an array."""
+    """Orders with their lines as JSON texts, written once; ``extra`` holds a number, an object or an array."""
     line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("long").alias("qty"), F.array("l_returnflag", "l_linestatus").alias("flags"))
     items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))  # the lines of an order
     k = F.col("o_orderkey")
     extra = F.when(k % 3 == 0, F.lit("7")).when(k % 3 == 1, F.lit('{"deep":{"n":1}}')).otherwise(F.lit('[1,{"z":"x"},null]'))
     text = F.concat(F.lit('{"key":'), k.cast("string"), F.lit(',"head":{"status":"'), "o_orderstatus", F.lit('"},"extra":'), extra, F.lit(',"items":'), F.to_json("items"), F.lit("}"))
-    return table(spark, d, "orders").join(items, k == F.col("l_orderkey")).select("o_orderkey", text.alias("text"))
+    path = shared_folder(spark, "order-texts")
+    table(spark, d, "orders").join(items, k == F.col("l_orderkey")).select("o_orderkey", text.alias("text")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 LINES_SQL = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(trunc(l_quantity) AS BIGINT), l_returnflag, l_linestatus) - 1 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey"

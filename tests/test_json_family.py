@@ -104,3 +104,21 @@ def test_rows_are_made_without_a_shuffle_of_their_own(spark, key):
 
     plan = registry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= (2 if key == "tbl_json_unknown" else 0)
+
+
+def test_shapes_take_a_pass_per_level_of_mixed_paths(spark, monkeypatch):
+    passes, kind = [], type(spark.range(1))
+    first = kind.first
+    monkeypatch.setattr(kind, "first", lambda self: passes.append("first") or first(self))
+    monkeypatch.setattr(kind, "isEmpty", lambda self: pytest.fail("a pass for a single path"))
+    rows = [{"a": 1, "b": 2}, {"a": {"x": 1}, "b": {"y": {"z": 1}}}, {"a": [1, {"c": 2}], "b": {"y": 3}}]
+    check(spark, rows)
+    # the root; a and b together; b.y beside them and the elements of a
+    assert len(passes) == 4
+
+
+def test_order_texts_are_made_once(spark):
+    from opalgrid.plans import registry
+
+    plan = registry.queries()["tbl_json_family"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "collect_list" not in plan and "Join" not in plan
