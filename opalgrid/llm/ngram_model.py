@@ -27,6 +27,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
+import shutil
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -44,6 +45,9 @@ from opalgrid.llm.common import doc_crc, local_folder, text_of
 ORDER = 3
 FLUSH = 1_500_000
 PART_BYTES = 32 << 20
+PASSES = 2  # a power of two
+STATISTICS = -1  # stands for a turn
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOLDS, HELD_OUT = 10, 0
 CACHE = 400_000
 OPEN_PARTS = 64
@@ -271,34 +275,51 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
     model = NgramModel(local_folder(spark, "ngrams"), order, bits)
     folder, word_shift, narrow_shift, key_shift = model.folder, 48 - bits, 40 - bits, 64 - bits
 
-    def count(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+    passes = min(PASSES, 1 << bits)
 
-        hashes, held, lengths, n = WordHashes(), [], [], 0
+    def count(turn: int) -> Any:
+        """The map task of a pass: n-grams and words of the parts whose turn it is, of all texts."""
 
-        def flush() -> pa.RecordBatch:
-            nonlocal held, lengths, n
-            tokens, sizes = np.concatenate(held), np.concatenate(lengths)
-            held, lengths, n = [], [], 0
-            columns = grams(tokens >> np.uint64(NARROW), sizes, order)
-            keys, at, (counts,) = _add_up(mix(columns), [np.ones(len(tokens), dtype=np.int64)])
-            rows = list(_parted(f"g{order}", keys, [c[at] for c in columns], counts, key_shift, 5))
-            words, _, (counts,) = _add_up(tokens, [np.ones(len(tokens), dtype=np.int64)])
-            rows += _parted("u", words, [words], counts, word_shift, 6)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["kind", "part", "blob"])
+        def run(batches: Iterator) -> Iterator:
+            import numpy as np
+            import pyarrow as pa
+
+            hashes, held, n = WordHashes(), [[] for _ in range(order + 2)], 0
+
+            def mine(keys: Any, shift: int) -> Any:
+                return (keys >> np.uint64(shift)) & np.uint64(passes - 1) == turn if passes > 1 else np.ones(len(keys), dtype=bool)
+
+            def flush() -> Iterator:
+                nonlocal held, n
+                whole = []
+                while held:  # a column at a time, so that two copies of one alone are in memory
+                    whole.append(np.concatenate(held.pop(0)))
+                tokens, keys, *columns = whole
+                held, n = [[] for _ in range(order + 2)], 0
+                keys, at, (counts,) = _add_up(keys, [np.ones(len(keys), dtype=np.int64)])
+                rows = list(_parted(f"g{order}", keys, [c[at] for c in columns], counts, key_shift, 5))
+                words, _, (counts,) = _add_up(tokens, [np.ones(len(tokens), dtype=np.int64)])
+                rows += _parted("u", words, [words], counts, word_shift, 6)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["kind", "part", "blob"])
+
+            for batch in batches:
+                texts = batch.column(0)
+                for at in range(0, len(texts), 256):
+                    tokens, sizes = token_stream(texts.slice(at, 256).to_pylist(), hashes)
+                    columns = grams(tokens >> np.uint64(NARROW), sizes, order)
+                    keys = mix(columns)
+                    own = mine(keys, key_shift)
+                    kept = [tokens[mine(tokens, word_shift)], keys[own], *[c[own] for c in columns]]
+                    for column, values in zip(held, kept, strict=True):
+                        column.append(values)
+                    n += max(len(kept[0]), len(kept[1]))
+                    if n >= FLUSH:
+                        yield from flush()
+            if held[0]:
+                yield from flush()
 
-        for batch in batches:
-            texts = batch.column(0)
-            for at in range(0, len(texts), 256):
-                flat, sizes = token_stream(texts.slice(at, 256).to_pylist(), hashes)
-                held.append(flat)
-                lengths.append(sizes)
-                n += len(flat)
-                if n >= FLUSH:
-                    yield flush()
-        if n:
-            yield flush()
+        return run
 
     def merge(k: int) -> Any:
         """The group task of round k: n-grams of order k, with what is known of them as contexts, and raw word counts."""
@@ -308,9 +329,6 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
 
             slot, part = group["slot"].iloc[0], int(group["part"].iloc[0])
             rows: list[tuple[str, int, bytes]] = []
-            if slot[0] == "s":  # statistics of the rounds before: added up
-                total = np.sum([np.frombuffer(b, dtype="<u8") for b in group["blob"]], axis=0, dtype=np.uint64)
-                return pd.DataFrame([(slot, 0, total.astype("<u8").tobytes())], columns=["kind", "part", "blob"])
             width, own = (1 if slot == "u" else k), group["kind"] == slot
             unpacked = [_unpack(b, 6 if slot == "u" else 5) for b in group["blob"][own]]
             columns = [np.concatenate([np.zeros(0, np.uint64), *[u[0][i] for u in unpacked]]) for i in range(width)]
@@ -357,15 +375,33 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
 
         return run
 
-    rows = texts.mapInArrow(count, ROWS)
-    for k in range(order, 0, -1):
-        # contexts of order k + 1 are n-grams of order k; one chain of shuffles, nothing is written between the rounds
-        slot = F.when(F.col("kind") == f"c{k + 1}", f"g{k}").otherwise(F.col("kind"))
-        rows = rows.withColumn("slot", slot).groupBy("slot", "part").applyInPandas(merge(k), ROWS)
+    def between(k: int) -> str:
+        return f"file://{folder}/rows-{k}"
+
+    def done(k: int, turn: int) -> DataFrame:
+        return spark.read.schema(f"{ROWS}, turn int").parquet(between(k)).filter(F.col("turn") == turn).drop("turn")
+
     total: dict[str, list[int]] = {}
-    for kind, _, blob in rows.collect():  # a row per part and order at most, seven numbers each
-        own = [int.from_bytes(blob[i : i + 8], "little") for i in range(0, 56, 8)]
-        total[kind] = [a + b for a, b in zip(total.get(kind, [0] * 7), own, strict=True)]
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")  # a pass leaves no shuffle files behind
+    try:
+        for k in range(order, 0, -1):
+            for turn in range(passes):
+                rows = texts.mapInArrow(count(turn), ROWS) if k == order else done(k + 1, turn)
+                # contexts of order k + 1 are n-grams of order k
+                slot = F.when(F.col("kind") == f"c{k + 1}", f"g{k}").otherwise(F.col("kind"))
+                rows = rows.withColumn("slot", slot).groupBy("slot", "part").applyInPandas(merge(k), ROWS)
+                next_turn = F.when(F.col("kind").startswith("s"), STATISTICS).otherwise(F.col("part") % passes)
+                rows.withColumn("turn", next_turn).write.partitionBy("turn").parquet(between(k), mode="append")
+                if k < order:
+                    shutil.rmtree(f"{folder}/rows-{k + 1}/turn={turn}", ignore_errors=True)
+            for kind, _, blob in done(k, STATISTICS).collect():  # a row per part and kind, seven numbers each
+                own = [int.from_bytes(blob[i : i + 8], "little") for i in range(0, 56, 8)]
+                total[kind] = [a + b for a, b in zip(total.get(kind, [0] * 7), own, strict=True)]
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+        for k in range(order, 0, -1):
+            shutil.rmtree(f"{folder}/rows-{k}", ignore_errors=True)
     for k in range(order, 0, -1):
         n = total.get(f"sg{k}", [0] * 7)
         model.discounts[k] = d = discounts(n[:4])
