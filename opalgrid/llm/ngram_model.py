@@ -1,6 +1,6 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark and memory-mapped by the scoring workers.
 
-Counting. A task hashes the words of its texts (48 bits for raw counts, the upper 40 in n-grams) and counts n-grams in flushes of FLUSH tokens. Each flush goes
+Counting. A task hashes the words of its texts (48 bits for raw counts, the upper 40 in n-grams) by one numpy kernel over the Arrow buffer and counts n-grams in flushes of FLUSH tokens. Each flush goes
 out as one binary row per hash range (part), n-grams with their counts. A group task merges a part, writes it as a
 sorted array, and passes on what the lower order needs: for each suffix the number of its different left neighbours
 (the adjusted counts), for each context its total and its numbers of followers seen once, twice and more often. These
@@ -32,7 +32,6 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 from math import ceil, log2
 from typing import Any
 
@@ -44,12 +43,12 @@ from opalgrid.llm.common import doc_crc, local_folder, text_of
 
 ORDER = 3
 FLUSH = 1_500_000
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 PASSES = 2  # a power of two
 STATISTICS = -1  # stands for a turn
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOLDS, HELD_OUT = 10, 0
-CACHE = 400_000
+LONG_WORD = 256  # bytes
 OPEN_PARTS = 64
 BUCKET_BITS = 16
 RARE = 255  # the mark of a record that is not a common one
@@ -59,29 +58,59 @@ ROWS = "kind string, part int, blob binary"
 FIELDS = 5  # of a record: count, and as a context total, followers seen once, twice, more often
 
 
-class WordHashes(dict):
-    """48-bit hash of a word, remembered; zero is kept for the start mark."""
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+END = b"\n"  # no word holds a line break
 
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = value = max(1 << NARROW, xxh64_intdigest(word, 7) & MASK)
-        return value
 
+def _stir(out: Any, column: Any) -> Any:
+    import numpy as np
 
-END = b"\n"  # no word holds a line break
+    with np.errstate(over="ignore"):
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
 
 
-def token_stream(texts: list[str], hashes: WordHashes) -> tuple[Any, Any]:
-    """(tokens, lengths): the hashed words of all texts, each text followed by the end token."""
+def word_hashes(data: Any, starts: Any, ends: Any) -> Any:
+    """48-bit hashes of the words at these places of the bytes; small ones are kept for the start mark."""
     import numpy as np
+    from xxhash import xxh64_intdigest
+
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # from each byte on
+    low = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+    sizes = ends - starts
+    out = sizes.astype(np.uint64)
+    for at in range(0, min(LONG_WORD, int(sizes.max(initial=0))), 8):
+        own = np.flatnonzero(sizes > at)
+        out[own] = _stir(out[own], eight[starts[own] + at] & low[np.minimum(sizes[own] - at, 8)])
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        out[i] = xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 7)
+    return np.maximum(out & np.uint64(MASK), np.uint64(1 << NARROW))
+
+
+def token_stream(texts: Any) -> tuple[Any, Any]:
+    """(tokens, lengths): the hashed words of an Arrow array of texts, each text followed by the end token."""
+    import numpy as np
+    import pyarrow as pa
 
-    split = [[*t.encode("utf-8", "surrogatepass").lower().split(), END] for t in texts]
-    lengths = np.array([len(w) for w in split], dtype=np.int64)
-    flat = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), dtype=np.uint64, count=int(lengths.sum()))
-    return flat, lengths
+    texts = texts.cast(pa.large_binary())
+    _, offsets, raw = texts.buffers()
+    offsets = np.frombuffer(offsets, dtype="<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(raw or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    data = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)[data]
+    within = np.array([not bytes([i]).isspace() for i in range(256)])[data]
+    first, last = within.copy(), within.copy()
+    first[1:] &= ~within[:-1]
+    last[:-1] &= ~within[1:]
+    full = np.diff(offsets) > 0  # words end with their text
+    for edge, at in ((first, offsets[:-1][full]), (last, offsets[1:][full] - 1)):
+        edge[at] = within[at]
+    starts = np.flatnonzero(first)
+    words = word_hashes(data, starts, np.flatnonzero(last) + 1)
+    before = np.searchsorted(starts, offsets)
+    end = word_hashes(np.frombuffer(END, dtype=np.uint8), np.array([0]), np.array([len(END)]))
+    return np.insert(words, before[1:], end[0]), np.diff(before) + 1
 
 
 def grams(tokens: Any, lengths: Any, order: int) -> list[Any]:
@@ -103,12 +132,8 @@ def mix(columns: list[Any]) -> Any:
     import numpy as np
 
     out = np.full(len(columns[0]), len(columns), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for c in columns:
-            out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(32)
+    for c in columns:
+        out = _stir(out, c)
     return out
 
 
@@ -284,7 +309,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             import numpy as np
             import pyarrow as pa
 
-            hashes, held, n = WordHashes(), [[] for _ in range(order + 2)], 0
+            held, n = [[] for _ in range(order + 2)], 0
 
             def mine(keys: Any, shift: int) -> Any:
                 return (keys >> np.uint64(shift)) & np.uint64(passes - 1) == turn if passes > 1 else np.ones(len(keys), dtype=bool)
@@ -298,7 +323,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
                 held, n = [[] for _ in range(order + 2)], 0
                 keys, at, (counts,) = _add_up(keys, [np.ones(len(keys), dtype=np.int64)])
                 rows = list(_parted(f"g{order}", keys, [c[at] for c in columns], counts, key_shift, 5))
-                words, _, (counts,) = _add_up(tokens, [np.ones(len(tokens), dtype=np.int64)])
+                words, counts = np.unique(tokens, return_counts=True)
                 rows += _parted("u", words, [words], counts, word_shift, 6)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["kind", "part", "blob"])
@@ -306,7 +331,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> NgramM
             for batch in batches:
                 texts = batch.column(0)
                 for at in range(0, len(texts), 256):
-                    tokens, sizes = token_stream(texts.slice(at, 256).to_pylist(), hashes)
+                    tokens, sizes = token_stream(texts.slice(at, 256))
                     columns = grams(tokens >> np.uint64(NARROW), sizes, order)
                     keys = mix(columns)
                     own = mine(keys, key_shift)
@@ -430,7 +455,7 @@ class Arrays:
             return self.parts[number]
         path, found = f"{self.name}-{number}", None
         if os.path.exists(path):
-            raw = np.memmap(path, dtype=np.uint8, mode="r")
+            raw = np.asarray(np.memmap(path, dtype=np.uint8, mode="r"))
             n, fields, common, rare, wide = (int(x) for x in raw[:40].view("<u8"))
             if n:
                 found, at = [], 40
@@ -457,11 +482,13 @@ class Arrays:
                 own = within_part(asked[a:b], "", self.bits)  # the keys have all 64 bits here
                 bucket, low = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 lo, end = ends[bucket, 0].astype(np.int64), ends[bucket + 1, 0].astype(np.int64)
-                hi, lower = end.copy(), lower[:, 0]
-                for _ in range(int((hi - lo).max()).bit_length()):  # all keys at a time, each in its bucket
-                    mid = (lo + hi) >> 1
-                    right = (lo < hi) & (lower[np.minimum(mid, len(lower) - 1)] < low)
-                    lo, hi = np.where(right, mid + 1, lo), np.where(right, hi, mid)
+                lower, step = lower[:, 0], 1 << int((end - lo).max()).bit_length() >> 1
+                while step:  # all keys at a time, each in its bucket: forward over smaller ones by halved steps
+                    probe = lo + step
+                    right = lower.take(probe - 1, mode="clip") < low
+                    right &= probe <= end
+                    lo += right * np.int64(step)
+                    step >>= 1
                 at = np.minimum(lo, len(lower) - 1)
                 hit = np.flatnonzero((lo < end) & (lower[at] == low))
                 at = at[hit]
@@ -475,47 +502,18 @@ class Arrays:
         return out[back.ravel()]
 
 
-class WordIds(dict):
-    """Numbers words in order of appearance; ``new`` holds those that are not looked up yet."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-
 class Scorer:
-    """Scores texts. What the arrays say of a word alone is remembered, so that common words are looked up once."""
+    """Scores texts; what the arrays say of a word alone is looked up once a call."""
 
     def __init__(self, model: NgramModel):
         import numpy as np
 
-        self.model, self.hashes = model, WordHashes()
+        self.model = model
         self.raw = Arrays(model, "u", 1)
         self.grams = {k: Arrays(model, f"g{k}", FIELDS if k < model.order else 1) for k in range(1, model.order + 1)}
         # what stands before a text: start marks alone, as the context of each order
         none = np.zeros(1, dtype=np.uint64)
         self.start = {k: self.grams[k - 1].find(none if k == 2 else mix([none] * (k - 1)))[0] for k in range(2, model.order + 1)}
-        self._forget()
-
-    def _forget(self) -> None:
-        import numpy as np
-
-        self.ids, self.narrow = WordIds(), np.zeros(0, dtype=np.uint64)
-        self.raw_counts, self.known = np.zeros(0), np.zeros((0, self.grams[1].fields))
-
-    def _learn(self) -> None:
-        import numpy as np
-
-        full = np.fromiter(map(self.hashes.__getitem__, self.ids.new), dtype=np.uint64, count=len(self.ids.new))
-        narrow = full >> np.uint64(NARROW)
-        self.raw_counts = np.concatenate([self.raw_counts, self.raw.find(full)[:, 0]])
-        self.known = np.concatenate([self.known, self.grams[1].find(narrow)])
-        self.narrow, self.ids.new = np.concatenate([self.narrow, narrow]), []
 
     def probabilities(self, columns: list[Any], records: Any, first: Any) -> Any:
         """Model probability of the last word of each n-gram given those before it.
@@ -537,27 +535,22 @@ class Scorer:
                 context[1:] = before[:-1]
                 context[first] = self.start[k]
                 total = context[:, 1]
-                gamma = (context[:, 2:] @ np.array(d)) / np.where(total > 0, total, 1)
+                gamma = sum(context[:, 2 + i] * d[i] for i in range(3)) / np.where(total > 0, total, 1)
             known = total > 0
             p = np.where(known, np.maximum(a - cut, 0) / np.where(known, total, 1) + gamma * p, p)
             before = own
         return p
 
-    def __call__(self, texts: list[str]) -> tuple[Any, ...]:
+    def __call__(self, texts: Any) -> tuple[Any, ...]:
         import numpy as np
 
         m = self.model
-        if len(self.ids) > CACHE:
-            self._forget()
-        split = [[*t.encode("utf-8", "surrogatepass").lower().split(), END] for t in texts]
-        lengths = np.array([len(w) for w in split], dtype=np.int64)
-        flat = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(lengths.sum()))
-        if self.ids.new:
-            self._learn()
+        tokens, lengths = token_stream(texts)
+        words, back = np.unique(tokens, return_inverse=True)
         doc = np.repeat(np.arange(len(texts)), lengths)
-        c = self.raw_counts[flat]
+        c = self.raw.find(words)[back, 0]
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
-        score = np.log10(self.probabilities(grams(self.narrow[flat], lengths, m.order), self.known[flat], np.cumsum(lengths) - lengths))
+        score = np.log10(self.probabilities(grams(tokens >> np.uint64(NARROW), lengths, m.order), self.grams[1].find(words >> np.uint64(NARROW))[back], np.cumsum(lengths) - lengths))
         sums = [np.bincount(doc, weights=w, minlength=len(texts)) for w in (c > 0, base, score)]
         return lengths, sums[0].astype(np.int64), sums[1], sums[2]
 
@@ -577,9 +570,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         score = None
         for batch in batches:
             score = score or Scorer(model)
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n, known, base, own = score(part.column(2).to_pylist())
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                n, known, base, own = score(part.column(2))
                 cols = [part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(own), pa.array(10.0 ** (-own / n))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
