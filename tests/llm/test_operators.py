@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -610,3 +611,28 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
         assert at <= 2048 and at & (at - 1) == 0
     # the registered query runs the same stages
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id", "start").count().filter("start = 0").collect()).keys() == copies.keys()
+
+
+def test_ngram_passes_count_all_and_leave_nothing(docs, monkeypatch):
+    few, before = docs.filter("doc_id < 68"), docs.sparkSession.conf.get(ngram_model.FREED, None)
+    scores = lambda: {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in ngram_model.score_documents(few).collect()}
+    whole = scores()  # one part, one pass
+    monkeypatch.setattr(ngram_model, "PART_BYTES", 2048)
+    monkeypatch.setattr(ngram_model, "PASSES", 4)
+    monkeypatch.setattr(ngram_model, "FLUSH", 500)
+    parts = scores()
+    assert whole.keys() == parts.keys() and all(np.allclose(whole[i], parts[i], rtol=1e-9) for i in whole)
+    left = {name.split("-")[0] for name in os.listdir(ngram_model.train(few).folder)}
+    assert left == {"u", "g1", "g2", "g3"}  # no rows between the rounds
+    assert docs.sparkSession.conf.get(ngram_model.FREED, None) == before
+
+
+def test_ngram_words_end_with_texts_and_at_ascii_space():
+    import pyarrow as pa
+
+    texts = ["", " ", "a", "b", "  A  b ", "É\x1cx\x00 x", "a\x0b\x0cb\r\nc", "x" * 300 + " " + "x" * 256, "x" * 300, "\n"]
+    expected = [[*t.encode().lower().split(), b"\n"] for t in texts]
+    tokens, lengths = ngram_model.token_stream(pa.array(["cut off", *texts]).slice(1))
+    assert lengths.tolist() == [len(w) for w in expected]
+    flat = [w for words in expected for w in words]
+    assert len({*zip(flat, tokens.tolist(), strict=True)}) == len({*flat}) == len(np.unique(tokens))
