@@ -4,8 +4,9 @@ Counting. A task hashes the words of its texts (48 bits for raw counts, the uppe
 out as one binary row per hash range (part), n-grams with their counts. A group task merges a part, writes it as a
 sorted array, and passes on what the lower order needs: for each suffix the number of its different left neighbours
 (the adjusted counts), for each context its total and its numbers of followers seen once, twice and more often. These
-travel in the same packed form, so that the next order is one more shuffle of the same job, in which an n-gram meets
-what is known of it as a context: both lie in one array. The number of parts follows the size of the texts, and hashes
+travel in the same packed form to the next round, in which an n-gram meets what is known of it as a context: both lie in
+one array. A round takes PASSES passes, each for its share of the parts: the first round reads the texts anew in each, later
+ones read what the round before wrote to the shared folder, and shuffle files and read rows go when their pass ends. The number of parts follows the size of the texts, and hashes
 spread evenly, so a group task's memory is bounded whatever word is frequent.
 
 Arrays. A part holds its n-grams' hashes, 48 bits beyond those that all hashes of the part share, as places of 65,536
