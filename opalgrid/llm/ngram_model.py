@@ -15,7 +15,8 @@ stands in a list of the others. Two n-grams of a part of five million share 48 b
 
 Scoring. p_k(w | context) = max(a - D(a), 0) / S + gamma * p_(k-1), from order 1, whose lower order is uniform over the
 V known tokens and an unknown one. a, S and the counts behind gamma are looked up by binary search in the memory-mapped arrays; the context of an n-gram is the
-n-gram that ends one token before, so that each is looked up once.
+n-gram that ends one token before, so that each is looked up once. Texts are gathered until there are ROOM_A_PART tokens for
+each part, and looked up together in ascending order: opening a part then costs little beside what is looked up in it.
 
 The arrays lie in the shared folder, which must be mounted on the workers. A retried task writes the same bytes and
 renames them into place, so that lost executors do no harm.
@@ -51,6 +52,7 @@ FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOLDS, HELD_OUT = 10, 0
 LONG_WORD = 256  # bytes
 OPEN_PARTS = 64
+ROOM, ROOM_A_PART, MOST_ROOM = 1 << 17, 1 << 12, 1 << 20  # tokens that are scored at a time: at least, for each part, and at most
 BUCKET_BITS = 16
 RARE = 255  # the mark of a record that is not a common one
 MASK = (1 << 48) - 1
@@ -542,18 +544,49 @@ class Scorer:
             before = own
         return p
 
-    def __call__(self, texts: Any) -> tuple[Any, ...]:
+    def room(self) -> int:
+        """Tokens that are worth a call."""
+        return min(MOST_ROOM, max(ROOM, ROOM_A_PART << self.model.bits))
+
+    def __call__(self, tokens: Any, lengths: Any) -> tuple[Any, ...]:
+        """(known tokens, base score, score) of each of the texts that ``token_stream`` has made these of."""
         import numpy as np
 
         m = self.model
-        tokens, lengths = token_stream(texts)
         words, back = np.unique(tokens, return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), lengths)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
         c = self.raw.find(words)[back, 0]
         base = np.log10((c + 0.1) / (m.tokens + 0.1 * (m.vocabulary + 1)))
         score = np.log10(self.probabilities(grams(tokens >> np.uint64(NARROW), lengths, m.order), self.grams[1].find(words >> np.uint64(NARROW))[back], np.cumsum(lengths) - lengths))
-        sums = [np.bincount(doc, weights=w, minlength=len(texts)) for w in (c > 0, base, score)]
-        return lengths, sums[0].astype(np.int64), sums[1], sums[2]
+        sums = [np.bincount(doc, weights=w, minlength=len(lengths)) for w in (c > 0, base, score)]
+        return sums[0].astype(np.int64), sums[1], sums[2]
+
+
+def scored(batches: Iterator, model: NgramModel) -> Iterator:
+    """The rows of ``score_documents`` for Arrow batches (id, held_out, text)."""
+    import numpy as np
+    import pyarrow as pa
+
+    score, held, n = None, [], 0
+
+    def flush() -> Any:
+        nonlocal held, n
+        ids, folds, tokens, lengths = zip(*held, strict=True)
+        held, n, lengths = [], 0, np.concatenate(lengths)
+        known, base, own = score(np.concatenate(tokens), lengths)
+        cols = [pa.concat_arrays(ids), pa.concat_arrays(folds), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(own), pa.array(10.0 ** (-own / lengths))]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    for batch in batches:
+        score = score or Scorer(model)
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            held.append((part.column(0), part.column(1), *token_stream(part.column(2))))
+            n += len(held[-1][2])
+            if n >= score.room():
+                yield flush()
+    if held:
+        yield flush()
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -564,18 +597,5 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held_out = F.coalesce(doc_crc(id_col) % FOLDS == HELD_OUT, F.lit(False))
     model = train(docs.filter(~held_out), text_col, order)
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        score = None
-        for batch in batches:
-            score = score or Scorer(model)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, known, base, own = score(part.column(2))
-                cols = [part.column(0), part.column(1), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.tokens)), pa.array(base), pa.array(own), pa.array(10.0 ** (-own / n))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), text_of(text_col).alias("text")).mapInArrow(lambda batches: scored(batches, model), schema)

@@ -636,3 +636,23 @@ def test_ngram_words_end_with_texts_and_at_ascii_space():
     assert lengths.tolist() == [len(w) for w in expected]
     flat = [w for words in expected for w in words]
     assert len({*zip(flat, tokens.tolist(), strict=True)}) == len({*flat}) == len(np.unique(tokens))
+
+
+def test_ngram_scoring_opens_a_part_once_for_many_texts(docs, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_model, "PART_BYTES", 2048)
+    monkeypatch.setattr(ngram_model, "OPEN_PARTS", 4)
+    model = ngram_model.train(docs.filter("doc_id < 68"))
+    opened, exists = [], os.path.exists
+    monkeypatch.setattr(ngram_model.os.path, "exists", lambda path: opened.append(path) or exists(path))
+    texts = [f"{r[1] or ''} {k}" for k in range(40) for r in ROWS if len(r[1] or "") < 1000]
+    rows = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([False]), pa.array([t])], names=["doc_id", "held_out", "text"]) for i, t in enumerate(texts)]
+    out = pa.Table.from_batches(ngram_model.scored(iter(rows), model))
+    calls = -(-sum(out["n_tokens"].to_pylist()) // ngram_model.ROOM)
+    assert out["doc_id"].to_pylist() == list(range(len(texts))) and model.bits > 3 and len(texts) > 1000
+    # the parts of four kinds, each once a call, and those of the start marks
+    assert len(opened) <= calls * 4 * (1 << model.bits) + 4
+    alone = ngram_model.Scorer(model)
+    for i in (0, 700, len(texts) - 1):
+        assert out["score"][i].as_py() == pytest.approx(alone(*ngram_model.token_stream(pa.array([texts[i]])))[2][0])
