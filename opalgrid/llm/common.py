@@ -12,6 +12,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +94,18 @@ def local_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside leave no shuffle files behind; what outlasts a job is written by ``materialize``."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of many rows with a table that has one row per key, safe for keys that hold much of ``left``.
 

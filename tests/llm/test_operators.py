@@ -656,3 +656,21 @@ def test_ngram_scoring_opens_a_part_once_for_many_texts(docs, monkeypatch):
     alone = ngram_model.Scorer(model)
     for i in (0, 700, len(texts) - 1):
         assert out["score"][i].as_py() == pytest.approx(alone(*ngram_model.token_stream(pa.array([texts[i]])))[2][0])
+
+
+@pytest.mark.parametrize("far", [78, 0])
+def test_near_copies_lose_no_pair_at_the_limit(spark, monkeypatch, far):
+    """Pairs at a cosine of exactly 0.8, whatever bands and bits find of them, and pairs just below."""
+    monkeypatch.setattr(near_copies, "FAR", far)
+    own, rows = random.Random(5), []
+    word = iter(range(1 << 30))
+    fresh = lambda n: [f"u{next(word)}" for _ in range(n)]
+    for k in range(250):  # sets of 25 of which 20 are shared, of 45 (36), 25 and 16 (16: exactly 0.8), and of 45 (35)
+        a, b, n = ((25, 25, 20), (45, 45, 36), (25, 16, 16), (45, 45, 35))[k % 4]
+        text = fresh(n + 4)
+        rows += [" ".join(text + fresh(a - n)), " ".join(fresh(b - n) + text)]
+    passage = fresh(44)  # a crowd: all share 40 shingles of 50, a few also lie under the limit
+    rows += [" ".join(passage + fresh(own.choice((9, 10, 11)))) for _ in range(45)]
+    own.shuffle(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    assert {(r["id"], r["keep_id"]) for r in near_copies.near_groups(docs).collect()} == resembling(list(enumerate(rows)))
